@@ -65,9 +65,9 @@ def parse_date(c: Column | str) -> Column:
     """Text date → DATE; bad value → null.  ISO first, then day-first forms."""
     c = F.trim(_c(c))
     return F.coalesce(
-        F.try_to_date(c, F.lit("yyyy-MM-dd")),
-        F.try_to_date(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_date(c, F.lit("yyyy/MM/dd")),
-        F.try_to_date(c, F.lit("d/M/yyyy")),
-        F.try_to_date(c, F.lit("d-M-yyyy")),
+        F.try_to_date(c, "yyyy-MM-dd"),
+        F.try_to_date(c, "yyyy-MM-dd HH:mm:ss"),
+        F.try_to_date(c, "yyyy/MM/dd"),
+        F.try_to_date(c, "d/M/yyyy"),
+        F.try_to_date(c, "d-M-yyyy"),
     )

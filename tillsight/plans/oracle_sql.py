@@ -99,5 +99,170 @@ SELECT store_id, rank, product, category, CAST(units_dec AS DOUBLE) AS units, CA
        greatest(count(*) FILTER (WHERE cum_rev_pct <= {thr}) OVER (PARTITION BY store_id), 1) AS n_pareto,
        count(*) OVER (PARTITION BY store_id) AS total_products
 FROM shares""" if not where else f"""
-full_pareto AS ({products_pareto(src, thr)})
+full_pareto AS (WITH {products_pareto(src, thr)})
 SELECT * FROM full_pareto {where}"""
+
+
+# ---------------------------------------------------------------------------
+# Reusable CTE builders (each returns "name AS (...)" items joined by commas)
+# ---------------------------------------------------------------------------
+
+def order_totals(src: str, name: str = "ot") -> str:
+    return f"""{name} AS (
+  SELECT store_id, order_id, count(*) AS n_lines, sum(total) AS ticket_dec, sum(quantity) AS items_dec,
+         count(DISTINCT product) AS unique_products, count(DISTINCT category) AS categories
+  FROM {src} GROUP BY store_id, order_id)"""
+
+
+def basket(src: str, item: str = "product", min_size: int = 2, p: str = "") -> str:
+    """sizes/items/tb/ic/pc CTEs (prefixed by ``p``) for pairs of ``item`` in multi-line orders."""
+    return f"""{p}sizes AS (
+  SELECT store_id, order_id FROM {src} GROUP BY store_id, order_id HAVING count(*) >= {min_size}
+), {p}items AS (
+  SELECT DISTINCT l.store_id, l.order_id, l.{item} AS item FROM {src} l JOIN {p}sizes s USING (store_id, order_id)
+), {p}tb AS (
+  SELECT store_id, count(*) AS total_baskets FROM {p}sizes GROUP BY store_id
+), {p}ic AS (
+  SELECT store_id, item, count(*) AS item_orders FROM {p}items GROUP BY store_id, item
+), {p}pc AS (
+  SELECT a.store_id, a.item AS item_a, b.item AS item_b, count(*) AS "count"
+  FROM {p}items a JOIN {p}items b ON a.store_id = b.store_id AND a.order_id = b.order_id AND a.item < b.item
+  GROUP BY a.store_id, a.item, b.item)"""
+
+
+def pair_measures(pairs: str, p: str = "") -> str:
+    """SELECT list source joining pairs with item counts; yields support_raw and lift_raw."""
+    return f"""(SELECT x.*, t.total_baskets, ca.item_orders AS count_a, cb.item_orders AS count_b,
+          CAST(x."count" AS DOUBLE) / CAST(t.total_baskets AS DOUBLE) AS support_raw,
+          (CAST(x."count" AS DOUBLE) / CAST(t.total_baskets AS DOUBLE))
+            / ((ca.item_orders / CAST(t.total_baskets AS DOUBLE)) * (cb.item_orders / CAST(t.total_baskets AS DOUBLE))) AS lift_raw
+   FROM {pairs} x JOIN {p}tb t USING (store_id)
+   JOIN {p}ic ca ON ca.store_id = x.store_id AND ca.item = x.item_a
+   JOIN {p}ic cb ON cb.store_id = x.store_id AND cb.item = x.item_b)"""
+
+
+def product_pairs(keep: int, p: str = "") -> str:
+    """{p}pairs: top ``keep`` pairs per store with rank, support, lift."""
+    return f"""{p}ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY "count" DESC, item_a, item_b) AS INTEGER) AS rank
+  FROM {p}pc QUALIFY rank <= {keep}
+), {p}pairs AS (
+  SELECT store_id, rank, item_a AS product_a, item_b AS product_b, "count",
+         {R('support_raw', 4)} AS support, {R('lift_raw', 2)} AS lift, total_baskets
+  FROM {pair_measures(f'{p}ranked', p)})"""
+
+
+def rules(min_count: int, min_conf: float, top: int, p: str = "") -> str:
+    """{p}rules CTE chain (needs basket CTEs with the same prefix)."""
+    conf = 'CAST("count" AS DOUBLE) / count_a'
+    sup_b = 'count_b / CAST(total_baskets AS DOUBLE)'
+    return f"""{p}pcf AS (SELECT * FROM {p}pc WHERE "count" >= {min_count}
+), {p}dir AS (
+  SELECT store_id, item_a, item_b, "count" FROM {p}pcf
+  UNION ALL SELECT store_id, item_b AS item_a, item_a AS item_b, "count" FROM {p}pcf
+), {p}rall AS (
+  SELECT store_id, item_a AS antecedent, item_b AS consequent, "count",
+         {R('support_raw', 4)} AS support, {R(conf, 3)} AS confidence, {R('lift_raw', 2)} AS lift,
+         COALESCE(CASE WHEN {conf} < 0.999 THEN {R(f'(1 - {sup_b}) / (1 - {conf})', 2)} END, 99.99) AS conviction,
+         {R(f'{conf} * lift_raw * ln("count" + 1)', 3)} AS score
+  FROM {pair_measures(f'{p}dir', p)}
+), {p}rbest AS (
+  SELECT * FROM {p}rall WHERE confidence >= {min_conf}
+  QUALIFY row_number() OVER (PARTITION BY store_id, least(antecedent, consequent), greatest(antecedent, consequent)
+                             ORDER BY score DESC, "count" DESC, confidence DESC, antecedent, consequent) = 1
+), {p}rules AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY score DESC, "count" DESC, confidence DESC, antecedent, consequent) AS INTEGER) AS rank
+  FROM {p}rbest QUALIFY rank <= {top})"""
+
+
+def margin_products(src: str, name: str = "mp", item: str = "product") -> str:
+    return f"""{name}_g AS (
+  SELECT store_id, {item} AS product, sum(quantity) AS units_dec, sum(total) AS revenue_dec,
+         count(DISTINCT order_id) AS orders, avg(margin_pct) AS avg_margin, min(category) AS category
+  FROM {src} GROUP BY store_id, {item}
+), {name} AS (
+  SELECT *, CAST(revenue_dec AS DOUBLE) * avg_margin / 100.0 AS profit FROM {name}_g WHERE avg_margin IS NOT NULL)"""
+
+
+def profitability(src: str, thr: float = 80.0, name: str = "prof", item: str = "product") -> str:
+    return f"""{margin_products(src, name + '_mp', item)}, {name}_w AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY profit DESC, product) AS INTEGER) AS rank,
+         {R('sum(profit) OVER (PARTITION BY store_id ORDER BY profit DESC, product ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(profit) OVER (PARTITION BY store_id) * 100.0', 1)} AS cum_profit_pct,
+         {R('profit / sum(profit) OVER (PARTITION BY store_id) * 100.0', 2)} AS profit_share,
+         median(CAST(orders AS DOUBLE)) OVER (PARTITION BY store_id) AS orders_median_raw,
+         median(avg_margin) OVER (PARTITION BY store_id) AS margin_median_raw
+  FROM {name}_mp
+), {name} AS (
+  SELECT store_id, rank, product, category, CAST(units_dec AS DOUBLE) AS units, CAST(revenue_dec AS DOUBLE) AS revenue,
+         orders, {R('avg_margin', 4)} AS avg_margin, {R('profit', 2)} AS profit, profit AS profit_raw, cum_profit_pct, profit_share,
+         cum_profit_pct <= {thr} AS in_profit_pareto,
+         greatest(count(*) FILTER (WHERE cum_profit_pct <= {thr}) OVER (PARTITION BY store_id), 1) AS n_profit_pareto,
+         CASE WHEN orders >= orders_median_raw AND avg_margin >= margin_median_raw THEN 'Champion'
+              WHEN orders >= orders_median_raw THEN 'Tractor'
+              WHEN avg_margin >= margin_median_raw THEN 'Gem' ELSE 'Niche' END AS class,
+         {R('orders_median_raw', 4)} AS orders_median, {R('margin_median_raw', 4)} AS margin_median,
+         margin_median_raw
+  FROM {name}_w)"""
+
+
+def weekday_domain(stores_sql: str) -> str:
+    return f"""(SELECT s.store_id, d.weekday_ix, d.weekday FROM ({stores_sql}) s CROSS JOIN
+  (SELECT CAST(i AS INTEGER) AS weekday_ix, {DAYS_SQL}[i + 1] AS weekday FROM range(7) t(i)) d)"""
+
+
+def raw_a(name: str = "raw_a") -> str:
+    """Binding A as an all-text POS export with deterministic bad values (see bindings.raw_pos_lines)."""
+    k = "(l.l_orderkey * 7 + l.l_linenumber)"
+    return f"""{name} AS (
+  SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, {k} AS row_seq,
+         CASE WHEN {k} % 101 = 0 THEN '31/31/1999' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS "Fecha",
+         CASE WHEN {k} % 103 = 0 THEN 'xx' ELSE printf('%d:%02d:00 %s', (l.l_linenumber % 12) + 1, l.l_partkey % 60,
+              CASE WHEN l.l_orderkey % 2 = 0 THEN 'AM' ELSE 'PM' END) END AS "Hora",
+         CASE WHEN {k} % 107 = 0 THEN NULL ELSE CAST(l.l_orderkey AS VARCHAR) END AS "Código venta",
+         p.p_name AS "Producto",
+         CASE WHEN {k} % 109 = 0 THEN NULL ELSE p.p_name END AS "Nombre Corregido",
+         p.p_type AS "Categoria Real",
+         CASE WHEN {k} % 113 = 0 THEN 'n/a' ELSE CAST(CAST(l.l_quantity AS BIGINT) AS VARCHAR) END AS "Cantidad",
+         CAST(CAST(p.p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS "Individual",
+         CASE WHEN {k} % 127 = 0 THEN '' ELSE CAST(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) AS VARCHAR) END AS "Total",
+         CASE WHEN {k} % 11 = 0 THEN ''
+              WHEN {k} % 13 = 0 THEN 'abc'
+              WHEN {k} % 3 = 0 THEN printf('%d,5%%', p.p_size + 20)
+              WHEN {k} % 3 = 1 THEN printf('%d%%', p.p_size + 20)
+              ELSE printf('%d.25', p.p_size + 20) END AS margin_pct
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+)"""
+
+
+def typed_a(src: str = "raw_a", name: str = "typed_a") -> str:
+    mtxt = "trim(replace(replace(margin_pct, '%', ''), ',', '.'))"
+    miss = f"({mtxt} IS NULL OR {mtxt} = '' OR lower({mtxt}) IN ('nan', 'none'))"
+    return f"""{name}_t AS (
+  SELECT store_id, row_seq,
+         CAST(try_strptime(trim("Fecha"), '%Y-%m-%d') AS DATE) AS sale_date,
+         CAST(hour(try_strptime(trim("Hora"), '%I:%M:%S %p')) AS INTEGER) AS sale_hour,
+         CASE WHEN trim("Código venta") IN ('', 'nan') THEN NULL ELSE trim("Código venta") END AS order_id,
+         CASE WHEN trim("Nombre Corregido") IN ('', 'nan') THEN NULL ELSE trim("Nombre Corregido") END AS product,
+         "Categoria Real" AS category_raw,
+         TRY_CAST(trim("Cantidad") AS DECIMAL(18,6)) AS quantity,
+         TRY_CAST(trim("Individual") AS DECIMAL(18,4)) AS unit_price,
+         TRY_CAST(trim("Total") AS DECIMAL(18,4)) AS total,
+         CASE WHEN {miss} THEN NULL ELSE TRY_CAST({mtxt} AS DOUBLE) END AS margin_pct,
+         CASE WHEN {miss} THEN 'missing' WHEN TRY_CAST({mtxt} AS DOUBLE) IS NULL THEN 'invalid' ELSE 'present' END AS margin_state
+  FROM {src}
+), {name} AS (
+  SELECT *, concat_ws('; ',
+      CASE WHEN sale_date IS NULL THEN 'Fecha inválida' END,
+      CASE WHEN order_id IS NULL THEN 'Código de venta faltante' END,
+      CASE WHEN product IS NULL THEN 'Producto faltante' END,
+      CASE WHEN quantity IS NULL THEN 'Cantidad inválida' END,
+      CASE WHEN total IS NULL THEN 'Total inválido' END,
+      CASE WHEN sale_hour IS NULL THEN 'Hora inválida' END) AS motivo_descarte
+  FROM {name}_t
+), {name}_clean AS (
+  SELECT store_id, row_seq, sale_date, sale_hour, {DAYS_SQL}[isodow(sale_date)] AS weekday,
+         CAST(isodow(sale_date) - 1 AS INTEGER) AS weekday_ix, order_id, product, COALESCE(category_raw, 'Otros') AS category,
+         quantity, unit_price, total, margin_pct,
+         strftime(sale_date, '%G-W%V') AS year_week, strftime(sale_date, '%Y-%m') AS year_month
+  FROM {name} WHERE motivo_descarte = ''
+)"""

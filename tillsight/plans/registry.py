@@ -39,7 +39,8 @@ def with_ctes(*ctes: str, body: str) -> str:
 # Binding-A parameters.
 CFG_A = ReportConfig()
 # Rules and bundles run on brands: random data has lift ≈ 1 and confidence ≈ 1/25.
-CFG_RULES = ReportConfig(rule_min_count=15, rule_min_confidence=0.10, high_lift_threshold=1.0)
+CFG_RULES = ReportConfig(rule_min_count=15, rule_min_confidence=0.10, high_lift_threshold=1.0,
+                         launch_min_confidence=0.12)
 # Order totals of binding A are in the 10k–1M range.
 TEST_BINS = (0, 70000, 120000, 190000, 275000, 360000, 1000000)
 TEST_LABELS = ("0-70K", "70-120K", "120-190K", "190-275K", "275-360K", "360K-1M")

@@ -90,7 +90,7 @@ def raw_pos_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) ->
     date_txt = F.date_format("o_orderdate", "yyyy-MM-dd")
     hour_txt = F.format_string("%d:%02d:00 %s", (F.col("l_linenumber") % 12) + 1, F.col("l_partkey") % 60,
                                F.when(F.col("l_orderkey") % 2 == 0, F.lit("AM")).otherwise(F.lit("PM")))
-    total_txt = F.format_string("%.2f", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    total_txt = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").cast("string")
     margin_txt = (
         F.when(k % 11 == 0, F.lit(""))
         .when(k % 13 == 0, F.lit("abc"))
@@ -108,7 +108,7 @@ def raw_pos_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) ->
         F.when(k % 109 == 0, F.lit(None)).otherwise(F.col("p_name")).alias("Nombre Corregido"),
         F.col("p_type").alias("Categoria Real"),
         F.when(k % 113 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("Cantidad"),
-        F.format_string("%.2f", F.col("p_retailprice")).alias("Individual"),
+        F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("Individual"),
         F.when(k % 127 == 0, F.lit("")).otherwise(total_txt).alias("Total"),
         margin_txt.alias("margin_pct"),
     )
