@@ -266,3 +266,100 @@ def typed_a(src: str = "raw_a", name: str = "typed_a") -> str:
          strftime(sale_date, '%G-W%V') AS year_week, strftime(sale_date, '%Y-%m') AS year_month
   FROM {name} WHERE motivo_descarte = ''
 )"""
+
+
+STORES_SQL = "(SELECT 'S' || CAST(i AS VARCHAR) AS store_id FROM range(4) t(i))"
+
+
+def product_map(name: str = "pm") -> str:
+    """The derived product map (see bindings.derived_product_map)."""
+    up = "upper(p_name)"
+    return f"""{name}_names AS (
+  SELECT p_name, min(p_type) AS cat, min(p_brand) AS sub, min(p_retailprice) AS pmin, max(p_retailprice) AS pmax
+  FROM part GROUP BY p_name
+), {name}_rows AS (
+  SELECT p_name AS sistema, CAST(NULL AS DECIMAL(18,4)) AS precio_post, CAST(NULL AS DATE) AS fecha_desde, {up} AS nombre,
+         cat AS categoria, sub AS subcategoria, CAST(length(p_name) + 20 AS DOUBLE) AS margen_pct, CAST(1 AS BIGINT) AS map_seq
+  FROM {name}_names WHERE length(p_name) % 11 <> 0
+  UNION ALL SELECT p_name, NULL, DATE '1998-01-01', {up} || ' V2', 'Renovado', sub, 35.0, 2 FROM {name}_names WHERE length(p_name) % 3 = 0
+  UNION ALL SELECT p_name, CAST(pmin AS DECIMAL(18,4)), NULL, {up}, cat, sub, 50.0, 3 FROM {name}_names WHERE length(p_name) % 5 = 0
+  UNION ALL SELECT p_name, CAST(pmin AS DECIMAL(18,4)), DATE '1998-01-01', {up} || ' CHICO', cat, sub, 40.0, 4 FROM {name}_names WHERE length(p_name) % 7 = 0
+  UNION ALL SELECT p_name, CAST(pmax AS DECIMAL(18,4)), DATE '1998-01-01', {up} || ' GRANDE', cat, sub, 45.0, 5 FROM {name}_names WHERE length(p_name) % 7 = 0
+), {name} AS (SELECT s.store_id, r.* FROM {STORES_SQL} s CROSS JOIN {name}_rows r)"""
+
+
+def pos_sales(name: str = "sales") -> str:
+    return f"""{name} AS (
+  SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, CAST(o.o_orderdate AS DATE) AS sale_date,
+         CAST(l.l_orderkey AS VARCHAR) AS order_id, p.p_name AS product_raw,
+         CAST(l.l_quantity AS DECIMAL(18,6)) AS quantity, CAST(p.p_retailprice AS DECIMAL(18,4)) AS unit_price,
+         CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) AS total
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+)"""
+
+
+RECENCY = "(fecha_desde IS NULL), fecha_desde DESC, CASE WHEN fecha_desde IS NOT NULL THEN -map_seq ELSE map_seq END"
+
+
+def enrich_ctes() -> str:
+    """split / simple / best / variants / ratios CTEs over ``sales`` and ``pm``."""
+    return f"""split AS (SELECT store_id, sistema FROM pm WHERE precio_post IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT nombre) > 1
+), simple AS (SELECT s.* FROM sales s ANTI JOIN split x ON x.store_id = s.store_id AND x.sistema = s.product_raw
+), ssales AS (SELECT s.* FROM sales s SEMI JOIN split x ON x.store_id = s.store_id AND x.sistema = s.product_raw
+), k AS (SELECT DISTINCT store_id, product_raw, unit_price, sale_date FROM simple
+), cand AS (
+  SELECT k.*, pm.precio_post, pm.fecha_desde, pm.nombre, pm.categoria, pm.subcategoria, pm.margen_pct, pm.map_seq,
+         CASE WHEN pm.precio_post = k.unit_price THEN 0 WHEN pm.precio_post IS NULL THEN 1 ELSE 2 END AS prio
+  FROM k JOIN pm ON pm.store_id = k.store_id AND pm.sistema = k.product_raw
+  WHERE pm.fecha_desde IS NULL OR pm.fecha_desde <= k.sale_date
+), best AS (
+  SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY store_id, product_raw, unit_price, sale_date ORDER BY prio, {RECENCY}) = 1
+), priced AS (SELECT pm.* FROM pm SEMI JOIN split x ON x.store_id = pm.store_id AND x.sistema = pm.sistema WHERE pm.precio_post IS NOT NULL
+), variants AS (
+  SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY store_id, sistema, precio_post ORDER BY {RECENCY}) = 1
+), cuts AS (SELECT store_id, sistema, min(fecha_desde) AS cutoff, count(DISTINCT precio_post) AS n_variants FROM priced GROUP BY 1, 2
+), post_units AS (
+  SELECT s.store_id, s.product_raw AS sistema, s.unit_price AS precio_post, sum(s.quantity) AS units
+  FROM sales s JOIN cuts c ON c.store_id = s.store_id AND c.sistema = s.product_raw
+  WHERE s.sale_date IS NOT NULL AND (c.cutoff IS NULL OR s.sale_date >= c.cutoff) GROUP BY 1, 2, 3
+), ratios AS (
+  SELECT v.store_id, v.sistema, v.precio_post, v.nombre, v.categoria, v.subcategoria, v.margen_pct, c.cutoff,
+         CASE WHEN sum(CAST(COALESCE(u.units, 0) AS DOUBLE)) OVER (PARTITION BY v.store_id, v.sistema) > 0
+              THEN CAST(COALESCE(u.units, 0) AS DOUBLE) / sum(CAST(COALESCE(u.units, 0) AS DOUBLE)) OVER (PARTITION BY v.store_id, v.sistema)
+              ELSE 1.0 / c.n_variants END AS ratio
+  FROM variants v JOIN cuts c USING (store_id, sistema)
+  LEFT JOIN post_units u ON u.store_id = v.store_id AND u.sistema = v.sistema AND u.precio_post = v.precio_post
+), scut AS (SELECT s.*, c.cutoff FROM ssales s LEFT JOIN cuts c ON c.store_id = s.store_id AND c.sistema = s.product_raw
+), pk AS (SELECT DISTINCT store_id, product_raw, unit_price, sale_date FROM scut
+          WHERE sale_date IS NOT NULL AND (cutoff IS NULL OR sale_date >= cutoff)
+), pbest AS (
+  SELECT pk.*, p.nombre, p.categoria, p.subcategoria, p.margen_pct FROM pk JOIN priced p
+    ON p.store_id = pk.store_id AND p.sistema = pk.product_raw AND p.precio_post = pk.unit_price
+   AND (p.fecha_desde IS NULL OR p.fecha_desde <= pk.sale_date)
+  QUALIFY row_number() OVER (PARTITION BY pk.store_id, pk.product_raw, pk.unit_price, pk.sale_date ORDER BY {RECENCY.replace('fecha_desde', 'p.fecha_desde').replace('map_seq', 'p.map_seq')}) = 1
+), enriched AS (
+  SELECT s.store_id, s.sale_date, s.order_id, s.product_raw, s.unit_price, s.quantity, s.total,
+         COALESCE(b.nombre, s.product_raw) AS product, b.categoria AS category_raw, b.subcategoria AS subcategory, b.margen_pct AS margin_pct,
+         CASE b.prio WHEN 0 THEN 'price' WHEN 1 THEN 'agnostic' WHEN 2 THEN 'any' ELSE 'unmatched' END AS match_kind
+  FROM simple s LEFT JOIN best b USING (store_id, product_raw, unit_price, sale_date)
+  UNION ALL
+  SELECT s.store_id, s.sale_date, s.order_id, s.product_raw, s.unit_price, s.quantity, s.total,
+         CASE WHEN b.nombre IS NULL THEN s.product_raw || ' (precio ' || CAST(CAST(s.unit_price AS DOUBLE) AS VARCHAR) || ')' ELSE b.nombre END,
+         b.categoria, b.subcategoria, b.margen_pct, CASE WHEN b.nombre IS NULL THEN 'split_unmatched' ELSE 'split_price' END
+  FROM scut s LEFT JOIN pbest b USING (store_id, product_raw, unit_price, sale_date)
+  WHERE s.sale_date IS NOT NULL AND (s.cutoff IS NULL OR s.sale_date >= s.cutoff)
+  UNION ALL
+  SELECT s.store_id, s.sale_date, s.order_id, s.product_raw, s.unit_price,
+         CAST(CAST(s.quantity AS DOUBLE) * r.ratio AS DECIMAL(18,6)), CAST(CAST(s.total AS DOUBLE) * r.ratio AS DECIMAL(18,4)),
+         r.nombre, r.categoria, r.subcategoria, r.margen_pct, 'split_fanout'
+  FROM scut s JOIN ratios r ON r.store_id = s.store_id AND r.sistema = s.product_raw
+  WHERE s.cutoff IS NOT NULL AND s.sale_date < s.cutoff
+  UNION ALL
+  SELECT s.store_id, s.sale_date, s.order_id, s.product_raw, s.unit_price, s.quantity, s.total,
+         s.product_raw, NULL, NULL, NULL, 'split_nodate' FROM scut s WHERE s.sale_date IS NULL
+)"""
+
+
+ENRICHED_COLS = ("store_id, sale_date, order_id, product_raw, CAST(unit_price AS DOUBLE) AS unit_price, "
+                 "CAST(quantity AS DOUBLE) AS quantity, CAST(total AS DOUBLE) AS total, product, category_raw, "
+                 "subcategory, margin_pct, match_kind")

@@ -112,3 +112,92 @@ def raw_pos_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) ->
         F.when(k % 127 == 0, F.lit("")).otherwise(total_txt).alias("Total"),
         margin_txt.alias("margin_pct"),
     )
+
+
+def _stores(n_stores: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n_stores - 1))).alias("_s")
+
+
+def derived_product_map(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """A product map built from ``part`` that exercises every enrichment branch.
+
+    Per part name (``L`` = its length): an undated price-agnostic row unless ``L % 11 == 0``
+    (those names stay unmapped); a dated agnostic row (1998-01-01) when ``L % 3 == 0``; a
+    priced tracking row (same name, lowest price) when ``L % 5 == 0``; two priced
+    variants with different names (lowest and highest price, dated 1998-01-01) when
+    ``L % 7 == 0`` — those names are split products.  Replicated for every store.
+    """
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy("p_name").agg(
+        F.min("p_type").alias("cat"), F.min("p_brand").alias("sub"),
+        F.min("p_retailprice").alias("pmin"), F.max("p_retailprice").alias("pmax"))
+    L = F.length("p_name")
+    up = F.upper("p_name")
+    cutoff = F.lit("1998-01-01").cast("date")
+    none_price = F.lit(None).cast("decimal(18,4)")
+    none_date = F.lit(None).cast("date")
+
+    def rows(cond, seq, price, date, nombre, cat, margin):
+        return names.filter(cond).select(
+            F.col("p_name").alias("sistema"), price.cast("decimal(18,4)").alias("precio_post"), date.alias("fecha_desde"),
+            nombre.alias("nombre"), cat.alias("categoria"), F.col("sub").alias("subcategoria"),
+            margin.cast("double").alias("margen_pct"), F.lit(seq).cast("bigint").alias("map_seq"))
+
+    m = (rows(L % 11 != 0, 1, none_price, none_date, up, F.col("cat"), L + 20)
+         .unionByName(rows(L % 3 == 0, 2, none_price, cutoff, F.concat(up, F.lit(" V2")), F.lit("Renovado"), F.lit(35)))
+         .unionByName(rows(L % 5 == 0, 3, F.col("pmin"), none_date, up, F.col("cat"), F.lit(50)))
+         .unionByName(rows(L % 7 == 0, 4, F.col("pmin"), cutoff, F.concat(up, F.lit(" CHICO")), F.col("cat"), F.lit(40)))
+         .unionByName(rows(L % 7 == 0, 5, F.col("pmax"), cutoff, F.concat(up, F.lit(" GRANDE")), F.col("cat"), F.lit(45))))
+    return m.select(_stores(n_stores), "*").select(F.concat(F.lit("S"), F.col("_s").cast("string")).alias("store_id"), *m.columns)
+
+
+def pos_sales(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Binding A before enrichment: typed POS lines keyed by the raw product name."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    return j.select(
+        F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id"),
+        F.lit(None).cast("bigint").alias("row_seq"),
+        F.col("o_orderdate").cast("date").alias("sale_date"),
+        F.hour("o_orderdate").alias("sale_hour"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("p_name").alias("product_raw"),
+        F.col("l_quantity").cast("decimal(18,6)").alias("quantity"),
+        F.col("p_retailprice").cast("decimal(18,4)").alias("unit_price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("total"),
+    )
+
+
+def overlapping_exports(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Two raw POS exports of binding A that overlap by one year (source rank 1: orders
+    before 1998-06-01; rank 2: orders from 1997-06-01), unioned as text."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    text = j.select(
+        F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id"),
+        F.col("o_orderdate"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("row_pos"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("Fecha"),
+        F.format_string("%d:%02d:00 %s", (F.col("l_linenumber") % 12) + 1, F.col("l_partkey") % 60,
+                        F.when(F.col("l_orderkey") % 2 == 0, F.lit("AM")).otherwise(F.lit("PM"))).alias("Hora"),
+        F.col("l_orderkey").cast("string").alias("Código venta"),
+        F.col("p_name").alias("Producto"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("Cantidad"),
+        F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("Individual"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").cast("string").alias("Total"),
+    )
+    e1 = text.filter(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(1))
+    e2 = text.filter(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(2))
+    return e1.unionByName(e2).drop("o_orderdate")
+
+
+def category_margins(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Per-store category margin estimates derived from part types: 25 + length(type)."""
+    t = table(spark, sf_dir, "part").select(F.col("p_type").alias("category")).distinct()
+    t = t.select(_stores(n_stores), "category", (F.length("category") + 25).cast("double").alias("margin_pct"))
+    return t.select(F.concat(F.lit("S"), F.col("_s").cast("string")).alias("store_id"), "category", "margin_pct")
