@@ -67,11 +67,11 @@ def cart_weekly(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFra
 def cart_segments(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """Orders of exactly one unit vs two or more units (1 < units < 2 is in neither)."""
     o = order_totals(lines)
-    items, t = F.col("items_dec"), dbl("ticket_dec")
+    items, t = F.col("items_dec"), F.col("ticket_dec")
     s = o.groupBy(STORE).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(items == 1).alias("o1"), F.avg(F.when(items == 1, t)).alias("t1"),
-        F.count_if(items >= 2).alias("o2"), F.avg(F.when(items >= 2, t)).alias("t2"),
+        F.count_if(items == 1).alias("o1"), dbl(F.avg(F.when(items == 1, t))).alias("t1"),
+        F.count_if(items >= 2).alias("o2"), dbl(F.avg(F.when(items >= 2, t))).alias("t2"),
     )
     seg = F.array(
         F.struct(F.lit("1 unidad").alias("segment"), F.col("o1").alias("orders"), F.col("t1").alias("avg")),
@@ -90,11 +90,11 @@ def multi_buckets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataF
     o = order_totals(lines).filter(F.col("items_dec") >= 2)
     n_items = F.col("items_dec").cast("double").cast("bigint")
     b = o.select(
-        STORE, "order_id", dbl("ticket_dec").alias("t"),
+        STORE, "order_id", F.col("ticket_dec").alias("t"),
         F.when(F.col("items_dec") >= 4, F.lit("4+ unidades")).otherwise(F.concat(n_items.cast("string"), F.lit(" unidades"))).alias("bucket"),
         F.when(F.col("items_dec") >= 4, F.lit(2)).otherwise(n_items - 2).cast("int").alias("bucket_ix"),
     )
-    g = b.groupBy(STORE, "bucket_ix", "bucket").agg(F.count(F.lit(1)).alias("orders"), F.avg("t").alias("avg"))
+    g = b.groupBy(STORE, "bucket_ix", "bucket").agg(F.count(F.lit(1)).alias("orders"), dbl(F.avg("t")).alias("avg"))
     w = Window.partitionBy(STORE)
     return g.select(
         STORE, "bucket_ix", "bucket", "orders", rnd("avg", 2).alias("avg_ticket"),
@@ -110,7 +110,7 @@ def single_unit_products(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -
     per = rows.groupBy(STORE, "order_id").agg(
         F.min_by("product", F.struct("row_seq", "product")).alias("product"),
         F.sum("total").alias("ticket_dec"))
-    g = per.groupBy(STORE, "product").agg(F.count(F.lit(1)).alias("orders"), F.avg(dbl("ticket_dec")).alias("avg"))
+    g = per.groupBy(STORE, "product").agg(F.count(F.lit(1)).alias("orders"), dbl(F.avg("ticket_dec")).alias("avg"))
     g = g.filter(F.col("orders") >= cfg.min_single_ticket_orders).withColumn("avg_ticket", rnd("avg", 2))
     return top_k(g, cfg.top_n_single_ticket_products,
                  [F.col("orders").desc(), F.col("avg_ticket").desc(), F.col("product")]).select(

@@ -11,13 +11,13 @@ from tillsight.operators._common import STORE, dbl, rnd, top_k, weekday_domain
 
 def order_slots(lines: DataFrame) -> DataFrame:
     """Ticket per (store, order, weekday, hour): an order spanning two hours has two slots."""
-    return lines.groupBy(STORE, "order_id", "weekday_ix", "sale_hour").agg(dbl(F.sum("total")).alias("ticket"))
+    return lines.groupBy(STORE, "order_id", "weekday_ix", "sale_hour").agg(F.sum("total").alias("ticket"))
 
 
 def day_ticket(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """Distinct orders and mean slot ticket per weekday; all 7 days (closed day: 0 orders, null ticket)."""
     s = order_slots(lines)
-    g = s.groupBy(STORE, "weekday_ix").agg(F.count_distinct("order_id").alias("orders"), F.avg("ticket").alias("avg"))
+    g = s.groupBy(STORE, "weekday_ix").agg(F.count_distinct("order_id").alias("orders"), dbl(F.avg("ticket")).alias("avg"))
     dom = weekday_domain(s.select(STORE).distinct())
     return dom.join(g, [STORE, "weekday_ix"], "left").select(
         STORE, "weekday_ix", F.col("weekday").alias("day"),
@@ -31,7 +31,7 @@ def hour_ticket(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFra
 def hour_ticket_raw(lines: DataFrame) -> DataFrame:
     s = order_slots(lines)
     return s.groupBy(STORE, "sale_hour").agg(
-        F.count_distinct("order_id").alias("orders"), F.avg("ticket").alias("avg_raw")
+        F.count_distinct("order_id").alias("orders"), dbl(F.avg("ticket")).alias("avg_raw")
     ).withColumn("avg_ticket", rnd("avg_raw", 2))
 
 
@@ -42,7 +42,7 @@ def opportunity_hours(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> D
     mean ticket < the store's mean slot ticket.  Gap % 1 dp; top k by orders, gap, hour.
     """
     s = order_slots(lines)
-    base = s.groupBy(STORE).agg(F.avg("ticket").alias("baseline"))
+    base = s.groupBy(STORE).agg(dbl(F.avg("ticket")).alias("baseline"))
     h = hour_ticket_raw(lines)
     cut = h.groupBy(STORE).agg(F.percentile(dbl("orders"), cfg.opportunity_quantile).alias("cutoff"))
     j = h.join(base, STORE).join(cut, STORE)

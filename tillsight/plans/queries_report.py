@@ -372,8 +372,8 @@ def q_cart_weekly(spark, d):
 
 @register("cart_segments", with_ctes(LB, O.order_totals("lines_b"), body=f"""
 s AS (SELECT store_id, count(*) AS n,
-             count(*) FILTER (WHERE items_dec = 1) AS o1, avg(CAST(ticket_dec AS DOUBLE)) FILTER (WHERE items_dec = 1) AS t1,
-             count(*) FILTER (WHERE items_dec >= 2) AS o2, avg(CAST(ticket_dec AS DOUBLE)) FILTER (WHERE items_dec >= 2) AS t2
+             count(*) FILTER (WHERE items_dec = 1) AS o1, avg(ticket_dec) FILTER (WHERE items_dec = 1) AS t1,
+             count(*) FILTER (WHERE items_dec >= 2) AS o2, avg(ticket_dec) FILTER (WHERE items_dec >= 2) AS t2
       FROM ot GROUP BY store_id),
 x AS (SELECT store_id, n, '1 unidad' AS segment, o1 AS orders, t1 AS av FROM s
       UNION ALL SELECT store_id, n, '2+ unidades', o2, t2 FROM s)
@@ -384,7 +384,7 @@ def q_cart_segments(spark, d):
 
 
 @register("multi_buckets", with_ctes(LB, O.order_totals("lines_b"), body=f"""
-b AS (SELECT store_id, CAST(ticket_dec AS DOUBLE) AS t,
+b AS (SELECT store_id, ticket_dec AS t,
              CASE WHEN items_dec >= 4 THEN '4+ unidades' ELSE CAST(CAST(trunc(CAST(items_dec AS DOUBLE)) AS BIGINT) AS VARCHAR) || ' unidades' END AS bucket,
              CAST(CASE WHEN items_dec >= 4 THEN 2 ELSE CAST(trunc(CAST(items_dec AS DOUBLE)) AS BIGINT) - 2 END AS INTEGER) AS bucket_ix
       FROM ot WHERE items_dec >= 2),
@@ -399,7 +399,7 @@ def q_multi_buckets(spark, d):
 per AS (SELECT l.store_id, l.order_id, arg_min(l.product, l.row_seq) AS product, sum(l.total) AS ticket_dec
         FROM lines_b l JOIN ot ON ot.store_id = l.store_id AND ot.order_id = l.order_id AND ot.items_dec = 1
         GROUP BY 1, 2),
-g AS (SELECT store_id, product, count(*) AS orders, {R('avg(CAST(ticket_dec AS DOUBLE))', 2)} AS avg_ticket FROM per GROUP BY 1, 2
+g AS (SELECT store_id, product, count(*) AS orders, {R('avg(ticket_dec)', 2)} AS avg_ticket FROM per GROUP BY 1, 2
       HAVING count(*) >= {CFG_A.min_single_ticket_orders})
 SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY orders DESC, avg_ticket DESC, product) AS INTEGER) AS rank,
        product, orders, avg_ticket FROM g QUALIFY rank <= {CFG_A.top_n_single_ticket_products}"""))
@@ -451,7 +451,7 @@ def q_anomaly_days(spark, d):
 
 # ── ticket and opportunity (A48–A49) ────────────────────────────────────────
 
-SLOTS = "slots AS (SELECT store_id, order_id, weekday_ix, sale_hour, CAST(sum(total) AS DOUBLE) AS ticket FROM lines_b GROUP BY 1, 2, 3, 4)"
+SLOTS = "slots AS (SELECT store_id, order_id, weekday_ix, sale_hour, sum(total) AS ticket FROM lines_b GROUP BY 1, 2, 3, 4)"
 
 
 @register("day_ticket", with_ctes(LB, SLOTS, body=f"""
