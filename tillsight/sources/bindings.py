@@ -20,16 +20,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.schema import conform
+from tillsight.session import scratch_table_path
 
 N_STORES = 4
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy scan of one driver table.  The DataFrame (not its data) is memoized per
+    session and path, so file listing and footer schema discovery happen once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
+
+
+def materialized(spark: SparkSession, key: str, build) -> DataFrame:
+    """Write ``build()`` once per session as parquet under the shared checkpoint folder
+    and return a scan of it.
+
+    The written table cuts lineage (a lost executor re-reads files instead of
+    recomputing the join), lets every downstream operator prune columns and push
+    filters into the scan, and is sorted within files by (store, date) so row-group
+    statistics prune per store and per date range.  No repartition: a hot store spreads
+    over all writer tasks instead of landing in one.
+    """
+    app = spark.sparkContext.applicationId
+    mkey = (id(spark._jsparkSession), "materialized:" + key)
+    df = _TABLES.get(mkey)
+    if df is None:
+        safe = "".join(ch if ch.isalnum() else "_" for ch in key)
+        path = scratch_table_path(spark, f"{app}/{safe}")
+        src = build()
+        sort_cols = [c for c in ("store_id", "sale_date") if c in src.columns]
+        (src.sortWithinPartitions(*sort_cols) if sort_cols else src).write.mode("overwrite").parquet(path)
+        df = _TABLES[mkey] = spark.read.parquet(path)
+    return df
 
 
 def tpch_lines(spark: SparkSession, sf_dir: str, product_col: str = "p_name", n_stores: int = N_STORES) -> DataFrame:
-    """Binding A (see module doc)."""
+    """Binding A, materialized once per session (see :func:`materialized`)."""
+    return materialized(spark, f"{sf_dir}|A|{product_col}|{n_stores}",
+                        lambda: tpch_lines_plan(spark, sf_dir, product_col, n_stores))
+
+
+def event_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Binding B, materialized once per session."""
+    return materialized(spark, f"{sf_dir}|B|{n_stores}", lambda: event_lines_plan(spark, sf_dir, n_stores))
+
+
+def tpch_lines_plan(spark: SparkSession, sf_dir: str, product_col: str = "p_name", n_stores: int = N_STORES) -> DataFrame:
+    """Binding A (see module doc) as a lazy plan."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
     )
@@ -54,8 +99,8 @@ def tpch_lines(spark: SparkSession, sf_dir: str, product_col: str = "p_name", n_
     ))
 
 
-def event_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
-    """Binding B (see module doc)."""
+def event_lines_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Binding B (see module doc) as a lazy plan."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     d = F.col("ts").cast("date")
     return conform(e.select(
@@ -74,6 +119,10 @@ def event_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> D
 
 
 def raw_pos_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    return materialized(spark, f"{sf_dir}|rawA|{n_stores}", lambda: raw_pos_lines_plan(spark, sf_dir, n_stores))
+
+
+def raw_pos_lines_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
     """Binding A rendered as a raw all-text POS export with deterministic bad values.
 
     Used by the cleaning operators (coercion, discard reasons, margin parsing): some
@@ -119,6 +168,10 @@ def _stores(n_stores: int):
 
 
 def derived_product_map(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    return materialized(spark, f"{sf_dir}|map|{n_stores}", lambda: derived_product_map_plan(spark, sf_dir, n_stores))
+
+
+def derived_product_map_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
     """A product map built from ``part`` that exercises every enrichment branch.
 
     Per part name (``L`` = its length): an undated price-agnostic row unless ``L % 11 == 0``
@@ -152,6 +205,10 @@ def derived_product_map(spark: SparkSession, sf_dir: str, n_stores: int = N_STOR
 
 
 def pos_sales(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    return materialized(spark, f"{sf_dir}|posA|{n_stores}", lambda: pos_sales_plan(spark, sf_dir, n_stores))
+
+
+def pos_sales_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
     """Binding A before enrichment: typed POS lines keyed by the raw product name."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
