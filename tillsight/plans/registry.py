@@ -49,7 +49,9 @@ CFG_TICKETS = ReportConfig(ticket_bins=TEST_BINS, ticket_labels=TEST_LABELS)
 
 def _load_all() -> None:
     # importing the query modules fills REGISTRY
-    from tillsight.plans import queries_delta, queries_normalize, queries_report, queries_slice  # noqa: F401
+    from tillsight.plans import (  # noqa: F401
+        queries_delta, queries_insights, queries_normalize, queries_report, queries_slice,
+    )
 
 
 def queries() -> dict[str, QueryFn]:
