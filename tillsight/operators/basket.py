@@ -2,18 +2,17 @@
 
 Plan shape, chosen for scale:
 
-1. multi-line orders = ``groupBy(store, order).count() >= min_basket_size`` (lines, not
-   distinct products), joined back with ``left_semi``;
-2. ``(store, order, item)`` de-duplicated *before* any pairing — a partial aggregate, so a
-   huge order contributes at most one row per distinct catalog item;
-3. each order's sorted item array is built once; pairs are generated per *item row*
-   (``posexplode`` then the items after it), so one wide basket is spread over as many
-   rows as it has items, never materialised as one giant row;
-4. pair counts are a hash aggregate on (store, a, b) with map-side combine.
+1. one ``groupBy(store, order)`` computes the line count (multi-line = at least
+   ``min_basket_size`` *lines*, not distinct products) and the sorted set of distinct
+   items in a single shuffle; ``collect_set`` de-duplicates map-side, so a huge order
+   contributes at most one entry per distinct catalog item, never its raw lines;
+2. pairs are generated per *item row* (``posexplode`` then the items after it), so one
+   wide basket is spread over as many rows as it has items;
+3. pair counts are a hash aggregate on (store, a, b) with map-side combine; item
+   supports and basket totals are aggregates of the same basket table.
 
 Pair output per order is bounded by (distinct items)², i.e. by the catalog, not by rows.
-Item supports come from the same de-duplicated table; all joins after step 4 are on
-small aggregates.
+All joins after step 3 are on small aggregates.
 """
 
 from __future__ import annotations
@@ -25,6 +24,13 @@ from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.operators._common import STORE, top_k
 
 
+def baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
+    """(store, order, basket): sorted distinct items of every multi-line order."""
+    b = lines.groupBy(STORE, "order_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set(F.col(item))).alias("basket"))
+    return b.filter(F.col("n_lines") >= cfg.min_basket_size).select(STORE, "order_id", "basket")
+
+
 def multi_orders(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     sizes = lines.groupBy(STORE, "order_id").agg(F.count(F.lit(1)).alias("n_lines"))
     return sizes.filter(F.col("n_lines") >= cfg.min_basket_size).select(STORE, "order_id")
@@ -32,28 +38,45 @@ def multi_orders(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFr
 
 def basket_items(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
     """Distinct (store, order, item) over multi-line orders."""
-    multi = lines.join(multi_orders(lines, cfg), [STORE, "order_id"], "left_semi")
-    return multi.select(STORE, "order_id", F.col(item).alias("item")).distinct()
+    return baskets(lines, cfg, item).select(STORE, "order_id", F.explode("basket").alias("item"))
+
+
+def basket_counts(bk: DataFrame) -> DataFrame:
+    """One aggregation for all basket statistics: ``kind`` 0 = baskets per store,
+    1 = baskets per item, 2 = baskets per item pair (a < b).
+
+    Each basket emits one total marker, and per item one item marker plus the pairs
+    with the items after it; a single hash aggregate (map-side combined) counts them."""
+    per_item = bk.select(STORE, "basket", F.posexplode("basket").alias("pos", "item_a"))
+    none = F.lit(None).cast("string")
+    rest = F.slice("basket", F.col("pos") + 2, F.size("basket") - F.col("pos") - 1)
+    marks = F.concat(
+        F.array(F.struct(F.lit(1).alias("kind"), none.alias("b"))),
+        F.when(F.col("pos") == 0, F.array(F.struct(F.lit(0).alias("kind"), none.alias("b")))).otherwise(
+            F.array().cast("array<struct<kind:int,b:string>>")),
+        F.transform(rest, lambda x: F.struct(F.lit(2).alias("kind"), x.alias("b"))),
+    )
+    rows = per_item.select(STORE, "item_a", F.inline(marks))
+    k = rows.select(STORE, "kind", F.when(F.col("kind") > 0, F.col("item_a")).alias("item_a"), F.col("b").alias("item_b"))
+    return k.groupBy(STORE, "kind", "item_a", "item_b").agg(F.count(F.lit(1)).alias("count"))
 
 
-def item_counts(items: DataFrame) -> DataFrame:
-    """(store, item, n_orders) — orders among the multi-line baskets containing the item."""
-    return items.groupBy(STORE, "item").agg(F.count(F.lit(1)).alias("item_orders"))
+def item_counts(bc: DataFrame) -> DataFrame:
+    """(store, item, item_orders) — multi-line baskets containing the item."""
+    return bc.filter(F.col("kind") == 1).select(STORE, F.col("item_a").alias("item"), F.col("count").alias("item_orders"))
+
+
+def basket_totals(bc: DataFrame) -> DataFrame:
+    return bc.filter(F.col("kind") == 0).select(STORE, F.col("count").alias("total_baskets"))
 
 
 def total_baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    return multi_orders(lines, cfg).groupBy(STORE).agg(F.count(F.lit(1)).alias("total_baskets"))
+    return basket_totals(basket_counts(baskets(lines, cfg)))
 
 
-def pair_counts(items: DataFrame) -> DataFrame:
+def pair_counts(bc: DataFrame) -> DataFrame:
     """(store, item_a, item_b, count) with item_a < item_b, count = orders holding both."""
-    baskets = items.groupBy(STORE, "order_id").agg(F.array_sort(F.collect_list("item")).alias("basket"))
-    per_item = baskets.select(STORE, "basket", F.posexplode("basket").alias("pos", "item_a"))
-    pairs = per_item.select(
-        STORE, "item_a",
-        F.explode(F.slice("basket", F.col("pos") + 2, F.size("basket") - F.col("pos") - 1)).alias("item_b"),
-    )
-    return pairs.groupBy(STORE, "item_a", "item_b").agg(F.count(F.lit(1)).alias("count"))
+    return bc.filter(F.col("kind") == 2).select(STORE, "item_a", "item_b", "count")
 
 
 def _pair_measures(pairs: DataFrame, counts: DataFrame, tb: DataFrame) -> DataFrame:
@@ -73,11 +96,10 @@ def product_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: st
     ``keep`` defaults to ``2 * top_n_pairs`` (the candidate list the high-lift filter
     scans); ``rank <= top_n_pairs`` is the shown list.
     """
-    items = basket_items(lines, cfg, item)
-    pairs = pair_counts(items)
-    ranked = top_k(pairs, keep if keep is not None else 2 * cfg.top_n_pairs,
+    bc = basket_counts(baskets(lines, cfg, item))
+    ranked = top_k(pair_counts(bc), keep if keep is not None else 2 * cfg.top_n_pairs,
                    [F.col("count").desc(), F.col("item_a"), F.col("item_b")])
-    m = _pair_measures(ranked, item_counts(items), total_baskets(lines, cfg))
+    m = _pair_measures(ranked, item_counts(bc), basket_totals(bc))
     return m.select(
         STORE, "rank", F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "count",
         F.round("support_raw", 4).alias("support"), F.round("lift_raw", 2).alias("lift"), "total_baskets",
@@ -99,7 +121,7 @@ def high_lift_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item:
 
 
 def category_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    pairs = pair_counts(basket_items(lines, cfg, "category"))
+    pairs = pair_counts(basket_counts(baskets(lines, cfg, "category")))
     ranked = top_k(pairs, cfg.cat_pairs_top_k, [F.col("count").desc(), F.col("item_a"), F.col("item_b")])
     return ranked.select(STORE, "rank", F.col("item_a").alias("cat_a"), F.col("item_b").alias("cat_b"), "count")
 
@@ -113,11 +135,12 @@ def rules(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "pro
     unordered pair the best by (score, count, confidence) on rounded values; top k.
     The count filter runs on the pair aggregate, before any join.
     """
-    items = basket_items(lines, cfg, item)
-    pairs = pair_counts(items).filter(F.col("count") >= cfg.rule_min_count)
-    directed = pairs.unionByName(
-        pairs.select(STORE, F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "count"))
-    m = _pair_measures(directed, item_counts(items), total_baskets(lines, cfg))
+    bc = basket_counts(baskets(lines, cfg, item))
+    pairs = pair_counts(bc).filter(F.col("count") >= cfg.rule_min_count)
+    directed = pairs.select(STORE, F.inline(F.array(
+        F.struct(F.col("item_a"), F.col("item_b")),
+        F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))), "count")
+    m = _pair_measures(directed, item_counts(bc), basket_totals(bc))
     conf = F.col("count") / F.col("count_a")
     sup_b = F.col("count_b") / F.col("total_baskets").cast("double")
     conviction = F.when(conf < 0.999, (1 - sup_b) / (1 - conf))

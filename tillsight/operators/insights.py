@@ -35,16 +35,28 @@ FALLBACK_DEFAULT = ("Revisar hallazgo y priorizar experimento", "Equipo BI", "1
 
 @dataclass
 class ReportInputs:
-    """Module outputs the rules read, each computed once per report run."""
+    """Module outputs the rules read, each computed once per report run.
+
+    With a ``run_key`` every module output (a small per-store aggregate) is written once
+    to the shared checkpoint folder and read back, so the rules, entitlements and
+    summary row plan against tiny scans instead of re-deriving every module; without
+    one, modules stay lazy sub-plans.
+    """
 
     lines: DataFrame
     cfg: ReportConfig = DEFAULT_REPORT
     quality: DataFrame | None = None
+    run_key: str | None = None
     _cache: dict = field(default_factory=dict)
 
     def get(self, name: str, fn: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = fn()
+            if self.run_key is None:
+                self._cache[name] = fn()
+            else:
+                from tillsight.sources.bindings import materialized
+
+                self._cache[name] = materialized(self.lines.sparkSession, f"{self.run_key}|{name}", fn)
         return self._cache[name]
 
     @property

@@ -17,7 +17,7 @@ def _inputs(spark, d) -> I.ReportInputs:
     lines = B.tpch_lines(spark, d)
     _, _, quality = CL.sanitize(B.raw_pos_lines(spark, d))
     q = S.quality_coverage(lines, quality)
-    return I.ReportInputs(lines, CFG_INSIGHTS, q)
+    return I.ReportInputs(lines, CFG_INSIGHTS, q, run_key=f"{d}|report|{CFG_INSIGHTS!r}")
 
 
 @register("insights", None)

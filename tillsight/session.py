@@ -26,6 +26,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TILLSIGHT_DRIVER_MEMORY", "16g"))
+        # single-host sizing: small row groups in written intermediates so scans use every core
+        .config("spark.tillsight.materialize.rowGroupBytes", str(1 << 20))
+        .config("spark.sql.files.openCostInBytes", str(1 << 20))
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)

@@ -16,6 +16,8 @@ threshold, otherwise sort-merge).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,16 @@ def materialized(spark: SparkSession, key: str, build) -> DataFrame:
     mkey = (id(spark._jsparkSession), "materialized:" + key)
     df = _TABLES.get(mkey)
     if df is None:
-        safe = "".join(ch if ch.isalnum() else "_" for ch in key)
-        path = scratch_table_path(spark, f"{app}/{safe}")
+        safe = "".join(ch if ch.isalnum() else "_" for ch in key)[-60:]
+        digest = hashlib.sha1(key.encode()).hexdigest()[:12]
+        path = scratch_table_path(spark, f"{app}/{safe}_{digest}")
         src = build()
         sort_cols = [c for c in ("store_id", "sale_date") if c in src.columns]
-        (src.sortWithinPartitions(*sort_cols) if sort_cols else src).write.mode("overwrite").parquet(path)
+        # Row groups are the unit a scan can split at: a size well under the split size
+        # lets every core read its share without a repartition shuffle before the write.
+        rg = int(spark.conf.get("spark.tillsight.materialize.rowGroupBytes", str(64 << 20)))
+        (src.sortWithinPartitions(*sort_cols) if sort_cols else src).write.mode("overwrite").option(
+            "parquet.block.size", rg).parquet(path)
         df = _TABLES[mkey] = spark.read.parquet(path)
     return df
 
