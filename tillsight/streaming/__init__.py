@@ -1,0 +1 @@
+"""Structured Streaming form of the consolidation step (see :mod:`tillsight.streaming.ingest`)."""

@@ -1,0 +1,60 @@
+"""Incremental consolidation (N1 over S2) with Structured Streaming.
+
+The source product is batch-only; its consolidation step (concatenate exports, keep the
+first line per raw key) is what an always-on deployment runs as files land.  This
+module expresses exactly that step as a stream, with no new semantics:
+
+* ``readStream`` over a landing folder of POS CSV exports (all-text schema);
+* each micro-batch keeps the first line per (store, Fecha, Código venta, Producto,
+  Individual) in (file, position) order and drops keys already in the table (anti
+  join against the table's key columns only);
+* the batch is written to ``<table>/batch_id=<n>`` with overwrite, so a replayed batch
+  after a failure rewrites the same directory (idempotent), and progress lives in the
+  checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tillsight.config import POS_COLUMNS
+from tillsight.operators._common import STORE
+from tillsight.operators.normalize import consolidate
+
+KEY = [STORE, "Fecha", "Código venta", "Producto", "Individual"]
+EXPORT_SCHEMA = T.StructType([T.StructField(STORE, T.StringType())] + [T.StructField(c, T.StringType()) for c in POS_COLUMNS])
+
+
+def _existing_keys(spark: SparkSession, table_path: str, batch_id: int) -> DataFrame | None:
+    """Keys already consolidated by earlier batches (a replayed batch ignores its own output)."""
+    try:
+        t = spark.read.parquet(table_path)
+    except AnalysisException:  # nothing written yet
+        return None
+    return t.filter(F.col("batch_id") != batch_id).select(*[F.col(f"`{k}`") for k in KEY])
+
+
+def _upsert(table_path: str):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ranked = batch.withColumn("source_rank", F.lit(batch_id)).withColumn(
+            "row_pos", F.struct(F.col("_source_file"), F.monotonically_increasing_id()))
+        first = consolidate(ranked.drop("_source_file"))
+        seen = _existing_keys(spark, table_path, batch_id)
+        if seen is not None:
+            first = first.join(seen, KEY, "left_anti")
+        first.drop("row_pos", "source_rank").write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+    return run
+
+
+def consolidate_stream(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
+                       available_now: bool = True):
+    """Start the stream; with ``available_now`` it processes what has landed and stops."""
+    src = (spark.readStream.schema(EXPORT_SCHEMA).option("header", True).csv(landing_dir)
+           .withColumn("_source_file", F.col("_metadata.file_path")))
+    w = src.writeStream.foreachBatch(_upsert(table_path)).option("checkpointLocation", checkpoint_dir)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
