@@ -124,3 +124,15 @@ def test_pareto_crossing_product_not_counted(make_lines):
     p = products.products_pareto(df).collect()
     assert {r["product"]: r["cum_rev_pct"] for r in p} == {"a": 70.0, "b": 90.0, "c": 100.0}
     assert p[0]["n_pareto"] == 1
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from pyspark.sql import functions as F
+    from tillsight.functions.quantiles import exact_quantiles
+    rows = [("a", float(v)) for v in (5, 1, 9, 3, 3, 7, 100)] + [("b", 2.0)] + [("c", float(v)) for v in range(1, 1001)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    qs = [0.0, 0.25, 0.5, 0.6, 0.75, 1.0]
+    got = {r["k"]: [r[f"q{i}"] for i in range(len(qs))] for r in exact_quantiles(df, ["k"], "v", qs).collect()}
+    ref = {r["k"]: list(r["p"]) for r in df.groupBy("k").agg(F.percentile("v", qs).alias("p")).collect()}
+    for k in ref:
+        assert [round(x, 9) for x in got[k]] == [round(x, 9) for x in ref[k]], k

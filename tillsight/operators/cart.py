@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
+from tillsight.functions.quantiles import exact_quantiles
 from tillsight.operators._common import STORE, dbl, rnd, top_k, trunc_int
 from tillsight.operators.summary import order_totals
 
@@ -20,22 +21,18 @@ def cart_distribution(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> D
 def ticket_stats(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """int of mean, median, p25, p75 (linear interpolation) and max order total per store.
 
-    Exact ``percentile`` is a partial-aggregating typed aggregate over per-order totals
-    (one value per order), merged per store.
+    The quantiles are exact and distributed (:func:`exact_quantiles`): a store with most
+    of the orders is spread over many range partitions instead of one percentile buffer.
     """
     o = order_totals(lines).select(STORE, dbl("ticket_dec").alias("t"))
-    q = o.groupBy(STORE).agg(
-        F.avg("t").alias("mean"),
-        F.percentile("t", [0.25, 0.5, 0.75]).alias("q"),
-        F.max("t").alias("max"),
-        F.count(F.lit(1)).alias("orders"),
-    )
-    return q.select(
+    m = o.groupBy(STORE).agg(F.avg("t").alias("mean"), F.max("t").alias("max"), F.count(F.lit(1)).alias("orders"))
+    q = exact_quantiles(o, [STORE], "t", [0.25, 0.5, 0.75])
+    return m.join(q, STORE).select(
         STORE, "orders",
         trunc_int("mean").alias("mean"),
-        trunc_int(F.col("q")[1]).alias("median"),
-        trunc_int(F.col("q")[0]).alias("p25"),
-        trunc_int(F.col("q")[2]).alias("p75"),
+        trunc_int("q1").alias("median"),
+        trunc_int("q0").alias("p25"),
+        trunc_int("q2").alias("p75"),
         trunc_int("max").alias("max"),
     )
 

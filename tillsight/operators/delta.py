@@ -134,9 +134,9 @@ def _order_metrics(orders: DataFrame) -> DataFrame:
     return s.groupBy(STORE).agg(*aggs)
 
 
-def kpis(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
+def kpis(lines: DataFrame, cfg: DeltaConfig, scope=None) -> DataFrame:
     """Line and order metrics per phase and their percent changes."""
-    x, orders, st = scoped(lines, cfg)
+    x, orders, st = scope or scoped(lines, cfg)
     lm, om = _line_metrics(x), _order_metrics(orders)
     j = st.select(STORE, "event_date", "whole", "n_selected").join(lm, STORE, "left").join(om, STORE, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -190,10 +190,10 @@ def momentum(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
                     F.round("last_ma", 4).alias("last_ma"), F.round(mom, 4).alias("momentum_pct"))
 
 
-def product_impact(lines: DataFrame, cfg: DeltaConfig, k: int | None = None) -> DataFrame:
+def product_impact(lines: DataFrame, cfg: DeltaConfig, k: int | None = None, scope=None) -> DataFrame:
     """Per product pre/post revenue, units, revenue-weighted margin, Δ, Δ%, status;
     ordered by |Δ revenue| (ties: product); first ``product_impact_k``."""
-    x, _, _ = scoped(lines, cfg)
+    x, _, _ = scope or scoped(lines, cfg)
     s = x.filter("in_scope")
     rev, m = F.col("revenue"), F.col("margin_pct")
     aggs = []
@@ -263,13 +263,14 @@ def group_impact(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
 def coverage_and_warnings(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
     """Missing days per window over the *whole* dataset, active days of the
     selection, the four warnings, revenue driver, churn counts and direction."""
-    x, _, st = scoped(lines, cfg)
+    scope = scoped(lines, cfg)
+    x, _, st = scope
     W = cfg.window_days
     obs = x.groupBy(STORE).agg(F.count_distinct(_pre(F.col("date"))).alias("pre_obs"),
                                F.count_distinct(_post(F.col("date"))).alias("post_obs"))
-    k = kpis(lines, cfg)
+    k = kpis(lines, cfg, scope)
     lm = _line_metrics(x).select(STORE, "pre_active_days", "post_active_days")
-    pr = product_impact(lines, cfg, k=None).groupBy(STORE).agg(
+    pr = product_impact(lines, cfg, k=None, scope=scope).groupBy(STORE).agg(
         F.count_if(F.col("status") == "new").alias("new_products"), F.count_if(F.col("status") == "dropped").alias("dropped_products"))
     j = st.select(STORE).join(obs, STORE, "left").join(k, STORE, "left").join(lm, STORE, "left").join(pr, STORE, "left")
     miss_pre = (F.lit(W) - F.coalesce("pre_obs", F.lit(0))).cast("bigint")

@@ -65,6 +65,7 @@ XML_HEAD = ('<?xml version="1.0"?>\n<Workbook xmlns="urn:schemas-microsoft-com:o
             'xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="Ventas"><Table>')
 XML_TAIL = "</Table></Worksheet></Workbook>"
 POS = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Individual", "Total")
+LINES_PER_XML_BUCKET = 2_000_000  # bucket count grows with the data; one bucket holds ≤ ~1/n of a store-month
 
 
 def _write_spreadsheetml(spark, d) -> str:
@@ -78,11 +79,15 @@ def _write_spreadsheetml(spark, d) -> str:
         return F.concat(F.lit(f"<Cell{idx}><Data ss:Type=\"String\">"), _xml_escape(F.col(f"`{c}`")), F.lit("</Data></Cell>"))
     frag = F.concat(F.lit("<Row>"), *[cell(i, c) for i, c in enumerate(POS)], F.lit("</Row>"))
     header = "<Row>" + "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for h in POS) + "</Row>"
-    rows = raw.select("store_id", F.substring("Fecha", 1, 7).alias("month"), "row_pos", frag.alias("x"))
-    docs = rows.groupBy("store_id", "month").agg(
+    # one document per (store, month, order-hash bucket): every group, and so every task,
+    # holds a bounded share of a store's month
+    buckets = max(1, -(-raw.count() // LINES_PER_XML_BUCKET))
+    rows = raw.select("store_id", F.substring("Fecha", 1, 7).alias("month"),
+                      F.pmod(F.xxhash64("Código venta"), F.lit(buckets)).alias("bucket"), "row_pos", frag.alias("x"))
+    docs = rows.groupBy("store_id", "month", "bucket").agg(
         F.concat(F.lit(XML_HEAD + header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "x"))), lambda t: t["x"]), ""),
                  F.lit(XML_TAIL)).alias("value"))
-    docs.repartition("store_id", "month").write.mode("overwrite").partitionBy("store_id", "month").text(path)
+    docs.write.mode("overwrite").partitionBy("store_id", "month", "bucket").text(path)
     return path
 
 
@@ -95,7 +100,7 @@ SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, strftime(o.o_orderda
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""")
 def q_spreadsheetml_read(spark, d):
     path = _write_spreadsheetml(spark, d)
-    got = FS.read_spreadsheetml(spark, path + "/*/*/part-*")
+    got = FS.read_spreadsheetml(spark, path + "/*/*/*/part-*")
     return got.select(F.regexp_extract("source_file", "store_id=([^/]+)", 1).alias("store_id"), *[F.col(f"`{c}`") for c in POS])
 
 
@@ -107,7 +112,7 @@ def _write_csv_exports(spark, d) -> str:
     raw = raw.withColumn("year", F.substring("Fecha", 1, 4))
     for parity, delim in ((0, ";"), (1, ",")):
         part = raw.filter(F.substring("store_id", 2, 1).cast("int") % 2 == parity).select("store_id", "year", *[F.col(f"`{c}`") for c in POS])
-        part.repartition("store_id", "year").write.mode("append" if parity else "overwrite").option("header", True).option(
+        part.write.mode("append" if parity else "overwrite").option("header", True).option(
             "sep", delim).partitionBy("store_id", "year").csv(path)
     return path
 
@@ -120,9 +125,10 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2, 3, 4
 def q_upload_profile(spark, d):
     path = _write_csv_exports(spark, d)
     prof = FS.profile_uploads(spark, path + "/*/*/part-*")
-    return prof.select(F.regexp_extract("path", "store_id=([^/]+)", 1).alias("store_id"),
-                       F.regexp_extract("path", "year=([^/]+)", 1).alias("year"), "encoding", "delimiter",
-                       F.array_join("headers", "|").alias("headers"), "row_count")
+    per_file = prof.select(F.regexp_extract("path", "store_id=([^/]+)", 1).alias("store_id"),
+                           F.regexp_extract("path", "year=([^/]+)", 1).alias("year"), "encoding", "delimiter",
+                           F.array_join("headers", "|").alias("headers"), "row_count")
+    return per_file.groupBy("store_id", "year", "encoding", "delimiter", "headers").agg(F.sum("row_count").alias("row_count"))
 
 
 @register("newest_export", None)

@@ -107,20 +107,40 @@ def _cells_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[f.name for f in CELL_SCHEMA.fields])
 
 
+ROW_SCHEMA = T.StructType([
+    T.StructField("source_file", T.StringType()), T.StructField("row_pos", T.IntegerType()),
+    *[T.StructField(c, T.StringType()) for c in POS_COLUMNS],
+])
+
+
+def _rows_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Wide rows per file: the header row maps each POS column to its cell position."""
+    for b in batches:
+        out: list[tuple] = []
+        for path, content in zip(b["path"], b["content"]):
+            try:
+                cells = _spreadsheetml_cells(path, bytes(content))
+            except ET.ParseError:
+                continue
+            if not cells or cells[0][4] is not None:
+                continue
+            grid: dict[int, dict[int, str | None]] = {}
+            for _, r, c, v, _ in cells:
+                grid.setdefault(r, {})[c] = v
+            header = {(v or "").strip(): c for c, v in grid.get(0, {}).items()}
+            pos = [header.get(name) for name in POS_COLUMNS]
+            for r in sorted(k for k in grid if k > 0):
+                row = grid[r]
+                out.append((path, r, *[row.get(p) if p is not None else None for p in pos]))
+        yield pd.DataFrame(out, columns=[f.name for f in ROW_SCHEMA.fields])
+
+
 def read_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: SpreadsheetML ``.xls`` exports → long cells → one row per data line with the
-    7 POS columns (header = first row; short rows padded with null).  Files that fail
-    to parse come back in ``read_errors``-style rows with ``error`` set and no data."""
+    """S3: SpreadsheetML ``.xls`` exports → one row per data line with the 7 POS columns
+    (header = first row, ``ss:Index`` repositions cells, short rows padded with null).
+    Files that cannot be parsed are skipped here and listed by :func:`read_errors`."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    cells = files.mapInPandas(_cells_udf, CELL_SCHEMA)
-    ok = cells.filter(F.col("error").isNull())
-    headers = ok.filter(F.col("row_ix") == 0).select("path", "col_ix", F.trim("value").alias("header"))
-    data = ok.filter(F.col("row_ix") > 0).join(headers, ["path", "col_ix"])
-    wide = data.groupBy("path", "row_ix").pivot("header", list(POS_COLUMNS)).agg(F.first("value"))
-    for c in POS_COLUMNS:
-        if c not in wide.columns:
-            wide = wide.withColumn(c, F.lit(None).cast("string"))
-    return wide.select(F.col("path").alias("source_file"), F.col("row_ix").alias("row_pos"), *[F.col(f"`{c}`") for c in POS_COLUMNS])
+    return files.mapInPandas(_rows_udf, ROW_SCHEMA)
 
 
 def read_errors(spark: SparkSession, paths: str | list[str]) -> DataFrame:
