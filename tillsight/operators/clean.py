@@ -151,3 +151,35 @@ def margin_parse_stats(typed: DataFrame) -> DataFrame:
         F.round(F.sum("margin_pct"), 2).alias("margin_sum"),
         F.round(F.avg("margin_pct"), 4).alias("margin_avg"),
     )
+
+
+# ── P2: header canonicalisation (event-impact loader) ─────────────────────
+
+# Canonical header token -> column name — fixed values.
+DELTA_HEADER_ALIASES: dict[str, str] = {
+    "fecha": "Fecha",
+    "codigo venta": "Codigo venta",
+    "cantidad": "Cantidad",
+    "total": "Total",
+    "nombre corregido": "Nombre Corregido",
+    "categoria real": "Categoria Real",
+    "sub categoria real": "Sub Categoria Real",
+    "margin pct": "margin_pct",
+    "margin_pct": "margin_pct",
+}
+DELTA_REQUIRED = ("Fecha", "Codigo venta", "Cantidad", "Total", "Nombre Corregido", "Categoria Real")
+
+
+def canonicalize_columns(df: DataFrame, aliases: dict[str, str] = DELTA_HEADER_ALIASES,
+                         required: tuple[str, ...] = DELTA_REQUIRED) -> DataFrame:
+    """Rename headers by their canonical token (BOM stripped, accents folded, spaces
+    collapsed, lower case); unknown headers only get ``ó`` → ``o``.  Missing required
+    columns raise, listed sorted.  Driver-side: it only touches the schema."""
+    from tillsight.functions.text import canonical_header
+
+    names = {c: aliases.get(canonical_header(c), c.replace("ó", "o").replace("Ó", "O").strip()) for c in df.columns}
+    out = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    missing = sorted(set(required) - set(out.columns))
+    if missing:
+        raise SchemaError("El CSV no contiene columnas requeridas: " + ", ".join(missing))
+    return out

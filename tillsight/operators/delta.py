@@ -63,12 +63,18 @@ def event_dates(dl: DataFrame, cfg: DeltaConfig) -> DataFrame:
     return span.select(STORE, "date_min", "date_max", ev.alias("event_date"))
 
 
-def _selection(spark: SparkSession, dl: DataFrame, cfg: DeltaConfig) -> DataFrame:
+def _selection(spark: SparkSession, dl: DataFrame, cfg: DeltaConfig, selection: DataFrame | None = None) -> DataFrame:
     """(store, product, is_sel) for selected products present in the store's catalog (P26),
-    plus per-store ``whole`` flag (empty selection or the whole catalog)."""
-    sel = spark.createDataFrame([(p,) for p in dict.fromkeys(cfg.selected_products)], _SEL_SCHEMA)
+    plus per-store ``whole`` flag (empty selection or the whole catalog).
+
+    ``selection`` — an optional per-store (store_id, product) table (D16 helpers) — takes
+    the place of the configured product list."""
     catalog = dl.select(STORE, "product").distinct()
-    chosen = catalog.join(sel, "product", "left_semi")
+    if selection is None:
+        sel = spark.createDataFrame([(p,) for p in dict.fromkeys(cfg.selected_products)], _SEL_SCHEMA)
+        chosen = catalog.join(sel, "product", "left_semi")
+    else:
+        chosen = catalog.join(selection.select(STORE, "product").distinct(), [STORE, "product"], "left_semi")
     n_cat = catalog.groupBy(STORE).agg(F.count(F.lit(1)).alias("n_catalog"))
     n_sel = chosen.groupBy(STORE).agg(F.count(F.lit(1)).alias("n_selected"))
     flags = n_cat.join(n_sel, STORE, "left").select(
@@ -77,14 +83,14 @@ def _selection(spark: SparkSession, dl: DataFrame, cfg: DeltaConfig) -> DataFram
     return chosen.withColumn("is_sel", F.lit(True)), flags
 
 
-def scoped(lines: DataFrame, cfg: DeltaConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scoped(lines: DataFrame, cfg: DeltaConfig, selection: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Return (window lines with phase & in_scope, window orders with phase & in_scope, store frame).
 
     The store frame carries event date, window bounds, selection flags and span."""
     spark = lines.sparkSession
     dl = delta_lines(lines, cfg)
     ev = event_dates(dl, cfg)
-    chosen, flags = _selection(spark, dl, cfg)
+    chosen, flags = _selection(spark, dl, cfg, selection)
     W = cfg.window_days
     st = ev.join(flags, STORE).select(
         "*", F.date_sub("event_date", W).alias("pre_start"), F.date_add("event_date", W - 1).alias("post_end"))
@@ -328,3 +334,15 @@ def catalog_search(lines: DataFrame, cfg: DeltaConfig, query: str) -> DataFrame:
     """Catalog products whose name contains ``query`` (case-insensitive)."""
     dl = delta_lines(lines, cfg)
     return dl.select(STORE, "product").distinct().filter(F.lower("product").contains(query.strip().lower()))
+
+
+def top_selection(lines: DataFrame, cfg: DeltaConfig, k: int = 5) -> DataFrame:
+    """D16 "top 5": each store's k best-selling products by revenue, as a selection."""
+    return top_products(lines, cfg.with_(top_products_k=k)).select(STORE, "product")
+
+
+def group_selection(lines: DataFrame, cfg: DeltaConfig, group: str) -> DataFrame:
+    """D16 "group": the members of a configured product group, for every store."""
+    members = [p for g in cfg.product_groups if g.name == group for p in g.products]
+    stores = lines.select(STORE).distinct()
+    return stores.select(STORE, F.explode(F.array(*[F.lit(p) for p in dict.fromkeys(members)])).alias("product"))

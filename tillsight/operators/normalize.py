@@ -263,3 +263,30 @@ def category_margin_fallback(lines: DataFrame, category_margins: DataFrame) -> D
     return j.withColumn("margin_source", F.when(F.col("margin_pct").isNotNull(), "line").when(F.col("_est").isNotNull(), "category").otherwise("none")).withColumn(
         "margin_pct", F.coalesce(F.col("margin_pct"), F.col("_est"))).drop("_est")
 
+
+
+# ── N4: time features and column order (P11, P20) ─────────────────────────
+
+OUTPUT_ORDER = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Individual", "Total", "Nombre Corregido",
+                "Categoria Real", "Sub Categoria Real", "Month", "Week Day", "Hour", "margin_pct")
+
+
+def normalized_export(enriched: DataFrame) -> DataFrame:
+    """Enriched lines in the normalized export layout: POS columns, enrichment, then the
+    time features (Month ``Jan``…, Spanish weekday, Hour) and any extra columns last."""
+    from tillsight.functions.dates import month_abbr, weekday_es
+
+    used = {"sale_date", "order_id", "product_raw", "quantity", "unit_price", "total", "product", "category_raw",
+            "subcategory", "sale_hour", "margin_pct"}
+    lower_out = {c.lower() for c in OUTPUT_ORDER}
+    extras = [c for c in enriched.columns if c not in used and c.lower() not in lower_out]
+    return enriched.select(
+        F.date_format("sale_date", "yyyy-MM-dd").alias("Fecha"),
+        F.format_string("%02d:00:00", F.col("sale_hour")).alias("Hora"),
+        F.col("order_id").alias("Código venta"), F.col("product_raw").alias("Producto"),
+        F.col("quantity").alias("Cantidad"), F.col("unit_price").alias("Individual"), F.col("total").alias("Total"),
+        F.col("product").alias("Nombre Corregido"), F.col("category_raw").alias("Categoria Real"),
+        F.col("subcategory").alias("Sub Categoria Real"), month_abbr("sale_date").alias("Month"),
+        weekday_es("sale_date").alias("Week Day"), F.col("sale_hour").alias("Hour"), F.col("margin_pct"),
+        *[F.col(f"`{c}`") for c in extras],
+    )

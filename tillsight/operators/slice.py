@@ -162,3 +162,12 @@ def margin_by_category(lines: DataFrame, f: SliceFilter, cfg: ReportConfig = DEF
     x = apply_filter(lines, f).filter(F.col("margin_pct").isNotNull())
     g = x.groupBy(STORE, F.coalesce("category", F.lit("Otros")).alias("category")).agg(F.avg("margin_pct").alias("avg_margin"))
     return top_k(g, None, [F.col("avg_margin").desc(), F.col("category")]).withColumn("avg_margin", F.round("avg_margin", 4))
+
+
+def interactive_base(lines: DataFrame) -> DataFrame:
+    """The row-level projection the slice re-aggregates (12 columns; margin null
+    when absent)."""
+    return lines.select(
+        STORE, F.date_format("sale_date", "yyyy-MM-dd").alias("date_str"), "year_week", "year_month",
+        F.col("weekday").alias("day"), F.col("sale_hour").alias("hour"), "order_id", "product", "category",
+        dbl("quantity").alias("quantity"), dbl("unit_price").alias("unit_price"), dbl("total").alias("total"), "margin_pct")

@@ -35,8 +35,8 @@ def _pct(prev: str, cur: str) -> str:
             f"ELSE (CAST(({cur}) AS DOUBLE) - ({prev})) / ({prev}) * 100.0 END")
 
 
-def _head(cfg: DeltaConfig = CFG_DELTA) -> str:
-    sel = ", ".join(f"('{p}')" for p in dict.fromkeys(cfg.selected_products))
+def _head(cfg: DeltaConfig = CFG_DELTA, chosen_sql: str | None = None) -> str:
+    sel = ", ".join(f"('{p}')" for p in dict.fromkeys(cfg.selected_products)) or "(NULL)"
     W = cfg.window_days
     ev = f"DATE '{cfg.event_date}'"
     return f"""{O.lines_a()},
@@ -44,7 +44,7 @@ dl AS (SELECT store_id, sale_date AS date, order_id, product, category, CAST(rou
               CAST(round(total, 2) AS DECIMAL(18,2)) AS revenue, total AS total_raw, round(margin_pct, 2) AS margin_pct FROM lines_a),
 sel AS (SELECT * FROM (VALUES {sel}) t(product)),
 catalog AS (SELECT DISTINCT store_id, product FROM dl),
-chosen AS (SELECT c.* FROM catalog c SEMI JOIN sel USING (product)),
+chosen AS ({chosen_sql or "SELECT c.* FROM catalog c SEMI JOIN sel USING (product)"}),
 flags AS (SELECT c.store_id, COALESCE(s.n_sel, 0) AS n_selected, c.n_cat AS n_catalog,
                  (COALESCE(s.n_sel, 0) = 0 OR s.n_sel = c.n_cat) AS whole
           FROM (SELECT store_id, count(*) AS n_cat FROM catalog GROUP BY 1) c
@@ -263,3 +263,17 @@ def q_delta_default_event(spark, d):
 SELECT DISTINCT store_id, product FROM lines_a WHERE contains(lower(product), 'widget')"""))
 def q_delta_catalog_search(spark, d):
     return D.catalog_search(_lines(spark, d), CFG_DELTA, "Widget")
+
+
+TOP5_SQL = f"""SELECT c.* FROM catalog c SEMI JOIN (
+  SELECT store_id, product FROM (SELECT store_id, product, {R('CAST(sum(total_raw) AS DOUBLE)', 2)} AS revenue FROM dl GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, product) <= 5) t USING (store_id, product)"""
+
+
+@register("delta_kpis_top5", f"""WITH {_head(chosen_sql=TOP5_SQL)}
+SELECT store_id, event_date, window_days, whole, n_selected, pre_orders, post_orders, {_r4(KPI_DBL)} FROM k""")
+def q_delta_kpis_top5(spark, d):
+    lines = _lines(spark, d)
+    scope = D.scoped(lines, CFG_DELTA, selection=D.top_selection(lines, CFG_DELTA, 5))
+    k = D.kpis(lines, CFG_DELTA, scope)
+    return k.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in k.dtypes])

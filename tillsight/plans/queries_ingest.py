@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillsight.operators import ingest as IG
+from tillsight.operators import normalize as N
+from tillsight.operators import slice as SL
+from tillsight.sources import jobspec as JS
+from tillsight.sources import sinks as SK
+from tillsight.operators import timeline as TL
 from tillsight.operators import products as P
 from tillsight.plans import oracle_sql as O
 from tillsight.plans.registry import register, with_ctes
@@ -183,3 +188,81 @@ def q_worklist_metrics(spark, d):
 @register("saved_map_rows", None)
 def q_saved_map_rows(spark, d):
     return IG.saved_map_rows(_worklist(spark, d))
+
+
+@register("interactive_base", with_ctes(O.lines_a(), body="""
+SELECT store_id, strftime(sale_date, '%Y-%m-%d') AS date_str, year_week, year_month, weekday AS day, sale_hour AS hour,
+       order_id, product, category, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+       CAST(total AS DOUBLE) AS total, margin_pct FROM lines_a"""))
+def q_interactive_base(spark, d):
+    return SL.interactive_base(B.tpch_lines(spark, d))
+
+
+@register("normalized_export", None)
+def q_normalized_export(spark, d):
+    e = N.enrich(B.pos_sales(spark, d), N.prepare_product_map(B.derived_product_map(spark, d)))
+    return N.normalized_export(e)
+
+
+def _write_overlapping_exports(spark, d) -> list[str]:
+    """Two raw CSV exports that overlap by one year, written in order (older first)."""
+    base = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/raw_exports")
+    ex = B.overlapping_exports(spark, d)
+    paths = []
+    for rank in (1, 2):
+        p = f"{base}/export_{rank}"
+        ex.filter(F.col("source_rank") == rank).select("store_id", *[F.col(f"`{c}`") for c in POS]).write.mode(
+            "overwrite").option("header", True).csv(p)
+        paths.append(p)
+    return paths
+
+
+def _consolidate_sql() -> str:
+    from tillsight.plans.queries_normalize import CONSOLIDATE_SQL
+    return CONSOLIDATE_SQL
+
+
+@register("raw_export_scan", f"""
+WITH c AS ({_consolidate_sql()})
+SELECT store_id, source_rank, count(*) AS lines FROM c GROUP BY 1, 2""")
+def q_raw_export_scan(spark, d):
+    """Exports read back through the CSV scan and consolidated; survivors per export
+    (an export may be several part files, so the export directory ranks first)."""
+    raw = FS.read_csv_exports(spark, _write_overlapping_exports(spark, d))
+    raw = raw.withColumn("export_rank", F.regexp_extract("source_file", "export_([0-9]+)", 1).cast("int"))
+    c = N.consolidate(raw.drop("source_mtime"), order_cols=("export_rank", "source_rank", "row_pos"))
+    return c.groupBy("store_id", F.col("export_rank").alias("source_rank")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@register("job_specs", None)
+def q_job_specs(spark, d):
+    """Specs derived from the data's stores and the written exports: one report and one
+    delta job per store (valid) and one with an unknown type and no inputs (invalid)."""
+    paths = _write_overlapping_exports(spark, d)
+    stores = B.tpch_lines(spark, d).select("store_id").distinct()
+    margins = B.category_margins(spark, d).groupBy("store_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "margin_pct"))).alias("category_margins"))
+    specs = stores.join(margins, "store_id").select(
+        "store_id", F.inline(F.array(
+            F.struct(F.concat(F.lit("report-"), F.col("store_id")).alias("job_id"), F.lit("report").alias("type"),
+                     F.array(*[F.lit(p) for p in paths]).alias("input_files")),
+            F.struct(F.concat(F.lit("delta-"), F.col("store_id")).alias("job_id"), F.lit("delta").alias("type"),
+                     F.array(*[F.lit(p) for p in paths]).alias("input_files")),
+            F.struct(F.concat(F.lit("bad-"), F.col("store_id")).alias("job_id"), F.lit("forecast").alias("type"),
+                     F.array().cast("array<string>").alias("input_files")))), "category_margins")
+    path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/job_specs")
+    specs.write.mode("overwrite").json(path)
+    v = JS.violations(JS.read_job_specs(spark, path))
+    return v.withColumn("problems", F.array_join("problems", "; "))
+
+
+@register("payload_documents", None)
+def q_payload_documents(spark, d):
+    """One gzip JSON document per store (summary, top products, daily timeline), read back."""
+    lines = B.tpch_lines(spark, d)
+    path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/payload")
+    SK.write_json_documents({"summary": P.products_pareto(lines).filter("rank <= 20").select("store_id", "product", "revenue"),
+                             "daily": TL.daily(lines)}, path, gzip=True)
+    doc = spark.read.text(path)
+    return doc.select(F.get_json_object("value", "$.store_id").alias("store_id"), F.length("value").alias("doc_chars"),
+                      F.size(F.from_json(F.get_json_object("value", "$.summary"), "array<string>")).alias("n_products"),
+                      F.size(F.from_json(F.get_json_object("value", "$.daily"), "array<string>")).alias("n_days"))

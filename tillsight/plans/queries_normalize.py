@@ -25,7 +25,7 @@ def _out(df):
     return df.select(*[F.col(c).cast("double").alias(c) if c in ("unit_price", "quantity", "total") else F.col(c) for c in _OUT])
 
 
-@register("consolidate_dedup", """
+CONSOLIDATE_SQL = """
 WITH ex AS (
   SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, o.o_orderdate,
          l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice,
@@ -43,7 +43,10 @@ WITH ex AS (
 SELECT store_id, fecha, order_id, product_raw, unit_price_txt, hora, quantity_txt, total_txt, source_rank
 FROM both_ex
 QUALIFY row_number() OVER (PARTITION BY store_id, fecha, order_id, product_raw, unit_price_txt
-                           ORDER BY source_rank, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1""")
+                           ORDER BY source_rank, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1"""
+
+
+@register("consolidate_dedup", CONSOLIDATE_SQL)
 def q_consolidate_dedup(spark, d):
     c = N.consolidate(B.overlapping_exports(spark, d))
     return c.select("store_id", F.col("Fecha").alias("fecha"), F.col("`Código venta`").alias("order_id"),

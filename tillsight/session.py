@@ -29,6 +29,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # single-host sizing: small row groups in written intermediates so scans use every core
         .config("spark.tillsight.materialize.rowGroupBytes", str(1 << 20))
         .config("spark.sql.files.openCostInBytes", str(1 << 20))
+        # coalesce tiny shuffles into few tasks, keep several for large ones
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(4 << 20))
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
