@@ -136,3 +136,21 @@ def test_default_event_date_clamps(make_lines):
     assert ev.isoformat() == "2026-03-02"  # max - 29 days
     with pytest.raises(ValueError):
         delta.event_dates(dl, DeltaConfig())
+
+
+def test_normalized_export_layout(spark):
+    pm = _map(spark, [("x", None, None, "X", "c", "s", "10")])
+    sales = _sales(spark, [("2026-01-05", "x", 1, 5)]).withColumn("sale_hour", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(14))
+    out = N.normalized_export(N.enrich(sales, pm))
+    assert out.columns[:14] == list(N.OUTPUT_ORDER)
+    r = out.collect()[0]
+    assert (r["Fecha"], r["Month"], r["Week Day"], r["Hour"], r["Nombre Corregido"]) == ("2026-01-05", "Jan", "Lun", 14, "X")
+
+
+def test_canonicalize_columns(spark):
+    df = spark.createDataFrame([("1",) * 6], "`﻿Fecha` string, `Código  Venta` string, `CANTIDAD` string, "
+                                             "`Total` string, `Nombre Corregido` string, `Categoría Real` string")
+    out = clean.canonicalize_columns(df)
+    assert out.columns == ["Fecha", "Codigo venta", "Cantidad", "Total", "Nombre Corregido", "Categoria Real"]
+    with pytest.raises(clean.SchemaError, match="Cantidad"):
+        clean.canonicalize_columns(spark.createDataFrame([("1",)], "Fecha string"))
