@@ -59,3 +59,24 @@ def rnd(c: str | Column, k: int) -> Column:
 
 def trunc_int(c: str | Column) -> Column:
     return dbl(c).cast("bigint")
+
+
+# ── shared intermediates of one report run ─────────────────────────────────
+
+_SHARED: dict[int, str] = {}
+
+
+def enable_sharing(lines: DataFrame, run_key: str) -> None:
+    """Mark ``lines`` as the line table of a report run: intermediates derived from it
+    through :func:`shared` (per-order totals, baskets) are then written once for the run
+    and scanned by every module, instead of each module re-shuffling the full table."""
+    _SHARED[id(lines)] = run_key
+
+
+def shared(lines: DataFrame, name: str, build) -> DataFrame:
+    key = _SHARED.get(id(lines))
+    if key is None:
+        return build()
+    from tillsight.sources.bindings import materialized
+
+    return materialized(lines.sparkSession, f"{key}|{name}", build)

@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, top_k
+from tillsight.operators._common import STORE, shared, top_k
 
 
 def baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
     """(store, order, basket): sorted distinct items of every multi-line order."""
-    b = lines.groupBy(STORE, "order_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set(F.col(item))).alias("basket"))
-    return b.filter(F.col("n_lines") >= cfg.min_basket_size).select(STORE, "order_id", "basket")
+    def build():
+        b = lines.groupBy(STORE, "order_id").agg(
+            F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_set(F.col(item))).alias("basket"))
+        return b.filter(F.col("n_lines") >= cfg.min_basket_size).select(STORE, "order_id", "basket")
+    return shared(lines, f"baskets_{item}_{cfg.min_basket_size}", build)
 
 
 def multi_orders(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:

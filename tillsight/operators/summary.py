@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.functions.dates import days_in_month
-from tillsight.operators._common import STORE, rnd, trunc_int
+from tillsight.operators._common import STORE, rnd, shared, trunc_int
 
 
 def order_totals(lines: DataFrame) -> DataFrame:
     """One row per (store, order): lines, revenue, units, distinct products/categories.
 
     The per-order aggregate is the shared input of summary, cart and ticket operators;
-    it is a hash aggregate with map-side partial combine, shuffled on (store, order).
+    it is a hash aggregate with map-side partial combine, shuffled on (store, order), and
+    written once per report run when the run shares intermediates.
     """
-    return lines.groupBy(STORE, "order_id").agg(
+    return shared(lines, "order_totals", lambda: lines.groupBy(STORE, "order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("total").alias("ticket_dec"),
         F.sum("quantity").alias("items_dec"),
         F.count_distinct("product").alias("unique_products"),
         F.count_distinct("category").alias("categories"),
-    )
+    ))
 
 
 def summary(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:

@@ -10,6 +10,7 @@ module outputs.  Nothing is collected on the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tillsight.operators import (
     basket, bundles, cart, clean, insights, products, profitability, summary, ticket, timeline, trends,
 )
 from tillsight.operators import normalize as N
+from tillsight.operators._common import enable_sharing
 from tillsight.session import scratch_table_path
 from tillsight.sources import sinks
 from tillsight.sources.bindings import materialized
@@ -29,6 +31,7 @@ class ReportJob:
     spark: SparkSession
     cfg: ReportConfig = DEFAULT_REPORT
     run_id: str = "report"
+    concurrent_jobs: int = 4
 
     def normalize(self, raw_exports: DataFrame, product_map: DataFrame | None) -> DataFrame:
         """Consolidate, coerce, enrich with the map (or the no-map fallback)."""
@@ -80,16 +83,34 @@ class ReportJob:
             "bundles": bundles.rankings(lines, c),
         }
 
+    # written module → the ReportInputs entry it can stand in for
+    _INPUT_SEEDS = {"summary": "summary", "products": "products", "ticket_stats": "ticket_stats",
+                    "profit": "profitability", "margin_cat": "margin_by_category", "peaks": "timeline_peaks",
+                    "trends": "trends", "anomalies": "anomalies", "cat_totals": "category_totals",
+                    "opportunity": "opportunity_hours", "high_lift": "basket_high_lift"}
+
+    def _write_all(self, outputs: dict[str, DataFrame], out: str) -> None:
+        # Module outputs are small independent jobs: submit a few at a time so the
+        # scheduler overlaps them instead of leaving cores idle between stages.
+        with ThreadPoolExecutor(max_workers=max(1, self.concurrent_jobs)) as pool:
+            for f in [pool.submit(sinks.write_module, df, f"{out}/{name}") for name, df in outputs.items()]:
+                f.result()
+
     def run(self, normalized_text: DataFrame, out_dir: str | None = None) -> dict[str, DataFrame]:
-        """Compute and write every module (Parquet per store) plus insights and
-        recommendations; returns the module DataFrames (already written)."""
+        """Compute and write every module (Parquet per store), then insights and
+        recommendations from the written modules; returns the written outputs."""
         out = out_dir or scratch_table_path(self.spark, f"{self.run_id}/out")
         lines, discarded, quality = self.lines(normalized_text)
+        enable_sharing(lines, self.run_id)
         mods = self.modules(lines, quality)
-        x = insights.ReportInputs(lines, self.cfg, summary.quality_coverage(lines, quality), run_key=self.run_id)
-        mods["insights"] = insights.insights(x)
-        mods["recommendations"] = insights.recommendations(x)
-        for name, df in mods.items():
-            sinks.write_module(df, f"{out}/{name}")
+        self._write_all(mods, out)
         sinks.write_discarded(discarded, f"{out}/discarded")
-        return mods
+        # explicit schemas: an empty module writes no data files
+        written = {name: self.spark.read.schema(df.schema).parquet(f"{out}/{name}") for name, df in mods.items()}
+        x = insights.ReportInputs(lines, self.cfg, written["quality"], run_key=self.run_id)
+        for entry, name in self._INPUT_SEEDS.items():
+            x._cache[entry] = written[name]
+        final = {"insights": insights.insights(x), "recommendations": insights.recommendations(x)}
+        self._write_all(final, out)
+        written.update({n: self.spark.read.schema(df.schema).parquet(f"{out}/{n}") for n, df in final.items()})
+        return written

@@ -17,6 +17,7 @@ threshold, otherwise sort-merge).
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ N_STORES = 4
 
 
 _TABLES: dict[tuple[int, str], DataFrame] = {}
+_LOCK = threading.RLock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,11 @@ def materialized(spark: SparkSession, key: str, build) -> DataFrame:
     """
     app = spark.sparkContext.applicationId
     mkey = (id(spark._jsparkSession), "materialized:" + key)
+    with _LOCK:  # concurrent module jobs never build the same intermediate twice
+        return _materialize_locked(spark, app, key, mkey, build)
+
+
+def _materialize_locked(spark: SparkSession, app: str, key: str, mkey, build) -> DataFrame:
     df = _TABLES.get(mkey)
     if df is None:
         safe = "".join(ch if ch.isalnum() else "_" for ch in key)[-60:]
