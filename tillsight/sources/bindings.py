@@ -64,7 +64,8 @@ def _materialize_locked(spark: SparkSession, app: str, key: str, mkey, build) ->
     if df is None:
         safe = "".join(ch if ch.isalnum() else "_" for ch in key)[-60:]
         digest = hashlib.sha1(key.encode()).hexdigest()[:12]
-        path = scratch_table_path(spark, f"{app}/{safe}_{digest}")
+        # never start a directory name with "_" or ".": Spark's file listing hides those
+        path = scratch_table_path(spark, f"{app}/m{digest}_{safe.strip('_')}")
         src = build()
         sort_cols = [c for c in ("store_id", "sale_date") if c in src.columns]
         # Row groups are the unit a scan can split at: a size well under the split size
