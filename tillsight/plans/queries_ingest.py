@@ -77,8 +77,7 @@ def _write_spreadsheetml(spark, d) -> str:
     """Monthly SpreadsheetML exports per store (one file per store-month), cells written
     with explicit ``ss:Index`` on every other column to exercise sparse positions."""
     path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/xml_exports")
-    raw = B.overlapping_exports(spark, d).filter(F.col("source_rank") == 1).unionByName(
-        B.overlapping_exports(spark, d).filter((F.col("source_rank") == 2) & (F.col("Fecha") >= "1998-06-01")))
+    raw = B.pos_export_text(spark, d).drop("o_orderdate")
     def cell(i, c):
         idx = f' ss:Index="{i + 1}"' if i % 2 else ""
         return F.concat(F.lit(f"<Cell{idx}><Data ss:Type=\"String\">"), _xml_escape(F.col(f"`{c}`")), F.lit("</Data></Cell>"))
@@ -86,12 +85,12 @@ def _write_spreadsheetml(spark, d) -> str:
     header = "<Row>" + "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for h in POS) + "</Row>"
     # one document per (store, month, order-hash bucket): every group, and so every task,
     # holds a bounded share of a store's month
-    buckets = max(1, -(-raw.count() // LINES_PER_XML_BUCKET))
+    buckets = max(1, -(-B.tpch_lines(spark, d).count() // LINES_PER_XML_BUCKET))  # count of the written lines table
     rows = raw.select("store_id", F.substring("Fecha", 1, 7).alias("month"),
                       F.pmod(F.xxhash64("Código venta"), F.lit(buckets)).alias("bucket"), "row_pos", frag.alias("x"))
     docs = rows.groupBy("store_id", "month", "bucket").agg(
-        F.concat(F.lit(XML_HEAD + header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "x"))), lambda t: t["x"]), ""),
-                 F.lit(XML_TAIL)).alias("value"))
+        # row order inside a document does not reach the parsed output (only cells do)
+        F.concat(F.lit(XML_HEAD + header), F.array_join(F.collect_list("x"), ""), F.lit(XML_TAIL)).alias("value"))
     docs.write.mode("overwrite").partitionBy("store_id", "month", "bucket").text(path)
     return path
 
@@ -112,9 +111,7 @@ def q_spreadsheetml_read(spark, d):
 def _write_csv_exports(spark, d) -> str:
     """Yearly CSV exports per store; ';' delimiter for even stores, ',' for odd ones."""
     path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/csv_exports")
-    raw = B.overlapping_exports(spark, d).filter(F.col("source_rank") == 1).unionByName(
-        B.overlapping_exports(spark, d).filter((F.col("source_rank") == 2) & (F.col("Fecha") >= "1998-06-01")))
-    raw = raw.withColumn("year", F.substring("Fecha", 1, 4))
+    raw = B.pos_export_text(spark, d).drop("o_orderdate").withColumn("year", F.substring("Fecha", 1, 4))
     for parity, delim in ((0, ";"), (1, ",")):
         part = raw.filter(F.substring("store_id", 2, 1).cast("int") % 2 == parity).select("store_id", "year", *[F.col(f"`{c}`") for c in POS])
         part.write.mode("append" if parity else "overwrite").option("header", True).option(

@@ -245,6 +245,15 @@ def pos_sales_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -
 def overlapping_exports(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
     """Two raw POS exports of binding A that overlap by one year (source rank 1: orders
     before 1998-06-01; rank 2: orders from 1997-06-01), unioned as text."""
+    text = pos_export_text(spark, sf_dir, n_stores)
+    e1 = text.filter(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(1))
+    e2 = text.filter(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(2))
+    return e1.unionByName(e2).drop("o_orderdate")
+
+
+def pos_export_text(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """Every line of binding A once, as raw POS export text (plus ``o_orderdate`` and a
+    ``row_pos`` struct giving a total order inside an export)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -263,9 +272,7 @@ def overlapping_exports(spark: SparkSession, sf_dir: str, n_stores: int = N_STOR
         F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("Individual"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").cast("string").alias("Total"),
     )
-    e1 = text.filter(F.col("o_orderdate") < F.lit("1998-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(1))
-    e2 = text.filter(F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")).withColumn("source_rank", F.lit(2))
-    return e1.unionByName(e2).drop("o_orderdate")
+    return text
 
 
 def category_margins(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
