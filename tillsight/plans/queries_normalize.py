@@ -123,3 +123,26 @@ def q_store_category_identity(spark, d):
     lines = B.pos_sales(spark, d).join(part.withColumnRenamed("p_name", "product_raw"), "product_raw")
     out = N.without_map(lines, own_category=True)
     return out.groupBy("store_id", F.col("category_raw").alias("category"), "product").agg(F.count(F.lit(1)).alias("lines"))
+
+
+VARIANT_MAPPING = {"date": "FECHA", "order_id": "No. Factura", "product": "Descripción", "quantity": "Cant.", "total": "Valor Total"}
+
+
+@register("column_mapping", """
+WITH v AS (
+  SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, TRY_CAST(CAST(CAST(l.l_quantity AS BIGINT) AS VARCHAR) AS DOUBLE) AS q,
+         TRY_CAST(CAST(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) AS VARCHAR) AS DOUBLE) AS t
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT store_id, count(*) AS lines, 1 AS hours_seen,
+       round(CAST(CAST(CAST(sum(CASE WHEN q <> 0 THEN t / q ELSE t END) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), 2)::DOUBLE AS sum_unit_price
+FROM v GROUP BY store_id""")
+def q_column_mapping(spark, d):
+    """An export with other headers (no time, no unit price) mapped back to the POS
+    columns; time is synthesised as 00:00 and unit price as Total / Cantidad."""
+    text = B.pos_export_text(spark, d).select(
+        "store_id", F.col("Fecha").alias("FECHA"), F.col("Código venta").alias("No. Factura"),
+        F.col("Producto").alias("Descripción"), F.col("Cantidad").alias("Cant."), F.col("Total").alias("Valor Total"))
+    m = N.apply_column_mapping(text, VARIANT_MAPPING)
+    return m.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("Hora").cast("int").alias("hours_seen"),
+        F.round(F.sum(F.col("Individual").cast("double")), 2).alias("sum_unit_price"))
