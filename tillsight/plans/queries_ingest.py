@@ -227,7 +227,7 @@ def q_raw_export_scan(spark, d):
     (an export may be several part files, so the export directory ranks first)."""
     raw = FS.read_csv_exports(spark, _write_overlapping_exports(spark, d))
     raw = raw.withColumn("export_rank", F.regexp_extract("source_file", "export_([0-9]+)", 1).cast("int"))
-    c = N.consolidate(raw.drop("source_mtime"), order_cols=("export_rank", "source_rank", "row_pos"))
+    c = N.consolidate(raw, order_cols=("export_rank", "source_order", "row_pos"))
     return c.groupBy("store_id", F.col("export_rank").alias("source_rank")).agg(F.count(F.lit(1)).alias("lines"))
 
 

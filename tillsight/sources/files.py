@@ -15,7 +15,7 @@ import xml.etree.ElementTree as ET
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,25 +34,24 @@ class SourceError(RuntimeError):
 def read_csv_exports(spark: SparkSession, paths: list[str] | str, legacy_suffix: str | None = None) -> DataFrame:
     """All-text scan of POS CSV exports with source order columns.
 
-    ``source_rank`` orders files by modification time then path (a legacy file, if its
-    name ends with ``legacy_suffix``, goes last); ``row_pos`` is the position inside the
-    scan.  Enrichment columns of legacy files are dropped and the 7 POS columns are
-    required (S5).  Malformed lines are kept as nulls (PERMISSIVE).
+    ``source_order`` orders files (a legacy file — name ending with ``legacy_suffix`` —
+    last, then by modification time, then path) and ``row_pos`` is the position inside
+    the scan; use both as the consolidation order.  No global ranking step: the order is
+    a per-row struct.  Enrichment columns of legacy files are dropped and the 7 POS
+    columns are required (S5).  Malformed lines are kept as nulls (PERMISSIVE).
     """
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
           .option("encoding", "UTF-8").csv(paths))
     missing = [c for c in POS_COLUMNS if c not in df.columns]
     if missing:
         raise SourceError("faltan columnas POS: " + ", ".join(missing))
-    meta = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ENRICHMENT_COLUMNS],
-                     F.col("_metadata.file_path").alias("source_file"),
-                     F.col("_metadata.file_modification_time").alias("source_mtime"))
-    legacy = F.col("source_file").endswith(legacy_suffix) if legacy_suffix else F.lit(False)
-    files = meta.select("source_file", "source_mtime", legacy.alias("is_legacy")).distinct()
-    # one row per file: a global window over the (small) file list is fine
-    ranks = files.withColumn("source_rank", F.dense_rank().over(Window.orderBy("is_legacy", "source_mtime", "source_file")))
-    return meta.withColumn("row_pos", F.monotonically_increasing_id()).join(
-        F.broadcast(ranks.select("source_file", "source_rank")), "source_file")
+    path = F.col("_metadata.file_path")
+    legacy = path.endswith(legacy_suffix) if legacy_suffix else F.lit(False)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ENRICHMENT_COLUMNS],
+                     path.alias("source_file"),
+                     F.struct(legacy.alias("is_legacy"), F.col("_metadata.file_modification_time").alias("mtime"),
+                              path.alias("path")).alias("source_order"),
+                     F.monotonically_increasing_id().alias("row_pos"))
 
 
 def newest_csv(spark: SparkSession, folder: str, exclude: str = SAMPLE_CSV_NAME) -> DataFrame:
