@@ -74,3 +74,9 @@ def test_streaming_consolidation_idempotent(spark):
     consolidate_stream(spark, landing, table, ckpt).awaitTermination()
     rows = sorted((r["Fecha"], r["Cantidad"]) for r in spark.read.parquet(table).collect())
     assert rows == [("2026-01-05", "1"), ("2026-01-06", "1")]
+
+
+def test_clamp_margin_keeps_null(spark):
+    df = spark.createDataFrame([(None,), (-5.0,), (120.0,), (42.5,)], "m double")
+    got = [r["c"] for r in df.select(IG.clamp_margin(F.col("m")).alias("c")).collect()]
+    assert got == [None, 0.0, 99.0, 42.5]

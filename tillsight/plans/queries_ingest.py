@@ -177,12 +177,24 @@ def q_product_worklist(spark, d):
     return _worklist(spark, d)
 
 
-@register("worklist_metrics", None)
+@register("worklist_metrics", f"""
+WITH wl AS ({WL_SQL}),
+c AS (SELECT *, trim(categoria) AS cat, {_sql_rule_case('sistema', IG.CATEGORY_RULES)} AS sug FROM wl)
+SELECT store_id, count(*) AS products, count(*) FILTER (WHERE cat <> '' AND cat <> 'Otros') AS classified,
+       count(*) FILTER (WHERE cat = '' AND sug IS NOT NULL) AS pending_suggestions,
+       count(DISTINCT CASE WHEN cat <> '' AND cat <> 'Otros' THEN cat END) AS categories_in_use,
+       bool_or(NOT (cat <> '' AND cat <> 'Otros')) AS has_otros
+FROM c GROUP BY store_id""")
 def q_worklist_metrics(spark, d):
     return IG.worklist_metrics(_worklist(spark, d))
 
 
-@register("saved_map_rows", None)
+@register("saved_map_rows", f"""
+WITH wl AS ({WL_SQL})
+SELECT store_id, sistema, sistema AS nombre, CASE WHEN trim(categoria) = '' THEN 'Otros' ELSE trim(categoria) END AS categoria,
+       CAST(NULL AS VARCHAR) AS subcategoria,
+       CASE WHEN margen_pct IS NULL THEN NULL ELSE {O.R('least(greatest(CAST(margen_pct AS DOUBLE), 0.0), 99.0)', 2)} END AS margen_pct
+FROM wl""")
 def q_saved_map_rows(spark, d):
     return IG.saved_map_rows(_worklist(spark, d))
 
