@@ -243,7 +243,12 @@ def q_raw_export_scan(spark, d):
     return c.groupBy("store_id", F.col("export_rank").alias("source_rank")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-@register("job_specs", None)
+@register("job_specs", """
+WITH st AS (SELECT DISTINCT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id
+            FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT 'report-' || store_id AS job_id, store_id, 'report' AS type, '' AS problems, true AS valid FROM st
+UNION ALL SELECT 'delta-' || store_id, store_id, 'delta', '', true FROM st
+UNION ALL SELECT 'bad-' || store_id, store_id, 'forecast', 'unknown type forecast; empty input_files', false FROM st""")
 def q_job_specs(spark, d):
     """Specs derived from the data's stores and the written exports: one report and one
     delta job per store (valid) and one with an unknown type and no inputs (invalid)."""
