@@ -154,3 +154,16 @@ def test_canonicalize_columns(spark):
     assert out.columns == ["Fecha", "Codigo venta", "Cantidad", "Total", "Nombre Corregido", "Categoria Real"]
     with pytest.raises(clean.SchemaError, match="Cantidad"):
         clean.canonicalize_columns(spark.createDataFrame([("1",)], "Fecha string"))
+
+
+def test_delta_selection_helpers(make_lines):
+    from tillsight.config import ProductGroup
+    cfg = DeltaConfig(event_date="2026-01-10", window_days=7,
+                      product_groups=(ProductGroup("g", ("a", "zz")),))
+    df = make_lines([("S", 1, "2026-01-05", 9, "a", "c", 1, 100), ("S", 2, "2026-01-12", 9, "b", "c", 1, 300),
+                     ("S", 3, "2026-01-12", 9, "c", "c", 1, 50)])
+    top = sorted(r["product"] for r in delta.top_selection(df, cfg, 2).collect())
+    assert top == ["a", "b"]
+    k = delta.kpis(df, cfg, delta.scoped(df, cfg, selection=delta.group_selection(df, cfg, "g"))).collect()[0]
+    # only "a" is in the catalog: pre revenue 100, nothing after the event
+    assert (k["n_selected"], k["pre_revenue"], k["post_revenue"], k["whole"]) == (1, 100.0, 0.0, False)
