@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -36,3 +37,25 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sp_bpe.encode(docs, tokenizer_path(), digest=True).drop("text")
+
+
+@query("op4_kd_shards")
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes, split by size, source, language and position."""
+    from tillsight.llm import kd_shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(text) + 16
+    code = lambda c: F.crc32(F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8"))
+    got = kd_shards.shard(docs, "doc_id", size, [F.log2(size), code("source"), code("lang"), F.col("doc_id")],
+                          n_shards=40, keep={"text_crc32": F.crc32(F.encode(text, "UTF-8"))})
+    return got.select("doc_id", F.col("weight").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard",
+                      "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import quality_rules
+
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
