@@ -15,6 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_WORD = (~_SPACE).astype(np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -48,20 +49,24 @@ def join_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8), starts
 
 
-def hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offset and 64-bit hash of every word of ``buf``."""
+def hash_runs(buf: np.ndarray, kind: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offset and 64-bit hash of every maximal run of bytes of one kind (kind 0 separates).
+
+    ``kind`` and ``fold`` are tables by byte; ``fold`` is applied before hashing.
+    """
     starts, hashes, lo = [], [], 0
     while lo < buf.size:
         hi = min(buf.size, lo + _CHUNK)
         while hi < buf.size and not _SPACE[buf[hi - 1]]:
             stop = np.flatnonzero(_SPACE[buf[hi:hi + 4096]])
             hi = min(buf.size, hi + (int(stop[0]) + 1 if stop.size else 4096))
-        part = _LOWER[buf[lo:hi]]
+        part = fold[buf[lo:hi]]
         up, down = _power_table(part.size)
-        gap = np.ones(part.size + 2, dtype=bool)
-        gap[1:-1] = _SPACE[part]
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        begin, end = edge[0::2], edge[1::2]
+        kinds = np.zeros(part.size + 2, dtype=np.uint8)
+        kinds[1:-1] = kind[buf[lo:hi]]
+        edge = np.flatnonzero(kinds[1:] != kinds[:-1])
+        inside = np.flatnonzero(kinds[edge + 1])  # the last edge ends the last run
+        begin, end = edge[inside], edge[inside + 1]
         total = np.zeros(part.size + 1, dtype=np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:part.size], out=total[1:])
         starts.append(begin + lo)
@@ -72,6 +77,11 @@ def hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
+def hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offset and 64-bit hash of every word of ``buf``."""
+    return hash_runs(buf, _WORD, _LOWER)
+
+
 def words_of_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and the n + 1 bounds of each text's words."""
     buf, text_starts = join_texts(texts)

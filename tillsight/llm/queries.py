@@ -59,3 +59,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillsight.llm import quality_rules
 
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import main_text
+
+    return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def fold(key: str = "doc_id"):
+    """The third that a document falls into by the CRC of its id."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3
+
+
+@query("op9_quality_net")
+def op9_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import quality_net
+
+    got = quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 1)
+    return got.select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted")
