@@ -79,3 +79,10 @@ def op9_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 1)
     return got.select("doc_id", (fold() == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import decontam
+
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
