@@ -86,3 +86,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillsight.llm import decontam
 
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import chosen_path
+
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
