@@ -93,3 +93,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillsight.llm import chosen_path
 
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.find_spans(docs, pii.learn(docs, "text"))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"),
+                      "spans")
