@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.llm import licences
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +105,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.find_spans(docs, pii.learn(docs, "text"))
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"),
                       "spans")
+
+
+@query("op1_licences", licences.oracle_sql())
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.recognise(docs)
