@@ -22,19 +22,14 @@ from pyspark.sql import functions as F
 # identifier may have several wordings.
 SENTENCES = {
     "apache2-name": ["licensed under the apache license version 2 0",
-                     "licensed under the apache license version 2 0 the license",
-                     "this file is licensed under the apache license version 2 0",
-                     "this software is licensed under the apache license version 2 0",
-                     "this project is licensed under the apache license version 2 0"],
+                     "licensed under the apache license version 2 0 the license"],
     "apache2-use": ["you may not use this file except in compliance with the license"],
     "copy-at": ["you may obtain a copy of the license at"],
     "as-is-dist": ["unless required by applicable law or agreed to in writing software distributed under the license is "
                    "distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "see-license": ["see the license for the specific language governing permissions and limitations under the license"],
-    "gpl2-name": ["licensed under the gnu general public license version 2",
-                  "this file is licensed under the gnu general public license version 2"],
-    "gpl3-name": ["licensed under the gnu general public license version 3",
-                  "this file is licensed under the gnu general public license version 3"],
+    "gpl2-name": ["licensed under the gnu general public license version 2"],
+    "gpl3-name": ["licensed under the gnu general public license version 3"],
     "gpl2-later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu "
                    "general public license as published by the free software foundation either version 2 of the license "
                    "or at your option any later version"],
@@ -56,7 +51,7 @@ SENTENCES = {
                   "licensed under the mozilla public license version 2 0"],
     "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
                   "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
-    "mit-name": ["licensed under the mit license", "released under the mit license", "this project is licensed under the mit license"],
+    "mit-name": ["licensed under the mit license"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
                   "documentation files the software to deal in the software without restriction including without "
                   "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
@@ -76,11 +71,11 @@ SENTENCES = {
     "bsd-name": ["licensed under the bsd license", "licensed under the bsd 3 clause license"],
     "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
                   "granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "cc-by4": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "cc-by4": ["licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa4": ["licensed under cc by sa 4 0",
-                  "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+                  "licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc-by-nc4": ["licensed under cc by nc 4 0",
-                  "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+                  "licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-nd4": ["licensed under cc by nd 4 0"],
     "cc-by-nc-sa4": ["licensed under cc by nc sa 4 0"],
     "cc-by-nc-nd4": ["licensed under cc by nc nd 4 0"],
@@ -94,6 +89,10 @@ SENTENCES = {
     "spdx-gpl3": ["spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0 only"],
     "spdx-bsd3": ["spdx license identifier bsd 3 clause"],
 }
+# A sentence "licensed under ..." is also known with these beginnings.
+SUBJECTS = ["", "this work is ", "this file is ", "this software is ", "this project is ", "this program is ",
+            "this code is ", "this document is "]
+VERBS = ["licensed", "released", "distributed"]
 # Ordered rules, a licence and the identifiers it takes, the more specific first.
 RULES = [
     ("Apache-2.0", ["apache2-name", "apache2-use", "copy-at", "as-is-dist", "see-license"]),
@@ -136,9 +135,17 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 # Every known sentence holds one of these, so a text without them needs no cutting.
-HINT = "licen|permi|redistribut|warrant|copyright|cc by|general public|free software|public domain|rights reserved|either version|mpl"
+HINT = "licen|cc0 |permi|redistribut|warrant|copyright|cc by|general public|free software|public domain|rights reserved|either version|mpl"
 BREAK = "([.!?;:])[ \\t\\r\\n]+"
-_KNOWN = {words: name for name, all_words in SENTENCES.items() for words in all_words}
+
+
+def _wordings(words: str) -> list[str]:
+    if not words.startswith("licensed under "):
+        return [words]
+    return [f"{s}{v} {words.removeprefix('licensed ')}" for s in SUBJECTS for v in VERBS]
+
+
+_KNOWN = {w: name for name, all_words in SENTENCES.items() for words in all_words for w in _wordings(words)}
 
 
 def _sequence(body: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import licences
+from tillsight.llm import licences, preference
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -111,3 +111,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.recognise(docs)
+
+
+@query("op2_preference_pairs", preference.ORACLE)
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no preferences: conversations 2k and 2k + 1 are taken as chosen and rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference.format_pairs(turns.withColumn("pair_id", F.expr("conv_id div 2")).withColumn(
+        "side", F.pmod("conv_id", F.lit(2))))
