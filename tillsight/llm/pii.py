@@ -99,12 +99,16 @@ def _is_valid(kind: Kind):
 
 
 def _is_index(i: int):
-    return lambda c: c["kind"] == i
+    return lambda c: c["f"]["kind"] == i
 
 
 def _pieces(text: Column, kind: Kind) -> Column:
-    """The text before the first match, then each match, a mark, and the text up to the next; null without a sign."""
-    return F.when(text.rlike(kind.sign), F.split(F.regexp_replace(text, kind.pattern, f"{OPEN}$0{SHUT}"), OPEN))
+    """The text before the first match, then each match, a mark, and the text up to the next; null without a sign.
+
+    Every kind but email needs a digit: most texts are done after one look for one.
+    """
+    may = text.contains("@") if kind.name == "email" else text.rlike("[0-9]") & text.rlike(kind.sign)
+    return F.when(may, F.split(F.regexp_replace(text, kind.pattern, f"{OPEN}$0{SHUT}"), OPEN))
 
 
 def _match(piece: Column) -> Column:
@@ -119,27 +123,47 @@ def _total(part: Column) -> Column:
     return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
 
 
-def with_matches(df: DataFrame, kind: Kind, text: str, out: str) -> DataFrame:
-    """Add ``out``: the matches of a kind in order, each with s, e (end exclusive), m, before, after."""
-    one = F.lit(1)
-    df = df.withColumn("_p", _pieces(F.col(text), kind))
-    df = df.withColumn("_l", F.transform("_p", lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0)))
-    blocks = F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / BLOCK).cast("int"))
-    df = df.withColumn("_b", F.when(F.size("_p") > 1, F.transform(
-        blocks, lambda b: _total(F.slice("_l", b * BLOCK + 1, F.lit(BLOCK))))))
-    df = df.withColumn("_o", F.transform("_b", lambda x, b: _total(F.slice("_b", one, b))))
+def _set(df: DataFrame, made: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns made or replaced, in one projection."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made and c not in drop],
+                     *[v.alias(n) for n, v in made.items()])
+
+
+def with_matches(df: DataFrame, kinds: list[Kind], text: str) -> DataFrame:
+    """Add a column ``_<kind>`` for each kind: its matches in order, each with s, e (end exclusive), m, before, after."""
+    one, names = F.lit(1), [k.name for k in kinds]
+    df = _set(df, {f"_p_{k.name}": _pieces(F.col(text), k) for k in kinds})
+    df = _set(df, {f"_l_{n}": F.transform(f"_p_{n}", lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0))
+                   for n in names})
+
+    def block_sums(n: str) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(f"_l_{n}") - 1) / BLOCK).cast("int"))
+        return F.when(F.size(f"_p_{n}") > 1, F.transform(
+            blocks, lambda b: _total(F.slice(f"_l_{n}", b * BLOCK + 1, F.lit(BLOCK)))))
 
-    def place(i: Column) -> Column:
-        b = F.floor(i / BLOCK).cast("int")
-        start = F.get("_o", b) + _total(F.slice("_l", b * BLOCK + 1, i - b * BLOCK))
-        piece = F.get("_p", i)
-        return F.struct(start.alias("s"), (start + F.length(_match(piece))).alias("e"), _match(piece).alias("m"),
-                        F.right(_rest(F.get("_p", i - 1)), F.lit(CONTEXT)).alias("before"),
-                        F.left(_rest(piece), F.lit(2)).alias("after"))
+    def offsets(n: str) -> Column:
+        return F.transform(f"_b_{n}", lambda x, b: _total(F.slice(f"_b_{n}", one, b)))
 
-    found = F.when(F.size("_p") > 1, F.transform(F.sequence(one, F.size("_p") - 1), place))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
-    return df.withColumn(out, F.coalesce(found, none)).drop("_p", "_l", "_b", "_o")
+    def matches(n: str) -> Column:
+        def place(i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            start = F.get(f"_o_{n}", b) + _total(F.slice(f"_l_{n}", b * BLOCK + 1, i - b * BLOCK))
+            m, before, after = _around(F.get(f"_p_{n}", i - 1), F.get(f"_p_{n}", i))
+            return F.struct(start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"), before.alias("before"),
+                            after.alias("after"))
+
+        found = F.when(F.size(f"_p_{n}") > 1, F.transform(F.sequence(one, F.size(f"_p_{n}") - 1), place))
+        none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
+        return F.coalesce(found, none)
+
+    df = _set(df, {f"_b_{n}": block_sums(n) for n in names})
+    df = _set(df, {f"_o_{n}": offsets(n) for n in names})
+    return _set(df, {f"_{n}": matches(n) for n in names}, tuple(f"_{x}_{n}" for n in names for x in "plbo"))
+
+
+def _around(last: Column, piece: Column) -> tuple[Column, Column, Column]:
+    """A piece's match, the text before it (the end of the piece before) and the text after it."""
+    return _match(piece), F.right(_rest(last), F.lit(CONTEXT)), F.left(_rest(piece), F.lit(2))
 
 
 def _bin(value: Column, *edges: float) -> Column:
@@ -147,39 +171,37 @@ def _bin(value: Column, *edges: float) -> Column:
     return reduce(lambda a, b: a + b, [F.when(value >= e, 1).otherwise(0) for e in edges])
 
 
-def candidate(kind: Kind, index: int, c: Column) -> Column:
-    """A match as a candidate: its place, features and distant label."""
-    m, n = c["m"], F.length(c["m"])
+def candidate(kind: Kind, index: int, m: Column, before: Column, after: Column) -> Column:
+    """Features and distant label of a match."""
+    n = F.length(m)
     letters = F.regexp_replace(m, "[^A-Za-z]", "")
     n_digits, n_upper = F.length(_digits(m)), F.length(F.regexp_replace(m, "[^A-Z]", ""))
     signs = n - n_digits - F.length(letters)
-    edge = F.regexp_replace(c["before"], "[\\x20\"'`]+$", "")
-    label = F.lower(c["before"]).rlike(EVIDENCE[kind.name])
+    edge = F.regexp_replace(before, "[\\x20\"'`]+$", "")
+    label = F.lower(before).rlike(EVIDENCE[kind.name])
     if kind.name == "number":
         label |= n_digits.between(16, 19) & _luhn(_digits(m))
     return F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), label.cast("int").alias("label"),
+        label.cast("int").alias("label"),
         F.lit(index).alias("kind"), _bin(n, 12, 16, 20, 24, 32, 36, 40, 44, 64, 80).alias("length"),
         _bin(n_digits / n, 0.01, 0.15, 0.3, 0.45, 0.6, 0.8, 0.99).alias("digits"),
         _bin(n_upper / F.greatest(F.length(letters), F.lit(1)), 0.01, 0.3, 0.7, 0.99).alias("upper"),
         m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int").alias("hex"), _bin(signs, 1, 2, 3, 5, 8).alias("separators"),
-        (F.right(c["before"], F.lit(1)).isin('"', "'", "`") & F.left(c["after"], F.lit(1)).isin('"', "'", "`"))
+        (F.right(before, F.lit(1)).isin('"', "'", "`") & F.left(after, F.lit(1)).isin('"', "'", "`"))
         .cast("int").alias("quoted"),
         F.right(edge, F.lit(1)).isin("=", ":").cast("int").alias("assigned"),
-        F.left(c["after"], F.lit(1)).rlike("[A-Za-z0-9]").cast("int").alias("cut"),
+        F.left(after, F.lit(1)).rlike("[A-Za-z0-9]").cast("int").alias("cut"),
         (m.rlike("[0-9]") & m.rlike("[A-Za-z]")).cast("int").alias("mixed"))
 
 
 def _as_candidate(kind: Kind, index: int):
-    return lambda c: candidate(kind, index, c)
+    return lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"),
+                              candidate(kind, index, c["m"], c["before"], c["after"]).alias("f"))
 
 
-def with_candidates(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_wide``: the candidates of all generators."""
-    for i, kind in enumerate(WIDE):
-        df = with_matches(df, kind, text, f"_w{i}")
-    each = [F.transform(F.col(f"_w{i}"), _as_candidate(kind, i)) for i, kind in enumerate(WIDE)]
-    return df.withColumn("_wide", F.concat(*each)).drop(*[f"_w{i}" for i in range(len(WIDE))])
+def _wide() -> Column:
+    """The candidates of all generators, from their match columns: s, e, f."""
+    return F.concat(*[F.transform(f"_{k.name}", _as_candidate(k, i)) for i, k in enumerate(WIDE)])
 
 
 @dataclass
@@ -207,16 +229,21 @@ class Model:
 
 def _stump(cells: list[dict]) -> tuple[float, str, int, float, float]:
     """The split of weighted cells with the largest gain, and Newton steps for its two sides."""
-    def sums(part):
-        return sum(c["g"] for c in part), sum(c["h"] for c in part)
-
+    g_all, h_all = sum(c["g"] for c in cells), sum(c["h"] for c in cells)
     best = (-1.0, FEATURES[0], 0, 0.0, 0.0)
     for f in FEATURES:
-        for at in sorted({c[f] for c in cells}):
-            (gl, hl), (gh, hh) = (sums([c for c in cells if (c[f] >= at) == side]) for side in (False, True))
+        by_value: dict[int, list[float]] = {}
+        for c in cells:
+            total = by_value.setdefault(c[f], [0.0, 0.0])
+            total[0] += c["g"]
+            total[1] += c["h"]
+        gl = hl = 0.0
+        for at in sorted(by_value):
+            gh, hh = g_all - gl, h_all - hl
             gain = gl * gl / (hl + 1) + gh * gh / (hh + 1)
             if gain > best[0]:
                 best = (gain, f, at, RATE * gl / (hl + 1), RATE * gh / (hh + 1))
+            gl, hl = gl + by_value[at][0], hl + by_value[at][1]
     return best
 
 
@@ -240,10 +267,11 @@ def fit(cells: list[dict]) -> Model:
             c["f"] += high if c[g] >= to else low
     # calibration: margins from the top down, as long as the positives' share holds
     taken = right = 0
-    by_margin = sorted({round(model.margin(c), 9) for c in cells}, reverse=True)
-    for m in by_margin:
-        here = [c for c in cells if round(model.margin(c), 9) == m]
-        taken, right = taken + sum(c["n"] for c in here), right + sum(c["pos"] for c in here)
+    by_margin: dict[float, list[dict]] = {}
+    for c in cells:
+        by_margin.setdefault(round(model.margin(c), 6), []).append(c)
+    for m in sorted(by_margin, reverse=True):
+        taken, right = taken + sum(c["n"] for c in by_margin[m]), right + sum(c["pos"] for c in by_margin[m])
         if right >= PRECISION * taken:
             model.threshold = m
     return model
@@ -251,19 +279,20 @@ def fit(cells: list[dict]) -> Model:
 
 def learn(docs: DataFrame, text: str) -> Model:
     """The model of a corpus: one pass over all texts, one cell table of bounded size on the driver."""
-    held = with_candidates(docs.select(_plain(text).alias("_t")), "_t")
-    cells = (held.select(F.explode("_wide").alias("c")).select("c.*").groupBy(*FEATURES)
+    held = with_matches(docs.select(_plain(text).alias("_t")), WIDE, "_t")
+    cells = (held.select(F.explode(_wide()).alias("c")).select("c.f.*").groupBy(*FEATURES)
              .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).orderBy(*FEATURES))
     return fit([r.asDict() for r in cells.collect()])
 
 
 def _plain(text: str) -> Column:
     """The text with the marks' characters replaced by another one that no pattern holds."""
-    return F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + SHUT, OTHER + OTHER)
+    body = F.coalesce(F.col(text), F.lit(""))
+    return F.when(body.contains(OPEN) | body.contains(SHUT), F.translate(body, OPEN + SHUT, OTHER + OTHER)).otherwise(body)
 
 
 def _accepted(model: Model, c: Column) -> Column:
-    return F.lit(False) if math.isinf(model.threshold) else model.column(c) >= F.lit(model.threshold - 1e-6)
+    return F.lit(False) if math.isinf(model.threshold) else model.column(c) >= F.lit(model.threshold - 1e-5)
 
 
 def find_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -272,22 +301,21 @@ def find_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts have none.  An accepted candidate counts unless it overlaps a base span or
     an accepted candidate of an earlier generator.
     """
-    held = docs.withColumn("_t", _plain(text))
-    for kind in BASE:
-        held = with_matches(held, kind, "_t", f"_{kind.name}")
-        held = held.withColumn(f"_{kind.name}", F.transform(
-            F.filter(f"_{kind.name}", _is_valid(kind)),
-            lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"))))
-    held = with_candidates(held, "_t")
-    held = held.withColumn("_wide", F.filter("_wide", lambda c: _accepted(model, c)))
-    held = held.withColumn("_taken", F.concat(*[f"_{k.name}" for k in BASE]))
+    held = with_matches(_set(docs, {"_t": _plain(text)}), [*BASE, *WIDE], "_t")
+
+    def place(c: Column) -> Column:
+        return F.struct(c["s"].alias("s"), c["e"].alias("e"))
+
+    held = _set(held, {f"_{k.name}": F.transform(F.filter(f"_{k.name}", _is_valid(k)), place) for k in BASE}
+                | {"_wide": F.filter(_wide(), lambda c: _accepted(model, c["f"]))}, tuple(f"_{k.name}" for k in WIDE))
+    held = _set(held, {"_taken": F.concat(*[f"_{k.name}" for k in BASE])})
 
     def clash(a: Column, b: Column) -> Column:
         return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
-    held = held.withColumn("_wide", F.filter("_wide", lambda c: ~F.exists("_taken", lambda t: clash(c, t))))
-    held = held.withColumn("_new", F.filter("_wide", lambda c: ~F.exists(
-        "_wide", lambda o: (o["kind"] < c["kind"]) & clash(c, o))))
+    held = _set(held, {"_wide": F.filter("_wide", lambda c: ~F.exists("_taken", lambda t: clash(c, t)))})
+    held = _set(held, {"_new": F.filter("_wide", lambda c: ~F.exists(
+        "_wide", lambda o: (o["f"]["kind"] < c["f"]["kind"]) & clash(c, o)))})
 
     def written_out(name: Column | str, spans: Column) -> Column:
         return F.transform(spans, lambda c: F.concat_ws(":", F.lit(name), c["s"].cast("string"), c["e"].cast("string")))
@@ -300,21 +328,27 @@ def find_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                        F.array_join(F.concat(*base, *more), ",").alias("spans"))
 
 
-def _is_valid_piece(kind: Kind):
-    return lambda p, at: valid(kind.name, _match(p))
-
+def _scores_well(model: Model, kind: Kind, index: int):
+    """Whether the model accepts a match; each step is bound once by a one-element array."""
+    def yes(m: Column, before: Column, after: Column) -> Column:
+        match = F.array(F.struct(m.alias("m"), before.alias("before"), after.alias("after")))
+        features = F.transform(match, lambda c: candidate(kind, index, c["m"], c["before"], c["after"]))
+        return F.get(F.transform(features, lambda f: _accepted(model, f)), F.lit(0))
 
-def _is_accepted(model: Model, kind: Kind, index: int):
-    return lambda c: _accepted(model, candidate(kind, index, c))
+    return yes
 
 
 def _swapped(held: DataFrame, kind: Kind, yes) -> DataFrame:
-    """``_t`` put together again from its pieces ``_p``, with the kind's name for each match that is ``yes``."""
-    tag = F.lit(f"[{kind.name.upper()}]")
-    swap = F.transform(F.slice("_p", F.lit(2), F.size("_p")),
-                       lambda p, at: F.concat(F.when(yes(p, at), tag).otherwise(_match(p)), _rest(p)))
-    done = F.concat(F.get("_p", F.lit(0)), F.array_join(swap, ""))
-    return held.withColumn("_t", F.when(F.size("_p") > 1, done).otherwise(F.col("_t"))).drop("_p")
+    """``_t`` with the kind's name for each match that is ``yes(match, before, after)``."""
+    held = _set(held, {"_p": _pieces(F.col("_t"), kind)})
+
+    def swap(piece: Column, at: Column) -> Column:
+        m, before, after = _around(F.get("_p", at), piece)
+        return F.concat(F.when(yes(m, before, after), F.lit(f"[{kind.name.upper()}]")).otherwise(m), _rest(piece))
+
+    rest = F.transform(F.slice("_p", F.lit(2), F.size("_p")), swap)
+    done = F.concat(F.get("_p", F.lit(0)), F.array_join(rest, ""))
+    return _set(held, {"_t": F.when(F.size("_p") > 1, done).otherwise(F.col("_t"))}, ("_p",))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -324,10 +358,8 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     held = docs.withColumn("_t", _plain(text))
     for kind in BASE:
-        held = _swapped(held.withColumn("_p", _pieces(F.col("_t"), kind)), kind, _is_valid_piece(kind))
+        held = _swapped(held, kind, lambda m, before, after, k=kind: valid(k.name, m))
     for i, kind in enumerate(WIDE):
-        held = with_matches(held, kind, "_t", "_m").withColumn("_p", _pieces(F.col("_t"), kind))
-        held = held.withColumn("_yes", F.transform("_m", _is_accepted(model, kind, i)))
-        held = _swapped(held, kind, lambda p, at: F.get("_yes", at)).drop("_m", "_yes")
+        held = _swapped(held, kind, _scores_well(model, kind, i))
     changed = F.when(F.col("_t") == _plain(text), F.col(text)).otherwise(F.col("_t"))
     return held.withColumn(text, F.when(F.col(text).isNotNull(), changed)).select(*[f"`{c}`" for c in docs.columns])
