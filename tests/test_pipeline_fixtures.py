@@ -167,3 +167,66 @@ def test_delta_selection_helpers(make_lines):
     k = delta.kpis(df, cfg, delta.scoped(df, cfg, selection=delta.group_selection(df, cfg, "g"))).collect()[0]
     # only "a" is in the catalog: pre revenue 100, nothing after the event
     assert (k["n_selected"], k["pre_revenue"], k["post_revenue"], k["whole"]) == (1, 100.0, 0.0, False)
+
+
+def test_date_texts(spark):
+    from tillsight.functions.dates import parse_date
+
+    texts = ["2026-03-05T10:30:00", "2026-03-05 10:30", "2026-3-5", "12/31/2026", "31/12/2026", "5/3/2026 10:00", "03/04/2026",
+             "2026/03/05", "2026-02-30", "31/31/1999", "xx", "", None, "2026-03-05 nonsense"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", parse_date("t").cast("string").alias("d"), parse_date("t", day_first=True).cast("string").alias("e"))
+    got = {texts[r["i"]]: (r["d"], r["e"]) for r in rows.collect()}
+    same = lambda d: (d, d)
+    assert got == {
+        "2026-03-05T10:30:00": same("2026-03-05"), "2026-03-05 10:30": same("2026-03-05"), "2026-3-5": same("2026-03-05"),
+        "12/31/2026": same("2026-12-31"), "31/12/2026": same("2026-12-31"), "5/3/2026 10:00": ("2026-05-03", "2026-03-05"),
+        "03/04/2026": ("2026-03-04", "2026-04-03"), "2026/03/05": same("2026-03-05"), "2026-02-30": same(None),
+        "31/31/1999": same(None), "xx": same(None), "": same(None), None: same(None), "2026-03-05 nonsense": same(None)}
+
+
+def test_hours_written_as_floats_and_discarded_text(spark):
+    cols = "store_id string, row_seq bigint, Fecha string, `Código venta` string, `Nombre Corregido` string, `Categoria Real` string, " \
+           "Cantidad string, Individual string, Total string, Hour string"
+    raw = spark.createDataFrame([("S", 2, "2026-01-05", "1", "a", "c", "1", "10", "10", "13.0"),
+                                 ("S", 3, "2026-01-05", "2", "a", "c", "dos", "10", "10", "x")], cols)
+    lines, discarded, _ = clean.sanitize(raw, ReportConfig())
+    assert [r["sale_hour"] for r in lines.collect()] == [13]
+    d = discarded.collect()[0]
+    assert (d["fila_original"], d["Cantidad"], d["Hour"], d["motivo_descarte"]) == (3, "dos", "x", "Cantidad inválida; Hora inválida")
+
+
+def test_mapped_category_columns_are_kept(spark):
+    df = spark.createDataFrame([("2026-01-05", "F1", "pan", "2", "3000", "Panes", "40%")],
+                               "f string, o string, p string, q string, t string, cat string, m string")
+    mapping = {"date": "f", "order_id": "o", "product": "p", "quantity": "q", "total": "t", "categoria": "cat", "margen_pct": "m"}
+    out = N.apply_column_mapping(df, mapping).collect()[0]
+    assert (out["Categoria Real"], out["margin_pct"]) == ("Panes", "40%")
+
+
+def test_lines_without_price_or_date_find_their_map_row(spark):
+    pm = _map(spark, [("x", None, None, "X", "c", "s", "10")])
+    sales = _sales(spark, [("2026-01-05", "x", 1, 5)])
+    both = sales.selectExpr("store_id", "sale_date", "order_id", "product_raw", "quantity",
+                            "cast(null as decimal(18,4)) as unit_price", "total").unionByName(
+        sales.selectExpr("store_id", "cast(null as date) as sale_date", "order_id", "product_raw", "quantity", "unit_price", "total"))
+    assert [(r["match_kind"], r["product"]) for r in N.enrich(both, pm).collect()] == [("agnostic", "X")] * 2
+
+
+def test_exports_to_normalized_text_keep_time_and_own_enrichment(spark):
+    from tillsight.plans.report import ReportJob
+
+    cols = "store_id string, source_rank int, row_pos int, Fecha string, Hora string, `Código venta` string, Producto string, " \
+           "Cantidad string, Individual string, Total string"
+    rows = [("S", 1, 1, "2026-01-05", "9:47:13 AM", "1", "pan", "1", "10", "10")]
+    job = ReportJob(spark)
+    plain = job.normalize(spark.createDataFrame(rows, cols)).collect()[0]
+    assert (plain["Hora"], plain["Hour"], plain["Categoria Real"], plain["Nombre Corregido"]) == ("9:47:13 AM", 9, "Otros", "pan")
+    own = spark.createDataFrame([(*rows[0], "Panes", "Dulce", "40%", "caja 1")],
+                                cols + ", `Categoria Real` string, `Sub Categoria Real` string, margin_pct string, Caja string")
+    r = job.normalize(own).collect()[0]
+    assert (r["Categoria Real"], r["Sub Categoria Real"], r["margin_pct"], r["Caja"]) == ("Panes", "Dulce", 40.0, "caja 1")
+    assert not {"source_rank", "row_pos", "match_kind", "time_txt"} & set(job.normalize(own).columns)
+    lines, _, _ = clean.sanitize(job.normalize(own), ReportConfig())
+    assert [(x["product"], x["category"], x["margin_pct"], x["sale_hour"]) for x in lines.collect()] == [("pan", "Panes", 40.0, 9)]
+    assert ReportJob(spark).run_id != job.run_id

@@ -83,6 +83,9 @@ MAPPING_TARGETS: dict[str, str] = {
     "category": "Categoria Real",
     "subcategory": "Sub Categoria Real",
     "margin_pct": "margin_pct",
+    "categoria": "Categoria Real",
+    "subcategoria": "Sub Categoria Real",
+    "margen_pct": "margin_pct",
 }
 
 # Report column aliases accepted under a tenant config's "columns" key.

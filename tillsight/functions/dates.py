@@ -61,13 +61,27 @@ def parse_hour(t: Column | str) -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(0)).otherwise(F.hour(ts))
 
 
-def parse_date(c: Column | str) -> Column:
-    """Text date → DATE; bad value → null.  ISO first, then day-first forms."""
+_CLOCK = "(?:[T ]\\s*\\d{1,2}:\\d{2}(?::\\d{2}(?:\\.\\d+)?)?(?:\\s*[AaPp]\\.?[Mm]\\.?)?(?:Z|[+-]\\d{2}:?\\d{2})?)?$"
+_YEAR_FIRST = "^(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})" + _CLOCK
+_YEAR_LAST = "^(\\d{1,2})[-/.](\\d{1,2})[-/.](\\d{4})" + _CLOCK
+
+
+def parse_date(c: Column | str, day_first: bool = False) -> Column:
+    """Text date → DATE; bad value → null.
+
+    Year first (``2026-3-5``, ``2026/03/05``, with or without a time) or year last.  In
+    year-last dates the month leads, as in the reference data, unless ``day_first``; a leading
+    number that can't be what it should be (``31/12/2026``) is read the other way round.
+    """
     c = F.trim(_c(c))
-    return F.coalesce(
-        F.try_to_date(c, "yyyy-MM-dd"),
-        F.try_to_date(c, "yyyy-MM-dd HH:mm:ss"),
-        F.try_to_date(c, "yyyy/MM/dd"),
-        F.try_to_date(c, "d/M/yyyy"),
-        F.try_to_date(c, "d-M-yyyy"),
-    )
+
+    def part(pattern: str, k: int) -> Column:
+        return F.regexp_extract(c, pattern, k)
+
+    def made(year: Column, month: Column, day: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    first, second, year = (part(_YEAR_LAST, k) for k in (1, 2, 3))
+    month_led, day_led = made(year, first, second), made(year, second, first)
+    last = F.coalesce(day_led, month_led) if day_first else F.coalesce(month_led, day_led)
+    return F.when(c.rlike(_YEAR_FIRST), made(*(part(_YEAR_FIRST, k) for k in (1, 2, 3)))).when(c.rlike(_YEAR_LAST), last)

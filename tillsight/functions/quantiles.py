@@ -20,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.session import ensure_checkpoint_dir
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], prefix: str = "q") -> DataFrame:
     s = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     s = s.repartitionByRange(*keys, "_v").withColumn("_pid", F.spark_partition_id())
     s = s.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_v")))
+    # range bounds are sampled: ranks and counts must come from one and the same partitioning
+    ensure_checkpoint_dir(s.sparkSession)
+    s = s.checkpoint()
     cnt = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select("_pid", *keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),

@@ -60,13 +60,17 @@ def resolve_columns(columns: list[str], aliases: dict[str, str] | None = None) -
 
 
 def coerce(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Typed columns + ``margin_state`` (present/missing/invalid) + ``motivo_descarte``."""
+    """Typed columns + ``margin_state`` (present/missing/invalid) + ``motivo_descarte``.
+
+    ``original`` keeps the row as it came, for the report of discarded rows.
+    """
     cols = resolve_columns(raw.columns, aliases)
 
     def c(role: str) -> Column:
         return F.col(f"`{cols[role]}`")
 
-    hour = c("hour").cast("string").try_cast("int") if "hour" in cols else parse_hour(c("time"))
+    # a column of hours with a gap is written as "13.0"
+    hour = F.trim(c("hour").cast("string")).try_cast("double").try_cast("int") if "hour" in cols else parse_hour(c("time"))
     has_margin = "margin_pct" in cols
     margin = parse_margin(c("margin_pct")) if has_margin else F.lit(None).cast("double")
     if has_margin:
@@ -89,6 +93,7 @@ def coerce(raw: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
         F.trim(c("total")).try_cast("decimal(18,4)").alias("total"),
         margin.alias("margin_pct"),
         state.alias("margin_state"),
+        F.struct(*[F.col(f"`{x}`") for x in raw.columns if x not in (STORE, "row_seq")]).alias("original"),
     )
     reason = F.concat_ws("; ", *[F.when(F.col(col).isNull(), F.lit(label)) for col, label in DISCARD_LABELS])
     return typed.withColumn("motivo_descarte", reason)
@@ -105,13 +110,14 @@ def normalize_category(c: Column, mapping: dict[str, str] | None) -> Column:
 def sanitize(raw: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, aliases: dict[str, str] | None = None):
     """Return ``(lines, discarded, quality)``, all lazy DataFrames.
 
-    ``lines`` conforms to ``sales_lines``; ``discarded`` keeps the typed row plus
-    ``fila_original`` and ``motivo_descarte``; ``quality`` has one row per store.
+    ``lines`` conforms to ``sales_lines``; ``discarded`` keeps the row's original
+    text with ``fila_original`` and ``motivo_descarte``; ``quality`` has one row per store.
     """
     typed = coerce(raw, aliases)
     keep = typed.filter(F.col("motivo_descarte") == "")
     lines = conform(keep.withColumn("category", normalize_category(F.col("category_raw"), cfg.category_map)))
-    discarded = typed.filter(F.col("motivo_descarte") != "").withColumn("fila_original", F.col("row_seq"))
+    discarded = typed.filter(F.col("motivo_descarte") != "").select(
+        STORE, F.col("row_seq").alias("fila_original"), "original.*", "motivo_descarte")
     return lines, discarded, quality_counts(typed)
 
 

@@ -21,13 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.config import MAPPING_TARGETS
+from tillsight.config import MAPPING_TARGETS, POS_COLUMNS
 from tillsight.operators._common import STORE
 
 MAP_COLUMNS = ("sistema", "precio_post", "fecha_desde", "nombre", "categoria", "subcategoria", "margen_pct")
 MAP_REQUIRED = ("sistema", "nombre", "categoria", "subcategoria", "margen_pct")
 
 
+# Columns that order or locate a line on the way; no part of an export.
+INTERNAL = ("source_rank", "source_file", "source_order", "row_pos", "row_seq")
+
+
 class MapError(ValueError):
     pass
 
@@ -52,9 +56,17 @@ def consolidate(raw: DataFrame, order_cols: tuple[str, ...] = ("source_rank", "r
 
 
 def typed_pos(raw: DataFrame) -> DataFrame:
-    """Coerce consolidated POS text (bad value → null)."""
+    """Coerce consolidated POS text (bad value → null).
+
+    The time text is kept as ``time_txt``; enrichment that the file brings becomes ``category_raw``,
+    ``subcategory`` and ``margin_pct``; every other column is carried along.
+    """
     from tillsight.functions.dates import parse_date, parse_hour
+    from tillsight.functions.numbers import parse_margin
 
+    own = {"Categoria Real": ("category_raw", F.col), "Sub Categoria Real": ("subcategory", F.col),
+           "margin_pct": ("margin_pct", parse_margin), "Nombre Corregido": ("own_name", F.col)}
+    known = {STORE, *INTERNAL, *POS_COLUMNS, *own}
     return raw.select(
         STORE,
         *[c for c in ("source_rank", "row_pos", "row_seq") if c in raw.columns],
@@ -65,6 +77,9 @@ def typed_pos(raw: DataFrame) -> DataFrame:
         F.trim(F.col("Cantidad")).try_cast("decimal(18,6)").alias("quantity"),
         F.trim(F.col("Individual")).try_cast("decimal(18,4)").alias("unit_price"),
         F.trim(F.col("Total")).try_cast("decimal(18,4)").alias("total"),
+        (F.col("Hora") if "Hora" in raw.columns else F.lit("00:00")).alias("time_txt"),
+        *[read(f"`{c}`").alias(name) for c, (name, read) in own.items() if c in raw.columns],
+        *[F.col(f"`{c}`") for c in raw.columns if c not in known],
     )
 
 
@@ -162,7 +177,12 @@ def enrich(sales: DataFrame, pm: DataFrame) -> DataFrame:
 
 
 def _apply(lines: DataFrame, m: DataFrame, keys: list[str], kind: Column) -> DataFrame:
-    j = lines.join(m, keys, "left")
+    # null-safe: a line without price or date has a best map row too
+    right = m.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in m.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = lines.drop("category_raw", "subcategory", "margin_pct").join(right, same, "left").drop(*[f"_k_{k}" for k in keys])
     return j.withColumn("product", F.coalesce(F.col("nombre"), F.col("product_raw"))).withColumn(
         "category_raw", F.col("categoria")).withColumn("subcategory", F.col("subcategoria")).withColumn(
         "margin_pct", F.col("margen_pct")).withColumn("match_kind", kind).drop(*_PAYLOAD)
@@ -248,11 +268,17 @@ def apply_column_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 def without_map(lines: DataFrame, own_category: bool) -> DataFrame:
-    """No product map applies — name = product; category from the file (own
-    category) or ``Otros``; subcategory and margin null."""
-    cat = F.coalesce(F.col("category_raw"), F.lit("Otros")) if own_category else F.lit("Otros")
-    return lines.withColumn("product", F.col("product_raw")).withColumn("category_raw", cat).withColumn(
-        "subcategory", F.lit(None).cast("string")).withColumn("margin_pct", F.lit(None).cast("double"))
+    """No product map applies — the file's own name, category, subcategory and margin
+    where it has them (own category), else name = product, category ``Otros``, the rest null."""
+    have = set(lines.columns) if own_category else set()
+
+    def own(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+
+    made = {"product": F.coalesce(own("own_name", "string"), F.col("product_raw")),
+            "category_raw": F.coalesce(own("category_raw", "string"), F.lit("Otros")),
+            "subcategory": own("subcategory", "string"), "margin_pct": own("margin_pct", "double")}
+    return lines.withColumns(made).drop("own_name")
 
 
 def category_margin_fallback(lines: DataFrame, category_margins: DataFrame) -> DataFrame:
@@ -277,12 +303,13 @@ def normalized_export(enriched: DataFrame) -> DataFrame:
     from tillsight.functions.dates import month_abbr, weekday_es
 
     used = {"sale_date", "order_id", "product_raw", "quantity", "unit_price", "total", "product", "category_raw",
-            "subcategory", "sale_hour", "margin_pct"}
+            "subcategory", "sale_hour", "margin_pct", "time_txt", "own_name", "match_kind", *INTERNAL}
     lower_out = {c.lower() for c in OUTPUT_ORDER}
     extras = [c for c in enriched.columns if c not in used and c.lower() not in lower_out]
     return enriched.select(
         F.date_format("sale_date", "yyyy-MM-dd").alias("Fecha"),
-        F.format_string("%02d:00:00", F.col("sale_hour")).alias("Hora"),
+        (F.col("time_txt") if "time_txt" in enriched.columns
+         else F.format_string("%02d:00:00", F.col("sale_hour"))).alias("Hora"),
         F.col("order_id").alias("Código venta"), F.col("product_raw").alias("Producto"),
         F.col("quantity").alias("Cantidad"), F.col("unit_price").alias("Individual"), F.col("total").alias("Total"),
         F.col("product").alias("Nombre Corregido"), F.col("category_raw").alias("Categoria Real"),

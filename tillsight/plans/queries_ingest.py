@@ -43,13 +43,10 @@ def q_category_suggestion(spark, d):
 
 
 def _header_table(spark, d):
-    """One "file" per driver table (its column names) plus the raw POS export header."""
-    rows = []
-    for t in ("lineitem", "orders", "part", "customer", "events"):
-        rows += [(t, i, c) for i, c in enumerate(B.table(spark, d, t).columns)]
-    raw = B.raw_pos_lines(spark, d)
-    rows += [("pos_export", i, c) for i, c in enumerate(c for c in raw.columns if c not in ("store_id", "row_seq"))]
-    return spark.createDataFrame(rows, "file_id string, pos int, header string")
+    """The header cells of every written export, as its upload profile reads them."""
+    prof = FS.profile_uploads(spark, _write_csv_exports(spark, d) + "/*/*/part-*")
+    return prof.select(F.regexp_extract("path", "(store_id=[^/]+/year=[^/]+)", 1).alias("file_id"),
+                       F.posexplode("headers").alias("pos", "header")).distinct()
 
 
 @register("header_automap", None)
@@ -70,7 +67,6 @@ XML_HEAD = ('<?xml version="1.0"?>\n<Workbook xmlns="urn:schemas-microsoft-com:o
             'xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="Ventas"><Table>')
 XML_TAIL = "</Table></Worksheet></Workbook>"
 POS = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Individual", "Total")
-LINES_PER_XML_BUCKET = 2_000_000  # bucket count grows with the data; one bucket holds ≤ ~1/n of a store-month
 
 
 def _write_spreadsheetml(spark, d) -> str:
@@ -83,11 +79,9 @@ def _write_spreadsheetml(spark, d) -> str:
         return F.concat(F.lit(f"<Cell{idx}><Data ss:Type=\"String\">"), _xml_escape(F.col(f"`{c}`")), F.lit("</Data></Cell>"))
     frag = F.concat(F.lit("<Row>"), *[cell(i, c) for i, c in enumerate(POS)], F.lit("</Row>"))
     header = "<Row>" + "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for h in POS) + "</Row>"
-    # one document per (store, month, order-hash bucket): every group, and so every task,
-    # holds a bounded share of a store's month
-    buckets = max(1, -(-B.tpch_lines(spark, d).count() // LINES_PER_XML_BUCKET))  # count of the written lines table
+    # one document per store and half month: the layout is the same for every size of the data
     rows = raw.select("store_id", F.substring("Fecha", 1, 7).alias("month"),
-                      F.pmod(F.xxhash64("Código venta"), F.lit(buckets)).alias("bucket"), "row_pos", frag.alias("x"))
+                      F.expr("(cast(substring(Fecha, 9, 2) as int) - 1) div 16").alias("bucket"), "row_pos", frag.alias("x"))
     docs = rows.groupBy("store_id", "month", "bucket").agg(
         # row order inside a document does not reach the parsed output (only cells do)
         F.concat(F.lit(XML_HEAD + header), F.array_join(F.collect_list("x"), ""), F.lit(XML_TAIL)).alias("value"))
@@ -269,14 +263,75 @@ def q_job_specs(spark, d):
     return v.withColumn("problems", F.array_join("problems", "; "))
 
 
-@register("payload_documents", None)
+@register("payload_documents", with_ctes(O.lines_a(), body="""
+p AS (SELECT store_id, product, sum(total) AS revenue FROM lines_a GROUP BY 1, 2)
+SELECT store_id, count(DISTINCT product) AS n_products,
+       (SELECT count(DISTINCT sale_date) FROM lines_a l WHERE l.store_id = p.store_id) AS n_days,
+       arg_max(product, revenue) AS first_product, arg_min(product, revenue) AS last_product FROM p GROUP BY 1"""))
 def q_payload_documents(spark, d):
-    """One gzip JSON document per store (summary, top products, daily timeline), read back."""
+    """One gzip JSON document per store (all products in rank order, daily timeline), read back."""
     lines = B.tpch_lines(spark, d)
     path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/payload")
-    SK.write_json_documents({"summary": P.products_pareto(lines).filter("rank <= 20").select("store_id", "product", "revenue"),
-                             "daily": TL.daily(lines)}, path, gzip=True)
+    SK.write_json_documents({"products": P.products_pareto(lines), "daily": TL.daily(lines)}, path, gzip=True)
     doc = spark.read.text(path)
-    return doc.select(F.get_json_object("value", "$.store_id").alias("store_id"), F.length("value").alias("doc_chars"),
-                      F.size(F.from_json(F.get_json_object("value", "$.summary"), "array<string>")).alias("n_products"),
-                      F.size(F.from_json(F.get_json_object("value", "$.daily"), "array<string>")).alias("n_days"))
+    products = F.from_json(F.get_json_object("value", "$.products"), "array<struct<product:string>>")
+    return doc.select(F.get_json_object("value", "$.store_id").alias("store_id"), products.alias("p"),
+                      F.size(F.from_json(F.get_json_object("value", "$.daily"), "array<string>")).alias("n_days")).select(
+        "store_id", F.size("p").cast("bigint").alias("n_products"), F.col("n_days").cast("bigint").alias("n_days"),
+        F.element_at("p", 1)["product"].alias("first_product"), F.element_at("p", -1)["product"].alias("last_product"))
+
+
+@register("raw_scan_mixed_headers", f"""
+SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, l.l_orderkey % 2 = 1 AS has_caja, count(*) AS lines,
+       sum(CAST(l.l_quantity AS BIGINT))::BIGINT AS units, count(DISTINCT l.l_orderkey) AS orders, 1 AS skipped_files
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2""")
+def q_raw_scan_mixed_headers(spark, d):
+    """Exports with two column orders and one file without the POS columns, scanned together."""
+    base = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/mixed_exports")
+    text = B.pos_export_text(spark, d).select("store_id", *[F.col(f"`{c}`") for c in POS])
+    odd = F.col("`Código venta`").cast("bigint") % 2 == 1
+    text.where(~odd).write.mode("overwrite").option("header", True).csv(f"{base}/a")
+    text.where(odd).select(F.lit("1").alias("Caja"), *[F.col(f"`{c}`") for c in reversed(POS)], "store_id").write.mode(
+        "overwrite").option("header", True).csv(f"{base}/b")
+    text.select("store_id", "Producto").distinct().coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/c")
+    paths = [f"{base}/{x}" for x in "abc"]
+    skipped = FS.unusable_exports(spark, paths).agg(F.count(F.lit(1)).cast("int").alias("skipped_files"))
+    got = FS.read_csv_exports(spark, paths).groupBy("store_id", F.col("Caja").isNotNull().alias("has_caja")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("Cantidad").cast("bigint")).alias("units"),
+        F.count_distinct("Código venta").alias("orders"))
+    return got.withColumn("skipped_files", F.lit(skipped.first()[0]))
+
+
+@register("pipeline_lines", f"""
+WITH c AS ({_consolidate_sql()})
+SELECT store_id, product_raw AS product, 'Otros' AS category, substring(fecha, 1, 7) AS month, count(*) AS lines,
+       round(sum(CAST(unit_price_txt AS DOUBLE)), 2) AS prices
+FROM c GROUP BY 1, 2, 3, 4""")
+def q_pipeline_lines(spark, d):
+    """Written export files → scan → consolidate → fallback enrichment → normalized text → sanitized lines."""
+    from tillsight.operators import clean
+    from tillsight.plans.report import ReportJob
+
+    raw = FS.read_csv_exports(spark, _write_overlapping_exports(spark, d))
+    rank = F.regexp_extract("source_file", "export_([0-9]+)", 1).cast("int")
+    raw = raw.withColumn("source_rank", F.struct(rank.alias("rank"), "source_order"))
+    lines, _, _ = clean.sanitize(ReportJob(spark).normalize(raw))
+    # the dedup key decides how many lines there are; which of two equal keys survives depends on the part files
+    return lines.groupBy("store_id", "product", "category", F.date_format("sale_date", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("unit_price").cast("double"), 2).alias("prices"))
+
+
+@register("date_text_forms", """
+WITH o AS (SELECT o_orderkey % 6 AS form, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)
+SELECT form, CASE WHEN form = 5 THEN NULL WHEN form = 4 AND d <= 12 THEN make_date(y, d, m) ELSE make_date(y, m, d) END AS sale_date,
+       count(*) AS orders FROM o GROUP BY 1, 2""")
+def q_date_text_forms(spark, d):
+    """Order dates written in five forms and one bad one, read back (the month leads in year-last dates)."""
+    from tillsight.functions.dates import parse_date
+
+    o, at = B.table(spark, d, "orders"), F.col("o_orderdate")
+    form = (F.col("o_orderkey") % 6).alias("form")
+    text = (F.when(form == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).when(form == 1, F.date_format(at, "yyyy-MM-dd HH:mm"))
+            .when(form == 2, F.date_format(at, "yyyy-M-d")).when(form == 3, F.date_format(at, "M/d/yyyy 10:00"))
+            .when(form == 4, F.date_format(at, "d/M/yyyy")).otherwise(F.date_format(at, "yyyy-MM-dd 'x'")))
+    return o.select(form, parse_date(text).alias("sale_date")).groupBy("form", "sale_date").agg(F.count(F.lit(1)).alias("orders"))

@@ -146,3 +146,25 @@ def q_column_mapping(spark, d):
     return m.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_distinct("Hora").cast("int").alias("hours_seen"),
         F.round(F.sum(F.col("Individual").cast("double")), 2).alias("sum_unit_price"))
+
+
+@register("map_null_price", with_ctes(O.pos_sales(), O.product_map(), body="""
+s AS (SELECT store_id, product_raw, CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 THEN NULL ELSE unit_price END AS price,
+             CASE WHEN CAST(order_id AS BIGINT) % 7 = 0 THEN NULL ELSE sale_date END AS day FROM sales),
+plain AS (SELECT * FROM s WHERE (SELECT count(DISTINCT m.nombre) FROM pm m WHERE m.store_id = s.store_id
+             AND m.sistema = s.product_raw AND m.precio_post IS NOT NULL) <= 1),
+best AS (SELECT p.store_id, p.product_raw, (SELECT m.nombre FROM pm m WHERE m.store_id = p.store_id AND m.sistema = p.product_raw
+             AND (m.fecha_desde IS NULL OR m.fecha_desde <= p.day)
+           ORDER BY CASE WHEN m.precio_post = p.price THEN 0 WHEN m.precio_post IS NULL THEN 1 ELSE 2 END,
+             m.fecha_desde IS NULL, m.fecha_desde DESC, m.map_seq LIMIT 1) AS nombre FROM plain p)
+SELECT store_id, product_raw, COALESCE(nombre, product_raw) AS product, nombre IS NOT NULL AS matched, count(*) AS lines
+FROM best GROUP BY 1, 2, 3, 4"""))
+def q_map_null_price(spark, d):
+    """Map lookup of lines of which some have no price and some no date."""
+    order = F.col("order_id").cast("bigint")
+    sales = B.pos_sales(spark, d).withColumns({"unit_price": F.when(order % 5 != 0, F.col("unit_price")),
+                                               "sale_date": F.when(order % 7 != 0, F.col("sale_date"))})
+    e = N.enrich(sales, N.prepare_product_map(B.derived_product_map(spark, d)))
+    e = e.where(~F.col("match_kind").startswith("split"))
+    return e.groupBy("store_id", "product_raw", "product", (F.col("match_kind") != "unmatched").alias("matched")).agg(
+        F.count(F.lit(1)).alias("lines"))

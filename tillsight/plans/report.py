@@ -1,7 +1,10 @@
 """The report job end to end, for many stores in one Spark application.
 
-    read exports → (map) normalize → sanitize → sales_lines (written once) →
-    report modules → insights / recommendations → sinks
+    exports → consolidate → own enrichment, product map or fallback → category margins →
+    normalized text → sanitize → sales_lines (written once) → report modules →
+    insights / recommendations → sinks
+
+``run_exports`` starts from raw export text, ``run`` from normalized text.
 
 Every step is a lazy DataFrame; the only materializations are the written
 ``sales_lines`` table (lineage cut, shared by all modules) and the small per-store
@@ -10,8 +13,9 @@ module outputs.  Nothing is collected on the driver.
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +34,32 @@ from tillsight.sources.bindings import materialized
 class ReportJob:
     spark: SparkSession
     cfg: ReportConfig = DEFAULT_REPORT
-    run_id: str = "report"
+    run_id: str = field(default_factory=lambda: f"report-{uuid.uuid4().hex}")
     concurrent_jobs: int = 4
 
-    def normalize(self, raw_exports: DataFrame, product_map: DataFrame | None) -> DataFrame:
-        """Consolidate, coerce, enrich with the map (or the no-map fallback)."""
+    def normalize(self, raw_exports: DataFrame, product_map: DataFrame | None = None,
+                  category_margins: DataFrame | None = None) -> DataFrame:
+        """Raw exports → normalized export text, the input of :meth:`run`.
+
+        A file's own categories win over the product map, the map over the fallback; a line without a
+        margin takes its category's estimate where one is given.
+        """
         typed = N.typed_pos(N.consolidate(raw_exports))
-        if product_map is None:
-            return N.without_map(typed, own_category=False)
-        return N.enrich(typed, N.prepare_product_map(product_map))
+        if "category_raw" in typed.columns:
+            rich = N.without_map(typed, own_category=True)
+        elif product_map is not None:
+            rich = N.enrich(typed, N.prepare_product_map(product_map))
+        else:
+            rich = N.without_map(typed, own_category=False)
+        if category_margins is not None:
+            filled = N.category_margin_fallback(rich.withColumnRenamed("category_raw", "category"), category_margins)
+            rich = filled.withColumnRenamed("category", "category_raw").drop("margin_source")
+        return N.normalized_export(rich)
+
+    def run_exports(self, raw_exports: DataFrame, product_map: DataFrame | None = None,
+                    category_margins: DataFrame | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
+        """The whole way from raw export text (columns of the readers in ``sources.files``)."""
+        return self.run(self.normalize(raw_exports, product_map, category_margins), out_dir)
 
     def lines(self, normalized_text: DataFrame):
         """Sanitize and write ``sales_lines`` once; returns (lines, discarded, quality)."""

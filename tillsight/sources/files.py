@@ -10,7 +10,10 @@ file per task is the natural unit; nothing is collected on the driver.
 
 from __future__ import annotations
 
+import csv
+import functools
 import hashlib
+import io
 import xml.etree.ElementTree as ET
 from typing import Iterator
 
@@ -31,27 +34,54 @@ class SourceError(RuntimeError):
 
 # ── S1/S2/S5: CSV exports ───────────────────────────────────────────────────
 
+def csv_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``source_file``, ``header``: the first line of every text file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value",
+                                          F.struct(F.col("_metadata.file_block_start"),
+                                                   F.monotonically_increasing_id()).alias("at"))
+    return lines.groupBy("source_file").agg(F.min_by("value", "at").alias("header"))
+
+
+def _usable(header: str) -> bool:
+    return set(POS_COLUMNS) <= set(_cells(header.lstrip("\ufeff"), ","))
+
+
+def unusable_exports(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """``source_file``, ``header`` of the files that :func:`read_csv_exports` skips for want of a POS column."""
+    missing = [~F.col("header").contains(c) for c in POS_COLUMNS]
+    return csv_headers(spark, paths).where(functools.reduce(lambda a, b: a | b, missing))
+
+
 def read_csv_exports(spark: SparkSession, paths: list[str] | str, legacy_suffix: str | None = None) -> DataFrame:
     """All-text scan of POS CSV exports with source order columns.
 
-    ``source_order`` orders files (a legacy file — name ending with ``legacy_suffix`` —
-    last, then by modification time, then path) and ``row_pos`` is the position inside
-    the scan; use both as the consolidation order.  No global ranking step: the order is
-    a per-row struct.  Enrichment columns of legacy files are dropped and the 7 POS
-    columns are required (S5).  Malformed lines are kept as nulls (PERMISSIVE).
+    Files may differ in column order and extra columns: files with the same header line are scanned
+    together and columns are matched by name (absent extras are null).  Files without the 7 POS
+    columns are skipped (S5) and listed by :func:`unusable_exports`; none usable is an error.
+    ``source_order`` orders files (a legacy file — name ending with ``legacy_suffix`` — last, then by
+    modification time, then path) and ``row_pos`` is the position inside the scan; use both as
+    the consolidation order.  Enrichment columns of legacy files are dropped.  Malformed
+    lines are kept as nulls (PERMISSIVE).
     """
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
-          .option("encoding", "UTF-8").csv(paths))
-    missing = [c for c in POS_COLUMNS if c not in df.columns]
-    if missing:
-        raise SourceError("faltan columnas POS: " + ", ".join(missing))
-    path = F.col("_metadata.file_path")
-    legacy = path.endswith(legacy_suffix) if legacy_suffix else F.lit(False)
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ENRICHMENT_COLUMNS],
-                     path.alias("source_file"),
-                     F.struct(legacy.alias("is_legacy"), F.col("_metadata.file_modification_time").alias("mtime"),
-                              path.alias("path")).alias("source_order"),
-                     F.monotonically_increasing_id().alias("row_pos"))
+    by_header: dict[str, list[str]] = {}
+    for r in csv_headers(spark, paths).orderBy("source_file").collect():  # one row per file, as in the listing
+        if _usable(r["header"] or ""):
+            by_header.setdefault(r["header"], []).append(r["source_file"])
+    if not by_header:
+        raise SourceError("faltan columnas POS: " + ", ".join(POS_COLUMNS))
+    out = None
+    for header, files in by_header.items():
+        df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+              .option("encoding", "UTF-8").csv(files))
+        path = F.col("_metadata.file_path")
+        legacy = path.endswith(legacy_suffix) if legacy_suffix else F.lit(False)
+        part = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns if c not in ENRICHMENT_COLUMNS],
+                         path.alias("source_file"),
+                         F.struct(legacy.alias("is_legacy"), F.col("_metadata.file_modification_time").alias("mtime"),
+                                  path.alias("path")).alias("source_order"),
+                         F.monotonically_increasing_id().alias("row_pos"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def newest_csv(spark: SparkSession, folder: str, exclude: str = SAMPLE_CSV_NAME) -> DataFrame:
@@ -66,85 +96,71 @@ def newest_csv(spark: SparkSession, folder: str, exclude: str = SAMPLE_CSV_NAME)
 # ── S3/S4: SpreadsheetML and binary sheets ──────────────────────────────────
 
 _SS = "urn:schemas-microsoft-com:office:spreadsheet"
-CELL_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("row_ix", T.IntegerType()),
-    T.StructField("col_ix", T.IntegerType()), T.StructField("value", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
-
-def _spreadsheetml_cells(path: str, content: bytes) -> list[tuple]:
-    """Cells of the first Worksheet/Table; ``ss:Index`` (1-based) repositions a cell."""
+def _sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
+    """Rows of the first worksheet as {column: text}, read event by event; ``ss:Index`` places a cell."""
     if not content[:64].lstrip().startswith(b"<?xml"):
-        return [(path, -1, -1, None, "not SpreadsheetML (binary .xls/.xlsx needs an optional reader)")]
-    root = ET.fromstring(content)
-    ws = root.find(f".//{{{_SS}}}Worksheet")
-    table = ws.find(f"{{{_SS}}}Table") if ws is not None else None
-    if table is None:
-        return [(path, -1, -1, None, "no Worksheet/Table element")]
-    out = []
-    for r, row in enumerate(table.findall(f"{{{_SS}}}Row")):
-        col = 0
-        for cell in row.findall(f"{{{_SS}}}Cell"):
-            idx = cell.get(f"{{{_SS}}}Index")
-            if idx is not None:
-                col = int(idx) - 1
-            data = cell.find(f"{{{_SS}}}Data")
-            out.append((path, r, col, data.text if data is not None else None, None))
-            col += 1
-    return out
-
-
-def _cells_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows: list[tuple] = []
-        for path, content in zip(b["path"], b["content"]):
-            try:
-                rows.extend(_spreadsheetml_cells(path, bytes(content)))
-            except ET.ParseError as e:  # unreadable file: reported, others continue
-                rows.append((path, -1, -1, None, f"parse error: {e}"))
-        yield pd.DataFrame(rows, columns=[f.name for f in CELL_SCHEMA.fields])
+        raise SourceError("not SpreadsheetML (binary .xls/.xlsx needs an optional reader)")
+    cells: dict[int, str | None] = {}
+    text, at, seen = None, 0, False
+    for event, node in ET.iterparse(io.BytesIO(content), events=("start", "end")):
+        name = node.tag.removeprefix(f"{{{_SS}}}")
+        if event == "start":
+            seen |= name == "Table"
+            if name == "Cell":
+                at, text = int(node.get(f"{{{_SS}}}Index", at + 1)), None
+            elif name == "Row":
+                cells, at = {}, 0
+            continue
+        if name == "Data":
+            text = node.text
+        elif name == "Cell":
+            cells[at - 1] = text
+        elif name == "Row":
+            yield cells
+            node.clear()
+        elif name == "Worksheet":
+            break
+    if not seen:
+        raise SourceError("no Worksheet/Table element")
 
 
 ROW_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType()), T.StructField("row_pos", T.IntegerType()),
-    *[T.StructField(c, T.StringType()) for c in POS_COLUMNS],
+    *[T.StructField(c, T.StringType()) for c in POS_COLUMNS], T.StructField("error", T.StringType()),
 ])
 
 
 def _rows_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wide rows per file: the header row maps each POS column to its cell position."""
+    """Wide rows, one file at a time: the header row maps each POS column to its cell position.  A file
+    that can't be read gives one row with its error."""
     for b in batches:
-        out: list[tuple] = []
         for path, content in zip(b["path"], b["content"]):
+            out: list[tuple] = []
             try:
-                cells = _spreadsheetml_cells(path, bytes(content))
-            except ET.ParseError:
-                continue
-            if not cells or cells[0][4] is not None:
-                continue
-            grid: dict[int, dict[int, str | None]] = {}
-            for _, r, c, v, _ in cells:
-                grid.setdefault(r, {})[c] = v
-            header = {(v or "").strip(): c for c, v in grid.get(0, {}).items()}
-            pos = [header.get(name) for name in POS_COLUMNS]
-            for r in sorted(k for k in grid if k > 0):
-                row = grid[r]
-                out.append((path, r, *[row.get(p) if p is not None else None for p in pos]))
-        yield pd.DataFrame(out, columns=[f.name for f in ROW_SCHEMA.fields])
+                rows = _sheet_rows(bytes(content))
+                header = {(v or "").strip(): c for c, v in next(rows, {}).items()}
+                pos = [header.get(name) for name in POS_COLUMNS]
+                out = [(path, r, *[row.get(p) for p in pos], None) for r, row in enumerate(rows, 1)]
+            except (ET.ParseError, SourceError, ValueError) as e:
+                out = [(path, -1, *[None] * len(POS_COLUMNS), str(e))]
+            yield pd.DataFrame(out, columns=[f.name for f in ROW_SCHEMA.fields])
+
+
+def scan_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """S3: SpreadsheetML ``.xls`` exports: data rows with the 7 POS columns (header = first row, short rows padded
+    with null), and for a file that can't be read one row with ``row_pos`` -1 and its ``error``."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(_rows_udf, ROW_SCHEMA)
 
 
 def read_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: SpreadsheetML ``.xls`` exports → one row per data line with the 7 POS columns
-    (header = first row, ``ss:Index`` repositions cells, short rows padded with null).
-    Files that cannot be parsed are skipped here and listed by :func:`read_errors`."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_rows_udf, ROW_SCHEMA)
+    """The data rows of :func:`scan_spreadsheetml`."""
+    return scan_spreadsheetml(spark, paths).where("error is null").drop("error")
 
 
 def read_errors(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_cells_udf, CELL_SCHEMA).filter(F.col("error").isNotNull()).select("path", "error")
+    """The unreadable files of :func:`scan_spreadsheetml`."""
+    return scan_spreadsheetml(spark, paths).where("error is not null").select(F.col("source_file").alias("path"), "error")
 
 
 # ── S14: upload profile ─────────────────────────────────────────────────────
@@ -157,52 +173,24 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _decode(buf: bytes) -> tuple[str, str]:
-    text = buf.decode("utf-8", errors="replace")
-    bad = text.count("�")
-    if bad > 5 or (len(text) > 0 and bad / len(text) > 0.001):
-        return buf.decode("latin-1"), "latin-1"
-    return text, "utf-8"
-
-
-def _delimiter(line: str) -> str:
-    counts = sorted(((d, line.count(d)) for d in (";", ",", "\t")), key=lambda x: -x[1])
-    return counts[0][0] if counts[0][1] > 0 else ","
-
-
-def _split(line: str, delim: str) -> list[str]:
-    out, cur, q, i = [], [], False, 0
-    while i < len(line):
-        ch = line[i]
-        if q:
-            if ch == '"':
-                if i + 1 < len(line) and line[i + 1] == '"':
-                    cur.append('"')
-                    i += 1
-                else:
-                    q = False
-            else:
-                cur.append(ch)
-        elif ch == '"':
-            q = True
-        elif ch == delim:
-            out.append("".join(cur))
-            cur = []
-        else:
-            cur.append(ch)
-        i += 1
-    out.append("".join(cur))
-    return [s.strip() for s in out]
+DELIMITERS = ";,\t"
+
+
+def _cells(line: str, delimiter: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter), [])]
 
 
 def profile_bytes(path: str, buf: bytes, sample_rows: int = 5) -> tuple:
-    text, enc = _decode(buf)
-    lines = [ln for ln in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if ln.strip()]
-    sha = hashlib.sha256(buf).hexdigest()
-    if not lines:
-        return (path, enc, ",", [], [], 0, sha)
-    d = _delimiter(lines[0])
-    return (path, enc, d, _split(lines[0], d), [_split(x, d) for x in lines[1:1 + sample_rows]], len(lines) - 1, sha)
+    """Encoding, delimiter, headers, sample, row count and digest of one file."""
+    text, encoding = buf.decode("utf-8", errors="replace"), "utf-8"
+    if text.count("\ufffd") > min(5, len(text) / 1000):
+        text, encoding = buf.decode("latin-1"), "latin-1"
+    lines = [line for line in text.splitlines() if line.strip()]
+    head = lines[0] if lines else ""
+    delimiter = max(DELIMITERS, key=head.count) if any(d in head for d in DELIMITERS) else ","
+    table = [_cells(line, delimiter) for line in lines[:1 + sample_rows]]
+    return (path, encoding, delimiter, table[0] if table else [], table[1:], max(0, len(lines) - 1),
+            hashlib.sha256(buf).hexdigest())
 
 
 def _profile_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
