@@ -63,20 +63,22 @@ def trunc_int(c: str | Column) -> Column:
 
 # ── shared intermediates of one report run ─────────────────────────────────
 
-_SHARED: dict[int, str] = {}
-
-
 def enable_sharing(lines: DataFrame, run_key: str) -> None:
     """Mark ``lines`` as the line table of a report run: intermediates derived from it
     through :func:`shared` (per-order totals, baskets) are then written once for the run
-    and scanned by every module, instead of each module re-shuffling the full table."""
-    _SHARED[id(lines)] = run_key
+    and scanned by every module, instead of each module re-shuffling the full table.
+    The mark is on this DataFrame object alone."""
+    lines._tillsight_run = run_key
 
 
-def shared(lines: DataFrame, name: str, build) -> DataFrame:
-    key = _SHARED.get(id(lines))
-    if key is None:
+def shared(lines: DataFrame, name: str, build, always: bool = False) -> DataFrame:
+    """``build()``, written once per report run; outside a run as it is, or written too if ``always``
+    (for an intermediate that one plan would otherwise compute several times)."""
+    key = getattr(lines, "_tillsight_run", None)
+    if key is None and not always:
         return build()
-    from tillsight.sources.bindings import materialized
+    from tillsight.sources.bindings import materialized, written
 
+    if key is None:
+        return written(build(), name)
     return materialized(lines.sparkSession, f"{key}|{name}", build)

@@ -33,11 +33,6 @@ def baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "p
     return shared(lines, f"baskets_{item}_{cfg.min_basket_size}", build)
 
 
-def multi_orders(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    sizes = lines.groupBy(STORE, "order_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    return sizes.filter(F.col("n_lines") >= cfg.min_basket_size).select(STORE, "order_id")
-
-
 def basket_items(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
     """Distinct (store, order, item) over multi-line orders."""
     return baskets(lines, cfg, item).select(STORE, "order_id", F.explode("basket").alias("item"))
@@ -63,6 +58,13 @@ def basket_counts(bk: DataFrame) -> DataFrame:
     return k.groupBy(STORE, "kind", "item_a", "item_b").agg(F.count(F.lit(1)).alias("count"))
 
 
+def counts_of(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
+    """:func:`basket_counts` of a line table, written: filters on ``kind`` would else be pushed below the
+    aggregate and explode the pairs once for each use."""
+    return shared(lines, f"basket_counts_{item}_{cfg.min_basket_size}",
+                  lambda: basket_counts(baskets(lines, cfg, item)), always=True)
+
+
 def item_counts(bc: DataFrame) -> DataFrame:
     """(store, item, item_orders) — multi-line baskets containing the item."""
     return bc.filter(F.col("kind") == 1).select(STORE, F.col("item_a").alias("item"), F.col("count").alias("item_orders"))
@@ -72,10 +74,6 @@ def basket_totals(bc: DataFrame) -> DataFrame:
     return bc.filter(F.col("kind") == 0).select(STORE, F.col("count").alias("total_baskets"))
 
 
-def total_baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    return basket_totals(basket_counts(baskets(lines, cfg)))
-
-
 def pair_counts(bc: DataFrame) -> DataFrame:
     """(store, item_a, item_b, count) with item_a < item_b, count = orders holding both."""
     return bc.filter(F.col("kind") == 2).select(STORE, "item_a", "item_b", "count")
@@ -98,7 +96,7 @@ def product_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: st
     ``keep`` defaults to ``2 * top_n_pairs`` (the candidate list the high-lift filter
     scans); ``rank <= top_n_pairs`` is the shown list.
     """
-    bc = basket_counts(baskets(lines, cfg, item))
+    bc = counts_of(lines, cfg, item)
     ranked = top_k(pair_counts(bc), keep if keep is not None else 2 * cfg.top_n_pairs,
                    [F.col("count").desc(), F.col("item_a"), F.col("item_b")])
     m = _pair_measures(ranked, item_counts(bc), basket_totals(bc))
@@ -123,7 +121,7 @@ def high_lift_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item:
 
 
 def category_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    pairs = pair_counts(basket_counts(baskets(lines, cfg, "category")))
+    pairs = pair_counts(counts_of(lines, cfg, "category"))
     ranked = top_k(pairs, cfg.cat_pairs_top_k, [F.col("count").desc(), F.col("item_a"), F.col("item_b")])
     return ranked.select(STORE, "rank", F.col("item_a").alias("cat_a"), F.col("item_b").alias("cat_b"), "count")
 
@@ -137,7 +135,7 @@ def rules(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "pro
     unordered pair the best by (score, count, confidence) on rounded values; top k.
     The count filter runs on the pair aggregate, before any join.
     """
-    bc = basket_counts(baskets(lines, cfg, item))
+    bc = counts_of(lines, cfg, item)
     pairs = pair_counts(bc).filter(F.col("count") >= cfg.rule_min_count)
     directed = pairs.select(STORE, F.inline(F.array(
         F.struct(F.col("item_a"), F.col("item_b")),

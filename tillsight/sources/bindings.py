@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,13 @@ def materialized(spark: SparkSession, key: str, build) -> DataFrame:
         return _materialize_locked(spark, app, key, mkey, build)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder, in a place of its own, and scan it."""
+    path = scratch_table_path(df.sparkSession, f"{df.sparkSession.sparkContext.applicationId}/w{uuid.uuid4().hex}_{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _materialize_locked(spark: SparkSession, app: str, key: str, mkey, build) -> DataFrame:
     df = _TABLES.get(mkey)
     if df is None:
