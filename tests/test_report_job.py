@@ -19,3 +19,21 @@ def test_report_job_writes_every_module(spark):
     ins = written["insights"].collect()
     assert ins and all(r["title"] and r["action"] for r in ins)
     assert written["recommendations"].groupBy("store_id").count().agg({"count": "max"}).collect()[0][0] <= 3
+
+
+def test_a_second_report_sees_its_own_lines(spark):
+    cols = "store_id string, row_seq bigint, Fecha string, `Código venta` string, `Nombre Corregido` string, `Categoria Real` string, " \
+           "Cantidad string, Individual string, Total string, Hour string"
+    for quantity in ("1", "99"):
+        raw = spark.createDataFrame([("S", 1, "2026-01-05", "1", "a", "c", quantity, "10", "10", "9")], cols)
+        lines, _, _ = ReportJob(spark).lines(raw)
+        assert [str(int(r["quantity"])) for r in lines.collect()] == [quantity]
+
+
+def test_sharing_follows_the_marked_frame_only(spark):
+    from tillsight.operators._common import enable_sharing, shared
+
+    one, two = spark.range(1), spark.range(2)
+    enable_sharing(one, "test-sharing")
+    assert shared(one, "n", lambda: one).count() == 1
+    assert shared(two, "n", lambda: two).count() == 2

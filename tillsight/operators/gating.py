@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.operators import basket, ticket
 from tillsight.operators._common import STORE
 from tillsight.operators.insights import ReportInputs, insights, recommendations
 
@@ -35,7 +36,7 @@ def module_facts(x: ReportInputs) -> DataFrame:
     opp = cnt(x.opportunity, "n_opp")
     hi = cnt(x.anomalies.filter(F.col("kind") == "high"), "n_high")
     lo = cnt(x.anomalies.filter(F.col("kind") == "low"), "n_low")
-    rules = cnt(x.get("rules", lambda: __import__("tillsight.operators.basket", fromlist=["rules"]).rules(x.lines, x.cfg)), "n_rules")
+    rules = cnt(x.get("rules", lambda: basket.rules(x.lines, x.cfg)), "n_rules")
     lr = cnt(x.launch_ready, "n_launch")
     out = s
     for d in (pairs, up, down, opp, hi, lo, rules, lr):
@@ -102,7 +103,7 @@ def contract_violations(x: ReportInputs) -> DataFrame:
         ("products", "share_present", x.products, F.col("rev_share").isNull() | F.col("category").isNull()),
         ("products", "cum_share_bounded", x.products, (F.col("cum_rev_pct") < 0) | (F.col("cum_rev_pct") > 100.0)),
         ("basket", "lift_present", x.pairs, F.col("lift").isNull() | F.col("support").isNull()),
-        ("ticket", "day_orders_present", x.get("day_ticket", lambda: __import__("tillsight.operators.ticket", fromlist=["day_ticket"]).day_ticket(x.lines)),
+        ("ticket", "day_orders_present", x.get("day_ticket", lambda: ticket.day_ticket(x.lines)),
          F.col("orders").isNull()),
         ("trends", "growth_present", x.trends, F.col("growth_pct").isNull()),
         ("anomalies", "z_present", x.anomalies, F.col("z_score").isNull()),

@@ -52,6 +52,16 @@ def dow(lines: DataFrame, f: SliceFilter, cfg: ReportConfig = DEFAULT_REPORT) ->
     return TL.dow(apply_filter(lines, f), cfg, zero_fill=True)
 
 
+def weekly(lines: DataFrame, f: SliceFilter, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
+    """B2: ISO weeks of the slice."""
+    return TL.weekly(apply_filter(lines, f), cfg)
+
+
+def monthly_category(lines: DataFrame, f: SliceFilter, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
+    """B2: month by category of the slice."""
+    return TL.monthly_category(apply_filter(lines, f), cfg)
+
+
 def order_snapshots(lines: DataFrame) -> DataFrame:
     """Per (store, order): first line's date/day/hour, ticket (exact decimal), distinct products."""
     first = F.struct("row_seq", "sale_date", "sale_hour")

@@ -50,6 +50,19 @@ def q_slice_dow(spark, d):
     return SL.dow(B.event_lines(spark, d), F_EVENTS, CFG_A)
 
 
+@register("slice_weekly", with_ctes(O.lines_a(), FA, body="""
+SELECT store_id, year_week, CAST(sum(total) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders,
+       CAST(sum(quantity) AS DOUBLE) AS units FROM fa GROUP BY store_id, year_week"""))
+def q_slice_weekly(spark, d):
+    return SL.weekly(B.tpch_lines(spark, d), F_LINES, CFG_A)
+
+
+@register("slice_monthly_category", with_ctes(O.lines_a(), FA, body="""
+SELECT store_id, year_month AS month, category, CAST(sum(total) AS DOUBLE) AS revenue FROM fa GROUP BY 1, 2, 3"""))
+def q_slice_monthly_category(spark, d):
+    return SL.monthly_category(B.tpch_lines(spark, d), F_LINES, CFG_A)
+
+
 @register("slice_heatmap", with_ctes(O.lines_b(), FB, SNAP, body=f"""
 cells AS (SELECT store_id, sale_hour, weekday_ix, count(*) AS orders, avg(ticket) AS avg_ticket, avg(products_in_cart) AS avg_items FROM snap GROUP BY 1, 2, 3),
 grid AS (SELECT h.store_id, h.sale_hour, dd.weekday_ix, dd.weekday FROM (SELECT DISTINCT store_id, sale_hour FROM snap) h
