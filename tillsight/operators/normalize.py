@@ -8,12 +8,10 @@ Plan notes (scale):
   Individual)`` in (source rank, row position) order as a ``min_by`` *aggregate*: the
   partial aggregate collapses duplicates map-side, so a hot key never lands whole in
   one task.
-* **Map lookup (J1, J3)** depends only on ``(store, sistema, price, date)``.  The best
-  map row is resolved once per *distinct* key (``min_by`` over the candidates) and
-  joined back many-to-one.  The map is keyed by store; Catalyst broadcasts it only
-  when its measured size is under the broadcast threshold.
-* **Fan-out (J4)** joins pre-cutoff lines of ambiguous products to one row per
-  variant price (the latest map row for that price, so ratios sum to 1).
+* **Map lookup and fan-out (J1, J3, J4)**: the map is folded to one row per (store, product) holding
+  its candidate rows and variants; the lines join it once, and the row is picked, or the line fanned
+  out, inside the projection.  Catalyst broadcasts the map only when its measured size is under the
+  threshold; otherwise the lines move once, and a hot product is split by the skew join.
 """
 
 from __future__ import annotations
@@ -163,79 +161,72 @@ def split_ratios(sales: DataFrame, pm: DataFrame) -> DataFrame:
 
 # ── N3: enrich ─────────────────────────────────────────────────────────────
 
+def folded_map(sales: DataFrame, pm: DataFrame) -> DataFrame:
+    """The map with one row per (store, product_raw): candidate rows, and for split products the
+    cutoff and the variants with their ratios.  Rows of one product are few: a person writes them."""
+    rows = pm.groupBy(STORE, F.col("sistema").alias("product_raw")).agg(
+        F.collect_list(F.struct("precio_post", "fecha_desde", "map_seq", F.struct(*_PAYLOAD).alias("row"))).alias("_rows"))
+    variants = split_ratios(sales, pm).groupBy(STORE, F.col("sistema").alias("product_raw")).agg(
+        F.first("cutoff").alias("_cutoff"),
+        F.collect_list(F.struct(F.struct(*_PAYLOAD).alias("row"), "ratio")).alias("_variants"))
+    return rows.join(variants, [STORE, "product_raw"], "left")
+
+
+def _best_row(fits) -> Column:
+    """The best candidate that is valid at the sale date: by priority, dated before undated, latest date, then
+    map order (last of equal dates, first of undated).  ``fits`` gives a candidate's priority, null for none."""
+    def ranked(c: Column) -> Column:
+        days = F.datediff(c["fecha_desde"], F.lit("1970-01-01").cast("date"))
+        dated = c["fecha_desde"].isNotNull()
+        return F.struct(fits(c).alias("prio"), F.when(dated, 0).otherwise(1), F.coalesce(-days, F.lit(0)),
+                        F.when(dated, -c["map_seq"]).otherwise(c["map_seq"]), c["row"].alias("row"))
+
+    valid = F.filter("_rows", lambda c: (c["fecha_desde"].isNull() | (c["fecha_desde"] <= F.col("sale_date")))
+                     & fits(c).isNotNull())
+    return F.array_min(F.transform(valid, ranked))
+
+
 def enrich(sales: DataFrame, pm: DataFrame) -> DataFrame:
     """Lines × product map → lines with ``product, category_raw, subcategory, margin_pct``
     and ``match_kind`` ∈ {price, agnostic, any, unmatched, split_price, split_unmatched,
     split_fanout, split_nodate}.
 
-    ``sales`` needs store_id, sale_date, product_raw, unit_price, quantity, total.
+    ``sales`` needs store_id, sale_date, product_raw, unit_price, quantity, total.  One left join against the
+    folded map; the row is chosen in place, and a line of a split product before its cutoff becomes
+    one line per variant, with quantity and total shared out by the ratios (J4).  A split line
+    without a date stays as it is and is discarded later for its date (X4).
     """
-    split = classify_sistemas(pm).select(STORE, F.col("sistema").alias("product_raw"))
-    simple_sales = sales.join(split, [STORE, "product_raw"], "left_anti")
-    split_sales = sales.join(split, [STORE, "product_raw"], "left_semi")
-    return _enrich_simple(simple_sales, pm).unionByName(_enrich_split(split_sales, sales, pm))
-
-
-def _apply(lines: DataFrame, m: DataFrame, keys: list[str], kind: Column) -> DataFrame:
-    # null-safe: a line without price or date has a best map row too
-    right = m.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in m.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    j = lines.drop("category_raw", "subcategory", "margin_pct").join(right, same, "left").drop(*[f"_k_{k}" for k in keys])
-    return j.withColumn("product", F.coalesce(F.col("nombre"), F.col("product_raw"))).withColumn(
-        "category_raw", F.col("categoria")).withColumn("subcategory", F.col("subcategoria")).withColumn(
-        "margin_pct", F.col("margen_pct")).withColumn("match_kind", kind).drop(*_PAYLOAD)
-
-
-def _enrich_simple(sales: DataFrame, pm: DataFrame) -> DataFrame:
-    keys = [STORE, "product_raw", "unit_price", "sale_date"]
-    k = sales.select(*keys).distinct()
-    cand = k.join(pm.withColumnRenamed("sistema", "product_raw"), [STORE, "product_raw"]).filter(
-        F.col("fecha_desde").isNull() | (F.col("fecha_desde") <= F.col("sale_date")))
-    prio = (F.when(F.col("precio_post") == F.col("unit_price"), 0)
-            .when(F.col("precio_post").isNull(), 1).otherwise(2))
-    cand = cand.withColumn("prio", prio)
-    best = cand.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in _PAYLOAD]), _recency_order(F.col("prio"))).alias("_m"),
-        F.min("prio").alias("prio")).select(*keys, "_m.*", "prio")
-    kind = F.when(F.col("prio") == 0, "price").when(F.col("prio") == 1, "agnostic").when(F.col("prio") == 2, "any").otherwise("unmatched")
-    return _apply(sales, best, keys, kind).drop("prio")
-
-
-def _enrich_split(split_sales: DataFrame, all_sales: DataFrame, pm: DataFrame) -> DataFrame:
-    ratios = split_ratios(all_sales, pm).withColumnRenamed("sistema", "product_raw")
-    cut = ratios.select(STORE, "product_raw", "cutoff").distinct()
-    s = split_sales.join(cut, [STORE, "product_raw"], "left")
-    nodate = s.filter(F.col("sale_date").isNull()).drop("cutoff")
-    post = s.filter(F.col("sale_date").isNotNull() & (F.col("cutoff").isNull() | (F.col("sale_date") >= F.col("cutoff")))).drop("cutoff")
-    pre = s.filter(F.col("cutoff").isNotNull() & (F.col("sale_date") < F.col("cutoff"))).drop("cutoff")
-
-    # Known price on/after the cutoff → exact variant valid at the sale date.
-    keys = [STORE, "product_raw", "unit_price", "sale_date"]
-    k = post.select(*keys).distinct()
-    priced = pm.filter(F.col("precio_post").isNotNull()).withColumnRenamed("sistema", "product_raw")
-    cand = k.join(priced, [STORE, "product_raw"]).filter(
-        (F.col("precio_post") == F.col("unit_price"))
-        & (F.col("fecha_desde").isNull() | (F.col("fecha_desde") <= F.col("sale_date"))))
-    best = _best(cand, keys, _recency_order())
-    post_out = _apply(post, best, keys, F.when(F.col("nombre").isNotNull(), "split_price").otherwise("split_unmatched"))
-    unmatched_name = F.format_string("%s (precio %s)", F.col("product_raw"), F.col("unit_price").cast("double").cast("string"))
-    post_out = post_out.withColumn("product", F.when(F.col("match_kind") == "split_unmatched", unmatched_name).otherwise(F.col("product")))
-
-    # Before the cutoff → one line per variant, quantity and total × ratio.
-    fan = pre.join(ratios.drop("cutoff"), [STORE, "product_raw"])
-    fan_out = fan.withColumn("quantity", (F.col("quantity").cast("double") * F.col("ratio")).cast("decimal(18,6)")).withColumn(
-        "total", (F.col("total").cast("double") * F.col("ratio")).cast("decimal(18,4)")).withColumn(
-        "product", F.col("nombre")).withColumn("category_raw", F.col("categoria")).withColumn(
-        "subcategory", F.col("subcategoria")).withColumn("margin_pct", F.col("margen_pct")).withColumn(
-        "match_kind", F.lit("split_fanout")).drop(*_PAYLOAD, "ratio", "precio_post")
-
-    # A line without a date stays (and is discarded later for its date).
-    nodate_out = nodate.withColumn("product", F.col("product_raw")).withColumn("category_raw", F.lit(None).cast("string")).withColumn(
-        "subcategory", F.lit(None).cast("string")).withColumn("margin_pct", F.lit(None).cast("double")).withColumn(
-        "match_kind", F.lit("split_nodate"))
-    return post_out.unionByName(fan_out).unionByName(nodate_out)
+    price = F.col("unit_price")
+    lines = sales.drop("category_raw", "subcategory", "margin_pct").join(folded_map(sales, pm), [STORE, "product_raw"], "left")
+    plain = _best_row(lambda c: F.when(c["precio_post"] == price, 0).when(c["precio_post"].isNull(), 1).otherwise(2))
+    exact = _best_row(lambda c: F.when(c["precio_post"] == price, 0))
+    split, after = F.col("_variants").isNotNull(), F.col("_cutoff").isNull() | (F.col("sale_date") >= F.col("_cutoff"))
+    lines = lines.withColumn("_best", F.when(~split, plain).when(after, exact))
+    no_row = F.lit(None).cast(lines.schema["_best"].dataType["row"].dataType)
+
+    def one(row: Column, kind: Column) -> Column:
+        return F.array(F.struct(row.alias("row"), F.lit(None).cast("double").alias("ratio"), kind.alias("kind")))
+
+    found = F.col("_best").isNotNull()
+    names = F.array(*[F.lit(k) for k in ("price", "agnostic", "any")])
+    outcome = (F.when(~split, one(F.col("_best.row"), F.coalesce(F.get(names, F.col("_best.prio")), F.lit("unmatched"))))
+               .when(F.col("sale_date").isNull(), one(no_row, F.lit("split_nodate")))
+               .when(after, one(F.col("_best.row"), F.when(found, "split_price").otherwise("split_unmatched")))
+               .otherwise(F.transform("_variants", lambda v: F.struct(v["row"].alias("row"), v["ratio"].alias("ratio"),
+                                                                      F.lit("split_fanout").alias("kind")))))
+    made = ("_rows", "_cutoff", "_variants", "_best")
+    lines = lines.select(*[c for c in lines.columns if c not in made], F.explode(outcome).alias("_o"))
+    name = F.when(F.col("_o.kind") == "split_unmatched",
+                  F.format_string("%s (precio %s)", F.col("product_raw"), price.cast("double").cast("string")))
+
+    def share(c: str, kind: str) -> Column:
+        return F.when(F.col("_o.ratio").isNull(), F.col(c)).otherwise((F.col(c).cast("double") * F.col("_o.ratio")).cast(kind))
+
+    return lines.withColumns({
+        "quantity": share("quantity", "decimal(18,6)"), "total": share("total", "decimal(18,4)"),
+        "product": F.coalesce(name, F.col("_o.row.nombre"), F.col("product_raw")), "category_raw": F.col("_o.row.categoria"),
+        "subcategory": F.col("_o.row.subcategoria"), "margin_pct": F.col("_o.row.margen_pct"),
+        "match_kind": F.col("_o.kind")}).drop("_o")
 
 
 def unmatched_report(enriched: DataFrame) -> DataFrame:
