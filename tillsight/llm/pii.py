@@ -280,7 +280,8 @@ def fit(cells: list[dict]) -> Model:
 def learn(docs: DataFrame, text: str) -> Model:
     """The model of a corpus: one pass over all texts, one cell table of bounded size on the driver."""
     held = with_matches(docs.select(_plain(text).alias("_t")), WIDE, "_t")
-    cells = (held.select(F.explode(_wide()).alias("c")).select("c.f.*").groupBy(*FEATURES)
+    # outer: an inner explode would first filter on the array's size, and make the array twice
+    cells = (held.select(F.explode_outer(_wide()).alias("c")).where("c is not null").select("c.f.*").groupBy(*FEATURES)
              .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).orderBy(*FEATURES))
     return fit([r.asDict() for r in cells.collect()])
 
