@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.operators import basket, bundles, cart, products, profitability, summary, ticket, timeline, trends
-from tillsight.operators._common import STORE
+from tillsight.operators._common import STORE, top_k
 
 # Default (action, owner, horizon) per insight category — fixed values.
 INSIGHT_DEFAULTS: dict[str, tuple[str, str, str]] = {
@@ -74,7 +74,7 @@ class ReportInputs:
     @property
     def high_lift(self):
         return self.get("high_lift", lambda: self.pairs.filter(F.col("lift") >= self.cfg.high_lift_threshold).transform(
-            lambda d: _rerank(d.drop("rank"), self.cfg.high_lift_top_k, [F.col("count").desc(), F.col("product_a"), F.col("product_b")])))
+            lambda d: top_k(d.drop("rank"), self.cfg.high_lift_top_k, [F.col("count").desc(), F.col("product_a"), F.col("product_b")])))
 
     @property
     def ticket_stats(self):
@@ -117,11 +117,6 @@ class ReportInputs:
         return self.get("launch_ready", lambda: bundles.launch_ready(self.lines, self.cfg))
 
 
-def _rerank(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(STORE).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def _num(c) -> Column:
     """Python ``f"{x:,}"`` for an integer."""
     return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
