@@ -23,7 +23,9 @@ VOCAB = 1 << 13
 DIMS = 32
 TRAIN = 20_000     # labelled documents the network is fitted on, those with the smallest hash
 HIDDEN = 32
-EPOCHS = 40
+STEPS = 5_000       # training steps, whatever the number of documents
+BATCH = 128
+DECAY = 1e-3
 _PART = 1 << 19    # tokens counted at a time
 
 _KIND = np.full(256, 3, dtype=np.uint8)
@@ -149,14 +151,14 @@ class Net:
         x = (x - self.mean) / self.std
         first, second = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(-(-STEPS // -(-len(x) // BATCH))):
             order = rng.permutation(len(x))
-            for lo in range(0, len(x), 128):
-                xb, yb = x[order[lo:lo + 128]], y[order[lo:lo + 128]]
+            for lo in range(0, len(x), BATCH):
+                xb, yb = x[order[lo:lo + BATCH]], y[order[lo:lo + BATCH]]
                 h = np.tanh(xb @ self.w[0] + self.w[1])
                 e = (1 / (1 + np.exp(-np.clip(h @ self.w[2] + self.w[3], -30, 30))) - yb) / len(xb)
                 back = np.outer(e, self.w[2]) * (1 - h * h)
-                grads = [xb.T @ back + 1e-4 * self.w[0], back.sum(axis=0), h.T @ e + 1e-4 * self.w[2],
+                grads = [xb.T @ back + DECAY * self.w[0], back.sum(axis=0), h.T @ e + DECAY * self.w[2],
                          np.array([e.sum()])]
                 step += 1
                 for k, g in enumerate(grads):
