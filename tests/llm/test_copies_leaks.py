@@ -126,3 +126,19 @@ def test_leaks(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
     assert decontam.contaminated(d.limit(0), b).count() == 0
     assert decontam.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_one_edited_version_in_many_documents(spark):
+    """Every 4th (or 5th) word replaced by the same other word: few 3-grams survive, each in 1,000 documents."""
+    rng = random.Random(8)
+    item = {k: [f"i{k}w{j}" for j in range(30)] for k in (4, 5)}
+    chance = " ".join(item[4][3:6] + ["x"] + item[4][15:18])  # other 3-grams of the item occur as well, but rarely
+    docs = {0: chance, 1: chance}
+    for k, words in item.items():
+        copy = [f"new{j}" if j % k == k - 1 else w for j, w in enumerate(words)]
+        for i in range(1000):
+            docs[1000 * k + i] = " ".join([f"p{rng.randrange(5000)}" for _ in range(10)] + copy)
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in item.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d.repartition(3), b).collect()}
+    assert got == {(i, i // 1000) for i in docs if i >= 1000}

@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are lower-case runs of letters and digits, so case and punctuation don't hide a copy.
-1. One pass counts, over all documents, how many documents hold each n-gram of an item.
-2. An item's seeds are its n-grams that aren't common for that item: those whose
-   document frequency is at most ``COMMON`` times the item's median (plus ``FEW``).  The bound is
-   relative, so an item that was copied into a third of the corpus keeps its seeds.
-3. A second pass emits the passages around seed hits (as word hashes); hits are joined to
+1. Every n-gram of an item is a seed.  None is left out for being common: the few n-grams that
+   an edited version leaves whole are as frequent as that version is.
+2. One pass emits the passages around seed hits (as word hashes); hits are joined to
    seeds, and each hit's diagonal gives a window of the passage in which the item may lie.
-4. Every window is aligned with its item (match 2, mismatch and gap -1).  The score is the best
+3. Every window is aligned with its item (match 2, mismatch and gap -1).  The score is the best
    local alignment divided by the item's perfect score; 1.0 is an exact copy.
 
-Both passes test n-grams against a bitmap of fixed size (``BITS``); joins make that
+The pass tests n-grams against a bitmap of fixed size (``BITS``); the join makes that
 exact.  No side is broadcast by hand.  Items with fewer than ``N`` words have no n-gram and are
 never found; null and empty texts have none either.  Rows that repeat a key count as one
 document; repeated items are found under each of their ids.
@@ -27,8 +25,6 @@ from tillsight.llm._tables import bitmap, in_bitmap, ship, written
 from tillsight.llm._words import hash_runs, join_texts, shingles
 
 N = 3
-COMMON = 4
-FEW = 20
 BITS = 23
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.5
@@ -77,20 +73,6 @@ def _hits(words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-def gram_counts(docs: DataFrame, text: str, bits: np.ndarray) -> DataFrame:
-    """``gram``, ``df``: documents that hold it, for n-grams in the bitmap; summed in tasks before the shuffle."""
-    held = ship(docs.sparkSession, bits)
-
-    def run(batches):
-        for batch in batches:
-            words, bounds = word_hashes(batch.column(0))
-            found = [np.unique(_hits(words[bounds[i]:bounds[i + 1]], held.value)[1]) for i in range(batch.num_rows)]
-            gram, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
-
-    return (docs.select(text).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("df")))
-
-
 def passages(docs: DataFrame, key: str, text: str, bits: np.ndarray, radius: int) -> DataFrame:
     """``doc``, ``start``, ``words``, ``hits`` (place, gram): maximal stretches within ``radius`` words of a hit."""
     held = ship(docs.sparkSession, bits)
@@ -177,14 +159,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     best window starts in the document (from 0).  Other columns of both tables are not read.
     """
     bench = written(item_words(items, item_key, item_text), "decontam-items")
-    grams = bench.select("item", F.size("words").alias("m"), F.posexplode("grams").alias("offset", "gram"))
-    every = bitmap(grams, F.col("gram"), BITS)
+    seeds = bench.select("item", F.size("words").alias("m"), F.posexplode("grams").alias("offset", "gram"))
     longest = bench.agg(F.max(F.size("words"))).first()[0] or 0
-    counts = gram_counts(docs, text, every)
-    known = grams.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    middle = known.groupBy("item").agg(F.percentile_approx("df", 0.5, 10_000).alias("middle"))
-    seeds = written(known.join(middle, "item").where(F.col("df") <= COMMON * F.col("middle") + FEW)
-                    .where("df > 0").select("item", "m", "offset", "gram"), "decontam-seeds")
     found = written(passages(docs, key, text, bitmap(seeds, F.col("gram"), BITS), 3 * longest), "decontam-passages")
     hits = found.select("doc", "start", F.explode("hits").alias("h")).select("doc", "start", "h.at", "h.gram")
     # the item would start at word at - offset; windows begin at multiples of the item's length
