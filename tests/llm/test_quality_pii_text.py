@@ -172,3 +172,15 @@ def test_oracles(spark, name):
     want = con.sql(ORACLES[name]).df().sort_values(key).reset_index(drop=True)
     got = QUERIES[name](spark, where).toPandas().sort_values(key).reset_index(drop=True)
     assert ((got == want[got.columns]) | (got.isna() & want[got.columns].isna())).all().all()
+
+
+def test_licences_in_raw_spellings(spark):
+    """Every known sentence is found however its words are divided: the hint looks at the raw text."""
+    rows = [(s, w, s.join(w.split())) for w in licences._KNOWN for s in (" ", "-", "\n", "\r\n", "/ ")]
+    rows += [("cr", "all rights reserved", "all rights res\rerved"), (".", "licensed under cc by 4 0", "Licensed under CC-BY 4.0."),
+             (".", "this work is distributed under cc by sa 4 0", "This work is distributed under CC-BY-SA 4.0."),
+             (".", "released under cc0 1 0", "Released under CC0-1.0.")]
+    docs = spark.createDataFrame(rows, "how string, words string, text string")
+    got = licences.recognise(docs).collect()
+    assert len(got) == len(rows)
+    assert [(r["how"], r["words"], r["sentences"]) for r in got if r["sentences"] != licences._KNOWN[r["words"]]] == []

@@ -134,8 +134,9 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
 ]
-# Every known sentence holds one of these, so a text without them needs no cutting.
-HINT = "licen|cc0 |permi|redistribut|warrant|copyright|cc by|general public|free software|public domain|rights reserved|either version|mpl"
+# Every known sentence holds one of these, however its words are divided, so a text without them needs no cutting.
+HINT = "licen|cc0|permi|redistribut|warrant|copyright|cc by|general public|free software|public domain|rights reserved|" \
+       "either version|mpl".replace(" ", "[^a-z0-9]+")
 BREAK = "([.!?;:])[ \\t\\r\\n]+"
 
 
@@ -167,7 +168,9 @@ def with_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_replace(low, "\r", ""), "\n[ \t]*\n", "\x01"), "\n", " "), "\x01", "\n")
     wrapped = F.regexp_replace(joined, BREAK, "$1\n")
     none = F.array().cast("array<string>")
-    held = docs.withColumn("_hint", low.rlike(HINT))
+    # a carriage return may stand inside a word in the reading that leaves it out
+    whole = F.replace(low, F.lit("\r"), F.lit(""))
+    held = docs.withColumn("_hint", low.rlike(HINT) | (low.contains("\r") & whole.rlike(HINT)))
     held = held.withColumn("_a", F.when(F.col("_hint"), _sequence(wrapped)).otherwise(none))
     held = held.withColumn("_b", F.when(F.col("_hint"), _sequence(cut)).otherwise(none))
     found = F.when(F.size("_b") > F.size("_a"), F.col("_b")).otherwise(F.col("_a"))
