@@ -109,3 +109,23 @@ def test_shards_of_odd_tables(spark):
     assert kd_shards.shard(df.limit(0), "doc_id", F.col("n"), [F.col("n")], n_shards=3).count() == 0
     one = kd_shards.shard(df, "doc_id", F.col("n"), [F.col("n")], target_bytes=100)
     assert {r["shard"] for r in one.collect()} == {0}
+
+
+def test_page_text_behind_stray_quotes():
+    for tag in ('<p class="a"">', "<p title=it's>", '<p title=5">', "<p 'x>", '<p a = "b>c" d=\'e"\'>', '<p x="never ends>'):
+        assert main_text.extract_one(f"<article>{tag}one</p><p>two</p></article>") == "one two", tag
+    assert main_text.extract_one('<article><p class="a"">one</p><p class="b">two</p></article>') == "one two"
+    assert main_text.extract_one('<p title="a>b') == 'b'
+    assert len(main_text.extract_one('<p a="">x</p>' * 20_000 + '<p a="y>z')) == 40_000 + 1
+
+
+def test_paragraphs_and_headings_beside_the_container():
+    body = "".join(f"<p>Body {k}, with words, and more words to read, line after line.</p>" for k in range(8))
+    lead = "A lead paragraph of one sentence."
+    long = "word " * 20 + "<a href='/'>link</a>"
+    page = (f"<div><h1>Title</h1><p>{lead}</p><p>{long}</p>loose text.<div class=body>{body}</div><p>Share</p>"
+            f"<p><a href='/'>A link, nothing else, of more than eighty characters, which is not prose at all, is it?</a></p>"
+            f"<h3>More</h3><ul><li><a href='/'>one</a></ul></div>")
+    got = main_text.extract_one(page)
+    assert got == " ".join(["Title", lead, "word " * 20 + "link", "loose text."]
+                           + [f"Body {k}, with words, and more words to read, line after line." for k in range(8)])

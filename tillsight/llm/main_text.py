@@ -6,7 +6,11 @@ comment, ...).  Every text block gives points, one plus its commas plus one per
 characters (three at most), to its parent, half to the grandparent, and ever less to three more
 ancestors.  A candidate's points are discounted by its link density.  The best candidate,
 or the article or main element around it, is kept together with those siblings that
-score at least a fifth of it.
+score at least a fifth of it.  Beside a container that is neither, paragraphs and headings (which
+give their points away) count by themselves: a paragraph by its length and link density,
+a heading with what follows it.
+
+Attributes are read as HTML reads them: a quote opens a value only after an equals sign.
 
 One pass in tasks over Arrow batches, page by page; there is no shuffle.  Time and memory
 are linear in a page's length.
@@ -41,9 +45,19 @@ UNWANTED = re.compile(
     r"share|sharing|social|follow|newsletters?|subscribe|subscription|signup|login|search|searchbox|related|"
     r"recommended|recommendations|widgets?|pagination|pager|copyright|hidden|contentinfo|complementary|banner)"
     r"(?=$|[\s_-])", re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+"
+                  r"(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+|(?=>)))?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 COMMAS = re.compile("[,،、，]")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LONG, LINKED = 80, 0.25  # a paragraph of more characters may have links, up to this part of it
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？]")
+
+
+def _is_prose(text: str, linked: int) -> bool:
+    """Whether a paragraph beside the main container belongs to it: long with few links, or a sentence without any."""
+    return linked < LINKED * len(text) if len(text) > LONG else not linked and bool(_SENTENCE.search(text))
 
 
 def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
@@ -114,7 +128,7 @@ class Page:
                 if tag in stop:
                     return
 
-        at, size = 0, len(html)
+        at, size, pattern = 0, len(html), _TAG
         while at < size:
             lt = html.find("<", at)
             if lt < 0:
@@ -139,7 +153,11 @@ class Page:
                     add_text("<")
                     at = lt + 1
                 continue
-            m = _TAG.match(html, lt)
+            m = pattern.match(html, lt)
+            if m is None and pattern is _TAG:
+                # a quote that never ends hides the rest: from here on a tag ends at the next '>'
+                pattern = _PLAIN_TAG
+                m = pattern.match(html, lt)
             if m is None:
                 break  # the page ends inside a tag
             at = m.end()
@@ -225,7 +243,34 @@ class Page:
             kept += [(i, self.end[i]) for i in points if self.parent[i] == around and i != best
                      and not self.left_out[i] and score(i) >= max(10, 0.2 * top)]
         kept.sort()
-        return " ".join(text for at, text, _ in self.blocks if _inside(kept, at))
+        loose: set[int] = set()
+        if around >= 0 and self.tag[best] not in OUTER:
+            loose = self._prose_beside(around, kept)
+        return " ".join(text for k, (at, text, _) in enumerate(self.blocks) if k in loose or _inside(kept, at))
+
+    def _prose_beside(self, around: int, kept: list[tuple[int, int]]) -> set[int]:
+        """Blocks of ``around`` outside ``kept`` that are prose: paragraphs and own text by themselves, headings
+        with what follows them (the title in any case)."""
+        found: set[int] = set()
+        follows = False
+        for k in range(len(self.blocks) - 1, -1, -1):
+            at, text, linked = self.blocks[k]
+            if not around <= at < self.end[around]:
+                continue
+            if _inside(kept, at):
+                follows = True
+            elif at != around and self.parent[at] != around:
+                follows = False
+            elif self.tag[at] in HEADINGS:
+                if linked < LINKED * len(text) and (follows or self.tag[at] == "h1"):
+                    found.add(k)
+            elif at == around or self.tag[at] in ("p", "pre", "blockquote"):
+                follows = _is_prose(text, linked)
+                if follows:
+                    found.add(k)
+            else:
+                follows = False
+        return found
 
 
 def _inside(spans: list[tuple[int, int]], at: int) -> bool:
