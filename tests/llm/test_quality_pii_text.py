@@ -184,3 +184,16 @@ def test_licences_in_raw_spellings(spark):
     got = licences.recognise(docs).collect()
     assert len(got) == len(rows)
     assert [(r["how"], r["words"], r["sentences"]) for r in got if r["sentences"] != licences._KNOWN[r["words"]]] == []
+
+
+def test_secrets_need_no_digit(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("abcdefXYZQRS") for _ in range(24)) for _ in range(60)]
+    texts = [f"words password: {k} words" for k in keys] + [f"in the year 5 password: {k} words" for k in keys] + ["plain words"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii.learn(docs, "text")
+    spans = [r["spans"] for r in pii.find_spans(docs, model).orderBy("doc_id").collect()]
+    assert all("secret:16:40" in s for s in spans[:60]) and all("secret:" in s for s in spans[60:120])
+    assert not any(spans[120:])
+    clean = [r["text"] for r in pii.redact(docs, model).orderBy("doc_id").collect()]
+    assert not any(k in t for k, t in zip(keys * 2, clean))

@@ -105,9 +105,12 @@ def _is_index(i: int):
 def _pieces(text: Column, kind: Kind) -> Column:
     """The text before the first match, then each match, a mark, and the text up to the next; null without a sign.
 
-    Every kind but email needs a digit: most texts are done after one look for one.
+    Every kind but email and secret needs a digit: most texts are done after one look for one.
     """
-    may = text.contains("@") if kind.name == "email" else text.rlike("[0-9]") & text.rlike(kind.sign)
+    if kind.name == "email":
+        may = text.contains("@")
+    else:
+        may = text.rlike(kind.sign) if kind.name == "secret" else text.rlike("[0-9]") & text.rlike(kind.sign)
     return F.when(may, F.split(F.regexp_replace(text, kind.pattern, f"{OPEN}$0{SHUT}"), OPEN))
 
 
