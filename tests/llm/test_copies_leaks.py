@@ -75,6 +75,32 @@ def test_leftover_nodes_are_compared_in_blocks(spark, monkeypatch):
     check(spark, corpus(4, 2, 40, 100))
 
 
+def family(rng, base, n, lo, hi):
+    return [" ".join(vary(rng, base, rng.randint(lo, hi))) for _ in range(n)]
+
+
+def test_sparse_links_in_a_boilerplate_group(spark, monkeypatch):
+    """Texts alike at J about 0.55 with few pairs from 0.75: a large node without any shrinking child."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 16)
+    rng = random.Random(12)
+    base = [f"v{k}" for k in range(200)]
+    texts = family(rng, base, 100, 8, 11)
+    texts += [" ".join(vary(rng, t.split(), 4)) for t in texts[:50]]
+    check(spark, dict(enumerate(texts)))
+
+
+def test_two_close_families_and_unsure_hubs(spark, monkeypatch):
+    """Families whose hubs are near the bound; classes that seem like a hub without being linked to it."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 16)
+    rng = random.Random(13)
+    base = [f"v{k}" for k in range(300)]
+    other = vary(rng, base, 8)
+    check(spark, dict(enumerate(family(rng, base, 70, 0, 3) + family(rng, other, 70, 0, 3))))
+    # an estimate leaves as soon as it passes: hardly any of these is linked to its hub
+    monkeypatch.setattr(chosen_path, "CLOSE", 0.5)
+    check(spark, dict(enumerate(family(rng, base, 60, 6, 10) + family(rng, base, 30, 0, 2))))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert chosen_path.near_duplicates(df).count() == 0
