@@ -107,6 +107,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "spans")
 
 
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillsight.llm import token_align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_align.link_statistics(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 @query("op1_licences", licences.oracle_sql())
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
