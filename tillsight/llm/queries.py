@@ -107,6 +107,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "spans")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+
+@query("op11_url_templates")
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no labels of their own: templates learn from the urls that a rule judges."""
+    from tillsight.llm import url_templates
+
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 @query("op12_hard_negatives", hard_negatives.ORACLE)
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
