@@ -1,8 +1,9 @@
 """Main text of HTML pages by scoring the element tree.
 
 A page is read into a tree.  Elements that are never article text are left out, by tag
-(scripts, navigation, forms, ...) or by a word in their class, id or role (advert, cookie,
-comment, ...).  Every text block gives points, one plus its commas plus one per hundred
+(scripts, navigation, buttons, ...) or by a word in their class, id or role (advert, cookie,
+comment, ...).  A form or a block marked by such a word is kept if it holds most of the page's text outside links:
+then the mark, or the form around the page, says nothing about the article.  Every text block gives points, one plus its commas plus one per hundred
 characters (three at most), to its parent, half to the grandparent, and ever less to three more
 ancestors.  A candidate's points are discounted by its link density.  The best candidate,
 or the article or main element around it, is kept together with those siblings that
@@ -38,17 +39,27 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
           "tfoot": ("tr", "td", "th", "thead", "tbody")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 OUTER = frozenset("article main".split())
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adbox|banners?|promos?|promoted|promotion|sponsors?|sponsored|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|sidebars?|side|rail|menus?|menubar|nav|navbar|navigation|"
-    r"breadcrumbs?|breadcrumb|header|masthead|topbar|toolbar|footer|foot|comments?|disqus|respond|replies|reply|"
-    r"share|sharing|social|follow|newsletters?|subscribe|subscription|signup|login|search|searchbox|related|"
-    r"recommended|recommendations|widgets?|pagination|pager|copyright|hidden|contentinfo|complementary|banner)"
-    r"(?=$|[\s_-])", re.I)
+# words of a class, id or role that mark what is no article text
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adbox banner banners promo promos promoted promotion "
+    "sponsor sponsors sponsored cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay "
+    "sidebar sidebars side rail menu menus menubar nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
+    "toolbar footer foot comment comments disqus respond replies reply share sharing social follow newsletter newsletters "
+    "subscribe subscription signup login search searchbox related recommended recommendations widget widgets pagination "
+    "pager copyright hidden contentinfo complementary".split())
+# those that mark a part beside the article even where that part is longer than the article
+STRONG = frozenset("ad ads advert adverts advertisement advertisements adsense cookie cookies consent gdpr comment comments "
+                   "disqus respond replies reply footer sidebar sidebars".split())
+# a token that begins or ends so tells of the page's state or of the absence of a part
+ABOUT_FIRST = frozenset("no not non has with without overflow".split())
+ABOUT_LAST = frozenset("open closed enabled disabled fixed".split())
+# a marked block is kept if it holds more than this part of the page's text outside links
+MOST, NEARLY_ALL = 0.5, 0.9
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+"
                   r"(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+|(?=>)))?+)*+)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*+))?+)?+")
+_MAY_MARK = re.compile("class|id|role|hidden", re.I)
 COMMAS = re.compile("[,،、，]")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 LONG, LINKED = 80, 0.25  # a paragraph of more characters may have links, up to this part of it
@@ -60,18 +71,38 @@ def _is_prose(text: str, linked: int) -> bool:
     return linked < LINKED * len(text) if len(text) > LONG else not linked and bool(_SENTENCE.search(text))
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+KEPT, DOUBTED, REFUSED, LEFT_OUT = range(4)
+
+
+def _marked(value: str) -> int:
+    """What the tokens of a class, id or role say."""
+    said = KEPT
+    for token in value.lower().split():
+        parts = re.split("[-_]", token)
+        if parts[0] in ABOUT_FIRST or parts[-1] in ABOUT_LAST:
+            continue
+        for part in parts:
+            if part in UNWANTED:
+                said = max(said, REFUSED if part in STRONG else DOUBTED)
+    return said
+
+
+def _judged(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is kept, kept only if it holds most of the page's text, or left out."""
+    if tag == "form":
+        return DOUBTED
     if tag in DROP or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("body", "html") or tag in OUTER and "comment" not in attrs.lower():
-        return False
-    for name, a, b, c in _MARK.findall(attrs):
-        value = a or b or c
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
-            return True
-        if name.lower() in ("class", "id", "role") and UNWANTED.search(value):
-            return True
-    return False
+        return LEFT_OUT
+    if not attrs or tag in ("body", "html") or not _MAY_MARK.search(attrs):
+        return KEPT
+    said = KEPT
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return LEFT_OUT
+        if name in ("class", "id", "role") and (tag not in OUTER or "comment" in value.lower()):
+            said = max(said, _marked(value))
+    return said if tag in BLOCK else LEFT_OUT if said else KEPT
 
 
 class Page:
@@ -79,8 +110,10 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.end, self.left_out = ["#"], [-1], [0], [False]
+        self.doubted: list[tuple[int, int]] = []  # element, what its marks say
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._read(html)
+        self._leave_out_marked()
 
     def _read(self, html: str) -> None:
         stack, opened = [0], {"a": 0}
@@ -189,7 +222,10 @@ class Page:
             self.parent.append(here)
             self.end.append(0)
             in_article = bool(opened.get("article") or opened.get("main"))
-            self.left_out.append(self.left_out[here] or _unwanted(tag, attrs, in_article))
+            said = LEFT_OUT if self.left_out[here] else _judged(tag, attrs, in_article)
+            self.left_out.append(said == LEFT_OUT)
+            if said in (DOUBTED, REFUSED):
+                self.doubted.append((len(self.tag) - 1, said))
             opened[tag] = opened.get(tag, 0) + 1
             if attrs.endswith("/") and tag not in BLOCK:  # an empty element of an embedded vocabulary
                 opened[tag] -= 1
@@ -201,6 +237,22 @@ class Page:
             pop()
         self.end[0] = len(self.tag)
 
+    def _leave_out_marked(self) -> None:
+        """Leave out marked elements and their blocks, but for those that hold most of the text outside links."""
+        if not self.doubted:
+            return
+        own = [0] * (len(self.tag) + 1)
+        for at, text, linked in self.blocks:
+            own[at + 1] += len(text) - linked
+        for i in range(len(self.tag)):
+            own[i + 1] += own[i]
+        behind = 0
+        for i, said in self.doubted:
+            if i >= behind and own[self.end[i]] - own[i] <= (NEARLY_ALL if said == REFUSED else MOST) * own[-1]:
+                behind = self.end[i]
+                self.left_out[i:behind] = [True] * (behind - i)
+        self.blocks = [b for b in self.blocks if not self.left_out[b[0]]]
+
     def main_text(self) -> str:
         """The kept blocks, joined by a space."""
         if not self.blocks:
