@@ -197,3 +197,110 @@ def test_secrets_need_no_digit(spark):
     assert not any(spans[120:])
     clean = [r["text"] for r in pii.redact(docs, model).orderBy("doc_id").collect()]
     assert not any(k in t for k, t in zip(keys * 2, clean))
+
+
+# Notices as their licences word them.
+GPL_TAIL = """
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind} Public License for more details.
+"""
+NOTICES = {
+    "GPL-3.0-or-later": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""" + GPL_TAIL.format(what="program", kind="General"),
+    "GPL-2.0-or-later": """
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""" + GPL_TAIL.format(what="program", kind="General"),
+    "GPL-2.0-only": """
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; version 2 of the License.
+""",
+    "LGPL-2.1-or-later": """
+This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""" + GPL_TAIL.format(what="library", kind="Lesser General"),
+    "AGPL-3.0-or-later": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""" + GPL_TAIL.format(what="program", kind="Affero General"),
+    "Apache-2.0": """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "MPL-2.0": """
+This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Zlib": """
+This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "EPL-2.0": """
+This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0
+""",
+    "ISC": """
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "BSD-2-Clause": """
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+}
+
+
+def test_notices_as_their_licences_word_them(spark):
+    rows = [(name, text) for name, text in NOTICES.items()]
+    rows += [(name, f"{sign} SPDX-License-Identifier: {name}{end}") for name in licences.SPDX
+             for sign, end in (("//", ""), ("#", "\n# more"), ("/*", " */"), ("", "."))]
+    rows += [(name, f"int x;\n// SPDX-License-Identifier: {old}\nint y;") for old, name in licences.SPDX_OLD.items()]
+    got = licences.recognise(spark.createDataFrame(rows, "want string, text string")).collect()
+    assert [(r["want"], r["sentences"], r["left_over"]) for r in got if r["licences"] != r["want"] or r["left_over"]] == []
+
+
+def test_every_rule_is_reached_by_its_sentences(spark):
+    words = {}
+    for w, name in licences._KNOWN.items():
+        words.setdefault(name, w)
+    rows = [(k, name, ". ".join(words[i] for i in ids) + ".") for k, (name, ids) in enumerate(licences.RULES)]
+    got = {r["k"]: r for r in licences.recognise(spark.createDataFrame(rows, "k int, want string, text string")).collect()}
+    assert [(name, got[k]["licences"]) for k, name, _ in rows if got[k]["licences"] != name] == []
+    assert all(got[k]["n_matches"] == 1 and not got[k]["left_over"] for k, _, _ in rows)

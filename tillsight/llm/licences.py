@@ -1,7 +1,7 @@
 """Licence recognition from sentences, with DataFrame functions only.
 
-A text is cut into sentences (after ``. ! ? ; :`` with white space behind, and at blank lines);
-a sentence is lower-cased and reduced to words.  Known sentences have identifiers; a text
+A text is cut into sentences (after ``. ! ? ; :`` with white space behind, and at blank lines, but not behind
+the words of ``NO_BREAK``); a sentence is lower-cased and reduced to words.  Known sentences have identifiers; a text
 becomes the sequence of the identifiers found in it, in text order.  A rule is an ordered
 list of identifiers; it matches where they follow one another in the sequence.  Rules are tried
 in the order of ``RULES``; the identifiers that a rule has used are gone for later rules, and
@@ -44,6 +44,22 @@ SENTENCES = {
     "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty"],
     "gpl-merchant": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl-details": ["see the gnu general public license for more details"],
+    "only-2": ["version 2 of the license"],
+    "free-library": ["this library is free software"],
+    "lgpl-terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                   "published by the free software foundation"],
+    "either-21": ["either version 2 1 of the license or at your option any later version"],
+    "lgpl3-later": [f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+                    "general public license as published by the free software foundation either version 3 of the license "
+                    "or at your option any later version" for what in ("library", "program")],
+    "lgpl-hope": ["this library is distributed in the hope that it will be useful but without any warranty"],
+    "lgpl-details": ["see the gnu lesser general public license for more details"],
+    "agpl3-later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+                    "general public license as published by the free software foundation either version 3 of the license "
+                    "or at your option any later version"],
+    "agpl-terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+                   "published by the free software foundation"],
+    "agpl-details": ["see the gnu affero general public license for more details"],
     "lgpl21-name": ["licensed under the gnu lesser general public license version 2 1"],
     "lgpl3-name": ["licensed under the gnu lesser general public license version 3"],
     "agpl3-name": ["licensed under the gnu affero general public license version 3"],
@@ -83,12 +99,28 @@ SENTENCES = {
             "neighboring rights to this work"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "all-rights": ["all rights reserved"],
-    "spdx-apache2": ["spdx license identifier apache 2 0"],
-    "spdx-mit": ["spdx license identifier mit"],
-    "spdx-gpl2": ["spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0 only"],
-    "spdx-gpl3": ["spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0 only"],
-    "spdx-bsd3": ["spdx license identifier bsd 3 clause"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software "
+                    "and accompanying documentation covered by this license the software to use reproduce display distribute "
+                    "execute and transmit the software and to prepare derivative works of the software and to permit third "
+                    "parties to whom the software is furnished to do so all subject to the following"],
+    "boost-name": ["licensed under the boost software license version 1 0"],
+    "zlib-as-is": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to "
+                   "alter it and redistribute it freely subject to the following restrictions"],
+    "epl2-grant": ["this program and the accompanying materials are made available under the terms of the eclipse public license "
+                   "2 0 which is available at https www eclipse org legal epl 2 0"],
+    "epl2-name": ["licensed under the eclipse public license version 2 0"],
+    "gfdl-grant": ["permission is granted to copy distribute and or modify this document under the terms of the gnu free "
+                   "documentation license version 1 3 or any later version published by the free software foundation"],
 }
+# Short identifiers; "SPDX-License-Identifier: <identifier>" is a known sentence and a rule of its own.
+SPDX = ("Apache-2.0 MIT MIT-0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later "
+        "LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib "
+        "BSL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 Artistic-2.0 WTFPL Unlicense CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 "
+        "CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0").split()
+# Older spellings of the identifiers.
+SPDX_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only",
+            "AGPL-3.0": "AGPL-3.0-only"}
 # A sentence "licensed under ..." is also known with these beginnings.
 SUBJECTS = ["", "this work is ", "this file is ", "this software is ", "this project is ", "this program is ",
             "this code is ", "this document is "]
@@ -98,19 +130,25 @@ RULES = [
     ("Apache-2.0", ["apache2-name", "apache2-use", "copy-at", "as-is-dist", "see-license"]),
     ("Apache-2.0", ["apache2-name", "apache2-use"]),
     ("Apache-2.0", ["apache2-name"]),
-    ("Apache-2.0", ["spdx-apache2"]),
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-hope", "gpl-merchant", "gpl-details"]),
     ("GPL-3.0-or-later", ["free-software", "gpl2-terms", "either-3", "gpl-hope", "gpl-merchant", "gpl-details"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-merchant", "gpl-details"]),
     ("GPL-2.0-or-later", ["free-software", "gpl2-terms", "either-2", "gpl-hope", "gpl-merchant", "gpl-details"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "lgpl-hope", "gpl-merchant", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["free-library", "lgpl-terms", "either-21", "lgpl-hope", "gpl-merchant", "lgpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-hope", "gpl-merchant", "agpl-details"]),
+    ("GPL-2.0-only", ["free-software", "gpl2-terms", "only-2", "gpl-hope", "gpl-merchant", "gpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("LGPL-2.1-or-later", ["free-library", "lgpl-terms", "either-21"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("AGPL-3.0-or-later", ["free-software", "agpl-terms", "either-3"]),
+    ("GPL-2.0-only", ["free-software", "gpl2-terms", "only-2"]),
     ("GPL-3.0-or-later", ["free-software", "gpl2-terms", "either-3"]),
     ("GPL-2.0-or-later", ["free-software", "gpl2-terms", "either-2"]),
     ("GPL-3.0-only", ["gpl3-name"]),
     ("GPL-2.0-only", ["gpl2-name"]),
-    ("GPL-3.0-only", ["spdx-gpl3"]),
-    ("GPL-2.0-only", ["spdx-gpl2"]),
     ("LGPL-2.1-only", ["lgpl21-name"]),
     ("LGPL-3.0-only", ["lgpl3-name"]),
     ("AGPL-3.0-only", ["agpl3-name"]),
@@ -119,10 +157,8 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-name"]),
-    ("MIT", ["spdx-mit"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("BSD-3-Clause", ["spdx-bsd3"]),
     ("BSD", ["bsd-name"]),
     ("ISC", ["isc-grant"]),
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa4"]),
@@ -133,11 +169,19 @@ RULES = [
     ("CC-BY-4.0", ["cc-by4"]),
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
-]
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-name"]),
+    ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("EPL-2.0", ["epl2-grant"]),
+    ("EPL-2.0", ["epl2-name"]),
+    ("GFDL-1.3-or-later", ["gfdl-grant"]),
+] + [(name, [f"spdx-{name}"]) for name in SPDX]
 # Every known sentence holds one of these, however its words are divided, so a text without them needs no cutting.
 HINT = "licen|cc0|permi|redistribut|warrant|copyright|cc by|general public|free software|public domain|rights reserved|" \
        "either version|mpl".replace(" ", "[^a-z0-9]+")
 BREAK = "([.!?;:])[ \\t\\r\\n]+"
+# Signs behind these words end no sentence: "SPDX-License-Identifier: MIT", "free software: you can", "License, v. 2.0".
+NO_BREAK = "(spdx-license-identifier|free[ \\t\\r\\n]+software):|(license, v)[.]"
 
 
 def _wordings(words: str) -> list[str]:
@@ -146,7 +190,12 @@ def _wordings(words: str) -> list[str]:
     return [f"{s}{v} {words.removeprefix('licensed ')}" for s in SUBJECTS for v in VERBS]
 
 
+def _spdx(name: str) -> str:
+    return "spdx license identifier " + name.lower().replace("-", " ").replace(".", " ")
+
+
 _KNOWN = {w: name for name, all_words in SENTENCES.items() for words in all_words for w in _wordings(words)}
+_KNOWN |= {_spdx(name): f"spdx-{name}" for name in SPDX} | {_spdx(old): f"spdx-{name}" for old, name in SPDX_OLD.items()}
 
 
 def _sequence(body: Column) -> Column:
@@ -162,7 +211,7 @@ def pattern(ids: list[str]) -> str:
 
 def with_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``_ids``: the identifiers found, in text order."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), NO_BREAK, "$1$2")
     cut = F.regexp_replace(low, BREAK, "$1\n")
     joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.regexp_replace(low, "\r", ""), "\n[ \t]*\n", "\x01"), "\n", " "), "\x01", "\n")
@@ -223,7 +272,7 @@ def oracle_sql(key: str = "doc_id") -> str:
     joined = "replace(replace(regexp_replace(replace(low, chr(13), ''), '\\n[ \\t]*\\n', chr(1), 'g'), chr(10), ' '), chr(1), chr(10))"
     return f"""
 WITH k AS (SELECT map_from_entries(list((w, name))) AS known FROM (VALUES {known}) t(w, name)),
-t AS (SELECT {key}, lower(coalesce(text, '')) AS low FROM documents),
+t AS (SELECT {key}, regexp_replace(lower(coalesce(text, '')), '{NO_BREAK}', '\\1\\2', 'g') AS low FROM documents),
 s AS (SELECT {key}, k.known AS known, {clean.format(cut.format(joined))} AS a, {clean.format(cut.format('low'))} AS b FROM t, k),
 q AS (SELECT {key}, list_transform(CASE WHEN len(b) > len(a) THEN b ELSE a END, lambda x: known[x]) AS ids FROM s),
 r AS (SELECT {key}, ids, coalesce(array_to_string(list_transform(ids, lambda i: ';' || i || ';'), ''), '') AS r0 FROM q),
