@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from tillsight.llm import kd_shards, main_text, sp_bpe
@@ -26,7 +27,8 @@ def test_words_are_encoded_as_by_the_library(library):
     rng = random.Random(4)
     texts = TEXTS + ["".join(rng.choice("abeintorsh ▁.,012\n") for _ in range(rng.randint(1, 200))) for _ in range(400)]
     texts += ["".join(rng.choice("abinteros") for _ in range(800)) for _ in range(5)]
-    got = list(sp_bpe._rows(texts, sp_bpe.Encoder(tokenizer_path()), False))
+    columns = sp_bpe.Encoder(tokenizer_path()).columns(pa.array(texts, pa.string()), False)
+    got = list(zip(*[c.to_pylist() for c in columns]))
     want = library.encode([t or "" for t in texts], num_threads=1)
     assert [g[1] for g in got] == want
     assert [g[2] for g in got] == [library.decode(w) for w in want]
@@ -129,3 +131,92 @@ def test_paragraphs_and_headings_beside_the_container():
     got = main_text.extract_one(page)
     assert got == " ".join(["Title", lead, "word " * 20 + "link", "loose text."]
                            + [f"Body {k}, with words, and more words to read, line after line." for k in range(8)])
+
+
+PROSE = "".join(f"<p>Ordinary words of paragraph {k}, with a comma, and more text that reads on for a while.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    '<div style="overflow: hidden">{}</div>', '<div class="overflow-hidden">{}</div>', '<div class="content no-sidebar">{}</div>',
+    '<div class="post comments-open">{}</div>', '<article class="post comment-closed">{}</article>',
+    '<div class="article-header-fixed">{}</div>', '<main><section class="related-work">{}</section></main>',
+    '<article><div data-id="search">{}</div></article>', '<form id="aspnetForm"><div>{}</div></form>',
+    '<div data-class="comments" title="id=footer hidden">{}</div>', '<article class="promo">{}</article>'])
+def test_marks_of_the_page_are_not_marks_of_the_article(page):
+    assert main_text.extract_one(page.format(PROSE)) == main_text.extract_one(f"<article>{PROSE}</article>") != ""
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="comments">{}</div>', '<section id=disqus_thread>{}</section>', '<div class="cookie-notice">{}</div>',
+    '<div hidden>{}</div>', '<form>{}</form>', '<div role="complementary">{}</div>', '<aside>{}</aside>',
+    '<div aria-hidden="true">{}</div>', '<ul class="menu">{}</ul>', '<span class="share">{}</span>'])
+def test_marked_parts_of_an_article_are_left_out(part):
+    want = main_text.extract_one(f"<article>{PROSE}</article>")
+    assert main_text.extract_one(f"<article>{PROSE}{part.format('Short text, of a part.')}</article>") == want
+    if "comments" in part or "disqus" in part:
+        assert main_text.extract_one(f"<article>{PROSE}{part.format(3 * PROSE)}</article>") == want
+
+
+def _grown(rng, depth=0):
+    """A random tree: (tag, children), children being trees or (text, linked) pairs."""
+    children = []
+    for _ in range(rng.randint(1, 4)):
+        if depth < 4 and rng.random() < 0.6:
+            children.append(_grown(rng, depth + 1))
+        else:
+            text = " ".join(rng.choice(["word", "text,", "of", "more,", "pages"]) for _ in range(rng.randint(1, 40)))
+            children.append(("p", [(text, rng.random() < 0.3)]))
+    return (rng.choice(["div", "div", "div", "section", "ul"]) if depth else "div", children)
+
+
+def _html(node):
+    tag, children = node
+    inner = "".join((f"<a href=x>{c[0]}</a>" if c[1] else c[0]) if isinstance(c[1], bool) else _html(c) for c in children)
+    return f"<{tag}>{inner}</{tag}>"
+
+
+def _best_by_brute_force(root):
+    """Texts of the container with the most points, each node's points summed from all paragraphs below it."""
+    nodes, above = [], {}
+
+    def walk(node, path):
+        nodes.append((node, path))
+        for c in node[1]:
+            if not isinstance(c[1], bool):
+                walk(c, [*path, id(node)])
+
+    walk(root, [])
+    points, order = {}, {}
+    for k, (node, path) in enumerate(nodes):
+        order[id(node)] = k
+        above[id(node)] = path
+        if node[0] == "p":
+            text = node[1][0][0]
+            gives = 1 + text.count(",") + min(len(text) / 100, 3)
+            for level, up in enumerate(path[::-1][:5]):
+                points[up] = points.get(up, 0) + gives / (1, 2, 6, 9, 12)[level]
+
+    def chars(node, linked):
+        return sum((len(c[0]) if c[1] or not linked else 0) if isinstance(c[1], bool) else chars(c, linked) for c in node[1])
+
+    score = {id(n): points[id(n)] * (1 - chars(n, True) / chars(n, False)) for n, _ in nodes if id(n) in points}
+    best = max(score, key=lambda i: (round(score[i], 9), -order[i]))
+    return best, score, above, nodes, order
+
+
+def test_generated_pages_keep_the_container_of_most_points():
+    rng = random.Random(8)
+    for _ in range(200):
+        root = ("#", [("body", [_grown(rng)])])
+        best, score, above, nodes, order = _best_by_brute_force(root)
+        around = above[best][-1] if above[best] else None
+        kept = {best} | {i for i in score if above[i] and above[i][-1] == around and score[i] >= max(10, 0.2 * score[best])}
+        inside = [n[1][0][0] for n, path in nodes if n[0] == "p" and kept & set(path)]
+        got = main_text.extract_one("".join(_html(c) for c in root[1]))
+        at = 0
+        for text in inside:  # prose beside the container may stand between them
+            at = got.index(text, at) + len(text)
+        beside = [n[1][0][0] for n, path in nodes if n[0] == "p" and not kept & set(path) and path[-1] != around]
+        assert len(got) <= sum(len(t) + 1 for t in inside) + sum(
+            len(n[1][0][0]) + 1 for n, path in nodes if n[0] == "p" and not kept & set(path)) - sum(
+            len(t) + 1 for t in beside)

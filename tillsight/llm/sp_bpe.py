@@ -1,18 +1,19 @@
 """Byte-pair encoding with a SentencePiece BPE vocabulary, as vectorised merge rounds.
 
 ``Bpe`` reads pieces and scores of a model with the identity normaliser and a dummy prefix
-(space becomes U+2581) and byte fallback.  ``encode_words`` holds the symbols of many words
-in one flat array and repeats rounds: rank of every adjacent pair, segmented minimum per
-word, merge of that pair at its leftmost non-overlapping places in all words at once,
-compaction; words without a known pair leave the work array.
+(space becomes U+2581) and byte fallback.  ``encode_units`` holds the symbols of many units
+of text in one flat array and repeats rounds: rank of every adjacent pair, segmented minimum per
+unit, merge of that pair at its leftmost non-overlapping places in all units at once,
+compaction; units without a known pair leave the work array.
 
 Sequential leftmost-best merging and one merge of all equal pairs differ only where the
 merged piece can at once take part in a better-ranked merge.  Such pieces are found from the
-vocabulary, and for them only the leftmost place of a word is merged in a round, so the ids
+vocabulary, and for them only the leftmost place of a unit is merged in a round, so the ids
 are those of the sequential method.
 
-Words are cut where no piece can reach across: before a U+2581 that follows another
-character, and around characters of no piece (byte fallback).
+A unit is a piece of text between places that no piece of the vocabulary reaches across: those between two characters
+that are neighbours in no piece, found for a whole block of texts in one array operation over its bytes.
+Each different unit is encoded once, and ids, decimal ids and decoded bytes of a text are taken from its units'.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tillsight.llm._units import PAD, Memory, blocks, by_unit, flat, joined
+
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
-_CACHE = 200_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -45,8 +47,6 @@ class Bpe:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.special = {i for i in range(n) if special[i]}
         plain = {p: i for i, p in enumerate(self.pieces) if not special[i] and not byte[i]}
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in plain):
-            raise ValueError("pieces reach across a word start; this model can't be cut at spaces")
         self.char_id = {p: i for p, i in plain.items() if len(p) == 1}
         # rank: place in descending score; every split of a piece into two pieces is a known pair
         scores = {p: model.get_score(i) for p, i in plain.items()}
@@ -71,54 +71,85 @@ class Bpe:
         for part in (left, right):
             eager[part[rank[merged] <= rank[part]]] = True
         self.eager = eager
-        known = "".join(re.escape(c) for c in self.char_id if c != SPACE)
-        # a run of known characters with the U+2581 run before it, or one unknown character
-        self.cut = re.compile(f"{SPACE}+[{known}]*|[{known}]+|[^{known}{SPACE}]", re.S)
-
-    def words(self, text: str) -> list[str]:
-        """The parts of a text that are encoded apart from each other."""
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
-        flat, lengths = [], np.zeros(len(words), dtype=np.int64)
-        for k, w in enumerate(words):
-            ids: list[int] = []
-            for c in w:
-                i = self.char_id.get(c)
-                ids += [i] if i is not None else [self.byte_id[b] for b in c.encode()]
-            flat += ids
-            lengths[k] = len(ids)
-        sym = np.array(flat, dtype=np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
-        done: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        # id of every code point (space as U+2581; -1: none, so its bytes are symbols) and of every byte
+        self.code_point = np.full(0x110000, -1, dtype=np.int32)
+        for c, i in self.char_id.items():
+            self.code_point[ord(c)] = i
+        self.code_point[ord(" ")] = self.code_point[ord(SPACE)]
+        self.of_byte = np.array([self.byte_id[b] for b in range(256)], dtype=np.int32)
+        # (last byte, first byte) of neighbouring characters of any piece; a text can be cut between all others
+        self.inside = np.zeros((256, 256), dtype=bool)
+        for p in plain:
+            for x, y in zip(p, p[1:]):
+                for last in {x.encode()[-1], (" " if x == SPACE else x).encode()[-1]}:
+                    for first in {y.encode()[0], (" " if y == SPACE else y).encode()[0]}:
+                        self.inside[last, first] = True
+        shown = [b"" if special[i] else bytes([self.byte_of[i]]) if byte[i] else p.replace(SPACE, " ").encode()
+                 for i, p in enumerate(self.pieces)]
+        self.piece_bytes = pa.array(shown, pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in range(n)], pa.large_binary())
+
+    def cuts(self, buf: np.ndarray) -> np.ndarray:
+        """Places of a buffer at which a character starts and no piece reaches across."""
+        here = buf[PAD:-PAD]
+        return np.flatnonzero((here & 0xC0 != 0x80) & ~self.inside[buf[PAD - 1:-PAD - 1], here]) + PAD
+
+    def _symbols(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Character ids (byte ids of characters that are no piece) of all units, and the unit of each."""
+        whole = b"".join(units)
+        buf = np.frombuffer(whole, np.uint8)
+        unit = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        start = buf & 0xC0 != 0x80
+        char = self.code_point[np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)][np.cumsum(start) - 1]
+        use = start | (char < 0)
+        return np.where(char < 0, self.of_byte[buf], char)[use].astype(np.int64), unit[use]
+
+    def _pair_at(self, sym: np.ndarray, unit: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Number of the known pair that starts at each place, -1 for none."""
+        out = np.full(at.size, -1, np.int64)
+        inner = np.flatnonzero(at < sym.size - 1)
+        inner = inner[unit[at[inner]] == unit[at[inner] + 1]]
+        key = sym[at[inner]] << 32 | sym[at[inner] + 1]
+        pair = np.minimum(np.searchsorted(self.pair_key, key), self.pair_key.size - 1)
+        out[inner] = np.where(self.pair_key[pair] == key, pair, -1)
+        return out
+
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and the number of ids of each."""
+        sym, unit = self._symbols(units)
+        pair = self._pair_at(sym, unit, np.arange(sym.size))
+        done: list[tuple[np.ndarray, np.ndarray]] = [(sym[:0], unit[:0])]
         while sym.size:
-            key = sym[:-1] << 32 | sym[1:]
-            at = np.minimum(np.searchsorted(self.pair_key, key), self.pair_key.size - 1)
-            known = (self.pair_key[at] == key) & (word[:-1] == word[1:])
-            rank = np.append(np.where(known, self.pair_rank[at], _NONE), _NONE)
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            rank = np.where(pair >= 0, self.pair_rank[pair], _NONE)
+            starts = np.flatnonzero(np.diff(unit, prepend=-1))
             sizes = np.diff(np.append(starts, sym.size))
-            best = np.minimum.reduceat(rank, starts)
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
             over = best == _NONE
-            for s, n in zip(starts[over], sizes[over]):
-                done[word[s]] = sym[s:s + n].astype(np.int32)
-            hit = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank < _NONE))
-            piece = self.pair_piece[at[hit]] if hit.size else hit
+            done.append((sym[over], unit[over]))
+            keep = ~over
+            hit = np.flatnonzero((rank == best) & keep)
+            piece = self.pair_piece[pair[hit]]
             if hit.size:
                 # leftmost non-overlapping: of a run of adjacent hits, every other one
                 new = np.diff(hit, prepend=-2) != 1
                 first = np.maximum.accumulate(np.where(new, np.arange(hit.size), 0))
                 take = (np.arange(hit.size) - first) % 2 == 0
-                lead = np.diff(word[hit], prepend=-1) != 0
+                lead = np.diff(unit[hit], prepend=-1) != 0
                 wait = self.eager[piece[lead]][np.cumsum(lead) - 1]
                 take &= ~wait | lead
                 hit, piece = hit[take], piece[take]
-            keep = ~np.repeat(over, sizes)
             sym[hit] = piece
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
-        return [np.zeros(0, np.int32) if x is None else x for x in done]
+            # only pairs beside a merged symbol have changed
+            place = np.cumsum(keep) - 1
+            sym, unit, pair = sym[keep], unit[keep], pair[keep]
+            beside = np.zeros(sym.size + 1, bool)
+            beside[place[hit]] = True
+            beside[place[hit] - 1] = True
+            near = np.flatnonzero(beside[:-1])
+            pair[near] = self._pair_at(sym, unit, near)
+        sym, unit = (np.concatenate(x) for x in zip(*done))
+        return sym[np.argsort(unit, kind="stable")].astype(np.int32), np.bincount(unit, minlength=len(units))
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, byte runs read as UTF-8, U+2581 as space, first space dropped."""
@@ -145,6 +176,7 @@ class Bpe:
 
 
 _models: dict[str, Bpe] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def load(model_file: str) -> Bpe:
@@ -155,51 +187,42 @@ def load(model_file: str) -> Bpe:
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of at most ``_CACHE`` distinct words."""
+    """Encodes and decodes blocks of texts, each different unit of theirs once."""
 
     def __init__(self, model_file: str):
         self.bpe = load(model_file)
-        self.seen: dict[str, tuple[int, str, str, list[int]]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are not remembered, all in the same merge rounds."""
-        if len(self.seen) > _CACHE:
-            self.seen.clear()
-        todo = [w for w in words if w not in self.seen]
-        for w, ids in zip(todo, self.bpe.encode_words(todo)):
-            as_list = ids.tolist()
-            self.seen[w] = (len(as_list), ",".join(map(str, as_list)), self.bpe.decode_parts(as_list), as_list)
-
-
-def _rows(texts: list[str | None], enc: Encoder, digest: bool):
-    """Per text (n ids, ids or their digest, decoded or its digest).
-
-    Words of the whole batch are learnt together; a text is put together from its words' ids,
-    in pieces, so that no text needs more memory than a few times its own size.
-    """
-    group: list[list[str]] = []
-    size = 0
-
-    def flush():
-        enc.learn({w for words in group for w in words})
-        for words in group:
-            got = [enc.seen[w] for w in words]
-            n = sum(x[0] for x in got)
-            text = "".join(x[2] for x in got)[1:]
+        self.memory = Memory(self._build, self.bpe.cuts)
+
+    def _build(self, units: list[bytes]) -> pa.Table:
+        """Ids of each unit, their decimal text with a comma behind every id, and the decoded bytes."""
+        ids, counts = self.bpe.encode_units(units)
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        at = pa.array(ids)
+        return pa.table({
+            "n": pa.array(counts, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), at),
+            "shown": by_unit(self.bpe.decimal.take(at), bounds),
+            "decoded": by_unit(self.bpe.piece_bytes.take(at), bounds)})
+
+    def columns(self, texts: pa.Array, digest: bool) -> list[pa.Array]:
+        """Per text the number of ids, the ids or their digest, and the decoded text or its digest."""
+        parts = []
+        for block in blocks(texts):
+            rows, bounds = self.memory.of(block)
+            n = np.diff(np.concatenate(([0], np.cumsum(rows["n"].to_numpy())))[bounds])
+            decoded, edge = joined(rows["decoded"])
+            # the space that led the text isn't part of it
+            texts_of = [decoded[s + 1:e] for s, e in zip(edge[bounds[:-1]], edge[bounds[1:]])]
             if digest:
-                yield n, hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), \
-                    hashlib.sha256(text.encode()).hexdigest()
+                shown, edge = joined(rows["shown"])
+                ids_of = [shown[s:max(s, e - 1)] for s, e in zip(edge[bounds[:-1]], edge[bounds[1:]])]
+                parts.append([pa.array(n)] + [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
+                                              for xs in (ids_of, texts_of)])
             else:
-                yield n, [i for x in got for i in x[3]], text
-        group.clear()
-
-    for text in texts:
-        group.append(enc.bpe.words(text or ""))
-        size += len(text or "")
-        if size > 1 << 20:
-            yield from flush()
-            size = 0
-    yield from flush()
+                ids, edge = flat(rows["ids"])
+                lists = pa.ListArray.from_arrays(pa.array(edge[bounds].astype(np.int32)), pa.array(ids, pa.int32()))
+                parts.append([pa.array(n), lists, pa.array(map(bytes, texts_of), pa.binary()).cast(pa.string())])
+        types = [pa.int64()] + ([pa.string()] * 2 if digest else [pa.list_(pa.int32()), pa.string()])
+        return [pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], t) for k, t in enumerate(types)]
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool = False) -> DataFrame:
@@ -208,21 +231,20 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool =
     Adds ``n_tokens``, ``ids`` (array<int>) and ``decoded``; with ``digest`` the last two are
     replaced by ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (UTF-8).
     Columns of ``docs`` with these names are replaced; the others stay.  No shuffle: every
-    Arrow batch is encoded in place, with no state between batches but a bounded word memory.
+    Arrow batch is encoded in place, with no state between batches but a bounded memory of units.
     """
     added = [("n_tokens", "bigint")] + ([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest
                                          else [("ids", "array<int>"), ("decoded", "string")])
     names = {n for n, _ in added}
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
-    types = [pa.int64()] + ([pa.string()] * 2 if digest else [pa.list_(pa.int32()), pa.string()])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
                        + [f"{n} {t}" for n, t in added])
 
     def run(batches):
-        enc = Encoder(model_file)
+        enc = _encoders.get(model_file) or Encoder(model_file)
+        _encoders[model_file] = enc
         for batch in batches:
-            got = list(_rows(batch.column(batch.schema.get_field_index(text)).to_pylist(), enc, digest))
-            cols = [pa.array([g[k] for g in got], type=t) for k, t in enumerate(types)]
+            cols = enc.columns(batch.column(batch.schema.get_field_index(text)), digest)
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names_in_order])
 
     names_in_order = [n for n, _ in added]
