@@ -137,3 +137,14 @@ def test_unlabelled_templates_pass_and_variable_segments_share_labels(spark):
     df = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(urls)], "page_id int, url string, bad boolean")
     got = {r["page_id"]: r["verdict"] for r in ut.judge(df, [], bad=F.col("bad")).collect()}
     assert [got[k] for k in (0, 30, 31, 32)] == ["block", "block", "allow", "allow"]
+
+
+def test_a_blocked_branch_does_not_block_its_neighbours(spark):
+    urls = [f"http://small.example.com/{x}/{k}" for x, n in (("de", 9), ("en", 12), ("fr", 6)) for k in range(n)]
+    urls += [f"http://most.example.com/{x}/{k}" for x, n in (("de", 19), ("xx", 1)) for k in range(n)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: (r["rule"], r["verdict"]) for r in ut.judge(df, URL_RULES).collect()}
+    assert all(v == (("example.com/de/", "block") if "/de/" in u else (None, "allow"))
+               for u, v in got.items() if "small" in u)
+    # rare segments are one template, of which nearly all is blocked
+    assert got["http://most.example.com/xx/0"] == (None, "block")

@@ -113,7 +113,7 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 @query("op11_url_templates")
 def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages have no labels of their own: templates learn from the urls that a rule judges."""
+    """The pages have no labels of their own: templates learn from the urls that a rule blocks."""
     from tillsight.llm import url_templates
 
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")

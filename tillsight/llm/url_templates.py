@@ -123,8 +123,8 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", bad: Column | N
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` of every row's url.
 
     The verdict is the longest rule's, else ``block`` if the url's template is rejected, else ``allow``.
-    Templates learn from ``bad`` (boolean column of ``pages``, null: no label) or, without it, from the verdicts
-    of the rules.
+    Templates learn from ``bad`` (boolean column of ``pages``, null: no label) or, without it, from the rules: rows that
+    one blocks are bad, all others good, since a rule about one branch tells nothing bad about the others.
     """
     added = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in added]
@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", bad: Column | N
     row = pages.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), host.alias("host"), path.alias("path"),
                        label.alias("label"))
     row = row.withColumn("found", longest_rule(rules, F.col("host"), F.col("path")))
-    learnt = F.col("found.verdict") == "block" if bad is None else F.col("label")
+    learnt = F.coalesce(F.col("found.verdict") == "block", F.lit(False)) if bad is None else F.col("label")
     shape = generalised(F.col("path"))
     grown = grow(row.select("host", shape.alias("path"), learnt.alias("bad")))
     rejected = (grown.join(templates(grown).where("rejected"), ["host", "template"], "left_semi")
