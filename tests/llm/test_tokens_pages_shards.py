@@ -220,3 +220,48 @@ def test_generated_pages_keep_the_container_of_most_points():
         assert len(got) <= sum(len(t) + 1 for t in inside) + sum(
             len(n[1][0][0]) + 1 for n, path in nodes if n[0] == "p" and not kept & set(path)) - sum(
             len(t) + 1 for t in beside)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_copies_of_one_row_are_spread_over_the_shards(spark, parts):
+    from pyspark.sql import functions as F
+
+    rows = [(7, "the same text")] * 3000 + [(100 + i, "x" * (i % 50)) for i in range(1000)] + [(None, None)] * 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
+    got = kd_shards.shard(df, "doc_id", size, [F.log2(size), F.col("doc_id")], n_shards=40,
+                          keep={"crc": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))}).toPandas()
+    assert len(got) == len(rows)
+    total = got.groupby("shard").weight.sum()
+    assert len(total) == 40 and total.max() <= 1.05 * total.mean() and total.min() >= 0.95 * total.mean()
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+
+
+def test_shards_equal_weighted_medians_taken_one_node_at_a_time(spark):
+    """Each split leaves a part of the bytes next to the wanted one, along the widest dimension of the node."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(i, rng.randint(16, 400), rng.random() ** 3, rng.choice([0.0, 0.2, 0.21, 1.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n bigint, x double, y double")
+    got = {r["doc_id"]: r["shard"] for r in kd_shards.shard(df, "doc_id", F.col("n"), [F.col("x"), F.col("y")], n_shards=12)
+           .collect()}
+    spread = [max(r[d] for r in rows) - min(r[d] for r in rows) for d in (2, 3)]
+
+    def check(members, first, shares):
+        if shares == 1:
+            assert {got[r[0]] for r in members} == {first}
+            return
+        left = [r for r in members if got[r[0]] < first + shares // 2]
+        right = [r for r in members if got[r[0]] >= first + shares // 2]
+        wide = [(max(r[d] for r in members) - min(r[d] for r in members)) / spread[d - 2] for d in (2, 3)]
+        d = 2 if wide[0] >= wide[1] - 0.002 else 3
+        ordered = [dim for dim in (d, 5 - d) if max(r[dim] for r in left) <= min(r[dim] for r in right)]
+        assert ordered and (ordered[0] == d or abs(wide[0] - wide[1]) < 0.002)
+        goal = sum(r[1] for r in members) * (shares // 2) / shares
+        assert abs(sum(r[1] for r in left) - goal) <= 400
+        check(left, first, shares // 2)
+        check(right, first + shares // 2, shares - shares // 2)
+
+    check(rows, 0, 12)

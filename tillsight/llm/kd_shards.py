@@ -4,7 +4,7 @@ The root holds all rows and ``n_shards`` shares.  A node with s shares is split
 metadata dimension in which its rows spread widest (as a part of the whole table's spread),
 at the weighted quantile that gives floor(s / 2) shares of its bytes to the left side; a
 node with one share is a shard.  Equal coordinates are told apart by a hash of the row's
-key, so that a source or language that holds a third of the rows is split like any other.
+key, and rows of one key by numbering them, so that a source or language that holds a third of the rows is split like any other.
 
 The quantile comes from weighted histograms: all nodes of a level are done in one pass of
 1,024 bins per node and dimension, and the one bin per node that holds the quantile is
@@ -114,9 +114,9 @@ def shard(docs: DataFrame, key: str, weight: Column, dims: list[Column], n_shard
     ``dims`` are numeric columns (null counts as the smallest value), ``weight`` a row's bytes.
     Give ``n_shards`` or ``target_bytes`` (then as many shards as fill that).  Returns ``key``,
     ``weight``, the columns ``keep``, ``shard`` (int, from 0) and ``slot`` (bigint, gapless from
-    0 in each shard).  An empty table gives an empty result.  Rows that agree in key and ``keep``
-    can't be told apart and share a shard; each still has a slot of its own.  The tie hash is of the key,
-    so equal inputs give equal shards.
+    0 in each shard).  An empty table gives an empty result.  Rows that agree in key and ``keep`` are
+    interchangeable and are spread like others.  The tie hash is of the key, so equal inputs, dealt over equal files,
+    give equal shards.
     """
     keep = keep or {}
     raw = docs.select(F.col(key), weight.cast("bigint").alias("weight"),
@@ -136,7 +136,12 @@ def shard(docs: DataFrame, key: str, weight: Column, dims: list[Column], n_shard
             return F.lit(0).cast("bigint")
         return F.coalesce(F.floor((F.col(f"d{i}") - lo) / (hi - lo) * ((1 << Q_BITS) - 1)), F.lit(0)).cast("bigint")
 
-    tie = F.pmod(F.xxhash64(key, *keep), F.lit(1 << TIE_BITS))
+    # rows that agree in key and kept columns are told apart by their number within a task's rows: no group of
+    # copies has to fit into one shard or one task
+    same = Window.partitionBy(key, *keep, "part").orderBy("weight")
+    raw = raw.withColumn("part", F.spark_partition_id()).withColumn("copy", F.row_number().over(same))
+    tie = F.pmod(F.when(F.col("copy") == 1, F.xxhash64(key, *keep)).otherwise(F.xxhash64(key, *keep, "part", "copy")),
+                 F.lit(1 << TIE_BITS))
     rows = raw.select(key, "weight", *keep, *[coordinate(i).alias(f"q{i}") for i in range(n_dims)], tie.alias("tie"))
     rows = kd_leaves(written(rows, "shard-keys"), n_dims, n_shards)
     # slots: rows are numbered in chunks of a shard, chunks follow one another
