@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tillsight.llm import token_align as ta
+from tillsight.llm._units import cut
 from tillsight.llm.queries import tokenizer_path
 
 A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path()
@@ -17,19 +18,22 @@ TEXTS = [None, "", " ", "  a  b ", "Hello world\n\n\tx", "▁a ▁b", "<|endofte
          "a" * 3000, " " * 70 + "x", "1234567890 12,345.67", "Hello world\n\n\tx", "unbelievable internationalisation"]
 
 
-def _plain(texts):
-    """Ids, groups and links token by token, with the libraries on whole texts."""
+def _libraries(texts):
+    """Ids of whole texts by the libraries."""
     import sentencepiece
     from tokenizers import Tokenizer
 
     a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=B)
+    return [(a.encode(" " + t, add_special_tokens=False).ids if t else [], b.encode(t) if t else []) for t in texts]
+
+
+def _plain(texts):
+    """Ids, groups and links token by token."""
     of_a, of_b = ta.side(ta.ByteLevel, A).bytes_of, ta.side(ta.Pieces, B).bytes_of
     out = []
-    for t in texts:
-        ids_a = a.encode(" " + t, add_special_tokens=False).ids if t else []
-        ids_b = b.encode(t) if t else []
+    for t, (ids_a, ids_b) in zip(texts, _libraries(texts)):
         raw = b" " + t.encode() if t else b""
         if b"".join(of_a[i] for i in ids_a) != raw or b"".join(of_b[i] for i in ids_b) != raw:
             ids_a, ids_b = [], []
@@ -66,16 +70,21 @@ def test_products_equal_dense_ones():
         assert (dense == x.T).all()
 
 
-def test_long_texts_are_cut_where_no_token_reaches_across(monkeypatch):
+def test_units_are_cut_where_no_token_reaches_across():
     rng = random.Random(3)
-    words = ["alpha", "beta", "x1", "don't", "\n", "  ", "...", "é", "12", "(a", "b)"]
-    texts = [" ".join(rng.choice(words) for _ in range(500)) for _ in range(20)]
-    whole = [ta.side(k, f).encode(texts) for k, f in ((ta.ByteLevel, A), (ta.Pieces, B))]
-    monkeypatch.setattr(ta, "PIECE", 40)
-    assert min(len(ta.pieces(t)) for t in texts) > 10
-    for (kind, file), want in zip(((ta.ByteLevel, A), (ta.Pieces, B)), whole):
-        got = [[i for x in ta.side(kind, file).encode(ta.pieces(t)) for i in x] for t in texts]
-        assert got == want
+    words = ["alpha", "beta", "x1", "don't", "\n", "  ", "...", "é", "12", "(a", "b)", "\u00a0", "\u3000x", "x\u2009", "▁", "—",
+             "中文", "\x1c", "\x85", "s'", "'s", "ﬁ", "\u180e", "\u200b", "_"]
+    texts = [rng.choice(["", " "]).join(rng.choice(words) + rng.choice(["", " "]) for _ in range(80)) for _ in range(400)]
+    texts += [" ".join(rng.choice(words) for _ in range(80)) for _ in range(400)]
+    units, bounds = cut([t.encode() for t in texts], ta.cuts(ta.side(ta.ByteLevel, A), ta.side(ta.Pieces, B)))
+    parts = units.to_pylist()
+    assert len(parts) > 50 * len(texts)
+    for k, (kind, file) in enumerate(((ta.ByteLevel, A), (ta.Pieces, B))):
+        ids, counts = ta.side(kind, file).encode(parts)
+        ids = np.split(ids, np.cumsum(counts)[:-1])
+        for t, lo, hi, want in zip(texts, bounds[:-1], bounds[1:], _libraries(texts)):
+            assert b"".join(parts[lo:hi]).decode() == " " + t
+            assert [i for x in ids[lo:hi] for i in x] == want[k], t
 
 
 @pytest.mark.parametrize("links", ta.LINKS)

@@ -8,9 +8,13 @@ group incidences (a column per group).  Offsets at which tokens of both sides en
   those whose last bytes coincide are the links that end together.
 * ``Gᴬ · Gᴮᵀ`` gives the shared-group links.
 
+Where both tokenizers end a token whatever stands around it, texts are cut into units: common
+ends, which no group or link crosses.  Each different unit is encoded and multiplied once, and
+a text's result is put together from its units' in arrays.
+
 ``align`` returns ids, groups and links of every text; ``link_statistics`` adds how often the linked id pairs occur in
 the whole corpus.  Two tokens that end together are suffixes of one another, so the id pairs that can be
-linked follow from the vocabularies (``Pairs``): their counts have a size fixed by the two tokenizers, whatever
+linked follow from the vocabularies (``linkable``): their counts have a size fixed by the two tokenizers, whatever
 the corpus, and are the only thing that is gathered and broadcast.
 
 Texts that are null or empty, or that a tokenizer doesn't keep byte for byte, have no tokens.  Repeated rows and
@@ -21,23 +25,29 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm import sp_bpe
 from tillsight.llm._tables import ship, written
+from tillsight.llm._units import PAD, Memory, blocks, flat, joined
 
 SPACE = "▁"
-#: Bytes of text whose matrices are held at once, and nonzeros multiplied at once.
-BLOCK = 1 << 20
-#: Texts are handed to the tokenizers in pieces of about so many characters, cut where neither joins bytes.
-PIECE = 1 << 16
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Classes of bytes: not ASCII, white space or control, space, line feed, digit, letter, apostrophe, other sign.
+_OTHER, _CONTROL, _SPACE, _FEED, _DIGIT, _LETTER, _QUOTE, _SIGN = range(8)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[:128] = [_CONTROL if c <= 32 or c == 127 else _DIGIT if chr(c).isdigit() else _LETTER if chr(c).isalpha() else _SIGN
+                for c in range(128)]
+_CLASS[[32, 10, 39]] = _SPACE, _FEED, _QUOTE
+_WIDE = np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])
+#: Nonzeros multiplied at once.
+BLOCK = 1 << 18
+#: Units handed to the byte-level tokenizer at once (what it returns is many times larger than the ids), and rows summed.
+AT_ONCE = 1 << 11
 LINKS = ("overlap", "end", "group")
 
 
@@ -146,22 +156,42 @@ class ByteLevel(Side):
             of[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
         super().__init__(of)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        encoded: list[list[int]] = []
+        for lo in range(0, len(units), AT_ONCE):
+            part = [u.decode() for u in units[lo:lo + AT_ONCE]]
+            encoded += [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in encoded], np.int64)
+        return np.fromiter(chain.from_iterable(encoded), np.int64, int(sizes.sum())), sizes
+
+    @staticmethod
+    def cuts(buf: np.ndarray) -> np.ndarray:
+        """Whether the pattern that splits texts ends a part before each byte, whatever stands on either side.
+
+        It does between runs of letters, digits and other signs, before white space, and behind a single line
+        feed.  An apostrophe may belong to the letters behind it.  Only ASCII characters are judged, and before
+        a space characters of the UTF-8 rows other than C2, E1, E2 and E3, which hold all other white space.
+        """
+        here, last = _CLASS[buf[PAD:-PAD]], _CLASS[buf[PAD - 1:-PAD - 1]]
+        sign = (last != here) & (last >= _DIGIT) & (here >= _DIGIT) & (last != _QUOTE)
+        sign &= ~((last == _SIGN) & (here == _QUOTE))
+        behind = (buf[PAD - 2:-PAD - 2] == 0xC2) | _WIDE[buf[PAD - 3:-PAD - 3]]
+        solid = (last >= _DIGIT) | (last == _OTHER) & ~behind
+        feed = (last == _FEED) & (here >= _DIGIT) & (_CLASS[buf[PAD - 2:-PAD - 2]] >= _DIGIT)
+        return sign | solid & ((here == _SPACE) | (here == _FEED)) | feed
 
 
 class Pieces(Side):
-    """A SentencePiece model that puts the leading space itself."""
+    """A SentencePiece BPE model that puts the leading space itself."""
 
     def __init__(self, file: str):
-        import sentencepiece
-
-        self.model = m = sentencepiece.SentencePieceProcessor(model_file=file)
-        super().__init__([bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i)
-                          else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(m.get_piece_size())])
+        self.model = m = sp_bpe.load(file)
+        super().__init__([bytes([m.byte_of[i]]) if i in m.byte_of else p.replace(SPACE, " ").encode()
+                          for i, p in enumerate(m.pieces)])
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode(pieces, num_threads=1)
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.model.encode_units(units)
+        return ids.astype(np.int64), sizes
 
 
 _sides: dict[tuple[type, str], Side] = {}
@@ -174,55 +204,29 @@ def side(kind: type, file: str) -> Side:
     return _sides[kind, file]
 
 
-class Pairs:
-    """All id pairs of which one token's bytes end with the other's: the only ones that can end together."""
-
-    def __init__(self, a: Side, b: Side):
-        def having(s: Side) -> dict[bytes, list[int]]:
-            ids: dict[bytes, list[int]] = {}
-            for i, token in enumerate(s.bytes_of):
-                ids.setdefault(token, []).append(i)
-            return ids
-
-        of_a, of_b = having(a), having(b)
-        found = {(i, j) for i, t in enumerate(a.bytes_of) for k in range(len(t)) for j in of_b.get(t[k:], ())}
-        found |= {(i, j) for j, t in enumerate(b.bytes_of) for k in range(len(t)) for i in of_a.get(t[k:], ())}
-        keys = np.array(sorted(i << 32 | j for i, j in found), np.int64)
-        self.keys, self.a, self.b = keys, keys >> 32, keys & 0xFFFFFFFF
-
-    def index(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, a << 32 | b)
-
-
-_pairs: dict[tuple[str, str], Pairs] = {}
-
-
-def pairs_of(a_file: str, b_file: str) -> Pairs:
-    if (a_file, b_file) not in _pairs:
-        _pairs[a_file, b_file] = Pairs(side(ByteLevel, a_file), side(Pieces, b_file))
-    return _pairs[a_file, b_file]
-
+def linkable(a: Side, b: Side) -> np.ndarray:
+    """Sorted keys (A id << 32 | B id) of the pairs of which one token's bytes end with the other's.
 
-def pieces(text: str) -> list[str]:
-    """The text in pieces that both tokenizers encode apart: cut at single spaces between ASCII letters or digits.
-
-    The space at the cut is dropped, since it leads the next piece as it leads the text.
+    Only these can end together; there are at most as many as the bytes of all tokens (and of namesakes).
     """
-    out, start = [], 0
-    while len(text) - start > PIECE:
-        cut = _CUT.search(text, start + PIECE)
-        if cut is None:
-            break
-        out.append(text[start:cut.start()])
-        start = cut.end()
-    return [*out, text[start:]]
+    def having(s: Side) -> dict[bytes, list[int]]:
+        ids: dict[bytes, list[int]] = {}
+        for i, token in enumerate(s.bytes_of):
+            ids.setdefault(token, []).append(i)
+        return ids
+
+    of_a, of_b = having(a), having(b)
+    keys = [i << 32 | j for i, t in enumerate(a.bytes_of) for k in range(len(t)) for j in of_b.get(t[k:], ())]
+    keys += [i << 32 | j for j, t in enumerate(b.bytes_of) for k in range(len(t)) for i in of_a.get(t[k:], ())]
+    return np.unique(np.array(keys, np.int64))
 
 
-def _flat(encoded: list[list[int]], doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row, and the number of ids of every text."""
-    sizes = np.array([len(x) for x in encoded], np.int64)
-    ids = np.fromiter(chain.from_iterable(encoded), np.int64, int(sizes.sum()))
-    return ids, np.bincount(doc, weights=sizes, minlength=n_docs).astype(np.int64)
+def cuts(a: Side, b: Side):
+    """The rule that cuts a buffer where both tokenizers end a token, whatever stands on either side."""
+    def rule(buf: np.ndarray) -> np.ndarray:
+        at = b.model.cuts(buf)
+        return at[a.cuts(buf)[at - PAD]]
+    return rule
 
 
 def _bounds(counts: np.ndarray) -> np.ndarray:
@@ -230,22 +234,16 @@ def _bounds(counts: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Tokens, groups and links of a block of texts."""
-
-    def __init__(self, texts: list[str], a: Side, b: Side):
-        n = len(texts)
-        cut = [pieces(t) if t else [] for t in texts]
-        doc = np.repeat(np.arange(n), [len(c) for c in cut])
-        parts = [p for c in cut for p in c]
-        self.a, self.b = a, b
-        self.a_ids, self.a_counts = _flat(a.encode(parts) if parts else [], doc, n)
-        self.b_ids, self.b_counts = _flat(b.encode(parts) if parts else [], doc, n)
-        raw = [b" " + t.encode() if t else b"" for t in texts]
-        same = self._same(a, self.a_ids, self.a_counts, raw) & self._same(b, self.b_ids, self.b_counts, raw)
-        if not same.all():
-            self.a_ids, self.a_counts = self.a_ids[np.repeat(same, self.a_counts)], self.a_counts * same
-            self.b_ids, self.b_counts = self.b_ids[np.repeat(same, self.b_counts)], self.b_counts * same
-        self.n_bytes = int(sum(len(r) for r, s in zip(raw, same) if s))
+    """Tokens, groups and links of units of text; a unit that isn't kept byte for byte has none."""
+
+    def __init__(self, units: list[bytes], a: Side, b: Side):
+        self.a_ids, self.a_counts = a.encode(units)
+        self.b_ids, self.b_counts = b.encode(units)
+        self.kept = self._same(a, self.a_ids, self.a_counts, units) & self._same(b, self.b_ids, self.b_counts, units)
+        if not self.kept.all():
+            self.a_ids, self.a_counts = self.a_ids[np.repeat(self.kept, self.a_counts)], self.a_counts * self.kept
+            self.b_ids, self.b_counts = self.b_ids[np.repeat(self.kept, self.b_counts)], self.b_counts * self.kept
+        self.n_bytes = int(sum(len(u) for u, s in zip(units, self.kept) if s))
         self.a_length, self.b_length = a.length[self.a_ids], b.length[self.b_ids]
         self.a_end, self.b_end = np.cumsum(self.a_length), np.cumsum(self.b_length)
         overlap = token_bytes(self.a_length, self.n_bytes).times(
@@ -281,7 +279,7 @@ class Block:
         return self.link_a[pick], self.link_b[pick], self.link_bytes[pick]
 
     def group_texts(self, texts_of: pa.Array) -> list[bytes]:
-        """``a1,a2|b1;a3|b2,b3`` of every text; ``texts_of`` has each id with ',', '|' and ';' behind it."""
+        """``a1,a2|b1;a3|b2,b3;`` of every unit; ``texts_of`` has each id with ',', '|' and ';' behind it."""
         up_to_a, up_to_b = (np.concatenate(([0], np.flatnonzero(c) + 1)) for c in (self.closes_a, self.closes_b))
         shown = np.zeros(self.a_ids.size + self.b_ids.size, np.int64)
         # a token of A stands behind B's tokens of earlier groups, one of B behind A's of its own group too
@@ -291,45 +289,53 @@ class Block:
         offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset:got.offset + len(got) + 1]
         data = memoryview(got.buffers()[2]) if shown.size else memoryview(b"")
         edge = offsets[_bounds(self.a_counts + self.b_counts)]
-        return [bytes(data[s:e - 1]) if e > s else b"" for s, e in zip(edge[:-1], edge[1:])]
-
-
-def _blocks(texts: list[str | None]):
-    """The texts in blocks of about ``BLOCK`` characters; a longer text is a block of its own."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t or "") > BLOCK:
-            yield group
-            group, size = [], 0
-        group.append(t or "")
-        size += len(t or "")
-    if group:
-        yield group
+        return [bytes(data[s:e]) for s, e in zip(edge[:-1], edge[1:])]
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(_bounds(counts).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _stacked(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
-    return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+def _of_unit(units: list[bytes], a: Side, b: Side, links: str) -> tuple[Block, np.ndarray, np.ndarray, list]:
+    """The block of the units, its links, and the number of links of each unit."""
+    block = Block(units, a, b)
+    found = block.links(links)
+    unit = np.searchsorted(_bounds(block.a_counts), found[0], "right") - 1
+    return block, unit, np.bincount(unit, minlength=len(units)), found
 
 
-def _mapped(docs: DataFrame, text: str, added: dict[str, str], block_columns) -> DataFrame:
-    """``docs`` with the columns that ``block_columns(texts)`` gives for each block of texts."""
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c == text or c not in added])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+def _mapped(docs: DataFrame, text: str, added: dict[str, str], a_file: str, b_file: str, build, columns) -> DataFrame:
+    """``docs`` with the columns that ``columns(rows, bounds)`` gives for a block of texts.
+
+    ``rows`` is what ``build`` made of each unit of the texts, without the units of texts that have one that
+    isn't ``kept``; ``bounds`` are the bounds of each text's rows.
+    """
+    left = docs.select(*[f"`{c}`" for c in docs.columns if c == text or c not in added])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields]
                        + [f"{n} {t}" for n, t in added.items()])
     types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches):
+        memory = Memory(build, cuts(side(ByteLevel, a_file), side(Pieces, b_file)))
         for batch in batches:
-            parts = [block_columns(texts)
-                     for texts in _blocks(batch.column(batch.schema.get_field_index(text)).to_pylist())]
-            cols = [_stacked([p[k] for p in parts], types[t]) for k, t in enumerate(added.values())]
+            parts = []
+            for texts in blocks(batch.column(batch.schema.get_field_index(text))):
+                rows, bounds = memory.of(texts)
+                lost = _bounds(~rows["kept"].to_numpy())[bounds]
+                if lost[-1]:
+                    whole = np.diff(lost) == 0
+                    counts = np.diff(bounds)
+                    rows, bounds = rows.filter(pa.array(np.repeat(whole, counts))), _bounds(counts * whole)
+                parts.append(columns(rows, bounds))
+            cols = [pa.concat_arrays([p[k].cast(types[t]) for p in parts]) if parts else pa.array([], types[t])
+                    for k, t in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *added])
 
-    return kept.mapInArrow(run, schema)
+    return left.mapInArrow(run, schema)
+
+
+def _sums(column: pa.ChunkedArray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(_bounds(column.to_numpy())[bounds])
 
 
 def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", links: str = "overlap") -> DataFrame:
@@ -343,37 +349,59 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", links:
         raise ValueError(f"links must be one of {LINKS}")
     added = dict.fromkeys(["a_ids", "b_ids", "a_groups", "b_groups", "link_a", "link_b", "link_bytes"], "array<int>")
 
-    def columns(texts: list[str]) -> list[pa.Array]:
-        block = Block(texts, side(ByteLevel, a_file), side(Pieces, b_file))
+    def build(units: list[bytes]) -> pa.Table:
+        block, unit, n_links, (link_a, link_b, shared) = _of_unit(
+            units, side(ByteLevel, a_file), side(Pieces, b_file), links)
         at_a, at_b, groups = (_bounds(c)[:-1] for c in (block.a_counts, block.b_counts, block.n_groups))
-        link_a, link_b, shared = block.links(links)
-        doc = np.searchsorted(_bounds(block.a_counts), link_a, "right") - 1
-        n_links = np.bincount(doc, minlength=len(texts))
-        return [_lists(block.a_ids, block.a_counts), _lists(block.b_ids, block.b_counts),
-                _lists(block.group_a - np.repeat(groups, block.a_counts), block.a_counts),
-                _lists(block.group_b - np.repeat(groups, block.b_counts), block.b_counts),
-                _lists(link_a - at_a[doc], n_links), _lists(link_b - at_b[doc], n_links), _lists(shared, n_links)]
-
-    return _mapped(docs, text, added, columns)
-
-
-def _digests(docs: DataFrame, a_file: str, b_file: str, text: str) -> DataFrame:
-    """Per text: token, group and link counts, the digest of its groups, and its end links as numbers of ``Pairs``."""
+        cols = {"a_ids": (block.a_ids, block.a_counts), "b_ids": (block.b_ids, block.b_counts),
+                "a_groups": (block.group_a - np.repeat(groups, block.a_counts), block.a_counts),
+                "b_groups": (block.group_b - np.repeat(groups, block.b_counts), block.b_counts),
+                "link_a": (link_a - at_a[unit], n_links), "link_b": (link_b - at_b[unit], n_links),
+                "link_bytes": (shared, n_links)}
+        return pa.table({n: _lists(*c) for n, c in cols.items()}
+                        | {"kept": pa.array(block.kept, pa.bool_()), "n_groups": pa.array(block.n_groups, pa.int64())})
+
+    def columns(rows: pa.Table, bounds: np.ndarray) -> list[pa.Array]:
+        values, edges = {}, {}
+        for name in added:
+            values[name], edges[name] = flat(rows[name])
+        # a unit's places and groups go on from those of the text's units before it
+        before = {"a_ids": edges["a_ids"][:-1], "b_ids": edges["b_ids"][:-1],
+                  "groups": _bounds(rows["n_groups"].to_numpy())[:-1]}
+        first = np.repeat(bounds[:-1], np.diff(bounds))
+        for name, of in (("a_groups", "groups"), ("b_groups", "groups"), ("link_a", "a_ids"), ("link_b", "b_ids")):
+            shift = before[of] - before[of][first]
+            values[name] = values[name] + np.repeat(shift, np.diff(edges[name]))
+        return [_lists(values[n], np.diff(edges[n][bounds])) for n in added]
+
+    return _mapped(docs, text, added, a_file, b_file, build, columns)
+
+
+def _digests(docs: DataFrame, a_file: str, b_file: str, text: str, pairs) -> DataFrame:
+    """Per text: token, group and link counts, the digest of its groups, and its end links as places in ``pairs.value``."""
     added = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
              "groups_sha256": "string", "pairs": "array<int>"}
 
-    def columns(texts: list[str]) -> list[pa.Array]:
+    def build(units: list[bytes]) -> pa.Table:
         a, b = side(ByteLevel, a_file), side(Pieces, b_file)
-        block = Block(texts, a, b)
-        link_a, link_b, _ = block.links("end")
-        doc = np.searchsorted(_bounds(block.a_counts), link_a, "right") - 1
-        n_links = np.bincount(doc, minlength=len(texts))
+        block, _, n_links, (link_a, link_b, _) = _of_unit(units, a, b, "end")
+        at = np.searchsorted(pairs.value, block.a_ids[link_a] << 32 | block.b_ids[link_b])
         shown = block.group_texts(_shown(max(len(a.bytes_of), len(b.bytes_of))))
-        return [pa.array(block.a_counts), pa.array(block.b_counts), pa.array(block.n_groups), pa.array(n_links),
-                pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in shown]),
-                _lists(pairs_of(a_file, b_file).index(block.a_ids[link_a], block.b_ids[link_b]), n_links)]
+        return pa.table({
+            "n_a": pa.array(block.a_counts, pa.int64()), "n_b": pa.array(block.b_counts, pa.int64()),
+            "n_groups": pa.array(block.n_groups, pa.int64()), "n_links": pa.array(n_links, pa.int64()),
+            "shown": pa.array(shown, pa.large_binary()), "pairs": _lists(at, n_links),
+            "kept": pa.array(block.kept, pa.bool_())})
+
+    def columns(rows: pa.Table, bounds: np.ndarray) -> list[pa.Array]:
+        data, edge = joined(rows["shown"])
+        edge = edge[bounds]
+        digest = [hashlib.sha256(data[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(edge[:-1], edge[1:])]
+        at, starts = flat(rows["pairs"])
+        return [*[pa.array(_sums(rows[c], bounds)) for c in ("n_a", "n_b", "n_groups", "n_links")],
+                pa.array(digest, pa.string()), _lists(at, np.diff(starts[bounds]))]
 
-    return _mapped(docs, text, added, columns).drop(text)
+    return _mapped(docs, text, added, a_file, b_file, build, columns).drop(text)
 
 
 _tables: dict[int, pa.Array] = {}
@@ -410,13 +438,14 @@ def link_statistics(docs: DataFrame, a_file: str, b_file: str, text: str = "text
     drops the text.  The texts are encoded once: ids of linked pairs are written beside the
     digests and read for the counts and for the sums.
     """
-    pairs = pairs_of(a_file, b_file)
-    n_pairs = pairs.keys.size
-    aligned = written(_digests(docs, a_file, b_file, text), "aligned")
-    counts = pair_counts(aligned, n_pairs)
-    highest = np.zeros(int(pairs.b.max()) + 1 if n_pairs else 1, np.int64)
-    np.maximum.at(highest, pairs.b, counts)
-    known = ship(docs.sparkSession, (counts, (counts == highest[pairs.b]) & (counts > 0)))
+    a, b = side(ByteLevel, a_file), side(Pieces, b_file)
+    pairs = linkable(a, b)
+    aligned = written(_digests(docs, a_file, b_file, text, ship(docs.sparkSession, pairs)), "aligned")
+    counts = pair_counts(aligned, pairs.size)
+    of_b = pairs & 0xFFFFFFFF
+    highest = np.zeros(len(b.bytes_of), np.int64)
+    np.maximum.at(highest, of_b, counts)
+    known = ship(docs.sparkSession, (counts, counts == highest[of_b]))
     names = [c for c in aligned.columns if c not in ("pairs", "groups_sha256")]
     kept = aligned.select(*[f"`{c}`" for c in [*names, "groups_sha256", "pairs"]])
     schema = ", ".join([f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in names]
@@ -424,11 +453,9 @@ def link_statistics(docs: DataFrame, a_file: str, b_file: str, text: str = "text
 
     def sums(batches):
         of, best = known.value
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten().to_numpy()
-            edge = _bounds(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-            total = [np.diff(np.concatenate(([0], np.cumsum(v[flat])))[edge]) for v in (best.astype(np.int64), of)]
+        for batch in (b.slice(lo, AT_ONCE) for b in batches for lo in range(0, b.num_rows, AT_ONCE)):
+            flat_pairs, edge = flat(batch.column(batch.num_columns - 1))
+            total = [np.diff(_bounds(v[flat_pairs].astype(np.int64))[edge]) for v in (best, of)]
             cols = [*batch.columns[:-2], *map(pa.array, total), batch.column(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_best", "count_sum", "groups_sha256"])
 
