@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tillsight.llm import chosen_path, decontam
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,3 +170,62 @@ def test_one_edited_version_in_many_documents(spark):
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in item.items()], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d.repartition(3), b).collect()}
     assert got == {(i, i // 1000) for i in docs if i >= 1000}
+
+
+def test_pairs_equal_an_alignment_of_all_documents_with_all_items(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(60)]  # few words: many chance hits and near misses
+    items = {k: [rng.choice(words) for _ in range(rng.choice([8, 12, 20, 40]))] for k in range(15)}
+    docs = {}
+    for k in range(250):
+        prose = [rng.choice(words) for _ in range(rng.randint(0, 50))]
+        if k % 2:
+            item = items[rng.randrange(15)]
+            rate = rng.choice([0, 0.1, 0.2, 0.3])
+            at = rng.randint(0, len(prose))
+            prose[at:at] = [rng.choice(words) if rng.random() < rate else w for w in item if rng.random() > rate / 4]
+        docs[k] = prose
+    want, sure = {}, set()
+    for d, prose in docs.items():
+        have = {tuple(prose[j:j + 3]) for j in range(len(prose) - 2)}
+        for i, item in items.items():
+            score = align_one(item, prose) / (2 * len(item)) if prose else 0
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+                whole = [j // decontam.STRETCH for j in range(len(item) - 2) if tuple(item[j:j + 3]) in have]
+                if max(map(whole.count, whole), default=0) >= 2:
+                    sure.add((d, i))
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id bigint, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(d.repartition(3), b).collect()}
+    assert sure <= set(got) <= set(want) and len(sure) > 80 and len(want) - len(sure) < 0.1 * len(want)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
+def test_a_phrase_of_all_documents_and_items_makes_no_pairs(spark):
+    rng = random.Random(22)
+    words = [f"w{k}" for k in range(5000)]
+    phrase = ["as", "one", "of", "the", "best"]
+    items = {k: [rng.choice(words) for _ in range(12)] + phrase + [rng.choice(words) for _ in range(12)] for k in range(200)}
+    docs = {k: [rng.choice(words) for _ in range(30)] + phrase + [rng.choice(words) for _ in range(30)] for k in range(400)}
+    docs[5][3:3] = items[7]
+    b = decontam.item_words(spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "k int, t string"), "k", "t")
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id int, text string")
+    bits = decontam.bitmap(b.selectExpr("explode(grams) AS gram"), F.col("gram"), decontam.BITS)
+    found = decontam.passages(d, "doc_id", "text", bits, 87)
+    seeds = decontam.choose_seeds(b, found)
+    hits = found.selectExpr("doc", "explode(hits.gram) AS gram").join(seeds, "gram").select("doc", "number").distinct()
+    assert hits.count() <= 100  # of 80,000 pairs that share the phrase
+    got = decontam.contaminated(d, spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()],
+                                                         "item_id int, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in got] == [(5, 7, 1.0)]
+
+
+def test_leaks_without_an_id_and_of_two_texts_under_one_id(spark):
+    item = [f"i{k}" for k in range(20)]
+    other = [f"o{k}" for k in range(200)]
+    texts = [(None, item), (None, other), (1, other[:50] + item), (1, item + other[:9]), (2, other), (1, item + other[:9])]
+    d = spark.createDataFrame([(k, " ".join(t), "x") for k, t in texts], "doc_id bigint, text string, number string")
+    b = spark.createDataFrame([(7, " ".join(item)), (None, " ".join(item)), (7, " ".join(item))], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["first_word"]) for r in decontam.contaminated(d, b).collect()}
+    assert set(got) == {(None, 7), (None, None), (1, 7), (1, None)} and {s for s, _ in got.values()} == {1.0}

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes of text worked at once (a longer text is worked by itself).
 BLOCK = 1 << 19
 #: Different units remembered by a Python process before it starts anew.
-LIMIT = 300_000
+LIMIT = 200_000
 #: Spaces at the ends of a cut buffer: rules look at most three bytes back and one ahead.
 PAD = 3
 
