@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillsight.llm import licences, pii, preference, quality_net, quality_rules
 
@@ -304,3 +306,61 @@ def test_every_rule_is_reached_by_its_sentences(spark):
     got = {r["k"]: r for r in licences.recognise(spark.createDataFrame(rows, "k int, want string, text string")).collect()}
     assert [(name, got[k]["licences"]) for k, name, _ in rows if got[k]["licences"] != name] == []
     assert all(got[k]["n_matches"] == 1 and not got[k]["left_over"] for k, _, _ in rows)
+
+
+def _overlap(a, b):
+    return a[1] < b[2] and b[1] < a[2]
+
+
+def test_added_spans_and_redaction_equal_a_plain_selection(spark):
+    """Candidates scored one by one; overlaps and regions found pair by pair."""
+    texts = [t for t in pii_texts() if t] + ["a\x01b mail x@y.zz and \x02", "call +1 (555) 123 45 67, 4111 1111 1111 1111 x@y.zz",
+                                             "x@y.zz" * 3, "x\U0001F600@y.zz é +49 30 1234567 \U0001F600"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    model = pii.learn(docs, "text")
+    held = pii.with_matches(docs.select("doc_id", pii._plain("text").alias("_t")), pii.WIDE, "_t").select(
+        "doc_id", F.explode(pii._wide()).alias("c")).select("doc_id", "c.s", "c.e", "c.f.*").collect()
+    scored = {}
+    for r in held:
+        if model.margin(r.asDict()) >= model.thresholds[r["kind"]] - 1e-5:
+            scored.setdefault(r["doc_id"], []).append((r["kind"], r["s"], r["e"]))
+    got = {r["doc_id"]: r for r in pii.find_spans(docs, model).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    n_more = 0
+    for i, t in enumerate(texts):
+        base = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in brute_spans(t).split(",") if x)]
+        free = [c for c in scored.get(i, []) if not any(_overlap(c, b) for b in base)]
+        more = sorted(c for c in free if not any(o[0] < c[0] and _overlap(c, o) for o in free))
+        more = [(pii.WIDE[k].name, s, e) for k, s, e in more]
+        n_more += len(more)
+        assert got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e in base + more)
+        order = [k.name for k in (*pii.BASE, *pii.WIDE)]
+        regions = []
+        for s, e, k in sorted((s, e, order.index(k)) for k, s, e in base + more):
+            if regions and s < regions[-1][1]:
+                regions[-1] = [regions[-1][0], max(e, regions[-1][1]), min(k, regions[-1][2])]
+            else:
+                regions.append([s, e, k])
+        want, at = [], 0
+        for s, e, k in regions:
+            want += [t[at:s], f"[{order[k].upper()}]"]
+            at = e
+        assert clean[i] == "".join(want) + t[at:]
+    assert n_more > 50
+
+
+def test_many_matches_in_one_text_and_clashing_columns(spark):
+    text = " ".join(f"+1 555 {k:07d} user{k}@example.com token: {k:024x}" for k in range(7000))
+    docs = spark.createDataFrame([(1, text, "x", 5, "y"), (None, None, "x", 5, "y"), (2, "", "x", 5, "y")],
+                                 "doc_id int, text string, spans string, n_ip int, _t string")
+    small = spark.createDataFrame([(k, f"user token: {k:024x} words") for k in range(200)], "doc_id int, text string")
+    model = pii.learn(small, "text")
+    out = pii.find_spans(docs, model)
+    assert sorted(out.columns) == sorted({"doc_id", "text", "_t", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"})
+    start = time.time()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert time.time() - start < 30, time.time() - start
+    assert (got[1]["n_email"], got[1]["n_phone"], got[1]["_t"]) == (7000, 7000, "y") and got[1]["spans"].count("secret") == 7000
+    assert got[None]["spans"] == got[2]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert clean[1] == " ".join(["[PHONE] [EMAIL] token: [SECRET]"] * 7000) and clean[None] is None and clean[2] == ""

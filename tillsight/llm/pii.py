@@ -2,8 +2,8 @@
 
 Base kinds have a fixed format and a check (``BASE``); their spans always count.  High-recall
 generators (``WIDE``) propose more spans, which may overlap.  Boosted trees score a
-candidate by its format and the signs around it; the threshold is the lowest score
-at which the candidates of the corpus reach ``PRECISION``.
+candidate by its format and the signs around it; each generator's threshold is the lowest score
+at which its candidates in texts that the trees haven't seen reach ``PRECISION``.
 
 The trees learn from distant labels: a candidate is a positive where there is evidence that is not
 among the features (a keyword in the text before it, a valid check digit).  Features are small
@@ -30,6 +30,8 @@ PRECISION = 0.8
 TREES = 24
 RATE = 0.3
 CONTEXT = 24
+#: One text in so many calibrates; a generator with fewer positives there is calibrated on all texts.
+FOLDS, LEAST = 4, 8
 
 LOCAL = "A-Za-z0-9._%+-"
 
@@ -98,10 +100,6 @@ def _is_valid(kind: Kind):
     return lambda c: valid(kind.name, c["m"])
 
 
-def _is_index(i: int):
-    return lambda c: c["f"]["kind"] == i
-
-
 def _pieces(text: Column, kind: Kind) -> Column:
     """The text before the first match, then each match, a mark, and the text up to the next; null without a sign.
 
@@ -209,11 +207,11 @@ def _wide() -> Column:
 
 @dataclass
 class Model:
-    """Boosted trees of depth two: (feature, edge, [(feature, edge, low, high)] * 2), a start and a threshold."""
+    """Boosted trees of depth two: (feature, edge, [(feature, edge, low, high)] * 2), a start and each generator's threshold."""
 
     start: float
     trees: list
-    threshold: float
+    thresholds: list[float]
 
     def margin(self, row: dict) -> float:
         total = self.start
@@ -251,41 +249,61 @@ def _stump(cells: list[dict]) -> tuple[float, str, int, float, float]:
 
 
 def fit(cells: list[dict]) -> Model:
-    """Boosted trees and threshold from cells with features, ``n`` candidates and ``pos`` positives."""
-    n, pos = sum(c["n"] for c in cells), sum(c["pos"] for c in cells)
+    """Boosted trees and thresholds from cells with features, ``held_out``, ``n`` candidates and ``pos`` positives.
+
+    The trees see the cells that aren't held out; the held-out ones calibrate each generator's threshold (all cells,
+    where fewer than ``LEAST`` of its positives are held out).
+    """
+    model = Model(0.0, [], [math.inf] * len(WIDE))
+    learnt = [c for c in cells if not c["held_out"]]
+    n, pos = sum(c["n"] for c in learnt), sum(c["pos"] for c in learnt)
     if not pos:
-        return Model(0.0, [], math.inf)
-    model = Model(math.log((pos + 0.5) / (n - pos + 0.5)), [], math.inf)
-    for c in cells:
+        return model
+    model.start = math.log((pos + 0.5) / (n - pos + 0.5))
+    for c in learnt:
         c["f"] = model.start
     for _ in range(TREES):
-        for c in cells:
+        for c in learnt:
             p = 1 / (1 + math.exp(-c["f"]))
             c["g"], c["h"] = c["pos"] - c["n"] * p, c["n"] * p * (1 - p)
-        _, f, at, _, _ = _stump(cells)
-        sides = [_stump([c for c in cells if (c[f] >= at) == side])[1:] for side in (False, True)]
+        _, f, at, _, _ = _stump(learnt)
+        sides = [_stump([c for c in learnt if (c[f] >= at) == side])[1:] for side in (False, True)]
         model.trees.append((f, at, sides))
-        for c in cells:
+        for c in learnt:
             g, to, low, high = sides[c[f] >= at]
             c["f"] += high if c[g] >= to else low
-    # calibration: margins from the top down, as long as the positives' share holds
+    for kind in range(len(WIDE)):
+        own = [c for c in cells if c["kind"] == kind]
+        held = [c for c in own if c["held_out"]]
+        model.thresholds[kind] = _calibrated(model, held if sum(c["pos"] for c in held) >= LEAST else own)
+    return model
+
+
+def _calibrated(model: Model, cells: list[dict]) -> float:
+    """The lowest margin, from the top down, as long as the positives' share holds."""
     taken = right = 0
+    threshold = math.inf
     by_margin: dict[float, list[dict]] = {}
     for c in cells:
         by_margin.setdefault(round(model.margin(c), 6), []).append(c)
     for m in sorted(by_margin, reverse=True):
         taken, right = taken + sum(c["n"] for c in by_margin[m]), right + sum(c["pos"] for c in by_margin[m])
         if right >= PRECISION * taken:
-            model.threshold = m
-    return model
+            threshold = m
+    return threshold
 
 
 def learn(docs: DataFrame, text: str) -> Model:
-    """The model of a corpus: one pass over all texts, one cell table of bounded size on the driver."""
+    """The model of a corpus: one pass over all texts, one cell table of bounded size on the driver.
+
+    A text's checksum decides whether its candidates are held out, so copies of a text fall on one side.
+    """
     held = with_matches(docs.select(_plain(text).alias("_t")), WIDE, "_t")
+    out = (F.crc32(F.encode("_t", "UTF-8")) % FOLDS == 0).alias("held_out")
     # outer: an inner explode would first filter on the array's size, and make the array twice
-    cells = (held.select(F.explode_outer(_wide()).alias("c")).where("c is not null").select("c.f.*").groupBy(*FEATURES)
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).orderBy(*FEATURES))
+    cells = (held.select(out, F.explode_outer(_wide()).alias("c")).where("c is not null").select("held_out", "c.f.*")
+             .groupBy("held_out", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+             .orderBy("held_out", *FEATURES))
     return fit([r.asDict() for r in cells.collect()])
 
 
@@ -296,74 +314,139 @@ def _plain(text: str) -> Column:
 
 
 def _accepted(model: Model, c: Column) -> Column:
-    return F.lit(False) if math.isinf(model.threshold) else model.column(c) >= F.lit(model.threshold - 1e-5)
+    found = F.lit(False)
+    for kind, threshold in enumerate(model.thresholds):
+        if not math.isinf(threshold):
+            found = F.when(c["kind"] == kind, model.column(c) >= F.lit(threshold - 1e-5)).otherwise(found)
+    return found
 
 
-def find_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add n_email, n_ip, n_card, n_phone, base_spans and spans (kind:start:end, comma-joined) to every row.
+def _free(candidates: Column, spans: Column) -> Column:
+    """The candidates that overlap none of ``spans`` (both with s, e): two walks over all of them, sorted by start.
 
-    Null and empty texts have none.  An accepted candidate counts unless it overlaps a base span or
-    an accepted candidate of an earlier generator.
+    On the way forth a candidate meets the furthest end so far, on the way back the next start.
+    """
+    def walk(ordered: Column, start: Column, step) -> Column:
+        begin = F.struct(start.alias("edge"), F.array().cast("array<struct<s:int,own:int,e:int>>").alias("kept"))
+        return F.aggregate(ordered, begin, step)["kept"]
+
+    def forth(acc: Column, x: Column) -> Column:
+        clash = (x["own"] == 1) & (acc["edge"] > x["s"])
+        return F.struct(F.when(x["own"] == 0, F.greatest(acc["edge"], x["e"])).otherwise(acc["edge"]).alias("edge"),
+                        F.when(clash, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
+
+    def back(acc: Column, x: Column) -> Column:
+        keep = (x["own"] == 1) & (acc["edge"] >= x["e"])
+        return F.struct(F.when(x["own"] == 0, x["s"]).otherwise(acc["edge"]).alias("edge"),
+                        F.when(keep, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+
+    def marked(part: Column, own: int) -> Column:
+        return F.transform(part, lambda c: F.struct(c["s"].alias("s"), F.lit(own).alias("own"), c["e"].alias("e")))
+
+    ordered = F.array_sort(F.concat(marked(candidates, 1), marked(spans, 0)))
+    left = walk(F.reverse(walk(ordered, F.lit(-1), forth)), F.lit((1 << 31) - 1), back)
+    free = F.transform(F.reverse(left), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+    places = F.transform(candidates, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e")))
+    return F.when((F.size(candidates) == 0) | (F.size(spans) == 0), places).otherwise(free)
+
+
+def _with_spans(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """Rows of ``docs`` as a struct ``_row``, their text ``_text``, and the places (s, e) of each kind's spans ``_<kind>``.
+
+    An accepted candidate counts unless it overlaps a base span or an accepted candidate of an earlier generator.
     """
-    held = with_matches(_set(docs, {"_t": _plain(text)}), [*BASE, *WIDE], "_t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    held = with_matches(_set(rows, {"_t": _plain("_text")}), [*BASE, *WIDE], "_t")
 
     def place(c: Column) -> Column:
         return F.struct(c["s"].alias("s"), c["e"].alias("e"))
 
+    def accepted(k: Kind, i: int) -> Column:
+        scored = F.transform(f"_{k.name}", _as_candidate(k, i))
+        return F.transform(F.filter(scored, lambda c: _accepted(model, c["f"])), place)
+
     held = _set(held, {f"_{k.name}": F.transform(F.filter(f"_{k.name}", _is_valid(k)), place) for k in BASE}
-                | {"_wide": F.filter(_wide(), lambda c: _accepted(model, c["f"]))}, tuple(f"_{k.name}" for k in WIDE))
+                | {f"_{k.name}": accepted(k, i) for i, k in enumerate(WIDE)})
     held = _set(held, {"_taken": F.concat(*[f"_{k.name}" for k in BASE])})
+    held = _set(held, {f"_{k.name}": _free(F.col(f"_{k.name}"), F.col("_taken")) for k in WIDE})
+    earlier = [f"_{k.name}" for k in WIDE]
+    return _set(held, {n: _free(F.col(n), F.concat(*earlier[:i])) for i, n in enumerate(earlier) if i}, ("_taken",))
 
-    def clash(a: Column, b: Column) -> Column:
-        return (a["s"] < b["e"]) & (b["s"] < a["e"])
-
-    held = _set(held, {"_wide": F.filter("_wide", lambda c: ~F.exists("_taken", lambda t: clash(c, t)))})
-    held = _set(held, {"_new": F.filter("_wide", lambda c: ~F.exists(
-        "_wide", lambda o: (o["f"]["kind"] < c["f"]["kind"]) & clash(c, o)))})
-
-    def written_out(name: Column | str, spans: Column) -> Column:
-        return F.transform(spans, lambda c: F.concat_ws(":", F.lit(name), c["s"].cast("string"), c["e"].cast("string")))
-
-    base = [written_out(k.name, F.col(f"_{k.name}")) for k in BASE]
-    more = [written_out(k.name, F.filter("_new", _is_index(i))) for i, k in enumerate(WIDE)]
-    return held.select(*[F.col(f"`{c}`") for c in docs.columns],
-                       *[F.size(f"_{k.name}").cast("bigint").alias(f"n_{k.name}") for k in BASE],
-                       F.array_join(F.concat(*base), ",").alias("base_spans"),
-                       F.array_join(F.concat(*base, *more), ",").alias("spans"))
 
+def find_spans(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add n_email, n_ip, n_card, n_phone, base_spans and spans (kind:start:end, comma-joined) to every row.
 
-def _scores_well(model: Model, kind: Kind, index: int):
-    """Whether the model accepts a match; each step is bound once by a one-element array."""
-    def yes(m: Column, before: Column, after: Column) -> Column:
-        match = F.array(F.struct(m.alias("m"), before.alias("before"), after.alias("after")))
-        features = F.transform(match, lambda c: candidate(kind, index, c["m"], c["before"], c["after"]))
-        return F.get(F.transform(features, lambda f: _accepted(model, f)), F.lit(0))
+    Null and empty texts have none.  An accepted candidate counts unless it overlaps a base span or
+    an accepted candidate of an earlier generator.  Columns of ``docs`` with these names are replaced.
+    """
+    added = [*[f"n_{k.name}" for k in BASE], "base_spans", "spans"]
+    held = _with_spans(docs, model, text)
 
-    return yes
+    def written_out(kind: Kind) -> Column:
+        return F.transform(f"_{kind.name}", lambda c: F.concat_ws(
+            ":", F.lit(kind.name), c["s"].cast("string"), c["e"].cast("string")))
 
+    return held.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in added],
+                       *[F.size(f"_{k.name}").cast("bigint").alias(f"n_{k.name}") for k in BASE],
+                       F.array_join(F.concat(*map(written_out, BASE)), ",").alias("base_spans"),
+                       F.array_join(F.concat(*map(written_out, [*BASE, *WIDE])), ",").alias("spans"))
 
-def _swapped(held: DataFrame, kind: Kind, yes) -> DataFrame:
-    """``_t`` with the kind's name for each match that is ``yes(match, before, after)``."""
-    held = _set(held, {"_p": _pieces(F.col("_t"), kind)})
 
-    def swap(piece: Column, at: Column) -> Column:
-        m, before, after = _around(F.get("_p", at), piece)
-        return F.concat(F.when(yes(m, before, after), F.lit(f"[{kind.name.upper()}]")).otherwise(m), _rest(piece))
+def _merged(spans: Column) -> Column:
+    """Disjoint regions (s, e, k) of sorted spans: overlapping ones are one, named by the earliest kind of them."""
+    def add(acc: Column, x: Column) -> Column:
+        region = F.struct(acc["s"].alias("s"), acc["e"].alias("e"), acc["k"].alias("k"))
+        meets = x["s"] < acc["e"]
+        return F.struct(
+            F.when(meets | acc["done"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], region)).alias("done"),
+            F.when(meets, acc["s"]).otherwise(x["s"]).alias("s"),
+            F.when(meets, F.greatest(acc["e"], x["e"])).otherwise(x["e"]).alias("e"),
+            F.when(meets, F.least(acc["k"], x["k"])).otherwise(x["k"]).alias("k"))
 
-    rest = F.transform(F.slice("_p", F.lit(2), F.size("_p")), swap)
-    done = F.concat(F.get("_p", F.lit(0)), F.array_join(rest, ""))
-    return _set(held, {"_t": F.when(F.size("_p") > 1, done).otherwise(F.col("_t"))}, ("_p",))
+    first = F.get(spans, F.lit(0))
+    begin = F.struct(F.array().cast("array<struct<s:int,e:int,k:int>>").alias("done"), first["s"].alias("s"),
+                     first["e"].alias("e"), first["k"].alias("k"))
+    return F.aggregate(spans, begin, add, lambda acc: F.array_append(
+        acc["done"], F.struct(acc["s"].alias("s"), acc["e"].alias("e"), acc["k"].alias("k"))))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; null stays null.
+    """``docs`` with every span of ``text`` that ``find_spans`` reports replaced by its kind in brackets.
 
-    Kinds are replaced one after the other, base kinds first, so an overlap counts for the earlier.
+    Overlapping spans are replaced together, by the earliest of their kinds.  All other text stays as it is; null stays
+    null.  A text is put together block by block, so that no span costs a walk through the whole text.
     """
-    held = docs.withColumn("_t", _plain(text))
-    for kind in BASE:
-        held = _swapped(held, kind, lambda m, before, after, k=kind: valid(k.name, m))
-    for i, kind in enumerate(WIDE):
-        held = _swapped(held, kind, _scores_well(model, kind, i))
-    changed = F.when(F.col("_t") == _plain(text), F.col(text)).otherwise(F.col("_t"))
-    return held.withColumn(text, F.when(F.col(text).isNotNull(), changed)).select(*[f"`{c}`" for c in docs.columns])
+    kinds = [*BASE, *WIDE]
+    held = _with_spans(docs, model, text)
+
+    def numbered(i: int):
+        return lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit(i).alias("k"))
+
+    every = F.concat(*[F.transform(f"_{k.name}", numbered(i)) for i, k in enumerate(kinds)])
+    held = _set(held, {"_r": F.array_sort(every)}, tuple(f"_{k.name}" for k in kinds))
+    held = _set(held, {"_r": F.when(F.size("_r") > 0, _merged(F.col("_r"))), "_n": F.greatest(
+        F.lit(1 << 13), F.ceil(F.length("_text") / 64).cast("int"))})
+    names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in kinds])
+
+    def block(b: Column) -> Column:
+        lo = b * F.col("_n")
+        of = F.struct(F.substr(F.col("_text"), lo + 1, F.col("_n")).alias("t"),
+                      F.filter("_r", lambda r: (r["s"] < lo + F.col("_n")) & (r["e"] > lo)).alias("r"))
+
+        def swapped(x: Column) -> Column:
+            def part(r: Column, i: Column) -> Column:
+                last = F.greatest(F.coalesce(F.get(x["r"], i - 1)["e"], lo), lo)
+                name = F.when(r["s"] >= lo, F.get(names, r["k"])).otherwise("")
+                return F.concat(F.substr(x["t"], last - lo + 1, F.greatest(r["s"] - last, F.lit(0))), name)
+
+            end = F.coalesce(F.get(x["r"], F.size(x["r"]) - 1)["e"], lo)
+            return F.concat(F.array_join(F.transform(x["r"], part), ""), F.substr(
+                x["t"], end - lo + 1, F.greatest(F.col("_n") - (end - lo), F.lit(0))))
+
+        # a one-element array binds the block's text and regions once
+        return F.get(F.transform(F.array(of), swapped), F.lit(0))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / F.col("_n")).cast("int"))
+    clean = F.when(F.col("_r").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(blocks, block), ""))
+    return held.withColumn("_clean", clean).select(
+        *[F.col("_clean").alias(text) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
