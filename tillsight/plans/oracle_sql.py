@@ -33,11 +33,16 @@ def _calendar(d: str) -> str:
     )
 
 
+#: Number of a line of binding A in its store, by sale date, then the key of lineitem.
+ROW_SEQ = """row_number() OVER (PARTITION BY o.o_custkey % 4 ORDER BY CAST(o.o_orderdate AS DATE), l.l_orderkey,
+           l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) - 1"""
+
+
 def lines_a(product_col: str = "p_name", name: str = "lines_a") -> str:
     """Binding A: lineitem ⋈ orders ⋈ part (see tillsight.sources.bindings)."""
     return f"""{name} AS (
   SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id,
-         CAST(NULL AS BIGINT) AS row_seq,
+         {ROW_SEQ} AS row_seq,
          CAST(o.o_orderdate AS DATE) AS sale_date,
          CAST(hour(o.o_orderdate) AS INTEGER) AS sale_hour,
          {_calendar('CAST(o.o_orderdate AS DATE)')},
@@ -81,7 +86,7 @@ def products_pareto(src: str = "lines_a", thr: float = 80.0, where: str = "") ->
     return f"""
 stats AS (
   SELECT store_id, product, sum(quantity) AS units_dec, sum(total) AS revenue_dec,
-         count(DISTINCT order_id) AS orders, avg(unit_price) AS avg_price_dec, min(category) AS category
+         count(DISTINCT order_id) AS orders, avg(unit_price) AS avg_price_dec, arg_min(category, row_seq) AS category
   FROM {src} GROUP BY store_id, product
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY revenue_dec DESC, product) AS INTEGER) AS rank,
@@ -178,7 +183,7 @@ def rules(min_count: int, min_conf: float, top: int, p: str = "") -> str:
 def margin_products(src: str, name: str = "mp", item: str = "product") -> str:
     return f"""{name}_g AS (
   SELECT store_id, {item} AS product, sum(quantity) AS units_dec, sum(total) AS revenue_dec,
-         count(DISTINCT order_id) AS orders, avg(margin_pct) AS avg_margin, min(category) AS category
+         count(DISTINCT order_id) AS orders, avg(margin_pct) AS avg_margin, arg_min(category, row_seq) AS category
   FROM {src} GROUP BY store_id, {item}
 ), {name} AS (
   SELECT *, CAST(revenue_dec AS DOUBLE) * avg_margin / 100.0 AS profit FROM {name}_g WHERE avg_margin IS NOT NULL)"""

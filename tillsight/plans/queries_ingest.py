@@ -142,7 +142,7 @@ def _saved_map(spark, d):
 
 
 WL_SQL = with_ctes(O.lines_a(), body=f"""
-stats AS (SELECT store_id, product, min(category) AS category, sum(total) AS rev FROM lines_a GROUP BY 1, 2),
+stats AS (SELECT store_id, product, arg_min(category, row_seq) AS category, sum(total) AS rev FROM lines_a GROUP BY 1, 2),
 st AS (SELECT *, CAST(rev AS DOUBLE) AS revenue,
               {O.R('CAST(rev AS DOUBLE) / CAST(sum(rev) OVER (PARTITION BY store_id) AS DOUBLE) * 100.0', 2)} AS rev_share FROM stats),
 od AS (SELECT store_id, product, count(DISTINCT order_id) AS orders FROM lines_a GROUP BY 1, 2),

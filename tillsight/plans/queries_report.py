@@ -259,7 +259,7 @@ def _bundle_sql() -> str:
     return ",\n".join([
         LA_BRAND, O.basket("lines_a"), O.rules(c.rule_min_count, c.rule_min_confidence, c.rule_top_k),
         O.profitability("lines_a"),
-        f"""st AS (SELECT store_id, product AS item, avg(margin_pct) AS avg_margin, min(category) AS category FROM lines_a GROUP BY 1, 2
+        f"""st AS (SELECT store_id, product AS item, avg(margin_pct) AS avg_margin, arg_min(category, row_seq) AS category FROM lines_a GROUP BY 1, 2
 ), hm AS (SELECT store_id, count(margin_pct) > 0 AS has_margin FROM lines_a GROUP BY 1
 ), med AS (SELECT store_id, min(margin_median_raw) AS margin_median FROM prof GROUP BY 1
 ), bj AS (

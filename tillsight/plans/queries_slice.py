@@ -99,7 +99,7 @@ def q_slice_day_ticket(spark, d):
 
 @register("slice_products", with_ctes(O.lines_a(), FA, body=f"""
 g AS (SELECT store_id, product, CAST(sum(total) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS units,
-             count(DISTINCT order_id) AS orders, CAST(avg(unit_price) AS DOUBLE) AS avg_price, min(category) AS category FROM fa GROUP BY 1, 2),
+             count(DISTINCT order_id) AS orders, CAST(avg(unit_price) AS DOUBLE) AS avg_price, arg_min(category, row_seq) AS category FROM fa GROUP BY 1, 2),
 s AS (SELECT *, revenue / sum(revenue) OVER (PARTITION BY store_id) * 100.0 AS share FROM g)
 SELECT store_id, CAST(row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, product) AS INTEGER) AS rank, product,
        COALESCE(category, 'Otros') AS category, revenue, units, orders, {R('avg_price', 4)} AS avg_price, {R('share', 4)} AS rev_share,
@@ -111,7 +111,7 @@ def q_slice_products(spark, d):
 
 @register("slice_profitability", with_ctes(O.lines_a(), FA, body=f"""
 g AS (SELECT store_id, product, CAST(sum(total) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS units,
-             count(DISTINCT order_id) AS orders, avg(margin_pct) AS avg_margin, COALESCE(min(category), 'Otros') AS category
+             count(DISTINCT order_id) AS orders, avg(margin_pct) AS avg_margin, COALESCE(arg_min(category, row_seq), 'Otros') AS category
       FROM fa WHERE margin_pct IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT *, revenue * avg_margin / 100.0 AS profit, median(CAST(orders AS DOUBLE)) OVER (PARTITION BY store_id) AS om,
              median(avg_margin) OVER (PARTITION BY store_id) AS mm FROM g),

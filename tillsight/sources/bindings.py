@@ -23,6 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.functions.numbering import dense_numbers
 from tillsight.schema import conform
 from tillsight.session import scratch_table_path
 
@@ -85,6 +86,28 @@ def _materialize_locked(spark: SparkSession, app: str, key: str, mkey, build) ->
     return df
 
 
+#: Order of binding A's lines within a sale date: a total order of ``lineitem``.
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def line_order(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
+    """``store_id``, :data:`LINE_KEY` and ``row_seq`` of every line: its number in its store by sale date, then key.
+
+    This is the row order of a consolidated export, which is sorted by date.  Written once per session.
+    """
+    def build() -> DataFrame:
+        o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("_d"))
+        li = table(spark, sf_dir, "lineitem").select(*LINE_KEY)
+        lines = li.join(o, li.l_orderkey == o.o_orderkey).select(_store(n_stores), "_d", *LINE_KEY)
+        return dense_numbers(lines, ["store_id"], [F.col(c) for c in ("_d", *LINE_KEY)]).drop("_d")
+
+    return materialized(spark, f"{sf_dir}|order|{n_stores}", build)
+
+
+def _store(n_stores: int):
+    return F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id")
+
+
 def tpch_lines(spark: SparkSession, sf_dir: str, product_col: str = "p_name", n_stores: int = N_STORES) -> DataFrame:
     """Binding A, materialized once per session (see :func:`materialized`)."""
     return materialized(spark, f"{sf_dir}|A|{product_col}|{n_stores}",
@@ -98,15 +121,14 @@ def event_lines(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> D
 
 def tpch_lines_plan(spark: SparkSession, sf_dir: str, product_col: str = "p_name", n_stores: int = N_STORES) -> DataFrame:
     """Binding A (see module doc) as a lazy plan."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    )
+    li = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_discount").join(
+        line_order(spark, sf_dir, n_stores).drop("store_id"), list(LINE_KEY))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return conform(j.select(
-        F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id"),
-        F.lit(None).cast("bigint").alias("row_seq"),
+        _store(n_stores),
+        "row_seq",
         F.col("o_orderdate").cast("date").alias("sale_date"),
         F.hour("o_orderdate").alias("sale_hour"),
         F.col("l_orderkey").cast("string").alias("order_id"),
@@ -233,13 +255,14 @@ def pos_sales(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> Dat
 
 def pos_sales_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORES) -> DataFrame:
     """Binding A before enrichment: typed POS lines keyed by the raw product name."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    li = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_discount").join(
+        line_order(spark, sf_dir, n_stores).drop("store_id"), list(LINE_KEY))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return j.select(
-        F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id"),
-        F.lit(None).cast("bigint").alias("row_seq"),
+        _store(n_stores),
+        "row_seq",
         F.col("o_orderdate").cast("date").alias("sale_date"),
         F.hour("o_orderdate").alias("sale_hour"),
         F.col("l_orderkey").cast("string").alias("order_id"),
