@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import MAPPING_TARGETS, POS_COLUMNS
+from tillsight.functions.numbering import dense_numbers
 from tillsight.operators._common import STORE
 
 MAP_COLUMNS = ("sistema", "precio_post", "fecha_desde", "nombre", "categoria", "subcategoria", "margen_pct")
@@ -258,18 +259,42 @@ def apply_column_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return out
 
 
-def without_map(lines: DataFrame, own_category: bool) -> DataFrame:
-    """No product map applies — the file's own name, category, subcategory and margin
-    where it has them (own category), else name = product, category ``Otros``, the rest null."""
-    have = set(lines.columns) if own_category else set()
+def enrich_by_store(lines: DataFrame, product_map: DataFrame | None = None) -> DataFrame:
+    """Every store's lines enriched from its best source, all stores in one plan.
+
+    A store with a file that brings categories (``own_enrichment``; without that column, if there is a
+    ``category_raw``) keeps its own name, category, subcategory and margin, and its product map is ignored; any
+    other store's lines take them from its map.  What is left has name = product and category ``Otros``.
+    """
+    have = set(lines.columns)
 
     def own(name: str, kind: str) -> Column:
         return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
 
-    made = {"product": F.coalesce(own("own_name", "string"), F.col("product_raw")),
-            "category_raw": F.coalesce(own("category_raw", "string"), F.lit("Otros")),
-            "subcategory": own("subcategory", "string"), "margin_pct": own("margin_pct", "double")}
-    return lines.withColumns(made).drop("own_name")
+    brings = F.col("own_enrichment") if "own_enrichment" in have else F.lit("category_raw" in have)
+    held = lines.select(*[F.col(f"`{c}`") for c in lines.columns if c not in (
+        "own_name", "category_raw", "subcategory", "margin_pct", "own_enrichment")], brings.alias("_brings"), F.struct(
+        own("own_name", "string").alias("product"), own("category_raw", "string").alias("category_raw"),
+        own("subcategory", "string").alias("subcategory"), own("margin_pct", "double").alias("margin_pct")).alias("_own"))
+    stores = held.groupBy(STORE).agg(F.max("_brings").alias("_keeps"))
+    held = held.join(stores, STORE).drop("_brings")
+    kept = {"product": "string", "category_raw": "string", "subcategory": "string", "margin_pct": "double"}
+    if product_map is None:
+        held = held.withColumns({c: F.lit(None).cast(t) for c, t in kept.items()})
+    else:
+        pm = prepare_product_map(product_map).join(stores.where("_keeps"), STORE, "left_anti")
+        held = enrich(held, pm)
+    made = {c: F.when(F.col("_keeps"), F.col(f"_own.{c}")).otherwise(F.col(c)) for c in kept}
+    made["product"] = F.coalesce(made["product"], F.col("product_raw"))
+    made["category_raw"] = F.coalesce(made["category_raw"], F.lit("Otros"))
+    return held.withColumns(made).drop("_own", "_keeps")
+
+
+def in_row_order(rows: DataFrame) -> DataFrame:
+    """Lines numbered per store as a consolidated export has them: by date (none last), then source order; the lines
+    that a split product became stay together.  ``row_seq`` counts from 2, since a file's first row is its header."""
+    by = [F.col("sale_date").isNull(), F.col("sale_date"), F.col("row_pos"), F.col("product")]
+    return dense_numbers(rows, [STORE], by, "row_seq", start=2)
 
 
 def category_margin_fallback(lines: DataFrame, category_margins: DataFrame) -> DataFrame:
@@ -290,14 +315,15 @@ OUTPUT_ORDER = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Indiv
 
 def normalized_export(enriched: DataFrame) -> DataFrame:
     """Enriched lines in the normalized export layout: POS columns, enrichment, then the
-    time features (Month ``Jan``…, Spanish weekday, Hour) and any extra columns last."""
+    time features (Month ``Jan``…, Spanish weekday, Hour) and any extra columns last; store and ``row_seq`` are kept."""
     from tillsight.functions.dates import month_abbr, weekday_es
 
     used = {"sale_date", "order_id", "product_raw", "quantity", "unit_price", "total", "product", "category_raw",
-            "subcategory", "sale_hour", "margin_pct", "time_txt", "own_name", "match_kind", *INTERNAL}
+            "subcategory", "sale_hour", "margin_pct", "time_txt", "own_name", "own_enrichment", "match_kind", *INTERNAL}
     lower_out = {c.lower() for c in OUTPUT_ORDER}
     extras = [c for c in enriched.columns if c not in used and c.lower() not in lower_out]
     return enriched.select(
+        *[F.col(c) for c in ("row_seq",) if c in enriched.columns],
         F.date_format("sale_date", "yyyy-MM-dd").alias("Fecha"),
         (F.col("time_txt") if "time_txt" in enriched.columns
          else F.format_string("%02d:00:00", F.col("sale_hour"))).alias("Hora"),

@@ -219,7 +219,7 @@ def raw_a(name: str = "raw_a") -> str:
     """Binding A as an all-text POS export with deterministic bad values (see bindings.raw_pos_lines)."""
     k = "(l.l_orderkey * 7 + l.l_linenumber)"
     return f"""{name} AS (
-  SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, {k} AS row_seq,
+  SELECT 'S' || CAST(o.o_custkey % 4 AS VARCHAR) AS store_id, {ROW_SEQ} + 2 AS row_seq,
          CASE WHEN {k} % 101 = 0 THEN '31/31/1999' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS "Fecha",
          CASE WHEN {k} % 103 = 0 THEN 'xx' ELSE printf('%d:%02d:00 %s', (l.l_linenumber % 12) + 1, l.l_partkey % 60,
               CASE WHEN l.l_orderkey % 2 = 0 THEN 'AM' ELSE 'PM' END) END AS "Hora",

@@ -19,6 +19,7 @@ from tillsight.plans.registry import register, with_ctes
 from tillsight.session import scratch_table_path
 from tillsight.sources import bindings as B
 from tillsight.sources import files as FS
+from tillsight.sources import landing as L
 
 # Test rules for part names (same shape as the product rules: first match wins,
 # keyword at a word boundary).
@@ -26,6 +27,9 @@ PART_RULES = (("Herrajes", ("bolt", "gear", "ring")), ("Herramientas", ("anvil",
               ("Artilugios", ("gizmo", "widget")), ("Vajilla", ("plate",)))
 
 
+POS = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Individual", "Total")
+
+
 def _sql_rule_case(col: str, rules) -> str:
     padded = f"(' ' || lower(strip_accents({col})) || ' ')"
     whens = " ".join(f"WHEN {' OR '.join(f'contains({padded}, {chr(39)} {kw}{chr(39)})' for kw in kws)} THEN '{cat}'"
@@ -43,18 +47,30 @@ def q_category_suggestion(spark, d):
 
 
 def _header_table(spark, d):
-    """The header cells of every written export, as its upload profile reads them."""
-    prof = FS.profile_uploads(spark, _write_csv_exports(spark, d) + "/*/*/part-*")
+    """The header cells of every written export, from its first block."""
+    prof = L.file_index(spark, _write_csv_exports(spark, d))
     return prof.select(F.regexp_extract("path", "(store_id=[^/]+/year=[^/]+)", 1).alias("file_id"),
-                       F.posexplode("headers").alias("pos", "header")).distinct()
+                       F.posexplode("header").alias("pos", "header")).distinct()
 
 
-@register("header_automap", None)
+# The exports' headers are the POS columns, each an exact synonym of its field.
+_FILES_SQL = """files AS (SELECT DISTINCT 'store_id=S' || CAST(o.o_custkey % 4 AS VARCHAR) || '/year=' || strftime(o.o_orderdate, '%Y') AS file_id
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+_FIELDS_SQL = ", ".join(f"('{f}', {i}, '{h}')" for i, (f, h) in enumerate(zip(
+    ("date", "time", "order_id", "product", "quantity", "unit_price", "total"), POS)))
+
+
+@register("header_automap", f"""
+WITH {_FILES_SQL}
+SELECT file_id, field, CAST(i AS INTEGER) AS field_ix, header, CAST(i AS INTEGER) AS pos, 'exact' AS pass
+FROM files CROSS JOIN (VALUES {_FIELDS_SQL}) f(field, i, header)""")
 def q_header_automap(spark, d):
     return IG.automap_headers(_header_table(spark, d))
 
 
-@register("mapping_checks", None)
+@register("mapping_checks", f"""
+WITH {_FILES_SQL}
+SELECT file_id, CAST([] AS VARCHAR[]) AS missing_required, 0 AS duplicated_sources, true AS valid FROM files""")
 def q_mapping_checks(spark, d):
     return IG.mapping_checks(IG.automap_headers(_header_table(spark, d)))
 
@@ -65,12 +81,12 @@ def _xml_escape(c):
 
 XML_HEAD = ('<?xml version="1.0"?>\n<Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" '
             'xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="Ventas"><Table>')
+DOCUMENT_ROWS = 20_000
 XML_TAIL = "</Table></Worksheet></Workbook>"
-POS = ("Fecha", "Hora", "Código venta", "Producto", "Cantidad", "Individual", "Total")
 
 
 def _write_spreadsheetml(spark, d) -> str:
-    """Monthly SpreadsheetML exports per store (one file per store-month), cells written
+    """Monthly SpreadsheetML exports per store, in documents of about ``DOCUMENT_ROWS`` rows at most, cells written
     with explicit ``ss:Index`` on every other column to exercise sparse positions."""
     path = scratch_table_path(spark, f"{spark.sparkContext.applicationId}/xml_exports")
     raw = B.pos_export_text(spark, d).drop("o_orderdate")
@@ -79,9 +95,11 @@ def _write_spreadsheetml(spark, d) -> str:
         return F.concat(F.lit(f"<Cell{idx}><Data ss:Type=\"String\">"), _xml_escape(F.col(f"`{c}`")), F.lit("</Data></Cell>"))
     frag = F.concat(F.lit("<Row>"), *[cell(i, c) for i, c in enumerate(POS)], F.lit("</Row>"))
     header = "<Row>" + "".join(f'<Cell><Data ss:Type="String">{h}</Data></Cell>' for h in POS) + "</Row>"
-    # one document per store and half month: the layout is the same for every size of the data
-    rows = raw.select("store_id", F.substring("Fecha", 1, 7).alias("month"),
-                      F.expr("(cast(substring(Fecha, 9, 2) as int) - 1) div 16").alias("bucket"), "row_pos", frag.alias("x"))
+    # the number of documents of a month follows from the fullest one, so that none outgrows a task
+    month = F.substring("Fecha", 1, 7)
+    fullest = raw.groupBy("store_id", month).count().agg(F.max("count")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("row_pos"), F.lit(-(-fullest // DOCUMENT_ROWS) or 1))
+    rows = raw.select("store_id", month.alias("month"), bucket.alias("bucket"), "row_pos", frag.alias("x"))
     docs = rows.groupBy("store_id", "month", "bucket").agg(
         # row order inside a document does not reach the parsed output (only cells do)
         F.concat(F.lit(XML_HEAD + header), F.array_join(F.collect_list("x"), ""), F.lit(XML_TAIL)).alias("value"))

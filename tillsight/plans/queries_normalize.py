@@ -121,7 +121,7 @@ GROUP BY 1, 2, 3"""))
 def q_store_category_identity(spark, d):
     part = B.table(spark, d, "part").groupBy("p_name").agg(F.min("p_type").alias("category_raw"))
     lines = B.pos_sales(spark, d).join(part.withColumnRenamed("p_name", "product_raw"), "product_raw")
-    out = N.without_map(lines, own_category=True)
+    out = N.enrich_by_store(lines)
     return out.groupBy("store_id", F.col("category_raw").alias("category"), "product").agg(F.count(F.lit(1)).alias("lines"))
 
 

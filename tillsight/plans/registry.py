@@ -50,7 +50,7 @@ CFG_TICKETS = ReportConfig(ticket_bins=TEST_BINS, ticket_labels=TEST_LABELS)
 def _load_all() -> None:
     # importing the query modules fills REGISTRY
     from tillsight.plans import (  # noqa: F401
-        queries_delta, queries_ingest, queries_insights, queries_normalize, queries_report, queries_slice,
+        queries_delta, queries_ingest, queries_insights, queries_jobs, queries_normalize, queries_report, queries_slice,
     )
 
 

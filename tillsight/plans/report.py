@@ -18,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.operators import (
@@ -41,20 +42,19 @@ class ReportJob:
                   category_margins: DataFrame | None = None) -> DataFrame:
         """Raw exports → normalized export text, the input of :meth:`run`.
 
-        A file's own categories win over the product map, the map over the fallback; a line without a
-        margin takes its category's estimate where one is given.
+        A store's own categories win over its product map, the map over the fallback ``Otros``; a line without a
+        margin takes its category's estimate where one is given.  Rows that say where they stood (``row_pos``)
+        are numbered in the order of the consolidated export.
         """
-        typed = N.typed_pos(N.consolidate(raw_exports))
-        if "category_raw" in typed.columns:
-            rich = N.without_map(typed, own_category=True)
-        elif product_map is not None:
-            rich = N.enrich(typed, N.prepare_product_map(product_map))
-        else:
-            rich = N.without_map(typed, own_category=False)
+        typed = N.typed_pos(N.consolidate(raw_exports, ("row_pos",) if "source_rank" not in raw_exports.columns
+                                          else ("source_rank", "row_pos")))
+        rich = N.enrich_by_store(typed, product_map)
         if category_margins is not None:
             filled = N.category_margin_fallback(rich.withColumnRenamed("category_raw", "category"), category_margins)
             rich = filled.withColumnRenamed("category", "category_raw").drop("margin_source")
-        return N.normalized_export(rich)
+        if "source_rank" in rich.columns:
+            rich = rich.withColumn("row_pos", F.struct("source_rank", "row_pos"))
+        return N.normalized_export(N.in_row_order(rich) if "row_pos" in rich.columns else rich)
 
     def run_exports(self, raw_exports: DataFrame, product_map: DataFrame | None = None,
                     category_margins: DataFrame | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:

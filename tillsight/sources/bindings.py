@@ -174,9 +174,8 @@ def raw_pos_lines_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORE
     dates, quantities, totals, hours, products and margins are made unparsable or blank
     by key, so every discard reason and both margin outcomes occur.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount"
-    )
+    li = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_discount").join(
+        line_order(spark, sf_dir, n_stores).drop("store_id"), list(LINE_KEY))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
@@ -193,8 +192,8 @@ def raw_pos_lines_plan(spark: SparkSession, sf_dir: str, n_stores: int = N_STORE
         .otherwise(F.format_string("%d.25", F.col("p_size") + 20))
     )
     return j.select(
-        F.concat(F.lit("S"), (F.col("o_custkey") % n_stores).cast("string")).alias("store_id"),
-        k.alias("row_seq"),
+        _store(n_stores),
+        (F.col("row_seq") + 2).alias("row_seq"),  # a file's first row is its header
         F.when(k % 101 == 0, F.lit("31/31/1999")).otherwise(date_txt).alias("Fecha"),
         F.when(k % 103 == 0, F.lit("xx")).otherwise(hour_txt).alias("Hora"),
         F.when(k % 107 == 0, F.lit(None)).otherwise(F.col("l_orderkey").cast("string")).alias("Código venta"),

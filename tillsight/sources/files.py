@@ -1,20 +1,15 @@
 """File sources: POS exports (CSV, SpreadsheetML), discovery and upload profiling
 (S1–S5, S8, S14).
 
-Files are listed and read by Spark; per-file parsing that Spark has no reader for
-(SpreadsheetML's row order and sparse ``ss:Index`` cells, delimiter/encoding sniffing)
-runs in ``mapInPandas`` over the ``binaryFile`` source: one file per Arrow batch row, all
-files in parallel.  A single upload is bounded (20 MB in the hosted product), so one
-file per task is the natural unit; nothing is collected on the driver.
+Headers come from a file's first block and SpreadsheetML rows from a stream (the data sources of
+:mod:`tillsight.sources.landing`); CSV rows from Spark's reader.  Only upload profiling reads whole files, one per
+row of ``binaryFile``: an upload is bounded (20 MB in the hosted product).  Nothing is collected on the
+driver but one row per file.
 """
 
 from __future__ import annotations
 
-import csv
-import functools
 import hashlib
-import io
-import xml.etree.ElementTree as ET
 from typing import Iterator
 
 import pandas as pd
@@ -23,33 +18,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.config import POS_COLUMNS
+from tillsight.sources import landing
+from tillsight.sources.landing import SourceError
 
 SAMPLE_CSV_NAME = "sales_carts_sample.csv"
 ENRICHMENT_COLUMNS = ("Nombre Corregido", "Categoria Real", "Sub Categoria Real", "Month", "Week Day", "Hour", "margin_pct")
 
 
-class SourceError(RuntimeError):
-    pass
-
-
 # ── S1/S2/S5: CSV exports ───────────────────────────────────────────────────
 
 def csv_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``source_file``, ``header``: the first line of every text file."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source_file"), "value",
-                                          F.struct(F.col("_metadata.file_block_start"),
-                                                   F.monotonically_increasing_id()).alias("at"))
-    return lines.groupBy("source_file").agg(F.min_by("value", "at").alias("header"))
+    """``source_file``, ``header`` (the first line) of every text file, from its first block."""
+    files = landing.file_index(spark, paths).where("kind = 'text'")
+    return files.select(F.col("path").alias("source_file"), F.col("header_line").alias("header"))
 
 
 def _usable(header: str) -> bool:
-    return set(POS_COLUMNS) <= set(_cells(header.lstrip("\ufeff"), ","))
+    return set(POS_COLUMNS) <= set(landing.cells_of(header, ","))
 
 
 def unusable_exports(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``source_file``, ``header`` of the files that :func:`read_csv_exports` skips for want of a POS column."""
-    missing = [~F.col("header").contains(c) for c in POS_COLUMNS]
-    return csv_headers(spark, paths).where(functools.reduce(lambda a, b: a | b, missing))
+    cells = F.transform(F.split("header", ","), lambda c: F.trim(F.btrim(c, F.lit('"'))))
+    return csv_headers(spark, paths).where(F.size(F.array_except(F.array(*[F.lit(c) for c in POS_COLUMNS]), cells)) > 0)
 
 
 def read_csv_exports(spark: SparkSession, paths: list[str] | str, legacy_suffix: str | None = None) -> DataFrame:
@@ -60,24 +51,25 @@ def read_csv_exports(spark: SparkSession, paths: list[str] | str, legacy_suffix:
     columns are skipped (S5) and listed by :func:`unusable_exports`; none usable is an error.
     ``source_order`` orders files (a legacy file — name ending with ``legacy_suffix`` — last, then by
     modification time, then path) and ``row_pos`` is the position inside the scan; use both as
-    the consolidation order.  Enrichment columns of legacy files are dropped.  Malformed
+    the consolidation order.  Enrichment columns of legacy files are dropped, other files keep theirs.  Malformed
     lines are kept as nulls (PERMISSIVE).
     """
-    by_header: dict[str, list[str]] = {}
+    by_header: dict[tuple[str, bool], list[str]] = {}
     for r in csv_headers(spark, paths).orderBy("source_file").collect():  # one row per file, as in the listing
         if _usable(r["header"] or ""):
-            by_header.setdefault(r["header"], []).append(r["source_file"])
+            legacy = bool(legacy_suffix) and r["source_file"].endswith(legacy_suffix)
+            by_header.setdefault((r["header"], legacy), []).append(r["source_file"])
     if not by_header:
         raise SourceError("faltan columnas POS: " + ", ".join(POS_COLUMNS))
     out = None
-    for header, files in by_header.items():
+    for (_, is_legacy), files in by_header.items():
         df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
               .option("encoding", "UTF-8").csv(files))
         path = F.col("_metadata.file_path")
-        legacy = path.endswith(legacy_suffix) if legacy_suffix else F.lit(False)
-        part = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns if c not in ENRICHMENT_COLUMNS],
+        dropped = ENRICHMENT_COLUMNS if is_legacy else ()
+        part = df.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns if c not in dropped],
                          path.alias("source_file"),
-                         F.struct(legacy.alias("is_legacy"), F.col("_metadata.file_modification_time").alias("mtime"),
+                         F.struct(F.lit(is_legacy).alias("is_legacy"), F.col("_metadata.file_modification_time").alias("mtime"),
                                   path.alias("path")).alias("source_order"),
                          F.monotonically_increasing_id().alias("row_pos"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -95,62 +87,23 @@ def newest_csv(spark: SparkSession, folder: str, exclude: str = SAMPLE_CSV_NAME)
 
 # ── S3/S4: SpreadsheetML and binary sheets ──────────────────────────────────
 
-_SS = "urn:schemas-microsoft-com:office:spreadsheet"
-def _sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
-    """Rows of the first worksheet as {column: text}, read event by event; ``ss:Index`` places a cell."""
-    if not content[:64].lstrip().startswith(b"<?xml"):
-        raise SourceError("not SpreadsheetML (binary .xls/.xlsx needs an optional reader)")
-    cells: dict[int, str | None] = {}
-    text, at, seen = None, 0, False
-    for event, node in ET.iterparse(io.BytesIO(content), events=("start", "end")):
-        name = node.tag.removeprefix(f"{{{_SS}}}")
-        if event == "start":
-            seen |= name == "Table"
-            if name == "Cell":
-                at, text = int(node.get(f"{{{_SS}}}Index", at + 1)), None
-            elif name == "Row":
-                cells, at = {}, 0
-            continue
-        if name == "Data":
-            text = node.text
-        elif name == "Cell":
-            cells[at - 1] = text
-        elif name == "Row":
-            yield cells
-            node.clear()
-        elif name == "Worksheet":
-            break
-    if not seen:
-        raise SourceError("no Worksheet/Table element")
-
-
-ROW_SCHEMA = T.StructType([
-    T.StructField("source_file", T.StringType()), T.StructField("row_pos", T.IntegerType()),
-    *[T.StructField(c, T.StringType()) for c in POS_COLUMNS], T.StructField("error", T.StringType()),
-])
-
-
-def _rows_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wide rows, one file at a time: the header row maps each POS column to its cell position.  A file
-    that can't be read gives one row with its error."""
-    for b in batches:
-        for path, content in zip(b["path"], b["content"]):
-            out: list[tuple] = []
-            try:
-                rows = _sheet_rows(bytes(content))
-                header = {(v or "").strip(): c for c, v in next(rows, {}).items()}
-                pos = [header.get(name) for name in POS_COLUMNS]
-                out = [(path, r, *[row.get(p) for p in pos], None) for r, row in enumerate(rows, 1)]
-            except (ET.ParseError, SourceError, ValueError) as e:
-                out = [(path, -1, *[None] * len(POS_COLUMNS), str(e))]
-            yield pd.DataFrame(out, columns=[f.name for f in ROW_SCHEMA.fields])
-
-
 def scan_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: SpreadsheetML ``.xls`` exports: data rows with the 7 POS columns (header = first row, short rows padded
-    with null), and for a file that can't be read one row with ``row_pos`` -1 and its ``error``."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_rows_udf, ROW_SCHEMA)
+    """S3: SpreadsheetML ``.xls`` exports: ``source_file``, ``row_pos`` and the 7 POS columns (header = first row, short
+    rows padded with null), and for a file that can't be read one row with ``row_pos`` -1 and its ``error``."""
+    files = landing.file_index(spark, paths).select("path", "kind", "header", F.when(
+        F.col("kind") != "sheet", F.lit("not SpreadsheetML (binary .xls/.xlsx needs an optional reader)")).otherwise(
+        F.col("error")).alias("error"))
+    files = landing.written(files, "sheet-files")
+    sheets = [r["path"] for r in files.where("error is null").select("path").collect()]  # one path per file
+    rows = landing.sheet_scan(spark, sheets).where("row_no > 1 or error is not null")
+    header = files.select("path", "header")
+    pos = [F.get("cells", F.array_position("header", c).cast("int") - 1).alias(c) for c in POS_COLUMNS]
+    read = rows.join(header, "path").select(
+        F.col("path").alias("source_file"),
+        F.when(F.col("error").isNull(), F.col("row_no") - 1).otherwise(-1).cast("int").alias("row_pos"), *pos, "error")
+    none = [F.lit(None).cast("string").alias(c) for c in POS_COLUMNS]
+    return read.unionByName(files.where("error is not null").select(
+        F.col("path").alias("source_file"), F.lit(-1).alias("row_pos"), *none, "error"))
 
 
 def read_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -173,13 +126,6 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-DELIMITERS = ";,\t"
-
-
-def _cells(line: str, delimiter: str) -> list[str]:
-    return [c.strip() for c in next(csv.reader([line], delimiter=delimiter), [])]
-
-
 def profile_bytes(path: str, buf: bytes, sample_rows: int = 5) -> tuple:
     """Encoding, delimiter, headers, sample, row count and digest of one file."""
     text, encoding = buf.decode("utf-8", errors="replace"), "utf-8"
@@ -187,8 +133,8 @@ def profile_bytes(path: str, buf: bytes, sample_rows: int = 5) -> tuple:
         text, encoding = buf.decode("latin-1"), "latin-1"
     lines = [line for line in text.splitlines() if line.strip()]
     head = lines[0] if lines else ""
-    delimiter = max(DELIMITERS, key=head.count) if any(d in head for d in DELIMITERS) else ","
-    table = [_cells(line, delimiter) for line in lines[:1 + sample_rows]]
+    delimiter = landing.delimiter_of(head)
+    table = [landing.cells_of(line, delimiter) for line in lines[:1 + sample_rows]]
     return (path, encoding, delimiter, table[0] if table else [], table[1:], max(0, len(lines) - 1),
             hashlib.sha256(buf).hexdigest())
 
