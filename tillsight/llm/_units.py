@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes of text worked at once (a longer text is worked by itself).
 BLOCK = 1 << 19
 #: Different units remembered by a Python process before it starts anew.
-LIMIT = 200_000
+LIMIT = 300_000
 #: Spaces at the ends of a cut buffer: rules look at most three bytes back and one ahead.
 PAD = 3
 
@@ -45,21 +45,23 @@ class Memory:
 
     def __init__(self, build: Callable[[list[bytes]], pa.Table], rule: Callable, limit: int = LIMIT):
         self.build, self.rule, self.limit = build, rule, limit
-        self.place: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.table = build([])
 
     def of(self, texts: list[bytes]) -> tuple[pa.Table, np.ndarray]:
         """The rows of all units of the texts in order, and the bounds of each text's rows."""
         units, bounds = cut(texts, self.rule)
-        different = units.dictionary.to_pylist()
-        if len(self.place) + len(different) > self.limit:
-            self.place.clear()
-            self.table = self.table.slice(0, 0)
-        new = [u for u in different if u not in self.place]
-        if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.table = pa.concat_tables([self.table, self.build(new)]).combine_chunks()
-        places = np.fromiter((self.place[u] for u in different), np.int64, len(different))
+        if len(self.known) + len(units.dictionary) > self.limit:
+            self.known, self.table = self.known.slice(0, 0), self.table.slice(0, 0)
+        places = pc.index_in(units.dictionary, value_set=self.known)
+        if places.null_count:
+            new = units.dictionary.filter(places.is_null())
+            self.table = pa.concat_tables([self.table, self.build(new.to_pylist())]).combine_chunks()
+            places = places.fill_null(0).to_numpy().copy()
+            places[pc.index_in(new, value_set=units.dictionary).to_numpy()] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+        else:
+            places = places.to_numpy()
         return self.table.take(pa.array(places[units.indices.to_numpy()])), bounds
 
 
