@@ -17,11 +17,6 @@ from typing import Any
 # Spanish weekday abbreviations, Monday first.
 DAY_ORDER: tuple[str, ...] = ("Lun", "Mar", "Mié", "Jue", "Vie", "Sáb", "Dom")
 
-# English month abbreviations, January first (the `Month` column of normalized lines).
-MONTH_ORDER: tuple[str, ...] = (
-    "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
-)
-
 # Report category normalization (raw category -> clean category); unknown -> "Otros".
 REPORT_CATEGORY_MAP: dict[str, str] = {
     "Panadería": "Panadería",
@@ -143,21 +138,31 @@ class ReportConfig:
     def with_(self, **kw: Any) -> "ReportConfig":
         return replace(self, **kw)
 
-    @staticmethod
-    def from_dict(data: dict[str, Any] | None) -> "ReportConfig":
-        """Build from a tenant dict; unknown keys are ignored (and reported by ``unknown_keys``)."""
-        data = dict(data or {})
-        known = {f for f in ReportConfig.__dataclass_fields__}
-        kw = {k: v for k, v in data.items() if k in known}
-        for k in ("ticket_bins", "ticket_labels"):
-            if k in kw:
-                kw[k] = tuple(kw[k])
-        return ReportConfig(**kw)
 
-    @staticmethod
-    def unknown_keys(data: dict[str, Any] | None) -> list[str]:
-        known = set(ReportConfig.__dataclass_fields__) | {"columns"}
-        return sorted(k for k in (data or {}) if k not in known)
+
+@dataclass(frozen=True, eq=False)
+class StoreConfigs(ReportConfig):
+    """A report config whose limits and category map may differ by store.
+
+    ``table`` has ``store_id`` and a column for every field of :data:`STORE_FIELDS` (null: the value of this object),
+    and ``category_map`` (map; null: identity).  Operators read such a limit through ``limits``.
+    """
+
+    table: Any = None
+
+
+#: Fields that a store can set for itself, with their type in a table of configurations.  Others (rolling windows,
+#: quantiles) shape the plan and hold for the whole job.
+STORE_FIELDS: dict[str, str] = {
+    "pareto_threshold": "double", "margin_pareto_threshold": "double", "top_n_products": "int", "top_n_pairs": "int",
+    "top_n_single_ticket_products": "int", "min_single_ticket_orders": "int", "trend_min_months": "int",
+    "trend_min_base_revenue": "double", "trend_min_base_orders": "int", "trend_min_abs_growth_pct": "double",
+    "trend_partial_month_days": "int", "trend_top_k": "int", "anomaly_std_threshold": "double", "anomaly_top_k": "int",
+    "high_lift_threshold": "double", "rule_min_count": "int", "rule_min_confidence": "double", "rule_top_k": "int",
+    "ticket_bins": "array<double>", "ticket_labels": "array<string>",
+}
+#: Category maps that a store can name instead of writing its own.
+CATEGORY_PRESETS: dict[str, dict[str, str]] = {"report": REPORT_CATEGORY_MAP, "delta": DELTA_CATEGORY_MAP}
 
 
 @dataclass(frozen=True)
@@ -181,6 +186,9 @@ class DeltaConfig:
     min_active_days: int = 2
     # None = identity mapping of categories (X11); a dict = the fixed delta lookup.
     category_map: dict[str, str] | None = None
+    # Stores with an event of their own: (store_id, event_date, as_of), and (store_id, product) of their selections.
+    table: Any = field(default=None, compare=False)
+    selection: Any = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if self.window_days not in DELTA_ROLLING_WIDTH:

@@ -26,7 +26,7 @@ def first_value(c: str) -> Column:
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col("row_seq"), F.col(c))))
 
 
-def top_k(df: DataFrame, k: int | None, order: Sequence[Column], partition: Sequence[str] = (STORE,),
+def top_k(df: DataFrame, k: int | Column | None, order: Sequence[Column], partition: Sequence[str] = (STORE,),
           rank_col: str = "rank") -> DataFrame:
     """Rank rows inside each partition by ``order`` (a total order) and keep the first ``k``.
 
@@ -38,6 +38,20 @@ def top_k(df: DataFrame, k: int | None, order: Sequence[Column], partition: Sequ
     return out.filter(F.col(rank_col) <= k) if k is not None else out
 
 
+def limits(df: DataFrame, cfg, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` and the values of config fields as columns: literals, or each store's own where ``cfg`` has a table
+    (:class:`tillsight.config.StoreConfigs`), which has one row per store and is joined to ``df``, an aggregate."""
+    table = getattr(cfg, "table", None)
+    if table is None:
+        return df, [F.lit(getattr(cfg, n)) for n in names]
+    own = table.select(STORE, *[F.col(n).alias(f"_cfg_{n}") for n in names])
+
+    def default(value) -> Column:
+        return F.array(*[F.lit(v) for v in value]) if isinstance(value, tuple) else F.lit(value)
+
+    return df.join(own, STORE, "left"), [F.coalesce(F.col(f"_cfg_{n}"), default(getattr(cfg, n))) for n in names]
+
+
 def weekday_domain(stores: DataFrame, extra_keys: Iterable[str] = ()) -> DataFrame:
     """Every (store, *extra_keys, weekday) with weekday in canonical order — by ``explode``.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, shared, top_k
+from tillsight.operators._common import STORE, limits, shared, top_k
 
 
 def baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
@@ -97,7 +97,8 @@ def product_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: st
     scans); ``rank <= top_n_pairs`` is the shown list.
     """
     bc = counts_of(lines, cfg, item)
-    ranked = top_k(pair_counts(bc), keep if keep is not None else 2 * cfg.top_n_pairs,
+    counts, (shown,) = limits(pair_counts(bc), cfg, "top_n_pairs")
+    ranked = top_k(counts, keep if keep is not None else 2 * (shown if "_cfg_top_n_pairs" in counts.columns else cfg.top_n_pairs),
                    [F.col("count").desc(), F.col("item_a"), F.col("item_b")])
     m = _pair_measures(ranked, item_counts(bc), basket_totals(bc))
     return m.select(
@@ -111,12 +112,16 @@ def lift_band(lift):
 
 
 def pairs_with_bands(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    return product_pairs(lines, cfg).filter(F.col("rank") <= cfg.top_n_pairs).withColumn("band", lift_band(F.col("lift")))
+    pairs = product_pairs(lines, cfg)
+    held, (k,) = limits(pairs, cfg, "top_n_pairs")
+    return held.filter(F.col("rank") <= k).select(*pairs.columns, lift_band(F.col("lift")).alias("band"))
 
 
 def high_lift_pairs(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
     """Within the top ``2*top_n_pairs`` by count: rounded lift ≥ threshold, first k in count order."""
-    cands = product_pairs(lines, cfg, item).filter(F.col("lift") >= cfg.high_lift_threshold)
+    pairs = product_pairs(lines, cfg, item)
+    held, (least,) = limits(pairs, cfg, "high_lift_threshold")
+    cands = held.filter(F.col("lift") >= least).select(*pairs.columns)
     return top_k(cands.drop("rank"), cfg.high_lift_top_k, [F.col("count").desc(), F.col("product_a"), F.col("product_b")])
 
 
@@ -136,7 +141,8 @@ def rules(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "pro
     The count filter runs on the pair aggregate, before any join.
     """
     bc = counts_of(lines, cfg, item)
-    pairs = pair_counts(bc).filter(F.col("count") >= cfg.rule_min_count)
+    pairs, (least,) = limits(pair_counts(bc), cfg, "rule_min_count")
+    pairs = pairs.filter(F.col("count") >= least)
     directed = pairs.select(STORE, F.inline(F.array(
         F.struct(F.col("item_a"), F.col("item_b")),
         F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")))), "count")
@@ -151,9 +157,12 @@ def rules(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "pro
         F.round("lift_raw", 2).alias("lift"),
         F.coalesce(F.round(conviction, 2), F.lit(99.99)).alias("conviction"),
         F.round(conf * F.col("lift_raw") * F.ln(F.col("count") + 1), 3).alias("score"),
-    ).filter(F.col("confidence") >= cfg.rule_min_confidence)
+    )
+    columns = r.columns
+    r, (sure, k) = limits(r, cfg, "rule_min_confidence", "rule_top_k")
+    r = r.filter(F.col("confidence") >= sure)
     order = [F.col("score").desc(), F.col("count").desc(), F.col("confidence").desc(),
              F.col("antecedent"), F.col("consequent")]
     r = r.withColumn("pair_lo", F.least("antecedent", "consequent")).withColumn("pair_hi", F.greatest("antecedent", "consequent"))
     best = top_k(r, 1, order, partition=(STORE, "pair_lo", "pair_hi"), rank_col="_dir").drop("_dir", "pair_lo", "pair_hi")
-    return top_k(best, cfg.rule_top_k, order)
+    return top_k(best, k if "_cfg_rule_top_k" in best.columns else cfg.rule_top_k, order).select(*columns, "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.functions.quantiles import exact_quantiles
-from tillsight.operators._common import STORE, dbl, rnd, top_k, trunc_int
+from tillsight.operators._common import STORE, dbl, limits, rnd, top_k, trunc_int
 from tillsight.operators.summary import order_totals
 
 
@@ -41,16 +41,25 @@ def ticket_buckets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
     """Orders per right-closed bin ``(lo, hi]``; every bin present (0 when empty); totals
     outside the bins are not counted.  The bin is a ``CASE`` on the order total (Spark's
     Bucketizer is left-closed)."""
-    bins, labels = list(cfg.ticket_bins), list(cfg.ticket_labels)
     t = dbl("ticket_dec")
-    ix = F.lit(None).cast("int")
-    for i in range(len(labels) - 1, -1, -1):
-        ix = F.when((t > bins[i]) & (t <= bins[i + 1]), F.lit(i)).otherwise(ix)
-    o = order_totals(lines).select(STORE, ix.alias("bucket_ix")).filter(F.col("bucket_ix").isNotNull())
+    o = order_totals(lines)
+    stores = o.select(STORE).distinct()
+    if getattr(cfg, "table", None) is None:
+        bins, labels = list(cfg.ticket_bins), list(cfg.ticket_labels)
+        ix = F.lit(None).cast("int")
+        for i in range(len(labels) - 1, -1, -1):
+            ix = F.when((t > bins[i]) & (t <= bins[i + 1]), F.lit(i)).otherwise(ix)
+        dom_arr = F.array(*[F.struct(F.lit(i).alias("bucket_ix"), F.lit(lab).alias("bucket")) for i, lab in enumerate(labels)])
+        dom = stores.select(STORE, F.inline(dom_arr))
+    else:
+        # a store's own bins: the bin is the number of edges below the total
+        o, (edges,) = limits(o, cfg, "ticket_bins")
+        at = F.size(F.filter(edges, lambda e: e < t)) - 1
+        ix = F.when((at >= 0) & (at < F.size(edges) - 1), at)
+        stores, (names,) = limits(stores, cfg, "ticket_labels")
+        dom = stores.select(STORE, F.posexplode(names).alias("bucket_ix", "bucket"))
+    o = o.select(STORE, ix.alias("bucket_ix")).filter(F.col("bucket_ix").isNotNull())
     counts = o.groupBy(STORE, "bucket_ix").agg(F.count(F.lit(1)).alias("count"))
-    stores = order_totals(lines).select(STORE).distinct()
-    dom_arr = F.array(*[F.struct(F.lit(i).alias("bucket_ix"), F.lit(lab).alias("bucket")) for i, lab in enumerate(labels)])
-    dom = stores.select(STORE, F.inline(dom_arr))
     return dom.join(counts, [STORE, "bucket_ix"], "left").select(
         STORE, "bucket_ix", "bucket", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
@@ -108,7 +117,8 @@ def single_unit_products(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -
         F.min_by("product", F.struct("row_seq", "product")).alias("product"),
         F.sum("total").alias("ticket_dec"))
     g = per.groupBy(STORE, "product").agg(F.count(F.lit(1)).alias("orders"), dbl(F.avg("ticket_dec")).alias("avg"))
-    g = g.filter(F.col("orders") >= cfg.min_single_ticket_orders).withColumn("avg_ticket", rnd("avg", 2))
-    return top_k(g, cfg.top_n_single_ticket_products,
+    g, (least, k) = limits(g, cfg, "min_single_ticket_orders", "top_n_single_ticket_products")
+    g = g.filter(F.col("orders") >= least).withColumn("avg_ticket", rnd("avg", 2))
+    return top_k(g, k,
                  [F.col("orders").desc(), F.col("avg_ticket").desc(), F.col("product")]).select(
         STORE, "rank", "product", "orders", "avg_ticket")

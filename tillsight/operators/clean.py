@@ -107,6 +107,28 @@ def normalize_category(c: Column, mapping: dict[str, str] | None) -> Column:
     return F.coalesce(F.element_at(m, c), F.lit("Otros"))
 
 
+def store_categories(lines: DataFrame, configs: DataFrame, raw: str = "category_raw") -> DataFrame:
+    """``category`` by each store's own ``category_map`` (unknown -> ``Otros``); a store without one keeps its own."""
+    own = configs.select(STORE, F.col("category_map").alias("_cfg_map"))
+    named = F.when(F.col("_cfg_map").isNull(), F.col(raw)).otherwise(F.element_at("_cfg_map", F.col(raw)))
+    return lines.join(own, STORE, "left").withColumn("category", F.coalesce(named, F.lit("Otros"))).drop("_cfg_map")
+
+
+def with_store_aliases(raw: DataFrame, configs: DataFrame) -> DataFrame:
+    """Text rows of stores whose exports name the report's columns in their own way, under the report's names.
+
+    ``configs`` has ``columns`` (map: role -> the store's column).  A role that a store doesn't rename is read from the
+    report's own column; a column that isn't there is null.
+    """
+    kept = [c for c in raw.columns if c in (STORE, "row_seq")]
+    cells = F.create_map(*[x for c in raw.columns if c not in kept for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    held = raw.join(configs.select(STORE, F.col("columns").alias("_alias")), STORE, "left").withColumn("_cells", cells)
+    own = {name: F.element_at("_cells", F.coalesce(F.element_at("_alias", F.lit(role)), F.lit(name)))
+           for role, name in REPORT_COLUMNS.items()}
+    extras = [c for c in raw.columns if c not in kept and c not in own]
+    return held.select(*kept, *[v.alias(name) for name, v in own.items()], *[F.col(f"`{c}`") for c in extras])
+
+
 def sanitize(raw: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, aliases: dict[str, str] | None = None):
     """Return ``(lines, discarded, quality)``, all lazy DataFrames.
 
@@ -115,7 +137,10 @@ def sanitize(raw: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, aliases: dict[s
     """
     typed = coerce(raw, aliases)
     keep = typed.filter(F.col("motivo_descarte") == "")
-    lines = conform(keep.withColumn("category", normalize_category(F.col("category_raw"), cfg.category_map)))
+    table = getattr(cfg, "table", None)
+    named = (store_categories(keep, table) if table is not None
+             else keep.withColumn("category", normalize_category(F.col("category_raw"), cfg.category_map)))
+    lines = conform(named)
     discarded = typed.filter(F.col("motivo_descarte") != "").select(
         STORE, F.col("row_seq").alias("fila_original"), "original.*", "motivo_descarte")
     return lines, discarded, quality_counts(typed)

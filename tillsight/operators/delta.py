@@ -52,14 +52,15 @@ def event_dates(dl: DataFrame, cfg: DeltaConfig) -> DataFrame:
     """(store, event_date): the configured date, or the default rule (P25) per store:
     clamp(as_of − 30 d, min, max − 29 d), with max as the upper bound when max − 29 d < min."""
     span = dl.groupBy(STORE).agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"))
-    if cfg.event_date:
-        ev = F.lit(cfg.event_date).cast("date")
-    else:
-        if not cfg.as_of:
-            raise ValueError("event_date or as_of is required (operators never read the clock)")
-        cand = F.date_sub(F.lit(cfg.as_of).cast("date"), 30)
-        hi = F.when(F.date_sub("date_max", 29) < F.col("date_min"), F.col("date_max")).otherwise(F.date_sub("date_max", 29))
-        ev = F.least(F.greatest(cand, F.col("date_min")), hi)
+    given, as_of = F.lit(cfg.event_date).cast("date"), F.lit(cfg.as_of).cast("date")
+    if cfg.table is not None:
+        span = span.join(cfg.table.select(STORE, F.col("event_date").alias("_event"), F.col("as_of").alias("_as_of")), STORE)
+        given, as_of = F.coalesce(F.col("_event").cast("date"), given), F.coalesce(F.col("_as_of").cast("date"), as_of)
+    elif not cfg.event_date and not cfg.as_of:
+        raise ValueError("event_date or as_of is required (operators never read the clock)")
+    hi = F.when(F.date_sub("date_max", 29) < F.col("date_min"), F.col("date_max")).otherwise(F.date_sub("date_max", 29))
+    by_rule = F.when(as_of.isNotNull(), F.least(F.greatest(F.date_sub(as_of, 30), F.col("date_min")), hi))
+    ev = F.coalesce(given, by_rule)
     return span.select(STORE, "date_min", "date_max", ev.alias("event_date"))
 
 
@@ -70,6 +71,7 @@ def _selection(spark: SparkSession, dl: DataFrame, cfg: DeltaConfig, selection:
     ``selection`` — an optional per-store (store_id, product) table (D16 helpers) — takes
     the place of the configured product list."""
     catalog = dl.select(STORE, "product").distinct()
+    selection = cfg.selection if selection is None else selection
     if selection is None:
         sel = spark.createDataFrame([(p,) for p in dict.fromkeys(cfg.selected_products)], _SEL_SCHEMA)
         chosen = catalog.join(sel, "product", "left_semi")
@@ -323,6 +325,17 @@ def meta(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
         F.min("date").alias("date_min"), F.max("date").alias("date_max"))
 
 
+def order_frame(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
+    """Every order (date and id) with revenue, units and its sorted distinct products and categories.
+
+    An order's arrays hold each product of the catalog once at most, however many lines it has.
+    """
+    dl = delta_lines(lines, cfg)
+    return dl.groupBy(STORE, "date", "order_id").agg(
+        F.round(F.sum("total_raw").cast("double"), 2).alias("revenue"), F.round(F.sum("quantity").cast("double"), 2).alias("units"),
+        F.sort_array(F.collect_set("product")).alias("products"), F.sort_array(F.collect_set("category")).alias("categories"))
+
+
 def top_products(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
     """D3: top products by revenue over the whole data set."""
     dl = delta_lines(lines, cfg)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, first_value, rnd, top_k
+from tillsight.operators._common import STORE, dbl, first_value, limits, rnd, top_k
 
 
 def product_stats(lines: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def products_pareto(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Dat
         .withColumn("cum_rev_pct", F.round(dbl("cum_dec") / dbl("store_rev_dec") * 100.0, 1))
         .withColumn("rev_share", F.round(dbl("revenue_dec") / dbl("store_rev_dec") * 100.0, 2))
     )
-    in_p = F.col("cum_rev_pct") <= F.lit(cfg.pareto_threshold)
+    ranked, (threshold,) = limits(ranked, cfg, "pareto_threshold")
+    in_p = F.col("cum_rev_pct") <= threshold
     return ranked.select(
         STORE,
         "rank",
@@ -57,7 +58,9 @@ def products_pareto(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Dat
 
 
 def products_top_n(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    return products_pareto(lines, cfg).filter(F.col("rank") <= cfg.top_n_products)
+    ranked = products_pareto(lines, cfg)
+    held, (k,) = limits(ranked, cfg, "top_n_products")
+    return held.filter(F.col("rank") <= k).select(*ranked.columns)
 
 
 def category_totals(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, first_value, rnd, top_k
+from tillsight.operators._common import STORE, dbl, first_value, limits, rnd, top_k
 from tillsight.operators.basket import high_lift_pairs
 
 
@@ -41,7 +41,8 @@ def profitability(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataF
         .withColumn("orders_median", F.median(dbl("orders")).over(w_all))
         .withColumn("margin_median", F.median("avg_margin").over(w_all))
     )
-    in_p = F.col("cum_profit_pct") <= F.lit(cfg.margin_pareto_threshold)
+    p, (threshold,) = limits(p, cfg, "margin_pareto_threshold")
+    in_p = F.col("cum_profit_pct") <= threshold
     hv, hm = F.col("orders") >= F.col("orders_median"), F.col("avg_margin") >= F.col("margin_median")
     cls = F.when(hv & hm, "Champion").when(hv, "Tractor").when(hm, "Gem").otherwise("Niche")
     return p.select(

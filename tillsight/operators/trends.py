@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, top_k, trunc_int
+from tillsight.operators._common import STORE, dbl, limits, top_k, trunc_int
 
 
 def trend_months(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
@@ -23,9 +23,10 @@ def trend_months(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFr
         F.max(F.when(F.col("from_end") == 1, F.col("days"))).alias("last_days"),
         F.max(F.when(F.col("from_end") == 2, F.col("year_month"))).alias("prev_month"),
     )
-    cmp = F.when((F.col("last_days") < cfg.trend_partial_month_days) & (F.col("n_months") > 2), F.col("prev_month")).otherwise(F.col("last_month"))
+    s, (partial_days, least) = limits(s, cfg, "trend_partial_month_days", "trend_min_months")
+    cmp = F.when((F.col("last_days") < partial_days) & (F.col("n_months") > 2), F.col("prev_month")).otherwise(F.col("last_month"))
     return s.select(STORE, "n_months", "base_month", cmp.alias("compare_month")).filter(
-        F.col("n_months") >= cfg.trend_min_months)
+        F.col("n_months") >= least)
 
 
 def product_trends(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
@@ -45,12 +46,14 @@ def product_trends(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
         F.count_distinct(F.when(is_b, F.col("order_id"))).alias("base_orders"),
         F.sum(F.when(is_c, F.col("total"))).alias("cmp_rev"),
     )
-    elig = g.filter((dbl("base_rev") >= cfg.trend_min_base_revenue) & (F.col("base_orders") >= cfg.trend_min_base_orders))
+    g, (revenue, orders, change, k) = limits(g, cfg, "trend_min_base_revenue", "trend_min_base_orders",
+                                             "trend_min_abs_growth_pct", "trend_top_k")
+    elig = g.filter((dbl("base_rev") >= revenue) & (F.col("base_orders") >= orders))
     elig = elig.withColumn("eligible_count", F.count(F.lit(1)).over(Window.partitionBy(STORE)))
     growth = (dbl("cmp_rev") - dbl("base_rev")) / dbl("base_rev") * 100.0
-    gr = elig.filter(F.col("cmp_rev").isNotNull()).withColumn("g", growth).filter(F.abs("g") > cfg.trend_min_abs_growth_pct)
-    up = top_k(gr.filter(F.col("g") > 0), cfg.trend_top_k, [F.col("g").desc(), F.col("product")]).withColumn("direction", F.lit("up"))
-    down = top_k(gr.filter(F.col("g") < 0), cfg.trend_top_k, [F.col("g").asc(), F.col("product")]).withColumn("direction", F.lit("down"))
+    gr = elig.filter(F.col("cmp_rev").isNotNull()).withColumn("g", growth).filter(F.abs("g") > change)
+    up = top_k(gr.filter(F.col("g") > 0), k, [F.col("g").desc(), F.col("product")]).withColumn("direction", F.lit("up"))
+    down = top_k(gr.filter(F.col("g") < 0), k, [F.col("g").asc(), F.col("product")]).withColumn("direction", F.lit("down"))
     return up.unionByName(down).select(
         STORE, "direction", "rank", "product", F.round("g", 1).alias("growth_pct"),
         "base_month", "compare_month", "eligible_count")
@@ -67,10 +70,10 @@ def anomaly_days(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFr
     d = d.withColumn("revenue", dbl("rev_dec")).withColumn("mu", F.avg("revenue").over(w)).withColumn(
         "sd", F.stddev_samp("revenue").over(w))
     d = d.filter(F.col("sd").isNotNull() & (F.col("sd") > 0))
-    k = cfg.anomaly_std_threshold
-    hi = top_k(d.filter(F.col("revenue") > F.col("mu") + k * F.col("sd")), cfg.anomaly_top_k,
+    d, (width, k) = limits(d, cfg, "anomaly_std_threshold", "anomaly_top_k")
+    hi = top_k(d.filter(F.col("revenue") > F.col("mu") + width * F.col("sd")), k,
                [F.col("revenue").desc(), F.col("sale_date")]).withColumn("kind", F.lit("high"))
-    lo = top_k(d.filter(F.col("revenue") < F.col("mu") - k * F.col("sd")), cfg.anomaly_top_k,
+    lo = top_k(d.filter(F.col("revenue") < F.col("mu") - width * F.col("sd")), k,
                [F.col("revenue").asc(), F.col("sale_date")]).withColumn("kind", F.lit("low"))
     return hi.unionByName(lo).select(
         STORE, "kind", "rank", "sale_date", F.date_format("sale_date", "dd MMM").alias("date_label"),

@@ -5,17 +5,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.operators import clean
+from tillsight.config import DeltaConfig, StoreConfigs
+from tillsight.operators import cart as C
+from tillsight.operators import clean, delta
 from tillsight.operators import normalize as N
+from tillsight.operators import products as P
+from tillsight.plans import jobs
 from tillsight.plans import oracle_sql as O
 from tillsight.plans import queries_ingest as QI
 from tillsight.plans.registry import register, with_ctes
 from tillsight.plans.report import ReportJob
 from tillsight.session import scratch_table_path
 from tillsight.sources import bindings as B
+from tillsight.sources import jobspec as JS
 from tillsight.sources import landing as L
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _store_of_path():
     return F.regexp_extract("path", "store_id=([^/]+)", 1)
 
@@ -45,9 +53,17 @@ def _sheets(rows, path: str, header: tuple[str, ...], cells) -> None:
 
 
 def _write_tenant_exports(spark, d) -> str:
+    """The folder of :func:`_tenant_exports`, written once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _tenant_exports(spark, d)
+    return _WRITTEN[key]
+
+
+def _tenant_exports(spark, d) -> str:
     """Exports of four stores, each in its own way: POS columns, foreign headers with own categories (``;``), English
     headers without a time (tab), and SpreadsheetML; and two files that no job can use."""
-    base = _base(spark, d, "tenant_exports")
+    base = _base(spark, d, f"tenant_exports_{len(_WRITTEN)}")
     rows = _numbered_text(spark, d).withColumn("p_type", F.lit(None))
     part = B.table(spark, d, "part").groupBy(F.col("p_name").alias("Producto")).agg(F.min("p_type").alias("familia"))
     rows = rows.drop("p_type").join(part, "Producto")
@@ -176,3 +192,130 @@ def q_discarded_rows(spark, d):
     _, discarded, _ = clean.sanitize(B.raw_pos_lines(spark, d))
     return discarded.select("store_id", "fila_original", F.col("Fecha").alias("fecha"), F.col("Cantidad").alias("cantidad"),
                             F.col("Total").alias("total_txt"), "motivo_descarte")
+
+
+# ── per-store configuration (P9, P19, A15, A39, A41, A45, A47) ─────────────
+
+# What the test stores set: a map and limits of its own, a fixed map, nothing, and a value that can't be read.
+_TEST_MAP = {"STANDARD": "Normal", "SMALL": "Chico", "MEDIUM": "Medio", "LARGE": "Grande"}
+
+
+def _configs(spark):
+    import json
+
+    given = {
+        "S0": {"category_normalization": json.dumps(_TEST_MAP), "pareto_threshold": "50", "top_n_products": "3",
+               "min_single_ticket_orders": "1", "nonsense": "1"},
+        "S1": {"category_normalization": "report", "pareto_threshold": "90.5", "anomaly_std_threshold": "1.0"},
+        "S2": {"top_n_products": "many", "ticket_bins": "[0, 100000, 1000000]", "ticket_labels": '["low", "high"]'},
+    }
+    specs = spark.createDataFrame([(s, c) for s, c in given.items()], "store_id string, tenant_config map<string,string>")
+    return JS.store_configs(specs)
+
+
+def _first_word(lines):
+    """Binding A with the first word of the part type as the raw category."""
+    return lines.withColumn("category_raw", F.split("category_raw", " ")[0])
+
+
+_CATEGORY_SQL = (
+    "CASE WHEN store_id = 'S0' THEN CASE cat " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEST_MAP.items())
+    + " ELSE 'Otros' END WHEN store_id = 'S1' THEN 'Otros' ELSE cat END")
+
+
+@register("config_categories", with_ctes(O.lines_a(), body=f"""
+w AS (SELECT store_id, string_split(category_raw, ' ')[1] AS cat, total FROM lines_a)
+SELECT store_id, {_CATEGORY_SQL} AS category, count(*) AS lines, CAST(sum(total) AS DOUBLE) AS revenue FROM w GROUP BY 1, 2"""))
+def q_config_categories(spark, d):
+    """Four stores' categories by their own map, a fixed map or none, in one plan."""
+    lines = clean.store_categories(_first_word(B.tpch_lines(spark, d)), _configs(spark))
+    return lines.groupBy("store_id", "category").agg(F.count(F.lit(1)).alias("lines"),
+                                                     F.sum("total").cast("double").alias("revenue"))
+
+
+_TOP = "CASE store_id WHEN 'S0' THEN 3 ELSE 20 END"
+_THRESHOLD = "CASE store_id WHEN 'S0' THEN 50.0 WHEN 'S1' THEN 90.5 ELSE 80.0 END"
+
+
+@register("config_limits", with_ctes(O.lines_a(), body=f"""
+p AS (WITH {O.products_pareto()})
+SELECT store_id, rank, product, revenue, cum_rev_pct, cum_rev_pct <= {_THRESHOLD} AS in_pareto,
+       CAST(greatest((SELECT count(*) FROM p q WHERE q.store_id = p.store_id AND q.cum_rev_pct <= {_THRESHOLD.replace('store_id', 'p.store_id')}), 1)
+            AS BIGINT) AS n_pareto
+FROM p WHERE rank <= {_TOP}"""))
+def q_config_limits(spark, d):
+    """The best products of each store, as many and up to the share that the store asks for."""
+    top = P.products_top_n(B.tpch_lines(spark, d), StoreConfigs(table=_configs(spark)))
+    return top.select("store_id", "rank", "product", "revenue", "cum_rev_pct", "in_pareto", "n_pareto")
+
+
+@register("config_ticket_buckets", with_ctes(O.lines_a(), body="""
+ot AS (SELECT store_id, order_id, CAST(sum(total) AS DOUBLE) AS t FROM lines_a GROUP BY 1, 2),
+edges AS (SELECT * FROM (VALUES ('S0', 0, '<5K', 0.0, 5000.0), ('S0', 1, '5-10K', 5000, 10000), ('S0', 2, '10-15K', 10000, 15000),
+  ('S0', 3, '15-20K', 15000, 20000), ('S0', 4, '20-30K', 20000, 30000), ('S0', 5, '30-50K', 30000, 50000),
+  ('S0', 6, '50K+', 50000, 200000), ('S2', 0, 'low', 0, 100000), ('S2', 1, 'high', 100000, 1000000)) e(s, bucket_ix, bucket, lo, hi)),
+dom AS (SELECT st.store_id, e.bucket_ix, e.bucket, e.lo, e.hi FROM (SELECT DISTINCT store_id FROM ot) st
+        JOIN edges e ON e.s = CASE st.store_id WHEN 'S2' THEN 'S2' ELSE 'S0' END)
+SELECT d.store_id, CAST(d.bucket_ix AS INTEGER) AS bucket_ix, d.bucket,
+       count(*) FILTER (WHERE o.t > d.lo AND o.t <= d.hi) AS count
+FROM dom d JOIN ot o USING (store_id) GROUP BY 1, 2, 3"""))
+def q_config_ticket_buckets(spark, d):
+    """Ticket buckets by each store's own edges and labels."""
+    return C.ticket_buckets(B.tpch_lines(spark, d), StoreConfigs(table=_configs(spark)))
+
+
+# ── jobs from specifications (S7, N5, N6, D1, D2) ──────────────────────────
+
+def _write_job_specs(spark, d) -> str:
+    """Per store a report job, and for two an event job with a date of its own; and jobs that can't run: an unknown type, a
+    file that isn't there, a mapping to a header that no file has."""
+    import json
+
+    base = _write_tenant_exports(spark, d)
+    path = _base(spark, d, "specs")
+    folder = {k: f"{base}/{x}/store_id=S{k}" for k, x in enumerate("abcd")}
+    mapping = {"date": "FECHA VENTA", "order_id": "No. Factura", "product": "Artículo", "quantity": "Cant.", "total": "Valor Total"}
+    specs = [dict(job_id=f"report-S{k}", type="report", store_id=f"S{k}", input_files=[folder[k]],
+                  category_margins={"Otros": 33.0}, tenant_config={"top_n_products": "2"}) for k in range(4)]
+    specs[1]["column_mapping"] = mapping
+    specs += [dict(job_id=f"delta-S{k}", type="delta", store_id=f"S{k}", input_files=[folder[k]], delta_config=c) for k, c in (
+        (0, {"event_date": "1997-03-01", "window_days": "30"}), (2, {"as_of": "1998-09-01", "window_days": "7"}))]
+    specs += [dict(job_id="bad-type", type="forecast", store_id="S0", input_files=[folder[0]]),
+              dict(job_id="bad-file", type="report", store_id="S1", input_files=[f"{base}/none.csv"]),
+              dict(job_id="bad-header", type="report", store_id="S1", input_files=[folder[1]], column_mapping=mapping | {"total": "Suma"})]
+    spark.createDataFrame([(json.dumps(s),) for s in specs], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+@register("job_results", f"""
+WITH {TENANT_SQL},
+n AS (SELECT store_id, count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT product FROM t u WHERE u.store_id = t.store_id)) AS products
+      FROM t GROUP BY 1),
+jobs AS (SELECT 'report-' || store_id AS job_id, store_id, 'report' AS type, rows, least(products, 2) AS top FROM n
+  UNION ALL SELECT 'delta-' || store_id, store_id, 'delta', rows, 1 FROM n WHERE store_id IN ('S0', 'S2'))
+SELECT job_id, store_id, type, 'succeeded' AS status, CAST(NULL AS VARCHAR) AS problem, rows AS input_rows, rows AS normalized_rows,
+       CAST(0 AS BIGINT) AS discarded_rows, top AS module_rows FROM jobs
+UNION ALL SELECT 'bad-type', 'S0', 'forecast', 'failed', 'unknown type forecast', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'bad-file', 'S1', 'report', 'failed', 'input no encontrado', NULL, NULL, NULL, NULL
+UNION ALL SELECT 'bad-header', 'S1', 'report', 'failed', 'faltan columnas tras aplicar el mapeo', NULL, NULL, NULL, NULL""")
+def q_job_results(spark, d):
+    """Nine specs, three of which can't run: a row for each, with its counts and the rows of one module that it wrote."""
+    result, modules = jobs.run_specs(spark, JS.read_job_specs(spark, _write_job_specs(spark, d)),
+                                     report_modules=["products"], delta_modules=["delta_kpis"])
+    shown = modules["products"].where("rank <= 2").select("store_id").unionByName(modules["delta_kpis"].select("store_id"))
+    rows = shown.groupBy(F.col("store_id").alias("job_id")).agg(F.count(F.lit(1)).alias("module_rows"))
+    return result.join(rows, "job_id", "left").select(
+        "job_id", "store_id", "type", "status", F.regexp_extract("error", "^[^:]*", 0).alias("problem"), "input_rows",
+        "normalized_rows", "discarded_rows", "module_rows")
+
+
+@register("delta_order_frame", with_ctes(O.lines_a(), body=f"""
+SELECT store_id, sale_date AS date, order_id, {O.R('sum(total)', 2)} AS revenue, {O.R('sum(quantity)', 2)} AS units,
+       array_to_string(list_sort(list(DISTINCT product)), '|') AS products,
+       array_to_string(list_sort(list(DISTINCT category)), '|') AS categories
+FROM lines_a GROUP BY 1, 2, 3"""))
+def q_delta_order_frame(spark, d):
+    """Orders with their products and categories."""
+    got = delta.order_frame(B.tpch_lines(spark, d), DeltaConfig())
+    return got.select("store_id", "date", "order_id", "revenue", "units", F.array_join("products", "|").alias("products"),
+                      F.array_join("categories", "|").alias("categories"))

@@ -117,6 +117,13 @@ class ReportJob:
             for f in [pool.submit(sinks.write_module, df, f"{out}/{name}") for name, df in outputs.items()]:
                 f.result()
 
+    def run_some(self, lines: DataFrame, quality: DataFrame, names: list[str], out: str) -> dict[str, DataFrame]:
+        """Compute and write the named modules of sanitized lines; returns the written outputs."""
+        enable_sharing(lines, self.run_id)
+        mods = {n: df for n, df in self.modules(lines, quality).items() if n in names}
+        self._write_all(mods, out)
+        return {n: self.spark.read.schema(df.schema).parquet(f"{out}/{n}") for n, df in mods.items()}
+
     def run(self, normalized_text: DataFrame, out_dir: str | None = None) -> dict[str, DataFrame]:
         """Compute and write every module (Parquet per store), then insights and
         recommendations from the written modules; returns the written outputs."""

@@ -7,10 +7,12 @@ Specs are read with an explicit schema; ``violations`` lists what a worker would
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillsight.config import CATEGORY_PRESETS, COLUMN_ALIASES, STORE_FIELDS
+
 JOB_TYPES = ("report", "delta")
 
 MAP_ROW = T.StructType([T.StructField(c, T.StringType()) for c in
@@ -32,6 +34,31 @@ def read_job_specs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_SPEC_SCHEMA).option("multiLine", False).json(path)
 
 
+def store_configs(specs: DataFrame, key: str = "store_id") -> DataFrame:
+    """One row per ``key`` with the columns of :data:`tillsight.config.STORE_FIELDS` (null where not set or unreadable),
+    ``category_map``, ``columns`` (aliases by role), ``currency`` and ``ignored`` (keys that mean nothing).
+
+    ``category_normalization`` (or ``category_map``) is a JSON map, or the name of a fixed map (``report``, ``delta``).
+    """
+    given = F.coalesce("tenant_config", F.create_map().cast("map<string,string>"))
+
+    def value(name: str, kind: str) -> Column:
+        text = F.col("_given")[name]
+        return F.from_json(text, kind) if kind.startswith(("array", "map")) else text.try_cast(kind)
+
+    written = F.coalesce(F.col("_given")["category_normalization"], F.col("_given")["category_map"])
+    maps = F.from_json(written, "map<string,string>")
+    for name, fixed in CATEGORY_PRESETS.items():
+        pairs = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
+        maps = F.when(F.btrim(written, F.lit('"')) == name, pairs).otherwise(maps)
+    aliases = F.map_filter(value("columns", "map<string,string>"), lambda role, _: role.isin(*COLUMN_ALIASES))
+    known = [*STORE_FIELDS, "category_normalization", "category_map", "columns", "currency", "store_name"]
+    return specs.withColumn("_given", given).select(
+        key, *[value(n, t).alias(n) for n, t in STORE_FIELDS.items()], maps.alias("category_map"), aliases.alias("columns"),
+        F.col("_given")["currency"].alias("currency"),
+        F.array_sort(F.array_except(F.map_keys("_given"), F.array(*[F.lit(k) for k in known]))).alias("ignored"))
+
+
 def violations(specs: DataFrame) -> DataFrame:
     """Per spec: the list of problems (empty = valid): missing job_id / type /
     input_files, unknown type, empty input list."""
