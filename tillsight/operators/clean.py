@@ -125,6 +125,9 @@ def with_store_aliases(raw: DataFrame, configs: DataFrame) -> DataFrame:
     held = raw.join(configs.select(STORE, F.col("columns").alias("_alias")), STORE, "left").withColumn("_cells", cells)
     own = {name: F.element_at("_cells", F.coalesce(F.element_at("_alias", F.lit(role)), F.lit(name)))
            for role, name in REPORT_COLUMNS.items()}
+    # a store without a column of hours has them from its times
+    has_hour = F.coalesce(F.map_contains_key("_alias", F.lit("hour")), F.lit(False)) | F.lit(REPORT_COLUMNS["hour"] in raw.columns)
+    own["Hour"] = F.when(has_hour, own["Hour"]).otherwise(parse_hour(own["Hora"]).cast("string"))
     extras = [c for c in raw.columns if c not in kept and c not in own]
     return held.select(*kept, *[v.alias(name) for name, v in own.items()], *[F.col(f"`{c}`") for c in extras])
 
