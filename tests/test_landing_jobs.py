@@ -216,3 +216,48 @@ def test_enriched_lines_without_any_source(spark):
     typed = N.typed_pos(N.consolidate(spark.createDataFrame(rows, POS), ("row_pos",)))
     r = N.enrich_by_store(typed).collect()[0]
     assert (r["product"], r["category_raw"], r["subcategory"], r["margin_pct"]) == ("pan", "Otros", None, None)
+
+
+def test_values_of_any_depth_become_json(spark):
+    from datetime import date, datetime
+
+    from tillsight.sources import sinks
+
+    df = spark.createDataFrame(
+        [("S", [1.0, float("nan"), None], (date(2026, 1, 5), [float("inf")]), {date(2026, 1, 6): [float("-inf"), 2.0]}, {1: "x"}, "t",
+          datetime(2026, 1, 5, 9, 30)), ("S", None, None, None, None, None, None)],
+        "store_id string, a array<double>, s struct<d: date, x: array<double>>, m map<date, array<double>>, k map<int,string>, "
+        "t string, ts timestamp")
+    got = [json.loads(r[0]) for r in sinks.json_safe(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    assert got[0] == {"store_id": "S", "a": [1.0, None, None], "s": {"d": "2026-01-05", "x": [None]}, "m": {"2026-01-06": [None, 2.0]},
+                      "k": {"1": "x"}, "t": "t", "ts": "2026-01-05T09:30:00"}
+    assert got[1] == {"store_id": "S"} | dict.fromkeys(["a", "s", "m", "k", "t", "ts"])
+
+
+def test_contract_counts_schema_and_values(spark):
+    from tillsight.operators import contract as K
+
+    fields = (K.Field("n"), K.Field("t", "string", null=True, values=("a", "b")), K.Field("gone"),
+              K.Field("r", "list", fields=(K.Field("x"), K.Field("y", "string"), K.Field("z"))))
+    rows = [("S", 1.0, "a", [(1.0, "u"), (None, None)]), ("S", float("nan"), None, None), ("S", None, "c", []), ("T", 2.0, "b", [(3.0, None)])]
+    df = spark.createDataFrame(rows, "store_id string, n double, t string, r array<struct<x: double, y: string>>")
+    got = {(r["store_id"], r["field"], r["check"]): r["violations"] for r in K.check(df, "m", fields).collect()}
+    s = {k[1:]: v for k, v in got.items() if k[0] == "S"}
+    assert s == {("n", "null"): 1, ("n", "finite"): 1, ("t", "values"): 1, ("gone", "missing"): 3, ("r", "null"): 1,
+                 ("r[].x", "null"): 1, ("r[].x", "finite"): 0, ("r[].y", "null"): 1, ("r[].z", "missing"): 2}
+    assert K.check(df.withColumn("n", F.col("t")), "m", fields[:1]).where("check = 'type'").count() == 2
+
+
+def test_selections_by_bitmaps_equal_those_by_lines(spark, make_lines):
+    from tillsight.config import DeltaConfig
+    from tillsight.operators import order_index as OI
+
+    lines = make_lines([("S" if k % 3 else "T", k // 2, f"2026-01-{k % 20 + 1:02d}", 9, f"p{k * 7 % 11}", "c", 1, 10) for k in range(900)])
+    orders, index = OI.build(lines, DeltaConfig())
+    names = spark.createDataFrame([("one", "p1"), ("two", "p2"), ("two", "p3"), ("none", "zz")], "name string, product string")
+    picked = OI.select(index, names)
+    want = lines.join(names, "product").select("store_id", "name", F.col("sale_date").alias("date"), "order_id").distinct()
+    got = OI.orders_of(orders, picked).select("store_id", "name", "date", "order_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    by_name = {(r["store_id"], r["name"]): r["orders"] for r in OI.counts(picked).collect()}
+    assert by_name == {(r["store_id"], r["name"]): r["count"] for r in want.groupBy("store_id", "name").count().collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.operators import basket, ticket
+from tillsight.operators import basket, contract, ticket
 from tillsight.operators._common import STORE
 from tillsight.operators.insights import ReportInputs, insights, recommendations
 
@@ -73,6 +73,31 @@ def tier_modules(x: ReportInputs) -> DataFrame:
                     F.when(F.col("allowed"), F.lit(None).cast("string")).otherwise(_teaser(F.col("module"))).alias("teaser"))
 
 
+def tier_table(spark) -> DataFrame:
+    """(tier, module): what each plan tier may see."""
+    return spark.createDataFrame([(t, m) for t, ms in TIER_MODULES.items() for m in ms], "tier string, module string")
+
+
+def entitled(rows: DataFrame, tiers: DataFrame, module: str | Column) -> DataFrame:
+    """The rows of a module table (or of several, told apart by the column ``module``) that stores may see.
+
+    ``tiers`` has (store_id, tier).  A semi-join against the tiers' modules: rows of stores without a tier and of
+    modules that a tier doesn't name are gone.
+    """
+    may = tiers.join(tier_table(rows.sparkSession), "tier").select(
+        F.col(STORE).alias("_store"), F.col("module").alias("_module"))
+    name = F.lit(module) if isinstance(module, str) else module
+    return rows.join(may, (F.col(STORE) == F.col("_store")) & (name == F.col("_module")), "left_semi")
+
+
+def leaked(shown: DataFrame, tiers: DataFrame, module: str | Column) -> DataFrame:
+    """The rows of an output that the stores' tiers don't allow: none, if the output is gated."""
+    may = tiers.join(tier_table(shown.sparkSession), "tier").select(
+        F.col(STORE).alias("_store"), F.col("module").alias("_module"))
+    name = F.lit(module) if isinstance(module, str) else module
+    return shown.join(may, (F.col(STORE) == F.col("_store")) & (name == F.col("_module")), "left_anti")
+
+
 def gated_counts(x: ReportInputs) -> DataFrame:
     """Per store and tier: insights shown (free: first 3), locked insights, recommendations (premium only)."""
     n_ins = insights(x).groupBy(STORE).agg(F.count(F.lit(1)).alias("n_insights"))
@@ -96,24 +121,9 @@ def summary_row(x: ReportInputs) -> DataFrame:
 
 
 def contract_violations(x: ReportInputs) -> DataFrame:
-    """Per store and check, the number of rows violating the report contract."""
-    checks = [
-        ("summary", "total_orders_nonneg", x.summary, F.col("total_orders") < 0),
-        ("summary", "date_min_present", x.summary, F.col("date_min").isNull()),
-        ("products", "share_present", x.products, F.col("rev_share").isNull() | F.col("category").isNull()),
-        ("products", "cum_share_bounded", x.products, (F.col("cum_rev_pct") < 0) | (F.col("cum_rev_pct") > 100.0)),
-        ("basket", "lift_present", x.pairs, F.col("lift").isNull() | F.col("support").isNull()),
-        ("ticket", "day_orders_present", x.get("day_ticket", lambda: ticket.day_ticket(x.lines)),
-         F.col("orders").isNull()),
-        ("trends", "growth_present", x.trends, F.col("growth_pct").isNull()),
-        ("anomalies", "z_present", x.anomalies, F.col("z_score").isNull()),
-        ("profitability", "class_enum", x.profit, ~F.col("class").isin("Champion", "Tractor", "Gem", "Niche")),
-    ]
-    stores = x.summary.select(STORE)
-    out = None
-    for module, check, df, bad in checks:
-        c = df.groupBy(STORE).agg(F.count_if(bad).alias("violations"))
-        c = stores.join(c, STORE, "left").select(STORE, F.lit(module).alias("module"), F.lit(check).alias("check"),
-                                                 F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))
-        out = c if out is None else out.unionByName(c)
-    return out
+    """Per store, module, field and check, the number of values that break the report contract."""
+    return contract.check_all({
+        "summary": x.summary, "quality": x.quality, "products": x.products, "basket_pairs": x.pairs, "trends": x.trends,
+        "anomalies": x.anomalies, "day_ticket": x.get("day_ticket", lambda: ticket.day_ticket(x.lines)),
+        "basket_rules": x.get("rules", lambda: basket.rules(x.lines, x.cfg)), "profitability": x.profit,
+        "insights": insights(x), "recommendations": recommendations(x)})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DeltaConfig, ProductGroup
 from tillsight.operators import delta as D
+from tillsight.operators import order_index as OI
 from tillsight.plans import oracle_sql as O
 from tillsight.plans.oracle_sql import R
 from tillsight.plans.registry import register, with_ctes
@@ -277,3 +278,30 @@ def q_delta_kpis_top5(spark, d):
     scope = D.scoped(lines, CFG_DELTA, selection=D.top_selection(lines, CFG_DELTA, 5))
     k = D.kpis(lines, CFG_DELTA, scope)
     return k.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in k.dtypes])
+
+
+_SELECTIONS = {"chosen": CFG_DELTA.selected_products} | {g.name: g.products for g in CFG_DELTA.product_groups}
+
+
+@register("delta_selection_index", f"""
+WITH {O.lines_a()},
+sel AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{p}')" for n, ps in _SELECTIONS.items() for p in ps)}) t(name, product)),
+o AS (SELECT store_id, sale_date AS date, order_id, round(sum(total), 2) AS revenue, round(CAST(sum(quantity) AS DOUBLE), 2) AS units
+      FROM lines_a GROUP BY 1, 2, 3),
+h AS (SELECT DISTINCT l.store_id, s.name, l.sale_date AS date, l.order_id FROM lines_a l JOIN sel s USING (product)),
+j AS (SELECT h.name, o.*, CASE WHEN date >= DATE '1998-03-01' THEN 'post' ELSE 'pre' END AS phase FROM h JOIN o USING (store_id, date, order_id))
+SELECT store_id, name, (SELECT count(*) FROM h WHERE h.store_id = j.store_id AND h.name = j.name) AS all_orders, phase,
+       count(*) AS orders, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(units) AS DOUBLE) AS units
+FROM j WHERE date >= DATE '1998-03-01' - INTERVAL 30 DAY AND date < DATE '1998-03-01' + INTERVAL 30 DAY GROUP BY 1, 2, 4""")
+def q_delta_selection_index(spark, d):
+    """The chosen products' and each group's orders from product bitmaps, all and before and after the event."""
+    orders, index = OI.build(_lines(spark, d), CFG_DELTA)
+    names = spark.createDataFrame([(n, p) for n, ps in _SELECTIONS.items() for p in ps], "name string, product string")
+    picked = OI.select(index, names)
+    event = F.lit(CFG_DELTA.event_date).cast("date")
+    inside = (F.col("date") >= F.date_sub(event, 30)) & (F.col("date") < F.date_add(event, 30))
+    phases = OI.orders_of(orders.where(inside), picked).groupBy(
+        "store_id", "name", F.when(F.col("date") >= event, "post").otherwise("pre").alias("phase")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("revenue").cast("double").alias("revenue"),
+        F.sum("units").cast("double").alias("units"))
+    return phases.join(OI.counts(picked).withColumnRenamed("orders", "all_orders"), ["store_id", "name"])

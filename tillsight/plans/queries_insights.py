@@ -7,6 +7,8 @@ from tillsight.operators import clean as CL
 from tillsight.operators import gating as G
 from tillsight.operators import insights as I
 from tillsight.operators import summary as S
+from tillsight.operators.contract import CONTRACT
+from tillsight.plans import oracle_sql as O
 from tillsight.plans.registry import CFG_RULES, register
 from tillsight.sources import bindings as B
 
@@ -45,6 +47,17 @@ def q_report_summary_row(spark, d):
     return G.summary_row(_inputs(spark, d))
 
 
-@register("contract_violations", None)
+def _contract_sql() -> str:
+    """No violation of any field of the checked modules, in any store."""
+    checked = ("summary", "quality", "products", "basket_pairs", "trends", "anomalies", "day_ticket", "basket_rules",
+               "profitability", "insights", "recommendations")
+    rows = [(m, f.name, c) for m in checked for f in CONTRACT[m] for c, on in (
+        ("null", not f.null), ("finite", f.kind == "number"), ("values", f.values)) if on]
+    values = ", ".join(str(r) for r in rows)
+    return f"""SELECT s.store_id, v.module, v.field, v."check", CAST(0 AS BIGINT) AS violations
+FROM {O.STORES_SQL} s CROSS JOIN (VALUES {values}) v(module, field, "check")"""
+
+
+@register("contract_violations", _contract_sql())
 def q_contract_violations(spark, d):
     return G.contract_violations(_inputs(spark, d))

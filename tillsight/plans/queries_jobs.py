@@ -3,13 +3,21 @@ N5, N6)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tillsight.config import DeltaConfig, StoreConfigs
 from tillsight.operators import cart as C
-from tillsight.operators import clean, delta
+from tillsight.operators import clean, contract, delta
+from tillsight.operators import gating as G
+from tillsight.operators import ingest as IG
 from tillsight.operators import normalize as N
 from tillsight.operators import products as P
+from tillsight.operators import profitability as PF
+from tillsight.operators import slice as SL
+from tillsight.operators import summary as S
+from tillsight.operators import timeline as TL
 from tillsight.plans import jobs
 from tillsight.plans import oracle_sql as O
 from tillsight.plans import queries_ingest as QI
@@ -19,6 +27,7 @@ from tillsight.session import scratch_table_path
 from tillsight.sources import bindings as B
 from tillsight.sources import jobspec as JS
 from tillsight.sources import landing as L
+from tillsight.sources import sinks as SK
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
@@ -145,7 +154,7 @@ def q_tenant_row_order(spark, d):
     """Rows of the consolidated files are numbered without gaps, by date; what no job can use is listed."""
     landing, lines = _tenant_lines(spark, d)
     bad = L.rejected(landing).select("path").union(
-        L.mappings(landing.files).where(F.size("missing") > 0).select("path")).agg(F.count(F.lit(1)).cast("int").alias("rejected_files"))
+        L.mappings(landing.files).where(F.size("missing") > 0).select("path")).count()
     days = lines.groupBy("store_id", "sale_date").agg(F.min("row_seq").alias("a"), F.max("row_seq").alias("b"),
                                                       F.count(F.lit(1)).alias("n"))
     # a day's rows are consecutive: no day's range reaches into another's
@@ -153,9 +162,9 @@ def q_tenant_row_order(spark, d):
         F.sum("n").alias("lines"), F.min("a").cast("int").alias("first_row"), F.max("b").alias("last_row"),
         F.count(F.lit(1)).alias("days"), F.sum(F.col("b") - F.col("a") + 1).alias("_covered"),
         F.corr(F.datediff("sale_date", F.lit("1970-01-01").cast("date")), "a").alias("_up"))
-    return whole.join(bad).select("store_id", "lines", "first_row", "last_row", "days",
-                                  ((F.col("_covered") == F.col("lines")) & (F.col("_up") > 0)).alias("by_date"),
-                                  "rejected_files")
+    return whole.select("store_id", "lines", "first_row", "last_row", "days",
+                        ((F.col("_covered") == F.col("lines")) & (F.col("_up") > 0)).alias("by_date"),
+                        F.lit(bad).alias("rejected_files"))
 
 
 @register("landing_consolidated", f"""
@@ -319,3 +328,101 @@ def q_delta_order_frame(spark, d):
     got = delta.order_frame(B.tpch_lines(spark, d), DeltaConfig())
     return got.select("store_id", "date", "order_id", "revenue", "units", F.array_join("products", "|").alias("products"),
                       F.array_join("categories", "|").alias("categories"))
+
+
+# ── outputs: contract, payload, overwrite, entitlement (S9, S13, S15, N8, P27) ─────
+
+_BROKEN = (("category", "null", "rank % 7 = 0"), ("revenue", "finite", "rank % 5 = 0"), ("rank", "null", "rank % 11 = 0"),
+           ("in_pareto", "null", "rank % 13 = 0"))
+
+
+@register("contract_checks", with_ctes(O.lines_a(), body=f"""
+p AS (WITH {O.products_pareto()}),
+a AS (SELECT store_id, CAST(sum(total) AS DOUBLE) AS rev, sale_date FROM lines_a GROUP BY 1, 3),
+d AS (SELECT store_id, order_id, count(DISTINCT product) AS n FROM lines_a GROUP BY 1, 2)
+{" UNION ALL ".join(f"SELECT store_id, 'products' AS module, '{f}' AS field, '{c}' AS \"check\", count(*) FILTER (WHERE {w}) AS violations FROM p GROUP BY 1"
+                    for f, c, w in _BROKEN)}
+UNION ALL SELECT store_id, 'products', 'units', 'missing', count(*) FROM p GROUP BY 1
+UNION ALL SELECT store_id, 'products', 'orders', 'type', count(*) FROM p GROUP BY 1
+UNION ALL SELECT store_id, 'carts', 'items[].quantity', 'null', CAST(sum(n) AS BIGINT) FROM d GROUP BY 1
+UNION ALL SELECT store_id, 'carts', 'size', 'values', count(*) FILTER (WHERE n > 4) FROM d GROUP BY 1"""))
+def q_contract_checks(spark, d):
+    """The contract over modules broken on purpose: nulls, NaN, a column gone, one of another type, nested nulls, an enum."""
+    lines = B.tpch_lines(spark, d)
+    p = P.products_pareto(lines)
+    broken = p.drop("units").withColumns({
+        "category": F.when(F.col("rank") % 7 != 0, F.col("category")),
+        "revenue": F.when(F.col("rank") % 5 == 0, float("nan")).otherwise(F.col("revenue")),
+        "in_pareto": F.when(F.col("rank") % 13 != 0, F.col("in_pareto")), "orders": F.col("orders").cast("string")})
+    broken = broken.withColumn("rank", F.when(F.col("rank") % 11 != 0, F.col("rank")))
+    carts = lines.groupBy("store_id", "order_id").agg(F.collect_set(F.struct(
+        "product", F.lit(None).cast("double").alias("quantity"))).alias("items")).withColumn("size", F.size("items"))
+    cart = (contract.Field("items", "list", fields=(contract.Field("product", "string"), contract.Field("quantity"))),
+            contract.Field("size", values=(1, 2, 3, 4)))
+    return contract.check(broken, "products").unionByName(contract.check(carts, "carts", cart)).where("violations > 0")
+
+
+_PARTS = "report-summary report-products report-interactive_base delta-meta delta-orders".split()
+
+
+@register("payload_parts", with_ctes(O.lines_a(), body="""
+n AS (SELECT store_id, count(*) AS lines, count(DISTINCT product) AS products,
+             (SELECT count(*) FROM (SELECT DISTINCT sale_date, order_id FROM lines_a b WHERE b.store_id = a.store_id)) AS orders
+      FROM lines_a a GROUP BY 1),
+parts AS (SELECT store_id, unnest([{'part': 'report-summary', 'n': 1}, {'part': 'report-products', 'n': products},
+  {'part': 'report-interactive_base', 'n': lines}, {'part': 'delta-meta', 'n': 1}, {'part': 'delta-orders', 'n': orders}], recursive := true)
+  FROM n)
+SELECT store_id, part, n AS n_rows, CAST(ceil(n / 1000.0) AS BIGINT) AS records, true AS whole FROM parts"""))
+def q_payload_parts(spark, d):
+    """Both report types' payloads as ordered records of at most 1,000 rows, written as gzip JSON lines and read back."""
+    lines = B.tpch_lines(spark, d)
+    frame = {"report-summary": (S.summary(lines), []), "report-products": (P.products_pareto(lines), [F.col("rank")]),
+             "report-interactive_base": (SL.interactive_base(lines.select("*")), [F.col("date_str"), F.col("order_id"), F.col("product")]),
+             "delta-meta": (delta.meta(lines, DeltaConfig()), []),
+             "delta-orders": (delta.order_frame(lines, DeltaConfig()), [F.col("date"), F.col("order_id")])}
+    path = _base(spark, d, "payload_parts")
+    SK.write_payload(SK.payload_records({n: frame[n] for n in _PARTS}, chunk=1000), path)
+    back = spark.read.text(path).select("store_id", F.from_json(
+        "value", "part string, seq bigint, n_rows int, value string").alias("r")).select("store_id", "r.*")
+    held = back.withColumn("rows", F.json_array_length("value"))
+    return held.groupBy("store_id", "part").agg(
+        F.sum("rows").alias("n_rows"), F.count(F.lit(1)).alias("records"),
+        (F.bool_and((F.col("rows") == F.col("n_rows")) & (F.col("rows") <= 1000)) & (F.max("seq") == F.count(F.lit(1)) - 1)
+         ).alias("whole"))
+
+
+@register("saved_map_overwrite", f"""
+WITH wl AS ({QI.WL_SQL}),
+m AS (SELECT store_id, sistema, CASE WHEN trim(categoria) = '' THEN 'Otros' ELSE trim(categoria) END AS categoria,
+             CASE WHEN margen_pct IS NULL THEN NULL ELSE {O.R('least(greatest(CAST(margen_pct AS DOUBLE), 0.0), 99.0)', 2)} END AS margen_pct
+      FROM wl)
+SELECT store_id, sistema, CASE WHEN store_id = 'S1' THEN 'Nueva' ELSE categoria END AS categoria, margen_pct FROM m
+WHERE store_id <> 'S1' OR length(sistema) % 2 = 0""")
+def q_saved_map_overwrite(spark, d):
+    """The saved maps of all stores, then one store's rows written again: fewer, and with another category."""
+    rows = IG.saved_map_rows(QI._worklist(spark, d)).drop("subcategoria")
+    path = _base(spark, d, "saved_maps")
+    rows.write.mode("overwrite").partitionBy("store_id").parquet(path)
+    again = spark.read.schema(rows.schema).parquet(path).where("store_id = 'S1' and length(sistema) % 2 = 0")
+    SK.replace_stores(B.written(again.withColumn("categoria", F.lit("Nueva")), "again"), path)
+    return spark.read.schema(rows.schema).parquet(path).select("store_id", "sistema", "categoria", "margen_pct")
+
+
+@register("entitled_rows", with_ctes(O.lines_a(), body="""
+t AS (SELECT * FROM (VALUES ('S0', 'free'), ('S1', 'pro'), ('S2', 'premium')) v(store_id, tier)),
+m AS (SELECT * FROM (VALUES ('free', 'products'), ('free', 'timeline'), ('pro', 'products'), ('pro', 'timeline'), ('pro', 'anomalies'),
+      ('premium', 'products'), ('premium', 'timeline'), ('premium', 'anomalies'), ('premium', 'profitability')) v(tier, module)),
+rows AS (SELECT store_id, 'products' AS module, count(DISTINCT product) AS n FROM lines_a GROUP BY 1
+  UNION ALL SELECT store_id, 'timeline', count(DISTINCT sale_date) FROM lines_a GROUP BY 1
+  UNION ALL SELECT store_id, 'profitability', count(DISTINCT product) FILTER (WHERE margin_pct IS NOT NULL) FROM lines_a GROUP BY 1)
+SELECT r.store_id, r.module, r.n AS rows, CAST(0 AS BIGINT) AS leaked FROM rows r JOIN t USING (store_id) JOIN m ON m.tier = t.tier AND m.module = r.module"""))
+def q_entitled_rows(spark, d):
+    """The module rows that each store's plan lets it see, and the proof that no other is in the output."""
+    lines = B.tpch_lines(spark, d)
+    tiers = spark.createDataFrame([("S0", "free"), ("S1", "pro"), ("S2", "premium")], "store_id string, tier string")
+    modules = {"products": P.products_pareto(lines), "timeline": TL.daily(lines), "profitability": PF.profitability(lines)}
+    rows = [df.select("store_id", F.lit(n).alias("module"), F.to_json(F.struct("*")).alias("row")) for n, df in modules.items()]
+    shown = B.written(G.entitled(reduce(lambda a, b: a.unionByName(b), rows), tiers, F.col("module")), "entitled")
+    bad = G.leaked(shown, tiers, F.col("module")).groupBy("store_id", "module").agg(F.count(F.lit(1)).alias("leaked"))
+    return shown.groupBy("store_id", "module").agg(F.count(F.lit(1)).alias("rows")).join(
+        bad, ["store_id", "module"], "left").na.fill(0, ["leaked"])
