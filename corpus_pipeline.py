@@ -8,31 +8,43 @@ return the columns of documents; the last adds the token ids and the decoded tex
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillsight.llm import chosen_path, decontam, pii, quality_net, sp_bpe
 from tillsight.llm._tables import written
 from tillsight.llm.queries import fold, table, tokenizer_path
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids``; rows without an id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id, or for a row without one a number above all ids that its text gives it."""
+    by_text = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.withColumn("_key", F.coalesce("doc_id", by_text))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``gone``, in the columns that stages hand on."""
+    left = docs.join(gone.select(key).distinct(), key, "left_anti")
+    return left.select(*[f"`{c}`" for c in docs.columns if c not in ("_key", "_row")])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be bad go; labels of one fold are never learnt."""
-    scores = quality_net.quality_scores(docs, table(spark, sf_dir, "labels"), fold() != 1)
+    docs = _keyed(docs)
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_key")
+    scores = quality_net.quality_scores(docs, labels, fold("_key") != 1, key="_key")
     return _without(docs, scores.where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return _without(docs, chosen_path.near_duplicates(docs).where("not kept"))
+    """Of each group of near copies the document with the smallest id stays; rows that repeat it stay with it."""
+    docs = _keyed(docs)
+    return _without(docs, chosen_path.near_duplicates(docs, key="_key").where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exact or edited, go."""
-    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold a benchmark item, exact or edited, go: those texts only, whatever else has their id."""
+    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), key="_row"), "_row")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
