@@ -229,3 +229,25 @@ def test_leaks_without_an_id_and_of_two_texts_under_one_id(spark):
     b = spark.createDataFrame([(7, " ".join(item)), (None, " ".join(item)), (7, " ".join(item))], "item_id int, text string")
     got = {(r["doc_id"], r["item_id"]): (r["score"], r["first_word"]) for r in decontam.contaminated(d, b).collect()}
     assert set(got) == {(None, 7), (None, None), (1, 7), (1, None)} and {s for s, _ in got.values()} == {1.0}
+
+
+def test_the_stated_loss_holds_for_estimates():
+    """Pairs at exactly 0.75: those whose estimate falls below the bound are as rare as stated."""
+    import numpy as np
+
+    assert chosen_path.loss(0.75) < 1e-7 and chosen_path.loss(0.75, branching=True) < 5e-7
+    rng = np.random.default_rng(4)
+    least = 1.0
+    for _ in range(4000):
+        s = rng.integers(0, 1 << 63, 70, dtype=np.uint64)  # 60 in common, 5 more on either side: 60 / 70 >= 0.75
+        a, b = chosen_path.tokens_of(s[:65]), chosen_path.tokens_of(np.concatenate((s[:60], s[65:])))
+        least = min(least, (a == b).mean())
+    assert least >= chosen_path.MAYBE
+
+
+def test_copies_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (5, text), (7, text + " more"), (None, "another text of some more words here"), (None, None), (9, "")]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in chosen_path.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(None, 5, False), (5, 5, True), (7, 5, False), (None, None, True), (None, None, True), (9, 9, True)], key=str)

@@ -10,10 +10,14 @@ WHERE = "/root/testdata/sf0.001"
 def test_every_query_runs_on_the_small_tables(spark):
     from tillsight.llm.queries import QUERIES
 
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     docs = spark.read.parquet(f"{WHERE}/documents.parquet").count()
-    for name in ("op4_kd_shards", "op6_sentencepiece", "op7_near_duplicates", "op8_quality_rules", "op9_quality_net", "op10_pii"):
+    for name in ("op4_kd_shards", "op6_sentencepiece", "op7_near_duplicates", "op8_quality_rules", "op9_quality_net", "op10_pii",
+                 "op13_token_alignment"):
         assert QUERIES[name](spark, WHERE).count() == docs, name
+    pages = spark.read.parquet(f"{WHERE}/pages.parquet").count()
+    for name in ("op3_main_text", "op11_url_templates"):
+        assert QUERIES[name](spark, WHERE).count() == pages, name
 
 
 def test_stages(spark, tmp_path):
@@ -49,3 +53,21 @@ def test_stages(spark, tmp_path):
             assert not any(brute_spans(t) for t in after.values())
             assert all(after[i] == before[i] for i in after if not brute_spans(before[i]) and "[" not in after[i])
     assert all(r["decoded"] == r["text"] and r["n_tokens"] == len(r["ids"]) for r in docs.collect())
+
+
+def test_rows_without_an_id_and_two_texts_under_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = spark.read.parquet(f"{WHERE}/benchmark.parquet").first()["text"]
+    prose = [" ".join(f"word{k}of{n}" for k in range(60)) for n in range(4)]
+    rows = [(None, prose[0]), (None, prose[1] + " " + item), (1, prose[1]), (1, prose[2] + " " + item), (2, prose[3]), (None, prose[3]),
+            (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clean = pipeline.decontaminate(spark, docs, WHERE)
+    assert clean.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=key) == sorted(
+        [(None, prose[0]), (1, prose[1]), (2, prose[3]), (None, prose[3]), (3, None)], key=key)
+    once = pipeline.near_duplicates(spark, clean, WHERE)
+    assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=key) == sorted(
+        [(None, prose[0]), (1, prose[1]), (2, prose[3]), (3, None)], key=key)
+    assert pipeline.quality(spark, docs, WHERE).columns == docs.columns

@@ -194,7 +194,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, may_learn: Column, key: s
     known = (labels.where(may_learn & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_y"))
              .orderBy(F.xxhash64(key), key).limit(TRAIN))
     # TRAIN rows at most on this side; a key that is in docs many times is learnt once
-    rows = (feats.join(F.broadcast(known), key).groupBy(key).agg(F.first("features").alias("x"), F.first("_y").alias("y"))
+    rows = (feats.join(F.broadcast(known), key).groupBy(key).agg(F.min("features").alias("x"), F.first("_y").alias("y"))
             .orderBy(key).toPandas())
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), DIMS + 1)
     net = ship(docs.sparkSession, Net(x, rows["y"].to_numpy(np.float64)))
