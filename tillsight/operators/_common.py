@@ -96,3 +96,39 @@ def shared(lines: DataFrame, name: str, build, always: bool = False) -> DataFram
     if key is None:
         return written(build(), name)
     return materialized(lines.sparkSession, f"{key}|{name}", build)
+
+
+# ── grains: what several modules aggregate from, read from the lines once in a run ─────
+
+def is_shared(lines: DataFrame) -> bool:
+    return getattr(lines, "_tillsight_run", None) is not None
+
+
+SLOT = ("sale_date", "weekday_ix", "weekday", "sale_hour", "year_week", "year_month", "order_id")
+
+
+def slots(lines: DataFrame) -> DataFrame:
+    """Lines, or in a report run their sums per (store, date, hour, order): ``total``, ``quantity``, ``n_lines``.
+
+    Every module that groups by time, hour or order adds these up, and gets the same sums from fewer rows.
+    """
+    if not is_shared(lines):
+        return lines.withColumn("n_lines", F.lit(1))
+    return shared(lines, "slots", lambda: lines.groupBy(STORE, *SLOT).agg(
+        F.sum("total").alias("total"), F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("n_lines")))
+
+
+def product_grain(lines: DataFrame, item: str = "product") -> DataFrame:
+    """One row per (store, product): units, revenue (exact decimals), distinct orders, mean price and observed margin,
+    lines with a margin, first category.  In a report run it is written once for products, profitability and bundles."""
+    return shared(lines, f"product_grain_{item}", lambda: lines.groupBy(STORE, F.col(item).alias("product")).agg(
+        F.sum("quantity").alias("units_dec"), F.sum("total").alias("revenue_dec"),
+        F.count_distinct("order_id").alias("orders"), F.avg("unit_price").alias("avg_price_dec"),
+        F.avg("margin_pct").alias("avg_margin"), F.count("margin_pct").alias("n_margin"),
+        first_value("category").alias("category")))
+
+
+def category_months(lines: DataFrame) -> DataFrame:
+    """Revenue per (store, month, category)."""
+    return shared(lines, "category_months", lambda: lines.groupBy(STORE, "year_month", "category").agg(
+        F.sum("total").alias("total")))

@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, first_value, top_k
+from tillsight.operators._common import STORE, product_grain, shared, top_k
 from tillsight.operators.basket import rules as basket_rules
 from tillsight.operators.profitability import profitability
 
 
 def bundle_scores(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
-    r = basket_rules(lines, cfg, item).drop("rank")
-    stats = lines.groupBy(STORE, F.col(item).alias("item")).agg(
-        F.avg("margin_pct").alias("avg_margin"), first_value("category").alias("category"))
-    has_margin = lines.groupBy(STORE).agg(F.count("margin_pct").alias("_n_margin")).select(
-        STORE, (F.col("_n_margin") > 0).alias("has_margin"))
-    prof = profitability(lines.withColumn("product", F.col(item)), cfg)
+    r = shared(lines, f"rules_{item}", lambda: basket_rules(lines, cfg, item)).drop("rank")
+    grain = product_grain(lines, item)
+    stats = grain.select(STORE, F.col("product").alias("item"), "avg_margin", "category")
+    has_margin = grain.groupBy(STORE).agg((F.sum("n_margin") > 0).alias("has_margin"))
+    prof = profitability(lines if item == "product" else lines.withColumn("product", F.col(item)), cfg)
     cls = prof.select(STORE, F.col("product").alias("item"), "class")
     med = prof.groupBy(STORE).agg(F.first("margin_median").alias("margin_median"))
 
@@ -63,17 +62,21 @@ def bundle_scores(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: st
     return s.withColumn("balanced_score", F.round(0.5 * norm("adoption_score") + 0.5 * norm("margin_score"), 3))
 
 
+def _scores(lines: DataFrame, cfg: ReportConfig, item: str, always: bool = False) -> DataFrame:
+    return shared(lines, f"bundle_scores_{item}", lambda: bundle_scores(lines, cfg, item), always)
+
+
 def _tie():
     return [F.col("anchor"), F.col("target")]
 
 
 def launch_ready(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
-    s = bundle_scores(lines, cfg, item).filter(F.col("launch_ready"))
+    s = _scores(lines, cfg, item).filter(F.col("launch_ready"))
     return top_k(s, cfg.launch_top_k, [F.col("balanced_score").desc(), F.col("confidence").desc(), F.col("count").desc(), *_tie()])
 
 
 def test_candidates(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
-    s = bundle_scores(lines, cfg, item).filter(~F.col("launch_ready"))
+    s = _scores(lines, cfg, item).filter(~F.col("launch_ready"))
     return top_k(s, cfg.test_top_k, [F.col("lift").desc(), F.col("confidence").desc(), F.col("count").desc(), *_tie()])
 
 
@@ -88,7 +91,7 @@ def _rankings() -> dict:
 def rankings(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
     """The three top-k lists and the featured list (launch-ready if any, else balanced),
     in long form: (store, list, rank, anchor, target, scores)."""
-    s = bundle_scores(lines, cfg, item)
+    s = _scores(lines, cfg, item, always=True)  # five lists of one table
     parts = []
     for name, order in _rankings().items():
         parts.append(top_k(s, cfg.ranking_top_k, [*order, *_tie()]).withColumn("list", F.lit(name)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.functions.quantiles import exact_quantiles
-from tillsight.operators._common import STORE, dbl, limits, rnd, top_k, trunc_int
+from tillsight.operators._common import STORE, dbl, limits, rnd, slots, top_k, trunc_int
 from tillsight.operators.summary import order_totals
 
 
@@ -66,7 +66,7 @@ def ticket_buckets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
 
 def cart_weekly(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """Mean lines per order per ISO week (an order spanning two weeks counts in both)."""
-    per = lines.groupBy(STORE, "year_week", "order_id").agg(F.count(F.lit(1)).alias("items"))
+    per = slots(lines).groupBy(STORE, "year_week", "order_id").agg(F.sum("n_lines").alias("items"))
     return per.groupBy(STORE, F.col("year_week").alias("week")).agg(rnd(F.avg("items"), 4).alias("avg_items"))
 
 

@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, first_value, limits, rnd, top_k
+from tillsight.operators._common import STORE, category_months, dbl, limits, product_grain, rnd, top_k
 
 
 def product_stats(lines: DataFrame) -> DataFrame:
     """One row per (store, product): units, revenue (exact decimal), distinct orders,
     mean line unit price, first non-null category."""
-    return lines.groupBy(STORE, "product").agg(
-        F.sum("quantity").alias("units_dec"),
-        F.sum("total").alias("revenue_dec"),
-        F.count_distinct("order_id").alias("orders"),
-        F.avg("unit_price").alias("avg_price_dec"),
-        first_value("category").alias("category"),
-    )
+    return product_grain(lines).drop("avg_margin", "n_margin")
 
 
 def products_pareto(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
@@ -65,7 +59,7 @@ def products_top_n(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
 
 def category_totals(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """Revenue per category, descending, with its share of the store."""
-    agg = lines.groupBy(STORE, "category").agg(F.sum("total").alias("revenue_dec"))
+    agg = category_months(lines).groupBy(STORE, "category").agg(F.sum("total").alias("revenue_dec"))
     ranked = top_k(agg, None, [F.col("revenue_dec").desc(), F.col("category").asc()])
     return ranked.select(
         STORE, "rank", "category",

@@ -11,19 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, first_value, limits, rnd, top_k
+from tillsight.operators._common import STORE, dbl, limits, product_grain, rnd, top_k
 from tillsight.operators.basket import high_lift_pairs
 
 
 def margin_products(lines: DataFrame) -> DataFrame:
     """(store, product): units, revenue (all lines), orders, mean observed margin, category."""
-    g = lines.groupBy(STORE, "product").agg(
-        F.sum("quantity").alias("units_dec"),
-        F.sum("total").alias("revenue_dec"),
-        F.count_distinct("order_id").alias("orders"),
-        F.avg("margin_pct").alias("avg_margin"),
-        first_value("category").alias("category"),
-    )
+    g = product_grain(lines).drop("avg_price_dec", "n_margin")
     return g.filter(F.col("avg_margin").isNotNull()).withColumn(
         "profit", dbl("revenue_dec") * F.col("avg_margin") / 100.0)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
 from tillsight.functions.dates import days_in_month
-from tillsight.operators._common import STORE, rnd, shared, trunc_int
+from tillsight.operators._common import STORE, product_grain, rnd, shared, slots, trunc_int
 
 
 def order_totals(lines: DataFrame) -> DataFrame:
@@ -36,12 +36,9 @@ def summary(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
         F.count_if(F.col("n_lines") >= 2).alias("multi_item_orders"),
         F.avg("n_lines").alias("avg_lines"),
     )
-    s2 = lines.groupBy(STORE).agg(
-        F.count_distinct("product").alias("unique_products"),
-        F.min("sale_date").alias("date_min"),
-        F.max("sale_date").alias("date_max"),
-    )
-    s = s1.join(s2, STORE)
+    s2 = slots(lines).groupBy(STORE).agg(F.min("sale_date").alias("date_min"), F.max("sale_date").alias("date_max"))
+    n = product_grain(lines).groupBy(STORE).agg(F.count("product").alias("unique_products"))
+    s = s1.join(s2, STORE).join(n, STORE)
     rev_int = trunc_int("revenue_dec")
     return s.select(
         STORE,
@@ -62,7 +59,7 @@ def summary(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
 
 def coverage(lines: DataFrame) -> DataFrame:
     """Per store: observed vs calendar days, missing days, incomplete ISO weeks, partial months."""
-    days = lines.select(STORE, "sale_date", "year_week", "year_month").distinct()
+    days = slots(lines).select(STORE, "sale_date", "year_week", "year_month").distinct()
     span = days.groupBy(STORE).agg(
         F.min("sale_date").alias("date_min"),
         F.max("sale_date").alias("date_max"),

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, rnd, top_k, weekday_domain
+from tillsight.operators._common import STORE, dbl, rnd, slots, top_k, weekday_domain
 
 
 def order_slots(lines: DataFrame) -> DataFrame:
     """Ticket per (store, order, weekday, hour): an order spanning two hours has two slots."""
-    return lines.groupBy(STORE, "order_id", "weekday_ix", "sale_hour").agg(F.sum("total").alias("ticket"))
+    return slots(lines).groupBy(STORE, "order_id", "weekday_ix", "sale_hour").agg(F.sum("total").alias("ticket"))
 
 
 def day_ticket(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:

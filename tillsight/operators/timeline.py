@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, rnd, weekday_domain
+from tillsight.operators._common import STORE, category_months, dbl, rnd, slots, weekday_domain
 
 
 def _sales():
@@ -18,7 +18,7 @@ def _sales():
 def daily(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     """Per (store, date): revenue, orders, units and the trailing ``rolling_window``-row means
     (min one row).  The window runs over daily aggregates partitioned by store."""
-    d = lines.groupBy(STORE, "sale_date").agg(*_sales())
+    d = slots(lines).groupBy(STORE, "sale_date").agg(*_sales())
     w = Window.partitionBy(STORE).orderBy("sale_date").rowsBetween(-(cfg.rolling_window - 1), 0)
     return d.select(
         STORE, "sale_date",
@@ -29,7 +29,7 @@ def daily(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
 
 
 def weekly(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    w = lines.groupBy(STORE, "year_week").agg(*_sales())
+    w = slots(lines).groupBy(STORE, "year_week").agg(*_sales())
     return w.select(STORE, "year_week", dbl("revenue_dec").alias("revenue"), "orders", dbl("units_dec").alias("units"))
 
 
@@ -37,7 +37,7 @@ def dow(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, zero_fill: bool =
     """Per store and weekday, all seven days in canonical order.
 
     Absent days give null (the report module) or zero (``zero_fill``, the slice variant)."""
-    agg = lines.groupBy(STORE, "weekday_ix").agg(
+    agg = slots(lines).groupBy(STORE, "weekday_ix").agg(
         F.sum("total").alias("revenue_dec"), F.count_distinct("order_id").alias("orders"))
     dom = weekday_domain(agg.select(STORE).distinct())
     j = dom.join(agg, [STORE, "weekday_ix"], "left")
@@ -53,7 +53,7 @@ def heatmap(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     Rows exist for every hour observed in the store × seven weekdays; a cell is 0 when
     the weekday occurs in the store at another hour, null when it never occurs (the
     pivot's absent column)."""
-    cells = lines.groupBy(STORE, "sale_hour", "weekday_ix").agg(F.count_distinct("order_id").alias("orders"))
+    cells = slots(lines).groupBy(STORE, "sale_hour", "weekday_ix").agg(F.count_distinct("order_id").alias("orders"))
     hours = cells.select(STORE, "sale_hour").distinct()
     present = cells.select(STORE, "weekday_ix").distinct().withColumn("present", F.lit(True))
     grid = weekday_domain(hours, ["sale_hour"])
@@ -65,12 +65,12 @@ def heatmap(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
 
 
 def hourly(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    h = lines.groupBy(STORE, "sale_hour").agg(F.sum("total").alias("revenue_dec"), F.count_distinct("order_id").alias("orders"))
+    h = slots(lines).groupBy(STORE, "sale_hour").agg(F.sum("total").alias("revenue_dec"), F.count_distinct("order_id").alias("orders"))
     return h.select(STORE, "sale_hour", dbl("revenue_dec").alias("revenue"), "orders")
 
 
 def monthly_category(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
-    m = lines.groupBy(STORE, "year_month", "category").agg(F.sum("total").alias("revenue_dec"))
+    m = category_months(lines).withColumnRenamed("total", "revenue_dec")
     return m.select(STORE, F.col("year_month").alias("month"), "category", dbl("revenue_dec").alias("revenue"))
 
 
@@ -79,9 +79,10 @@ def peak_moments(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFr
     weekday×hour cell (ties: weekday text, then hour) by distinct orders."""
     h = hourly(lines, cfg).groupBy(STORE).agg(
         F.min_by("sale_hour", F.struct(-F.col("orders"), F.col("sale_hour"))).alias("best_hour"))
-    d = lines.groupBy(STORE, "weekday_ix", "weekday").agg(F.count_distinct("order_id").alias("orders")).groupBy(STORE).agg(
+    held = slots(lines)
+    d = held.groupBy(STORE, "weekday_ix", "weekday").agg(F.count_distinct("order_id").alias("orders")).groupBy(STORE).agg(
         F.min_by("weekday", F.struct(-F.col("orders"), F.col("weekday_ix"))).alias("best_day"))
-    c = lines.groupBy(STORE, "weekday", "sale_hour").agg(F.count_distinct("order_id").alias("orders")).groupBy(STORE).agg(
+    c = held.groupBy(STORE, "weekday", "sale_hour").agg(F.count_distinct("order_id").alias("orders")).groupBy(STORE).agg(
         F.min_by(F.struct("weekday", "sale_hour", "orders"),
                  F.struct(-F.col("orders"), F.col("weekday"), F.col("sale_hour"))).alias("cell"))
     return h.join(d, STORE).join(c, STORE).select(

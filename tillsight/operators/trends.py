@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
-from tillsight.operators._common import STORE, dbl, limits, top_k, trunc_int
+from tillsight.operators._common import STORE, dbl, limits, slots, top_k, trunc_int
 
 
 def trend_months(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
@@ -65,7 +65,7 @@ def anomaly_days(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFr
     Strict comparisons; top k high (desc) and low (asc); z 1 dp; σ null or 0 → none.
     Mean and σ are per-store windows over *daily* aggregates.
     """
-    d = lines.groupBy(STORE, "sale_date").agg(F.sum("total").alias("rev_dec"), F.count_distinct("order_id").alias("orders"))
+    d = slots(lines).groupBy(STORE, "sale_date").agg(F.sum("total").alias("rev_dec"), F.count_distinct("order_id").alias("orders"))
     w = Window.partitionBy(STORE)
     d = d.withColumn("revenue", dbl("rev_dec")).withColumn("mu", F.avg("revenue").over(w)).withColumn(
         "sd", F.stddev_samp("revenue").over(w))

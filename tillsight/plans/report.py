@@ -102,13 +102,16 @@ class ReportJob:
             "margin_weighted_pairs": profitability.margin_weighted_pairs(lines, c),
             "category_top_profit": profitability.category_top_profit(lines, c),
             "bundles": bundles.rankings(lines, c),
+            "bundle_launch_ready": bundles.launch_ready(lines, c),
+            "bundle_tests": bundles.test_candidates(lines, c),
         }
 
     # written module → the ReportInputs entry it can stand in for
     _INPUT_SEEDS = {"summary": "summary", "products": "products", "ticket_stats": "ticket_stats",
                     "profit": "profitability", "margin_cat": "margin_by_category", "peaks": "timeline_peaks",
                     "trends": "trends", "anomalies": "anomalies", "cat_totals": "category_totals",
-                    "opportunity": "opportunity_hours", "high_lift": "basket_high_lift"}
+                    "opportunity": "opportunity_hours", "high_lift": "basket_high_lift", "pairs": "basket_pairs",
+                    "rules": "basket_rules", "launch_ready": "bundle_launch_ready", "day_ticket": "day_ticket"}
 
     def _write_all(self, outputs: dict[str, DataFrame], out: str) -> None:
         # Module outputs are small independent jobs: submit a few at a time so the
