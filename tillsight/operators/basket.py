@@ -33,11 +33,6 @@ def baskets(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "p
     return shared(lines, f"baskets_{item}_{cfg.min_basket_size}", build)
 
 
-def basket_items(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT, item: str = "product") -> DataFrame:
-    """Distinct (store, order, item) over multi-line orders."""
-    return baskets(lines, cfg, item).select(STORE, "order_id", F.explode("basket").alias("item"))
-
-
 def basket_counts(bk: DataFrame) -> DataFrame:
     """One aggregation for all basket statistics: ``kind`` 0 = baskets per store,
     1 = baskets per item, 2 = baskets per item pair (a < b).

@@ -48,6 +48,18 @@ def profitability(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataF
     )
 
 
+def margin_status(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
+    """One row for every store, margins or not: whether there are any, the share of lines with one (1 dp) and
+    the profit Pareto count (0 without margins)."""
+    n = lines.groupBy(STORE).agg(F.count(F.lit(1)).alias("n"), F.count("margin_pct").alias("with_margin"))
+    pareto = profitability(lines, cfg).groupBy(STORE).agg(F.first("n_profit_pareto").alias("n_profit_pareto"))
+    has = F.col("with_margin") > 0
+    return n.join(pareto, STORE, "left").select(
+        STORE, has.alias("has_margin_data"), has.alias("margin_available"),
+        F.round(F.col("with_margin") / F.col("n") * 100.0, 1).alias("margin_row_coverage_pct"),
+        F.coalesce("n_profit_pareto", F.lit(0)).cast("bigint").alias("n_profit_pareto"))
+
+
 def class_counts(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
     return profitability(lines, cfg).groupBy(STORE, "class").agg(F.count(F.lit(1)).alias("products"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.config import DEFAULT_REPORT, ReportConfig
@@ -37,6 +37,19 @@ def product_trends(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
     kept when |g| > 10; top k up (desc) and down (asc), 1 dp.  Both months come from
     one monthly aggregate with conditional sums (no self join of the line table).
     """
+    elig, k, change = _eligible(lines, cfg)
+    elig = elig.withColumn("eligible_count", F.count(F.lit(1)).over(Window.partitionBy(STORE)))
+    growth = (dbl("cmp_rev") - dbl("base_rev")) / dbl("base_rev") * 100.0
+    gr = elig.filter(F.col("cmp_rev").isNotNull()).withColumn("g", growth).filter(F.abs("g") > change)
+    up = top_k(gr.filter(F.col("g") > 0), k, [F.col("g").desc(), F.col("product")]).withColumn("direction", F.lit("up"))
+    down = top_k(gr.filter(F.col("g") < 0), k, [F.col("g").asc(), F.col("product")]).withColumn("direction", F.lit("down"))
+    return up.unionByName(down).select(
+        STORE, "direction", "rank", "product", F.round("g", 1).alias("growth_pct"),
+        "base_month", "compare_month", "eligible_count")
+
+
+def _eligible(lines: DataFrame, cfg: ReportConfig) -> tuple[DataFrame, Column, Column]:
+    """Products with enough revenue and orders in the base month, and the limits of the lists and of a change."""
     months = trend_months(lines, cfg)
     mp = lines.join(months.select(STORE, "base_month", "compare_month"), STORE).filter(
         (F.col("year_month") == F.col("base_month")) | (F.col("year_month") == F.col("compare_month")))
@@ -48,15 +61,19 @@ def product_trends(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> Data
     )
     g, (revenue, orders, change, k) = limits(g, cfg, "trend_min_base_revenue", "trend_min_base_orders",
                                              "trend_min_abs_growth_pct", "trend_top_k")
-    elig = g.filter((dbl("base_rev") >= revenue) & (F.col("base_orders") >= orders))
-    elig = elig.withColumn("eligible_count", F.count(F.lit(1)).over(Window.partitionBy(STORE)))
-    growth = (dbl("cmp_rev") - dbl("base_rev")) / dbl("base_rev") * 100.0
-    gr = elig.filter(F.col("cmp_rev").isNotNull()).withColumn("g", growth).filter(F.abs("g") > change)
-    up = top_k(gr.filter(F.col("g") > 0), k, [F.col("g").desc(), F.col("product")]).withColumn("direction", F.lit("up"))
-    down = top_k(gr.filter(F.col("g") < 0), k, [F.col("g").asc(), F.col("product")]).withColumn("direction", F.lit("down"))
-    return up.unionByName(down).select(
-        STORE, "direction", "rank", "product", F.round("g", 1).alias("growth_pct"),
-        "base_month", "compare_month", "eligible_count")
+    return g.filter((dbl("base_rev") >= revenue) & (F.col("base_orders") >= orders)), k, change
+
+
+def trend_status(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:
+    """One row for every store, trends or not: months seen, the two months compared (empty with too few) and how many
+    products were eligible (0 if none)."""
+    seen = slots(lines).groupBy(STORE).agg(F.count_distinct("year_month").alias("n_months"))
+    months = trend_months(lines, cfg).drop("n_months")
+    n = _eligible(lines, cfg)[0].groupBy(STORE).agg(F.count(F.lit(1)).alias("eligible_count"))
+    return seen.join(months, STORE, "left").join(n, STORE, "left").select(
+        STORE, "n_months", F.coalesce("base_month", F.lit("")).alias("base_month"),
+        F.coalesce("compare_month", F.lit("")).alias("compare_month"),
+        F.coalesce("eligible_count", F.lit(0)).cast("bigint").alias("eligible_count"))
 
 
 def anomaly_days(lines: DataFrame, cfg: ReportConfig = DEFAULT_REPORT) -> DataFrame:

@@ -426,3 +426,38 @@ def q_entitled_rows(spark, d):
     bad = G.leaked(shown, tiers, F.col("module")).groupBy("store_id", "module").agg(F.count(F.lit(1)).alias("leaked"))
     return shown.groupBy("store_id", "module").agg(F.count(F.lit(1)).alias("rows")).join(
         bad, ["store_id", "module"], "left").na.fill(0, ["leaked"])
+
+
+# ── normalized exports and event headers (S12, P2, P20) ────────────────────
+
+@register("normalized_written", f"""
+WITH {TENANT_SQL}
+SELECT store_id, strftime(sale_date, '%b') AS month, {O.DAYS_SQL}[isodow(sale_date)] AS weekday, count(*) AS lines,
+       CAST(sum(quantity) AS DOUBLE) AS units, CAST(sum(total) AS DOUBLE) AS revenue FROM t GROUP BY 1, 2, 3""")
+def q_normalized_written(spark, d):
+    """The tenants' normalized exports written as CSV per store and read back."""
+    landing = L.scan(spark, _write_tenant_exports(spark, d))
+    rows = L.canonical_rows(landing, L.mappings(landing.files), _store_of_path())
+    text = ReportJob(spark).normalize(rows, _tenant_map(spark, d))
+    path = _base(spark, d, "normalized")
+    SK.write_normalized(text, path, fmt="csv")
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns[:15] == ["row_seq", *N.OUTPUT_ORDER]
+    return back.groupBy("store_id", F.col("Month").alias("month"), F.col("`Week Day`").alias("weekday")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("Cantidad").cast("decimal(18,6)")).cast("double").alias("units"),
+        F.sum(F.col("Total").cast("decimal(18,4)")).cast("double").alias("revenue"))
+
+
+@register("event_headers", with_ctes(O.lines_a(), body="""
+SELECT store_id, count(*) AS lines, CAST(sum(quantity) AS DOUBLE) AS units, CAST(sum(total) AS DOUBLE) AS revenue,
+       count(DISTINCT subcategory) AS subcategories FROM lines_a GROUP BY 1"""))
+def q_event_headers(spark, d):
+    """An event export with accents, capitals and a byte order mark in its headers."""
+    lines = B.tpch_lines(spark, d).select(
+        "store_id", F.col("sale_date").alias("\ufeffFECHA"), F.col("order_id").alias("Código  Venta"), F.col("quantity").alias("CANTIDAD"),
+        F.col("total").alias("Total "), F.col("product").alias("Nombre corregido"), F.col("category").alias("Categoría Real"),
+        F.col("subcategory").alias("Sub Categoría Real"))
+    text = clean.canonicalize_columns(lines)
+    return text.groupBy("store_id").agg(
+        F.count("Codigo venta").alias("lines"), F.sum("Cantidad").cast("double").alias("units"),
+        F.sum("Total").cast("double").alias("revenue"), F.count_distinct("Sub Categoria Real").alias("subcategories"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillsight.operators import basket as BK
 from tillsight.operators import bundles as BU
 from tillsight.operators import cart as C
@@ -434,6 +436,39 @@ def q_product_trends(spark, d):
     return TR.product_trends(A_brand(spark, d), CFG_TRENDS)
 
 
+@register("trend_status", with_ctes(LA_BRAND, body=f"""
+l AS (SELECT * FROM lines_a WHERE store_id <> 'S3' OR year_month = '1998-05'),
+m AS (SELECT store_id, year_month, count(DISTINCT sale_date) AS days,
+             row_number() OVER (PARTITION BY store_id ORDER BY year_month DESC) AS from_end FROM l GROUP BY 1, 2),
+mo AS (SELECT store_id, count(*) AS n_months, min(year_month) AS base_month,
+              max(year_month) FILTER (WHERE from_end = 1) AS last_month, max(days) FILTER (WHERE from_end = 1) AS last_days,
+              max(year_month) FILTER (WHERE from_end = 2) AS prev_month FROM m GROUP BY 1),
+mm AS (SELECT *, CASE WHEN last_days < {CFG_TRENDS.trend_partial_month_days} AND n_months > 2 THEN prev_month ELSE last_month END AS compare_month
+       FROM mo WHERE n_months >= {CFG_TRENDS.trend_min_months}),
+e AS (SELECT l.store_id, l.product FROM l JOIN mm USING (store_id) WHERE year_month = base_month GROUP BY 1, 2
+      HAVING CAST(sum(total) AS DOUBLE) >= {CFG_TRENDS.trend_min_base_revenue} AND count(DISTINCT order_id) >= {CFG_TRENDS.trend_min_base_orders})
+SELECT mo.store_id, mo.n_months, COALESCE(mm.base_month, '') AS base_month, COALESCE(mm.compare_month, '') AS compare_month,
+       (SELECT count(*) FROM e WHERE e.store_id = mo.store_id) AS eligible_count
+FROM mo LEFT JOIN mm USING (store_id)"""))
+def q_trend_status(spark, d):
+    """A store of one month has no trends but a row that says so."""
+    lines = A_brand(spark, d).where("store_id <> 'S3' OR year_month = '1998-05'")
+    return TR.trend_status(lines, CFG_TRENDS)
+
+
+@register("margin_status", with_ctes(LA, body=f"""
+l AS (SELECT * REPLACE (CASE WHEN store_id <> 'S2' THEN margin_pct END AS margin_pct) FROM lines_a),
+{O.profitability('l')}
+SELECT l.store_id, count(margin_pct) > 0 AS has_margin_data, count(margin_pct) > 0 AS margin_available,
+       {R('count(margin_pct) / count(*) * 100.0', 1)} AS margin_row_coverage_pct,
+       COALESCE((SELECT max(n_profit_pareto) FROM prof WHERE prof.store_id = l.store_id), 0) AS n_profit_pareto
+FROM l GROUP BY 1"""))
+def q_margin_status(spark, d):
+    """A store without any margin has empty profit modules and a row that says so."""
+    lines = A(spark, d).withColumn("margin_pct", F.when(F.col("store_id") != "S2", F.col("margin_pct")))
+    return PF.margin_status(lines)
+
+
 @register("anomaly_days", with_ctes(LA, body=f"""
 d AS (SELECT store_id, sale_date, CAST(sum(total) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM lines_a GROUP BY 1, 2),
 s AS (SELECT *, avg(revenue) OVER (PARTITION BY store_id) AS mu, stddev_samp(revenue) OVER (PARTITION BY store_id) AS sd FROM d),

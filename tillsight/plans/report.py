@@ -58,8 +58,14 @@ class ReportJob:
 
     def run_exports(self, raw_exports: DataFrame, product_map: DataFrame | None = None,
                     category_margins: DataFrame | None = None, out_dir: str | None = None) -> dict[str, DataFrame]:
-        """The whole way from raw export text (columns of the readers in ``sources.files``)."""
-        return self.run(self.normalize(raw_exports, product_map, category_margins), out_dir)
+        """The whole way from raw export text (columns of the readers in ``sources.files`` and ``sources.landing``).
+
+        The normalized export is written first (``normalized``, S12), so that files and joins are read once.
+        """
+        out = out_dir or scratch_table_path(self.spark, f"{self.run_id}/out")
+        text = self.normalize(raw_exports, product_map, category_margins)
+        sinks.write_normalized(text, f"{out}/normalized")
+        return self.run(self.spark.read.schema(text.schema).parquet(f"{out}/normalized"), out)
 
     def lines(self, normalized_text: DataFrame):
         """Sanitize and write ``sales_lines`` once; returns (lines, discarded, quality)."""
@@ -93,6 +99,8 @@ class ReportJob:
             "multi_bucket_stats": cart.multi_buckets(lines, c),
             "single_top_ticket": cart.single_unit_products(lines, c),
             "trends": trends.product_trends(lines, c),
+            "trend_status": trends.trend_status(lines, c),
+            "margin_status": profitability.margin_status(lines, c),
             "anomalies": trends.anomaly_days(lines, c),
             "day_ticket": ticket.day_ticket(lines, c),
             "hour_ticket": ticket.hour_ticket(lines, c),
