@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text worked at once (a longer text is worked by itself).
 BLOCK = 1 << 19
-#: Different units remembered by a Python process before it starts anew.
-LIMIT = 300_000
+#: Different units remembered by a task before it starts anew.
+LIMIT = 250_000
 #: Spaces at the ends of a cut buffer: rules look at most three bytes back and one ahead.
 PAD = 3
 
@@ -65,6 +65,11 @@ class Memory:
         return self.table.take(pa.array(places[units.indices.to_numpy()])), bounds
 
 
+def release() -> None:
+    """Give freed Arrow memory back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(texts: pa.Array) -> Iterator[list[bytes]]:
     """The texts in UTF-8 (null: empty), in blocks of about ``BLOCK`` bytes."""
     sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)

@@ -38,7 +38,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillsight.llm import sp_bpe
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sp_bpe.encode(docs, tokenizer_path(), digest=True).drop("text")
+    return sp_bpe.encode(docs, tokenizer_path(), digest=True, keep_text=False)
 
 
 @query("op4_kd_shards")

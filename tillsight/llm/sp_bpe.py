@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillsight.llm._units import PAD, Memory, blocks, by_unit, flat, joined
+from tillsight.llm._units import PAD, Memory, blocks, by_unit, flat, joined, release
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
@@ -176,7 +176,6 @@ class Bpe:
 
 
 _models: dict[str, Bpe] = {}
-_encoders: dict[str, Encoder] = {}
 
 
 def load(model_file: str) -> Bpe:
@@ -225,27 +224,32 @@ class Encoder:
         return [pa.concat_arrays([p[k] for p in parts]) if parts else pa.array([], t) for k, t in enumerate(types)]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool = False, keep_text: bool = True) -> DataFrame:
     """Add the ids of every whole text (null: no ids) and their decoded text.
 
     Adds ``n_tokens``, ``ids`` (array<int>) and ``decoded``; with ``digest`` the last two are
     replaced by ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (UTF-8).
-    Columns of ``docs`` with these names are replaced; the others stay.  No shuffle: every
+    Columns of ``docs`` with these names are replaced; the others stay, the text only if it is to be kept.  No shuffle: every
     Arrow batch is encoded in place, with no state between batches but a bounded memory of units.
     """
     added = [("n_tokens", "bigint")] + ([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest
                                          else [("ids", "array<int>"), ("decoded", "string")])
     names = {n for n, _ in added}
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    handed_on = [f for f in kept.schema.fields if keep_text or f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in handed_on]
                        + [f"{n} {t}" for n, t in added])
 
     def run(batches):
-        enc = _encoders.get(model_file) or Encoder(model_file)
-        _encoders[model_file] = enc
+        enc = Encoder(model_file)
         for batch in batches:
             cols = enc.columns(batch.column(batch.schema.get_field_index(text)), digest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names_in_order])
-
-    names_in_order = [n for n, _ in added]
+            held = [batch.column(batch.schema.get_field_index(f)) for f in left]
+            yield pa.RecordBatch.from_arrays([*held, *cols], names=[*left, *names_in_order])
+            del cols, held
+            release()
+        del enc
+        release()
+
+    names_in_order, left = [n for n, _ in added], [f.name for f in handed_on]
     return kept.mapInArrow(run, schema)

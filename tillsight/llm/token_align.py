@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tillsight.llm import sp_bpe
 from tillsight.llm._tables import ship, written
-from tillsight.llm._units import PAD, Memory, blocks, flat, joined
+from tillsight.llm._units import PAD, Memory, blocks, flat, joined, release
 
 SPACE = "▁"
 #: Classes of bytes: not ASCII, white space or control, space, line feed, digit, letter, apostrophe, other sign.
@@ -304,16 +304,18 @@ def _of_unit(units: list[bytes], a: Side, b: Side, links: str) -> tuple[Block, n
     return block, unit, np.bincount(unit, minlength=len(units)), found
 
 
-def _mapped(docs: DataFrame, text: str, added: dict[str, str], a_file: str, b_file: str, build, columns) -> DataFrame:
-    """``docs`` with the columns that ``columns(rows, bounds)`` gives for a block of texts.
+def _mapped(docs: DataFrame, text: str, added: dict[str, str], a_file: str, b_file: str, build, columns,
+            keep_text: bool = True) -> DataFrame:
+    """``docs``, without the text if it isn't kept, with the columns that ``columns(rows, bounds)`` gives for a block of texts.
 
     ``rows`` is what ``build`` made of each unit of the texts, without the units of texts that have one that
     isn't ``kept``; ``bounds`` are the bounds of each text's rows.
     """
     left = docs.select(*[f"`{c}`" for c in docs.columns if c == text or c not in added])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields]
-                       + [f"{n} {t}" for n, t in added.items()])
-    types = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    handed_on = [f for f in left.schema.fields if keep_text or f.name != text]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in handed_on] + [f"{n} {t}" for n, t in added.items()])
+    names = [f.name for f in handed_on]
+    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches):
         memory = Memory(build, cuts(side(ByteLevel, a_file), side(Pieces, b_file)))
@@ -329,7 +331,12 @@ def _mapped(docs: DataFrame, text: str, added: dict[str, str], a_file: str, b_fi
                 parts.append(columns(rows, bounds))
             cols = [pa.concat_arrays([p[k].cast(types[t]) for p in parts]) if parts else pa.array([], types[t])
                     for k, t in enumerate(added.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *added])
+            held = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*held, *cols], names=[*names, *added])
+            del parts, cols, held
+            release()
+        del memory
+        release()
 
     return left.mapInArrow(run, schema)
 
@@ -378,9 +385,9 @@ def align(docs: DataFrame, a_file: str, b_file: str, text: str = "text", links:
 
 
 def _digests(docs: DataFrame, a_file: str, b_file: str, text: str, pairs) -> DataFrame:
-    """Per text: token, group and link counts, the digest of its groups, and its end links as places in ``pairs.value``."""
+    """Per text: token, group and link counts, the digest of its groups, and its end links as places in ``pairs.value`` (bytes of 32-bit numbers)."""
     added = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint",
-             "groups_sha256": "string", "pairs": "array<int>"}
+             "groups_sha256": "string", "pairs": "binary"}
 
     def build(units: list[bytes]) -> pa.Table:
         a, b = side(ByteLevel, a_file), side(Pieces, b_file)
@@ -398,10 +405,12 @@ def _digests(docs: DataFrame, a_file: str, b_file: str, text: str, pairs) -> Dat
         edge = edge[bounds]
         digest = [hashlib.sha256(data[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(edge[:-1], edge[1:])]
         at, starts = flat(rows["pairs"])
+        pairs_of = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [
+            None, pa.py_buffer(4 * starts[bounds]), pa.py_buffer(np.ascontiguousarray(at, dtype=np.int32))])
         return [*[pa.array(_sums(rows[c], bounds)) for c in ("n_a", "n_b", "n_groups", "n_links")],
-                pa.array(digest, pa.string()), _lists(at, np.diff(starts[bounds]))]
+                pa.array(digest, pa.string()), pairs_of]
 
-    return _mapped(docs, text, added, a_file, b_file, build, columns).drop(text)
+    return _mapped(docs, text, added, a_file, b_file, build, columns, keep_text=False)
 
 
 _tables: dict[int, pa.Array] = {}
@@ -414,12 +423,18 @@ def _shown(n: int) -> pa.Array:
     return _tables[n]
 
 
+def _pairs_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column in a row, and the n + 1 bounds of the rows."""
+    data, edge = joined(column.cast(pa.large_binary()))
+    return np.frombuffer(data, np.int32), edge // 4
+
+
 def pair_counts(aligned: DataFrame, n_pairs: int) -> np.ndarray:
     """How many links of the corpus hold each pair; summed within tasks first, at most ``n_pairs`` rows from each."""
     def run(batches):
         seen = np.zeros(n_pairs, np.int64)
         for batch in batches:
-            seen += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_pairs)
+            seen += np.bincount(_pairs_in(batch.column(0))[0], minlength=n_pairs)
         pair = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(seen[pair])], names=["pair", "n"])
 
@@ -454,8 +469,8 @@ def link_statistics(docs: DataFrame, a_file: str, b_file: str, text: str = "text
     def sums(batches):
         of, best = known.value
         for batch in (b.slice(lo, AT_ONCE) for b in batches for lo in range(0, b.num_rows, AT_ONCE)):
-            flat_pairs, edge = flat(batch.column(batch.num_columns - 1))
-            total = [np.diff(_bounds(v[flat_pairs].astype(np.int64))[edge]) for v in (best, of)]
+            pairs, edge = _pairs_in(batch.column(batch.num_columns - 1))
+            total = [np.diff(_bounds(v[pairs].astype(np.int64))[edge]) for v in (best, of)]
             cols = [*batch.columns[:-2], *map(pa.array, total), batch.column(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_best", "count_sum", "groups_sha256"])
 
