@@ -48,10 +48,16 @@ def delta_lines(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
     )
 
 
-def event_dates(dl: DataFrame, cfg: DeltaConfig) -> DataFrame:
+def catalog(dl: DataFrame) -> DataFrame:
+    """(store, product) with its first and last date: one aggregate of the history serves catalog, counts and span."""
+    return dl.groupBy(STORE, "product").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def event_dates(dl: DataFrame, cfg: DeltaConfig, products: DataFrame | None = None) -> DataFrame:
     """(store, event_date): the configured date, or the default rule (P25) per store:
     clamp(as_of − 30 d, min, max − 29 d), with max as the upper bound when max − 29 d < min."""
-    span = dl.groupBy(STORE).agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+    products = catalog(dl) if products is None else products
+    span = products.groupBy(STORE).agg(F.min("first_date").alias("date_min"), F.max("last_date").alias("date_max"))
     given, as_of = F.lit(cfg.event_date).cast("date"), F.lit(cfg.as_of).cast("date")
     if cfg.table is not None:
         span = span.join(cfg.table.select(STORE, F.col("event_date").alias("_event"), F.col("as_of").alias("_as_of")), STORE)
@@ -64,20 +70,20 @@ def event_dates(dl: DataFrame, cfg: DeltaConfig) -> DataFrame:
     return span.select(STORE, "date_min", "date_max", ev.alias("event_date"))
 
 
-def _selection(spark: SparkSession, dl: DataFrame, cfg: DeltaConfig, selection: DataFrame | None = None) -> DataFrame:
+def _selection(spark: SparkSession, products: DataFrame, cfg: DeltaConfig, selection: DataFrame | None = None):
     """(store, product, is_sel) for selected products present in the store's catalog (P26),
     plus per-store ``whole`` flag (empty selection or the whole catalog).
 
     ``selection`` — an optional per-store (store_id, product) table (D16 helpers) — takes
     the place of the configured product list."""
-    catalog = dl.select(STORE, "product").distinct()
+    names = products.select(STORE, "product")
     selection = cfg.selection if selection is None else selection
     if selection is None:
         sel = spark.createDataFrame([(p,) for p in dict.fromkeys(cfg.selected_products)], _SEL_SCHEMA)
-        chosen = catalog.join(sel, "product", "left_semi")
+        chosen = names.join(sel, "product", "left_semi")
     else:
-        chosen = catalog.join(selection.select(STORE, "product").distinct(), [STORE, "product"], "left_semi")
-    n_cat = catalog.groupBy(STORE).agg(F.count(F.lit(1)).alias("n_catalog"))
+        chosen = names.join(selection.select(STORE, "product").distinct(), [STORE, "product"], "left_semi")
+    n_cat = names.groupBy(STORE).agg(F.count(F.lit(1)).alias("n_catalog"))
     n_sel = chosen.groupBy(STORE).agg(F.count(F.lit(1)).alias("n_selected"))
     flags = n_cat.join(n_sel, STORE, "left").select(
         STORE, F.coalesce("n_selected", F.lit(0)).alias("n_selected"), "n_catalog",
@@ -91,8 +97,9 @@ def scoped(lines: DataFrame, cfg: DeltaConfig, selection: DataFrame | None = Non
     The store frame carries event date, window bounds, selection flags and span."""
     spark = lines.sparkSession
     dl = delta_lines(lines, cfg)
-    ev = event_dates(dl, cfg)
-    chosen, flags = _selection(spark, dl, cfg, selection)
+    products = catalog(dl)
+    ev = event_dates(dl, cfg, products)
+    chosen, flags = _selection(spark, products, cfg, selection)
     W = cfg.window_days
     st = ev.join(flags, STORE).select(
         "*", F.date_sub("event_date", W).alias("pre_start"), F.date_add("event_date", W - 1).alias("post_end"))
@@ -116,18 +123,21 @@ def _post(c: Column) -> Column:
 
 
 def _line_metrics(x: DataFrame) -> DataFrame:
-    s = x.filter("in_scope")
     rev, m = F.col("revenue"), F.col("margin_pct")
+    # per day first: a day counts once, without a distinct count over the lines
+    days = x.filter("in_scope").groupBy(STORE, "date", "phase").agg(
+        F.sum(rev).alias("revenue"), F.sum("quantity").alias("quantity"),
+        F.sum(F.when(m.isNotNull(), rev.cast("double") * m)).alias("msum"), F.sum(F.when(m.isNotNull(), rev)).alias("mrev"))
     aggs = []
     for ph, f in (("pre", _pre), ("post", _post)):
         aggs += [
-            F.sum(f(rev)).cast("double").alias(f"{ph}_revenue"),
+            F.sum(f(F.col("revenue"))).cast("double").alias(f"{ph}_revenue"),
             F.sum(f(F.col("quantity"))).cast("double").alias(f"{ph}_units"),
-            F.sum(f(F.when(m.isNotNull(), rev.cast("double") * m))).alias(f"{ph}_msum"),
-            F.sum(f(F.when(m.isNotNull(), rev))).cast("double").alias(f"{ph}_mrev"),
-            F.count_distinct(f(F.col("date"))).alias(f"{ph}_active_days"),
+            F.sum(f(F.col("msum"))).alias(f"{ph}_msum"),
+            F.sum(f(F.col("mrev"))).cast("double").alias(f"{ph}_mrev"),
+            F.count(f(F.col("date"))).alias(f"{ph}_active_days"),
         ]
-    return s.groupBy(STORE).agg(*aggs)
+    return days.groupBy(STORE).agg(*aggs)
 
 
 def _order_metrics(orders: DataFrame) -> DataFrame:
@@ -274,8 +284,8 @@ def coverage_and_warnings(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
     scope = scoped(lines, cfg)
     x, _, st = scope
     W = cfg.window_days
-    obs = x.groupBy(STORE).agg(F.count_distinct(_pre(F.col("date"))).alias("pre_obs"),
-                               F.count_distinct(_post(F.col("date"))).alias("post_obs"))
+    obs = x.select(STORE, "date", "phase").distinct().groupBy(STORE).agg(
+        F.count(_pre(F.col("date"))).alias("pre_obs"), F.count(_post(F.col("date"))).alias("post_obs"))
     k = kpis(lines, cfg, scope)
     lm = _line_metrics(x).select(STORE, "pre_active_days", "post_active_days")
     pr = product_impact(lines, cfg, k=None, scope=scope).groupBy(STORE).agg(
@@ -317,12 +327,15 @@ def coverage_and_warnings(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
 def meta(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:
     """line/order/product counts, totals, date span (orderCount = distinct order id)."""
     dl = delta_lines(lines, cfg)
-    return dl.groupBy(STORE).agg(
-        F.count(F.lit(1)).alias("line_count"), F.count_distinct("order_id").alias("order_count"),
-        F.count_distinct("date", "order_id").alias("order_keys"), F.count_distinct("product").alias("product_count"),
-        F.round(F.sum("total_raw").cast("double"), 2).alias("total_revenue"),
-        F.round(F.sum("quantity").cast("double"), 2).alias("total_units"),
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+    orders = dl.groupBy(STORE, "date", "order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_raw").alias("total"),
+                                                       F.sum("quantity").alias("units"))
+    n = catalog(dl).groupBy(STORE).agg(F.count(F.lit(1)).alias("product_count"))
+    return orders.groupBy(STORE).agg(
+        F.sum("n").alias("line_count"), F.count_distinct("order_id").alias("order_count"),
+        F.count(F.lit(1)).alias("order_keys"), F.round(F.sum("total").cast("double"), 2).alias("total_revenue"),
+        F.round(F.sum("units").cast("double"), 2).alias("total_units"),
+        F.min("date").alias("date_min"), F.max("date").alias("date_max")).join(n, STORE).select(
+        STORE, "line_count", "order_count", "order_keys", "product_count", "total_revenue", "total_units", "date_min", "date_max")
 
 
 def order_frame(lines: DataFrame, cfg: DeltaConfig) -> DataFrame:

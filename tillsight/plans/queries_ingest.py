@@ -219,10 +219,17 @@ def q_interactive_base(spark, d):
     return SL.interactive_base(B.tpch_lines(spark, d))
 
 
-@register("normalized_export", None)
+@register("normalized_export", with_ctes(O.pos_sales(), O.product_map(), O.enrich_ctes(), body=f"""
+h AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(hour(o_orderdate) AS INTEGER) AS hr FROM orders)
+SELECT strftime(sale_date, '%Y-%m-%d') AS "Fecha", printf('%02d:00:00', hr) AS "Hora", order_id AS "Código venta", product_raw AS "Producto",
+       quantity AS "Cantidad", unit_price AS "Individual", total AS "Total", product AS "Nombre Corregido",
+       category_raw AS "Categoria Real", subcategory AS "Sub Categoria Real", strftime(sale_date, '%b') AS "Month",
+       {O.DAYS_SQL}[isodow(sale_date)] AS "Week Day", hr AS "Hour", margin_pct, store_id
+FROM enriched JOIN h USING (order_id)"""))
 def q_normalized_export(spark, d):
+    """Every enriched line in the layout of the normalized export."""
     e = N.enrich(B.pos_sales(spark, d), N.prepare_product_map(B.derived_product_map(spark, d)))
-    return N.normalized_export(e)
+    return N.normalized_export(e).drop("row_seq")
 
 
 def _write_overlapping_exports(spark, d) -> list[str]:
