@@ -37,3 +37,23 @@ def test_sharing_follows_the_marked_frame_only(spark):
     enable_sharing(one, "test-sharing")
     assert shared(one, "n", lambda: one).count() == 1
     assert shared(two, "n", lambda: two).count() == 2
+
+
+def test_modules_from_shared_grains_equal_those_from_lines(spark):
+    from tillsight.operators._common import enable_sharing
+    from tillsight.operators.clean import sanitize
+    from tillsight.operators.summary import quality_coverage
+
+    lines, _, quality = sanitize(B.raw_pos_lines(spark, "/root/testdata/sf0.001"))
+    lines = B.written(lines, "plain-lines")
+    job = ReportJob(spark, run_id="test-grains")
+    plain = job.modules(lines, quality)
+    shared_lines = spark.read.schema(lines.schema).parquet(*lines.inputFiles())
+    enable_sharing(shared_lines, job.run_id)
+    fast = job.modules(shared_lines, quality)
+    names = ("summary", "timeline_daily", "timeline_weekly", "timeline_dow", "timeline_heatmap", "timeline_hourly",
+             "timeline_monthly_cat", "timeline_peaks", "products", "category_totals", "cart_weekly", "anomalies", "day_ticket",
+             "hour_ticket", "opportunity_hours", "profitability", "bundles", "margin_status", "trend_status")
+    for n in names:
+        assert sorted(map(tuple, fast[n].collect()), key=str) == sorted(map(tuple, plain[n].collect()), key=str), n
+    assert quality_coverage(shared_lines, quality).count() == 4

@@ -23,6 +23,14 @@ def _inputs(spark, d) -> I.ReportInputs:
     return I.ReportInputs(lines, CFG_INSIGHTS, q, run_key=f"{d}|report|{CFG_INSIGHTS!r}")
 
 
+def build_modules(spark, d) -> None:
+    """Write the modules that the queries below read, once per session."""
+    x = _inputs(spark, d)
+    for name in ("summary", "products", "pairs", "high_lift", "ticket_stats", "profit", "margin_cat", "peaks", "trends", "anomalies",
+                 "cat_totals", "opportunity", "launch_ready"):
+        getattr(x, name)
+
+
 # ── the rules in SQL, each from its own module's SQL ───────────────────────
 
 def _module(name: str, cte: str) -> str:
