@@ -12,7 +12,7 @@ Words are lower-case runs of letters and digits, so case and punctuation don't h
    are aligned (match 2, mismatch and gap -1).  The score is the best local alignment divided by the item's perfect
    score; 1.0 is an exact copy.
 
-The pass tests n-grams against a bitmap of fixed size (``BITS``); the join makes that
+The pass tests n-grams against a bitmap whose size follows the items' n-grams, up to ``MOST_BITS``; the join makes that
 exact.  No side is broadcast by hand.  Items with fewer than ``N`` words have no n-gram and are
 never found; null and empty texts have none either.  Documents and items are told apart by id and text, so
 rows without an id are reported like any other, two texts under one id are searched each, and equal rows
@@ -30,7 +30,7 @@ from tillsight.llm._tables import bitmap, in_bitmap, ship, written
 from tillsight.llm._words import hash_runs, join_texts, shingles
 
 N = 3
-BITS = 23
+BITS, MOST_BITS = 23, 27  # of the bitmap of n-grams: 1 to 16 MB
 MATCH, MISS, GAP = 2, -1, -1
 THRESHOLD = 0.5
 STRETCH, COMMON, SHARED = 16, 32, 8
@@ -210,8 +210,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """
     bench = written(item_words(items, item_key, item_text), "decontam-items")
     grams = bench.select(F.explode("grams").alias("gram"))
+    bits = min(MOST_BITS, max(BITS, (16 * grams.count()).bit_length()))  # one in sixteen set, as far as it may grow
     longest = bench.agg(F.max(F.size("words"))).first()[0] or 0
-    found = written(passages(docs, key, text, bitmap(grams, F.col("gram"), BITS), 3 * longest), "decontam-passages")
+    found = written(passages(docs, key, text, bitmap(grams, F.col("gram"), bits), 3 * longest), "decontam-passages")
     seeds = choose_seeds(bench, found)
     passage = ["text_no", "start"]
     hits = found.select(*passage, F.explode("hits").alias("h")).select(*passage, "h.at", "h.gram")
