@@ -65,6 +65,19 @@ class Memory:
         return self.table.take(pa.array(places[units.indices.to_numpy()])), bounds
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of about ``size`` bytes of the texts in ``column``: what a task holds at once
+    follows from this, not from the length of the texts that share a batch."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(column)).fill_null(0)
+        behind = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(behind, (behind[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def release() -> None:
     """Give freed Arrow memory back: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -72,14 +85,9 @@ def release() -> None:
 
 def blocks(texts: pa.Array) -> Iterator[list[bytes]]:
     """The texts in UTF-8 (null: empty), in blocks of about ``BLOCK`` bytes."""
-    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
-    behind = np.cumsum(sizes)
-    lo = 0
-    while lo < len(texts):
-        start = behind[lo] - sizes[lo]
-        hi = max(lo + 1, int(np.searchsorted(behind, start + BLOCK, "right")))
-        yield [t or b"" for t in texts.slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()]
-        lo = hi
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for part in in_slices(iter([whole]), 0, BLOCK):
+        yield [t or b"" for t in part.column(0).cast(pa.large_binary()).to_pylist()]
 
 
 def by_unit(rows: pa.Array, bounds: np.ndarray) -> pa.Array:

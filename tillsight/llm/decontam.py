@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm._tables import bitmap, in_bitmap, ship, written
+from tillsight.llm._units import in_slices
 from tillsight.llm._words import hash_runs, join_texts, shingles
 
 N = 3
@@ -110,7 +111,7 @@ def passages(docs: DataFrame, key: str, text: str, bits: np.ndarray, radius: int
     held = ship(docs.sparkSession, bits)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             words, bounds = word_hashes(batch.column(2))
             rows, starts, texts, hits = [], [], [], []
             for i in range(batch.num_rows):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm._tables import ship, written
+from tillsight.llm._units import in_slices
 from tillsight.llm._words import hash_runs, join_texts, mix
 
 VOCAB = 1 << 13
@@ -58,7 +59,7 @@ def _context_sums(batches):
     """Context vectors of this task's texts, one row for each vocabulary row that occurs."""
     dim, sign = index_vectors()
     total = np.zeros(VOCAB * DIMS)
-    for batch in batches:
+    for batch in in_slices(batches, 0):
         rows, bounds = rows_of_texts(batch.column(0))
         text = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
         for lo in range(0, rows.size, _PART):
@@ -107,7 +108,7 @@ def pooled(docs: DataFrame, key: str, text: str, vectors: np.ndarray) -> DataFra
 
     def run(batches):
         table = held.value
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             rows, bounds = rows_of_texts(batch.column(1))
             feats = np.zeros((batch.num_rows, DIMS + 1), dtype=np.float32)
             for i in range(batch.num_rows):
