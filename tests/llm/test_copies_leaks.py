@@ -251,3 +251,13 @@ def test_copies_without_an_id(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in chosen_path.near_duplicates(
         spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     assert got == sorted([(None, 5, False), (5, 5, True), (7, 5, False), (None, None, True), (None, None, True), (9, 9, True)], key=str)
+
+
+def test_case_hides_no_leak_in_any_alphabet(spark):
+    item = "Éonle èmentaux ÀIVI ñandú Über straße øre παράδειγμα пример слово ÇA vient après"
+    other = " ".join(f"o{k}" for k in range(20))
+    docs = [(1, f"{other} {item.upper()} {other}"), (2, f"{other} {item.lower()}"), (3, other)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contaminated(d, b).collect()}
+    assert set(got) == {1, 2} and got[2] == 1.0 and got[1] > 0.85  # ß has no single capital

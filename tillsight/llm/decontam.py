@@ -55,8 +55,9 @@ def _short(hashes: np.ndarray) -> pa.Array:
 
 
 def _named(rows: DataFrame, key: str, text: str, name: str, number: str) -> DataFrame:
-    """``name`` (the id), ``number`` (a hash of id and text) and ``text``."""
-    return rows.select(F.col(key).alias(name), F.xxhash64(F.col(key), F.col(text)).alias(number), F.col(text).alias("text"))
+    """``name`` (the id), ``number`` (a hash of id and text) and ``text``, in lower case in all alphabets."""
+    return rows.select(F.col(key).alias(name), F.xxhash64(F.col(key), F.col(text)).alias(number),
+                       F.lower(F.col(text)).alias("text"))
 
 
 def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
