@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from tillsight.session import scratch_table_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    Cuts the lineage: a lost executor costs re-read files, not recomputed passes.
+    Cuts the lineage: a lost executor costs re-read files, not recomputed passes.  Long binary values are better
+    written with ``zstd``, which needs no buffers outside the heap to be read.
     """
     spark = df.sparkSession
     path = scratch_table_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

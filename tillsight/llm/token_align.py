@@ -455,7 +455,7 @@ def link_statistics(docs: DataFrame, a_file: str, b_file: str, text: str = "text
     """
     a, b = side(ByteLevel, a_file), side(Pieces, b_file)
     pairs = linkable(a, b)
-    aligned = written(_digests(docs, a_file, b_file, text, ship(docs.sparkSession, pairs)), "aligned")
+    aligned = written(_digests(docs, a_file, b_file, text, ship(docs.sparkSession, pairs)), "aligned", codec="zstd")
     counts = pair_counts(aligned, pairs.size)
     of_b = pairs & 0xFFFFFFFF
     highest = np.zeros(len(b.bytes_of), np.int64)
