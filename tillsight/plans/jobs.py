@@ -78,7 +78,7 @@ def run_specs(spark: SparkSession, specs: DataFrame, out_dir: str | None = None,
     margins = jobspec.category_margin_table(of_job)
     cfg = StoreConfigs(table=written(jobspec.store_configs(of_job), "configs"))
     job = ReportJob(spark, cfg)
-    text = written(job.normalize(rows, product_map, margins), "normalized")
+    text = job.normalize(rows, product_map, margins)  # a scan of the numbered lines
     lines, discarded, quality = job.lines(text)
 
     counts = (rows.groupBy("store_id").agg(F.count(F.lit(1)).alias("input_rows"))
@@ -90,10 +90,10 @@ def run_specs(spark: SparkSession, specs: DataFrame, out_dir: str | None = None,
     done = of_job.join(failed.select("job_id"), "job_id", "left_anti")
 
     modules: dict[str, DataFrame] = {}
-    reports = done.where("type = 'report'").select("store_id")
+    reports = written(done.where("type = 'report'").select("store_id"), "reports")
     names = report_modules if report_modules is not None else list(job.modules(lines, quality))
     if names:
-        modules |= job.run_some(written(lines.join(reports, "store_id", "left_semi"), "report-lines"),
+        modules |= job.run_some(lines.join(reports, "store_id", "left_semi"),
                                 quality.join(reports, "store_id", "left_semi"), names, f"{out}/report")
     events = done.where("type = 'delta'").select(
         "store_id", F.coalesce(F.col("delta_config")["window_days"].try_cast("int"), F.lit(14)).alias("window"),

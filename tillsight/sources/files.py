@@ -90,11 +90,11 @@ def newest_csv(spark: SparkSession, folder: str, exclude: str = SAMPLE_CSV_NAME)
 def scan_spreadsheetml(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """S3: SpreadsheetML ``.xls`` exports: ``source_file``, ``row_pos`` and the 7 POS columns (header = first row, short
     rows padded with null), and for a file that can't be read one row with ``row_pos`` -1 and its ``error``."""
-    files = landing.file_index(spark, paths).select("path", "kind", "header", F.when(
+    files = landing.file_index(spark, paths).select("path", "length", "kind", "header", F.when(
         F.col("kind") != "sheet", F.lit("not SpreadsheetML (binary .xls/.xlsx needs an optional reader)")).otherwise(
         F.col("error")).alias("error"))
     files = landing.written(files, "sheet-files")
-    sheets = [r["path"] for r in files.where("error is null").select("path").collect()]  # one path per file
+    sheets = [tuple(r) for r in files.where("error is null").select("path", "length").collect()]  # one path per file
     rows = landing.sheet_scan(spark, sheets).where("row_no > 1 or error is not null")
     header = files.select("path", "header")
     pos = [F.get("cells", F.array_position("header", c).cast("int") - 1).alias(c) for c in POS_COLUMNS]
