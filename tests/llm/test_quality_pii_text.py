@@ -58,6 +58,16 @@ def test_rules_match_brute_force_and_reject_junk(spark):
     assert quality_rules.quality_rules(docs.limit(0), marks).count() == 0
 
 
+def test_rules_fit_on_every_labelled_document(spark, monkeypatch):
+    rows, labels = labelled(120, seed=3)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, llr string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    whole = {r["doc_id"]: r["llr"] for r in quality_rules.quality_rules(docs, marks).collect()}
+    monkeypatch.setattr(quality_rules, "SAMPLE", 1, raising=False)
+    again = {r["doc_id"]: r["llr"] for r in quality_rules.quality_rules(docs, marks).collect()}
+    assert again == pytest.approx(whole)
+
+
 def test_network_learns_and_never_sees_the_held_out_fold(spark):
     from pyspark.sql import functions as F
 

@@ -1,9 +1,8 @@
 """Quality rules in DataFrame functions only: counts of every whole text, and a hashed n-gram likelihood ratio.
 
 The ratio compares two multinomials over hashed unigrams and bigrams of lower-case tokens
-(runs of letters and digits, runs of other signs): the trusted target, fitted on at most
-``SAMPLE`` documents labelled good (those with the smallest hash of their id), and the raw
-corpus, counted over all documents.  A document's score is the sum of log(target / raw) over
+(runs of letters and digits, runs of other signs): the trusted target, counted over all
+documents labelled good, and the raw corpus, counted over all documents.  A document's score is the sum of log(target / raw) over
 its n-grams, divided by their number.  A document is kept if no base rule fails and its
 score reaches the threshold, which is a quantile of the trusted documents' own scores, lowered
 halfway to the median of those labelled bad where that lies below it.
@@ -19,10 +18,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.functions.quantiles import exact_quantiles
 from tillsight.llm._tables import written
 
 BUCKETS = 1 << 15      # hashed n-grams
-SAMPLE = 10_000        # labelled documents of each class for the target and the threshold
 SMOOTH = 0.5           # added to every bucket's count
 KEEP_QUANTILE = 0.002  # part of the trusted documents allowed below the threshold
 WINDOW = 5
@@ -90,16 +89,16 @@ def with_ngrams(docs: DataFrame, text: str) -> DataFrame:
         F.transform("_hashes", lambda h: F.pmod(h, F.lit(BUCKETS))), pairs)).drop("_hashes")
 
 
-def labelled_sample(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """At most ``SAMPLE`` ids of each class, those with the smallest hash; a table of bounded size."""
-    ids = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("good"))
-    pick = [ids.where(F.col("good") == c).orderBy(F.xxhash64(key), key).limit(SAMPLE) for c in (0, 1)]
-    return pick[0].union(pick[1])
+def labelled(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Every labelled id once, with its class (``good``: 1 if any of its labels is)."""
+    return labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("good"))
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame, key: str, text: str) -> list[float]:
-    """log(target / raw) of each of the ``BUCKETS`` buckets; raw counts cover every document."""
-    flagged = docs.join(F.broadcast(sample.where("good = 1").select(key, F.lit(1).alias("_t"))), key, "left")
+def log_ratios(docs: DataFrame, known: DataFrame, key: str, text: str) -> list[float]:
+    """log(target / raw) of each of the ``BUCKETS`` buckets; raw counts cover every document, target counts every one
+    that ``known`` has as good."""
+    # a hash join of shuffled rows: labels grow with the documents, and texts aren't sorted
+    flagged = docs.join(known.where("good = 1").select(key, F.lit(1).alias("_t")).hint("shuffle_hash"), key, "left")
     # outer: an inner explode would first filter on the array's size, and make the array twice
     counts = (with_ngrams(flagged, text)
               .select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode_outer("_ngrams").alias("b"))
@@ -129,16 +128,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     Without labelled documents the score is 0 everywhere and only the base rules decide.
     """
     docs = docs.select(key, text)
-    sample = written(labelled_sample(labels, key, label), "rules-sample")
-    weights = log_ratios(docs, sample, key, text)
-    known = score(docs.join(F.broadcast(sample), key), weights, text).select("good", "llr")
-    at = known.agg(F.percentile(F.when(F.col("good") == 1, F.col("llr")), KEEP_QUANTILE).alias("good"),
-                   F.percentile(F.when(F.col("good") == 0, F.col("llr")), 0.5).alias("bad")).first()
-    if at["good"] is None:
+    known = written(labelled(labels, key, label), "rules-labels")
+    weights = log_ratios(docs, known, key, text)
+    # written: the threshold reads the scores that are returned
+    scored = written(score(base_counts(docs, text), weights, text).drop(text), "rules-scored")
+    marked = scored.select(key, "llr").join(known, key)
+    at = {r["good"]: r for r in exact_quantiles(marked, ["good"], "llr", [KEEP_QUANTILE, 0.5]).collect()}
+    good, bad = at[1]["q0"] if 1 in at else None, at[0]["q1"] if 0 in at else None
+    if good is None:
         threshold = float("-inf")
-    elif at["bad"] is not None and at["bad"] < at["good"]:
-        threshold = (at["good"] + at["bad"]) / 2
+    elif bad is not None and bad < good:
+        threshold = (good + bad) / 2
     else:
-        threshold = at["good"]
-    scored = score(base_counts(docs, text), weights, text).drop(text)
+        threshold = good
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
