@@ -18,9 +18,10 @@ CFG_INSIGHTS = CFG_RULES.with_(trend_min_base_revenue=100000.0, trend_min_base_o
 
 def _inputs(spark, d) -> I.ReportInputs:
     lines = B.tpch_lines(spark, d)
-    _, _, quality = CL.sanitize(B.raw_pos_lines(spark, d))
-    q = S.quality_coverage(lines, quality)
-    return I.ReportInputs(lines, CFG_INSIGHTS, q, run_key=f"{d}|report|{CFG_INSIGHTS!r}")
+    _, _, quality = CL.sanitize(B.raw_pos_lines_plan(spark, d))
+    key = f"{d}|report|{CFG_INSIGHTS!r}"
+    q = B.materialized(spark, f"{key}|quality", lambda: S.quality_coverage(lines, quality))
+    return I.ReportInputs(lines, CFG_INSIGHTS, q, run_key=key)
 
 
 def build_modules(spark, d) -> None:

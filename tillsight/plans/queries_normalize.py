@@ -71,7 +71,7 @@ def q_product_unmatched(spark, d):
 @register("product_split_ratios", with_ctes(*ENRICH_SQL_HEAD, body=f"""
 SELECT store_id, sistema, CAST(precio_post AS DOUBLE) AS precio_post, {R('ratio', 6)} AS ratio, cutoff, nombre FROM ratios"""))
 def q_product_split_ratios(spark, d):
-    r = N.split_ratios(B.pos_sales(spark, d), N.prepare_product_map(B.derived_product_map(spark, d)))
+    r = N.split_ratios(B.pos_sales_plan(spark, d), N.prepare_product_map(B.derived_product_map(spark, d)))
     return r.select("store_id", "sistema", F.col("precio_post").cast("double").alias("precio_post"),
                     F.round("ratio", 6).alias("ratio"), "cutoff", "nombre")
 
@@ -119,7 +119,7 @@ SELECT s.store_id, COALESCE(p.p_type, 'Otros') AS category, s.product_raw AS pro
 FROM sales s JOIN (SELECT DISTINCT p_name, min(p_type) OVER (PARTITION BY p_name) AS p_type FROM part) p ON p.p_name = s.product_raw
 GROUP BY 1, 2, 3"""))
 def q_store_category_identity(spark, d):
-    part = B.table(spark, d, "part").groupBy("p_name").agg(F.min("p_type").alias("category_raw"))
+    part = B.written(B.table(spark, d, "part").groupBy("p_name").agg(F.min("p_type").alias("category_raw")), "part-types")
     lines = B.pos_sales(spark, d).join(part.withColumnRenamed("p_name", "product_raw"), "product_raw")
     out = N.enrich_by_store(lines)
     return out.groupBy("store_id", F.col("category_raw").alias("category"), "product").agg(F.count(F.lit(1)).alias("lines"))
