@@ -116,14 +116,14 @@ def summary_row(x: ReportInputs) -> DataFrame:
     n_rec = recommendations(x).groupBy(STORE).agg(F.count(F.lit(1)).alias("n_recommendations"))
     s = x.summary.join(n_ins, STORE, "left").join(n_rec, STORE, "left").na.fill(0, ["n_insights", "n_recommendations"])
     if x.quality is not None:
-        s = s.join(x.quality.select(STORE, "risk_level", "dropped_pct"), STORE, "left")
+        s = s.join(x.quality_table.select(STORE, "risk_level", "dropped_pct"), STORE, "left")
     return s.withColumn("modules", F.array(*[F.lit(m) for m in MODULES]))
 
 
 def contract_violations(x: ReportInputs) -> DataFrame:
     """Per store, module, field and check, the number of values that break the report contract."""
     return contract.check_all({
-        "summary": x.summary, "quality": x.quality, "products": x.products, "basket_pairs": x.pairs, "trends": x.trends,
+        "summary": x.summary, "quality": x.quality_table, "products": x.products, "basket_pairs": x.pairs, "trends": x.trends,
         "anomalies": x.anomalies, "day_ticket": x.get("day_ticket", lambda: ticket.day_ticket(x.lines)),
         "basket_rules": x.get("rules", lambda: basket.rules(x.lines, x.cfg)), "profitability": x.profit,
         "insights": insights(x), "recommendations": recommendations(x)})

@@ -7,6 +7,7 @@ from tillsight.operators import clean as CL
 from tillsight.operators import gating as G
 from tillsight.operators import insights as I
 from tillsight.operators import summary as S
+from tillsight.operators._common import enable_sharing
 from tillsight.operators.contract import CONTRACT
 from tillsight.plans import oracle_sql as O
 from tillsight.plans import queries_report as QR
@@ -17,17 +18,20 @@ CFG_INSIGHTS = CFG_RULES.with_(trend_min_base_revenue=100000.0, trend_min_base_o
 
 
 def _inputs(spark, d) -> I.ReportInputs:
-    lines = B.tpch_lines(spark, d)
-    _, _, quality = CL.sanitize(B.raw_pos_lines_plan(spark, d))
     key = f"{d}|report|{CFG_INSIGHTS!r}"
-    q = B.materialized(spark, f"{key}|quality", lambda: S.quality_coverage(lines, quality))
-    return I.ReportInputs(lines, CFG_INSIGHTS, q, run_key=key)
+    lines = B.tpch_lines(spark, d).select("*")  # a table of this run: its modules share what they derive from it
+    enable_sharing(lines, key)
+
+    def quality():
+        return S.quality_coverage(lines, CL.sanitize(B.raw_pos_lines_plan(spark, d, numbered=False))[2])
+
+    return I.ReportInputs(lines, CFG_INSIGHTS, quality, run_key=key)
 
 
 def build_modules(spark, d) -> None:
     """Write the modules that the queries below read, once per session."""
     x = _inputs(spark, d)
-    for name in ("summary", "products", "pairs", "high_lift", "ticket_stats", "profit", "margin_cat", "peaks", "trends", "anomalies",
+    for name in ("quality_table", "summary", "products", "pairs", "high_lift", "ticket_stats", "profit", "margin_cat", "peaks", "trends", "anomalies",
                  "cat_totals", "opportunity", "launch_ready"):
         getattr(x, name)
 
