@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.llm import chosen_path, decontam, pii, quality_net, sp_bpe
-from tillsight.llm._tables import written
+from tillsight.llm._tables import without, written
 from tillsight.llm.queries import fold, table, tokenizer_path
 
 
@@ -23,8 +23,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame, key: str = "_key") -> DataFrame:
     """``docs`` less the rows whose ``key`` is in ``gone``, in the columns that stages hand on."""
-    left = docs.join(gone.select(key).distinct(), key, "left_anti")
-    return left.select(*[f"`{c}`" for c in docs.columns if c not in ("_key", "_row")])
+    return without(docs, gone, key).select(*[f"`{c}`" for c in docs.columns if c not in ("_key", "_row")])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

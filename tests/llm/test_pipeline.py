@@ -71,3 +71,23 @@ def test_rows_without_an_id_and_two_texts_under_one_id(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in once.collect()), key=key) == sorted(
         [(None, prose[0]), (1, prose[1]), (2, prose[3]), (3, None)], key=key)
     assert pipeline.quality(spark, docs, WHERE).columns == docs.columns
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tillsight.llm._tables import without
+
+    rows = [(i, f"text {i}", "en", "s", 1) for i in range(300)] + [(7, "text 7", "en", "s", 1), (None, "none", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    gone = spark.createDataFrame([(i,) for i in (7, 8, 7, 5000)], "_key bigint")
+    left = pipeline._without(pipeline._keyed(docs), gone)
+    assert left.columns == docs.columns
+    shown = left._jdf.queryExecution().optimizedPlan().toString()
+    # one branch of the rows that the bitmap rules out, one with the exact join
+    assert shown.count("LeftAnti") == 1 and "Union" in shown
+    want = sorted(str(tuple(r)) for r in rows if r[0] not in (7, 8))
+    assert sorted(str(tuple(r)) for r in left.collect()) == want
+    # a bitmap that rules out next to nothing changes nothing
+    crowded = without(pipeline._keyed(docs), gone.union(spark.range(1000, 1400).toDF("_key")), "_key", 6)
+    assert sorted(str(tuple(r)) for r in crowded.select(*docs.columns).collect()) == want
+    assert without(pipeline._keyed(docs), gone.limit(0), "_key").count() == len(rows)
