@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tillsight.functions.dates import parse_date
+from tillsight.functions.dates import parse_date, parse_hour
 from tillsight.functions.numbering import dense_numbers
 from tillsight.operators import basket, clean, products, summary, trends
 from tillsight.operators import normalize as N
@@ -183,6 +183,44 @@ def test_plain_dates_are_cast(spark):
     assert "try_cast(" in plan(got)
 
 
+def test_lines_are_sorted_by_the_number_of_their_source(spark):
+    rows = [("S0", i, "2024-01-01", "9:00:00 AM", str(i), "pan", "1", "2", "2") for i in range(3)] + [
+        ("S0", 0, "2024-01-01", "9:00:00 AM", "7", "sopa", "1", "2", "2")]
+    raw = spark.createDataFrame(rows, "store_id string, row_pos bigint, Fecha string, Hora string, `Código venta` string, Producto string, "
+                                      "Cantidad string, Individual string, Total string")
+    path = F.when(F.col("Producto") == "pan", "file:/b.csv").otherwise("file:/a.csv")
+    raw = raw.withColumn("source_rank", F.struct(F.lit(1).alias("rank"), path.alias("path"))).union(
+        raw.where("row_pos = 1").withColumn("source_rank", F.struct(F.lit(2).alias("rank"), F.lit("file:/0.csv").alias("path"))))
+    text = ReportJob(spark).normalize(raw)
+    got = [(r["row_seq"], r["Código venta"]) for r in text.orderBy("row_seq").collect()]
+    assert got == [(2, "7"), (3, "0"), (4, "1"), (5, "2")]
+    ordered = [x for x in text.inputFiles() if "numbered" in x and spark.read.parquet(x).columns != ["_all"]]
+    places = [spark.read.parquet(x).schema["row_pos"].dataType.simpleString() for x in ordered]
+    assert places and set(places) == {"struct<_source:bigint,row_pos:bigint>"}
+
+
+def test_typed_columns_stay_and_dates_are_parsed_once(spark):
+    rows = spark.createDataFrame([("S0", "2024-01-01", 9, "1", "pan", "2.5"), ("S0", "2024-01-01", None, "1", "pan", "2.5"), ("S0", "31/31/1999", 9, "1", "pan", "1")],
+                                 "store_id string, Fecha string, Hour int, `Código venta` string, `Nombre Corregido` string, q string")
+    rows = rows.select("*", F.lit("c").alias("Categoria Real"), F.col("q").cast("decimal(18,6)").alias("Cantidad"),
+                       *[F.col("q").cast("decimal(18,4)").alias(c) for c in ("Individual", "Total")]).drop("q")
+    lines, discarded, _ = clean.sanitize(rows)
+    shown = plan(lines)
+    assert shown.count("^\\d{4}-\\d{2}-\\d{2}$") == 1 and "as decimal" not in shown.split("LogicalRDD")[0].split("Project [store_id")[1]
+    assert [(str(r["quantity"]), str(r["total"]), r["sale_hour"], r["sale_date"]) for r in lines.collect()] == [("2.500000", "2.5000", 9, date(2024, 1, 1))]
+    assert sorted(r["motivo_descarte"] for r in discarded.collect()) == sorted(
+        r["motivo_descarte"] for r in clean.coerce(rows.withColumns({c: F.col(c).cast("string") for c in ("Cantidad", "Total", "Hour")})).collect()
+        if r["motivo_descarte"])
+
+
+def test_export_times_are_read_by_their_digits(spark):
+    texts = {"9:05:07 AM": 9, "09:05:07 PM": 21, "12:00:00 AM": 0, "12:59:59 PM": 12, " 1:00:00 PM ": 13, "13:00:00 PM": None, "0:00:00 AM": None,
+             "9:60:00 AM": None, "9:05 PM": 21, "17:30:00": 17, "17:30": 17, "xx": None, "": 0, None: 0, "9:05:07 am": 9, "9:05:07AM": None}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_hour("t").alias("h"))
+    assert {r["t"]: r["h"] for r in got.collect()} == texts
+    assert "substring_index" in plan(got)
+
+
 def sheet(rows: str) -> bytes:
     ns = "urn:schemas-microsoft-com:office:spreadsheet"
     return (f'<?xml version="1.0"?><Workbook xmlns="{ns}" xmlns:ss="{ns}"><Worksheet><Table>{rows}</Table></Worksheet>'
