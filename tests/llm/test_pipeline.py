@@ -91,3 +91,28 @@ def test_texts_that_stay_are_not_moved(spark):
     crowded = without(pipeline._keyed(docs), gone.union(spark.range(1000, 1400).toDF("_key")), "_key", 6)
     assert sorted(str(tuple(r)) for r in crowded.select(*docs.columns).collect()) == want
     assert without(pipeline._keyed(docs), gone.limit(0), "_key").count() == len(rows)
+
+
+def test_tokens_are_handed_on_slice_by_slice():
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from tillsight.llm import sp_bpe
+    from tillsight.llm.queries import tokenizer_path
+
+    class Docs:
+        columns = ["doc_id", "text"]
+        schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = ["one two " * 150_000, None, "three", "four " * 250_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = list(sp_bpe.encode(Docs(), tokenizer_path())(iter([batch])))
+    assert len(got) == 2
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(5)) and [r["decoded"] for r in rows] == [t or "" for t in texts]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillsight.llm._units import PAD, Memory, blocks, by_unit, flat, joined, release
+from tillsight.llm._units import PAD, Memory, blocks, by_unit, flat, in_slices, joined, release
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool =
     Adds ``n_tokens``, ``ids`` (array<int>) and ``decoded``; with ``digest`` the last two are
     replaced by ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (UTF-8).
     Columns of ``docs`` with these names are replaced; the others stay, the text only if it is to be kept.  No shuffle: every
-    Arrow batch is encoded in place, with no state between batches but a bounded memory of units.
+    slice of an Arrow batch is encoded in place, with no state between batches but a bounded memory of units.
     """
     added = [("n_tokens", "bigint")] + ([("ids_sha256", "string"), ("decoded_sha256", "string")] if digest
                                          else [("ids", "array<int>"), ("decoded", "string")])
@@ -242,8 +242,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool =
 
     def run(batches):
         enc = Encoder(model_file)
-        for batch in batches:
-            cols = enc.columns(batch.column(batch.schema.get_field_index(text)), digest)
+        for batch in in_slices(batches, at_text):
+            cols = enc.columns(batch.column(at_text), digest)
             held = [batch.column(batch.schema.get_field_index(f)) for f in left]
             yield pa.RecordBatch.from_arrays([*held, *cols], names=[*left, *names_in_order])
             del cols, held
@@ -252,4 +252,5 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", digest: bool =
         release()
 
     names_in_order, left = [n for n, _ in added], [f.name for f in handed_on]
+    at_text = [f.name for f in kept.schema.fields].index(text)
     return kept.mapInArrow(run, schema)
