@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tests.test_scale_steps import sheet, tables
 from tillsight import session
 from tillsight.plans import queries_ingest as QI
+from tillsight.plans import queries_jobs as QJ
 from tillsight.sources import bindings as B
 from tillsight.sources import landing
 
@@ -84,3 +85,33 @@ def test_a_packed_file_without_a_line_end_is_known_by_its_text(tmp_path):
     short.write_bytes(gzip.compress(b"Fecha,Total"))
     assert landing.first_block(str(long), os.path.getsize(long), None)[-1] == "no line end in the first block"
     assert landing.first_block(str(short), os.path.getsize(short), None)[-1] is None
+
+
+def test_cells_of_text_files_are_written_in_columns(tmp_path, spark):
+    head = "Fecha,Hora,Código venta,Producto,Cantidad,Individual,Total"
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(f"{head}\n2024-01-01,1:00:00 PM,7,\"pan, ,\",2,5,10\n\n2024-01-02,,8\n".encode()))
+    (tmp_path / "b.csv").write_text("Fecha;Ticket\n2024-01-03;9;x\n")
+    scan = landing.scan(spark, str(tmp_path))
+    got = {(os.path.basename(r["path"]), r["row_no"]): r["cells"] for r in scan.rows.where("row_no > 1").collect()}
+    assert got == {("a.csv.gz", 2): ["2024-01-01", "1:00:00 PM", "7", "pan, ,", "2", "5", "10"],
+                   ("a.csv.gz", 3): ["2024-01-02", None, "8", None, None, None, None], ("b.csv", 2): ["2024-01-03", "9", "x", *[None] * 4]}
+    at = [f for f in scan.rows.inputFiles() if "landing-rows" in f]
+    assert at and all(f.endswith(".zstd.parquet") for f in at)
+    cells = spark.read.parquet(*at).schema["cells"].dataType
+    assert cells.fieldNames() == [f"c{i}" for i in range(7)]
+
+
+def test_landing_exports_are_compressed_and_paths_stay_with_their_files(spark, tmp_path, monkeypatch):
+    d = small_tables(spark, tmp_path)
+    seen = []
+    held = QJ.N.consolidate
+    monkeypatch.setattr(QJ.N, "consolidate", lambda raw, order: seen.append(raw.columns) or held(raw, order))
+    got = {r["store_id"]: r for r in QJ.q_landing_consolidated(spark, d).collect()}
+    assert seen and "source_file" not in seen[0] and "row_pos" in seen[0]
+    base = QJ._base(spark, d, "landing_exports").removeprefix("file:")
+    files = glob.glob(f"{base}/*/*/part-*") + glob.glob(f"{base}/*/*/*/part-*")
+    assert {f[f.index(".", f.rindex("/")):].split(".", 2)[2] for f in files if os.path.isfile(f)} == {"csv.gz", "txt.gz"}
+    want = B.numbered_export_text(spark, d).dropna(subset=list(QI.POS)).where("Fecha >= '1997-06-01'").na.fill(
+        "__HIVE_DEFAULT_PARTITION__", ["store_id"]).groupBy("store_id").count().collect()
+    assert want and {s: r["xls_rows"] for s, r in got.items() if r["xls_rows"]} == dict(want)
+    assert all(r["dense"] for r in got.values())
