@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from tests.test_scale_steps import sheet, tables
 from tillsight import session
+from tillsight.operators import normalize as N
 from tillsight.plans import queries_ingest as QI
 from tillsight.plans import queries_jobs as QJ
+from tillsight.plans.report import ReportJob
 from tillsight.sources import bindings as B
 from tillsight.sources import landing
 
 
 def small_tables(spark, path) -> str:
-    orders = [(k, k % 4 if k % 9 else None, datetime(1997, 5 + k % 3, 1 + k % 20, 9) if k % 11 else None) for k in range(40)]
+    orders = [(k, k // 4 % 4 if k % 9 else None, datetime(1997, 5 + k % 3, 1 + k % 20, 9) if k % 11 else None) for k in range(40)]
     lines = [(k % 40, k % 4, 7, k % 5 if k % 13 else None, 2.0 if k % 7 else None, 10.0 + k, 0.5) for k in range(400)]
     tables(spark, str(path), lines + lines[:30], orders)
     return str(path)
@@ -115,3 +117,26 @@ def test_landing_exports_are_compressed_and_paths_stay_with_their_files(spark, t
         "__HIVE_DEFAULT_PARTITION__", ["store_id"]).groupBy("store_id").count().collect()
     assert want and {s: r["xls_rows"] for s, r in got.items() if r["xls_rows"]} == dict(want)
     assert all(r["dense"] for r in got.values())
+
+
+def test_tenant_exports_are_compressed(spark, tmp_path):
+    base = QJ._tenant_exports(spark, small_tables(spark, tmp_path)).removeprefix("file:")
+    files = [f for x in "abcd" for f in glob.glob(f"{base}/{x}/**/part-*", recursive=True) if os.path.isfile(f)]
+    assert {f[len(base) + 1] for f in files} == set("abcd") and all(f.endswith(".gz") for f in files)
+
+
+def test_lines_are_numbered_without_what_no_export_has(spark, monkeypatch):
+    seen = []
+    held = N.dense_numbers
+    monkeypatch.setattr(N, "dense_numbers", lambda rows, *a, **k: seen.append(rows.columns) or held(rows, *a, **k))
+    raw = spark.createDataFrame([("S0", k, "2026-01-05", "1:00:00 PM", str(k), f"p{k % 2}", "1", "10", "10") for k in range(6)],
+                                "store_id string, row_pos int, Fecha string, Hora string, `Código venta` string, Producto string, "
+                                "Cantidad string, Individual string, Total string")
+    pm = spark.createDataFrame([("p0", "P0", "C", "s", "20")], "sistema string, nombre string, categoria string, subcategoria string, "
+                                                              "margen_pct string")
+    got = sorted((r["row_seq"], r["Nombre Corregido"]) for r in ReportJob(spark).normalize(raw, pm).collect())
+    assert got == [(k + 2, "p1" if k % 2 else "P0") for k in range(6)]
+    assert seen and "match_kind" not in seen[0]
+    # lines of one product are neighbours where copies are looked for, and take less space
+    physical = N.consolidate(raw, ("row_pos",))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [Producto#" in physical
